@@ -14,6 +14,7 @@ from scorelake.llm.mixing import mix
 from scorelake.llm.packing import complete_bins, encoder, pack
 from scorelake.llm.queries import VOCABULARY
 from scorelake.llm.simhash import near_dedup
+from scorelake.llm.substring import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -188,6 +189,44 @@ def test_bin_completion_reaches_the_least_number_of_bins():
     assert len(set(sequence)) == 4
 
 
+def test_substring_dedup(docs):
+    rows = [(i, WORD.findall(t or "")) for i, t in rows_of(docs)]
+    least = {}
+    for i, w in rows:
+        for p in range(len(w) - 49 if i is not None else 0):
+            key = tuple(w[p : p + 50])
+            least[key] = min(i, least.get(key, i))
+    expected = []
+    for i, w in rows:
+        gone = set()
+        for p in range(len(w) - 49 if i is not None else 0):
+            if least[tuple(w[p : p + 50])] < i:
+                gone.update(range(p, p + 50))
+        expected.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    assert Counter(map(tuple, substring_dedup(docs).collect())) == Counter(expected)
+    assert sum(x[2] for x in expected) > 1000
+
+
+def test_equal_stretches_have_equal_symbols_inside():
+    from scorelake.llm.substring import recompress
+
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    shared[20:24] = shared[20]
+    kinds = 0
+    for _ in range(200):
+        a, b = (np.concatenate([rng.integers(0, 1 << 63, 80).astype(np.uint64), shared, rng.integers(0, 1 << 63, 80).astype(np.uint64)]) for _ in range(2))
+        a[79], b[130] = shared[0], shared[49]
+        found = []
+        for x in (a, b):
+            name, _, low, high = recompress(x, np.zeros(len(x), dtype=np.int64))
+            inside = (low >= 80) & (high <= 130)
+            found.append(set(zip(name[inside].tolist(), low[inside].tolist(), high[inside].tolist())))
+        assert found[0] == found[1]
+        kinds += len(found[0])
+    assert kinds > 200
+
+
 def test_empty_tables(empty):
-    for out in (exact_dedup(empty), near_dedup(empty), mix(empty), pack(empty, VOCABULARY)):
+    for out in (exact_dedup(empty), near_dedup(empty), mix(empty), pack(empty, VOCABULARY), substring_dedup(empty)):
         assert out.count() == 0
