@@ -19,6 +19,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import embedding_search
+
+    return embedding_search(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "neighbour_id", "distance")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_dedup
 
@@ -43,21 +49,69 @@ def op6_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_dedup.*", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_simhash_near_dedup, op4_source_mix, op5_substring_dedup, op6_toxicity_classifier, op8_best_fit_packing, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_hamming_top_k,
+        op3_simhash_near_dedup,
+        op4_source_mix,
+        op5_substring_dedup,
+        op6_toxicity_classifier,
+        op7_line_dedup,
+        op8_best_fit_packing,
+        op9_license_scan,
+        op10_exact_dedup,
+    )
+}
 
 SQL = {
+    "op2_hamming_top_k": """
+        WITH c AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS bits FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
+                     CAST(list_sum(list_transform(list_zip(q.bits, v.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+              FROM c q JOIN c v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10""",
+    "op7_line_dedup": """
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+        p AS (SELECT doc_id, a, unnest(range(len(a))) AS i FROM l),
+        w AS (SELECT doc_id, i, n, array_to_string(a[i + 1 : i + n], chr(10)) AS run
+              FROM p, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS n) WHERE i + n <= len(a)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) > 1 AS later,
+                     len(regexp_extract_all(run, '[^\\x20\\x09-\\x0D]+')) AS words FROM w),
+        g AS (SELECT doc_id, i, n FROM o WHERE later AND words >= 5),
+        x AS (SELECT doc_id, max(n) AS longest_run FROM g GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM g),
+        k AS (SELECT p.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(a[p.i + 1], chr(10) ORDER BY p.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+              FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
+        SELECT k.doc_id, n_lines, n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(kept) AS kept_sha256
+        FROM k LEFT JOIN x ON k.doc_id = x.doc_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
