@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys, scoring, text, years
-from ..operators import chronology, dedupe, identity, search
+from ..functions import keys, markup, scoring, text, years
+from ..operators import chronology, dedupe, harvest, identity, search
 from ..sources import tables
 from . import derived as d
 
@@ -540,3 +540,123 @@ def snk7_partial_refresh(spark, sf_dir):
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version"))
 
 
+
+
+# ── crawled pages ─────────────────────────────────────────────────────────────
+
+_ENTITY_STEPS = "".join(["replace("] * 15) + "{0}" + "".join(f", '{k}', '{v if v != chr(39) else chr(39) * 2}')" for k, v in markup.ENTITIES.items())
+_HTML = "regexp_replace(regexp_replace(html, '<\\s*(?:br|/p|/li|/div|/tr|/h[1-6])\\s*/?>', ', ', 'gi'), '<[^>]+>', ' ', 'g')"
+
+
+@query(
+    "m1_html_text",
+    f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace({_ENTITY_STEPS.format(_HTML)}, '\\s+', ' ', 'g'), '(?:\\s*,\\s*)+', ', ', 'g'), '^[,\\s]+|[,\\s]+$', '', 'g'))) AS text FROM pages",
+)
+def m1_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(markup.html_text(F.col("html")), 256).alias("text"))
+
+
+def _wiki(spark, sf_dir) -> DataFrame:
+    """Articles made of parts: every form of page that states a scoring, or none."""
+    p = F.col("p_partkey")
+    n = (p % 4 + 2).cast("string")
+    list_ = F.concat(F.lit("{{col-float|1=\n* 2 [[Western concert flute|flutes]]\n* "), n, F.lit(" [[trumpet]]s{{music|flat}}\n* timpani\n}}"))
+    prose = F.concat(F.lit("Intro.\nIt is scored for 2 flutes, oboe, bassoon, "), n, F.lit(" [[trumpet]]s and strings. The trumpets are silent later.\n==Notes==\n9 trumpets"))
+    text_ = F.when(p % 3 == 0, F.concat(F.lit("A.\n==Instrumentation==\n"), list_, F.lit("\n===Strings===\nviolins\n==History==\n7 trumpets"))).when(p % 3 == 1, prose).otherwise(F.lit("Written for Diaghilev, with trumpets."))
+    return table(spark, sf_dir, "part").select(p.alias("id"), text_.alias("wikitext"))
+
+
+@query("m6_article_scoring", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'prose' END AS how, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 4 + 2 ELSE 0 END AS trumpets FROM part")
+def m6_article_scoring(spark, sf_dir):
+    found = _wiki(spark, sf_dir).select("id", markup.article_scoring(F.col("wikitext")).alias("x")).select("id", "x.how", markup.first_sentence(F.col("x.text")).alias("text"))
+    return scoring.parse_scoring(found, "text").select("id", "how", scoring.count_of(F.col("scoring"), "trumpet").cast("long").alias("trumpets"))
+
+
+@query("m2_clean_wikitext", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'flutes' ELSE '' END AS shown, 0 AS braces FROM part")
+def m2_clean_wikitext(spark, sf_dir):
+    plain = _wiki(spark, sf_dir).select("id", markup.wikitext_text(F.col("wikitext")).alias("t"))
+    return plain.select("id", F.when(F.col("id") % 3 == 0, F.regexp_extract("t", "2 (flutes)", 1)).otherwise("").alias("shown"), F.when(F.col("t").rlike(r"\{\{|\[\["), 1).otherwise(0).alias("braces"))
+
+
+@query("m3_clean_detail", "SELECT p_partkey AS id, p_size || ' flutes, ' || p_name || ' horns' AS detail FROM part")
+def m3_clean_detail(spark, sf_dir):
+    raw = F.concat(F.lit("{{More {{x}}}} "), "p_size", F.lit(" flutes,<br>'''[[a|"), "p_name", F.lit("]] horns''' {{MoreEnd}}, "))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.clean_detail(raw).alias("detail"))
+
+
+@query("m4_page_fields", "SELECT p_partkey AS id, p_name AS field, p_brand || '|x' AS detail FROM part")
+def m4_page_fields(spark, sf_dir):
+    page = F.concat(F.lit("{{W\n|Instrumentation= "), "p_name", F.lit(" |other=1\n| instrdetail ="), "p_brand", F.lit("|x\n}}"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.short_field(page, "Instrumentation").alias("field"), markup.page_field(page, "InstrDetail").alias("detail"))
+
+
+@query("m5_flatten_lines", "SELECT p_partkey AS id, p_name || ', ' || p_brand || ', end' AS flat FROM part")
+def m5_flatten_lines(spark, sf_dir):
+    lines = F.concat(F.lit(":"), "p_name", F.lit(";\nand\n\n** "), "p_brand", F.lit("\nend."))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.flatten_lines(lines).alias("flat"))
+
+
+@query("m8_first_sentence", "SELECT conv_id, turn, sha256(regexp_replace(text, '\\.\\s+[A-Z](.|\\n)*$', '')) AS first FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\.\\s+[A-Z](.|\\n)*\\.\\s+[A-Z]')")
+def m8_first_sentence(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"(?s)\.\s+[A-Z].*\.\s+[A-Z]"))
+    return rows.select("conv_id", "turn", F.sha2(markup.first_sentence(F.col("text")), 256).alias("first"))
+
+
+@query("m9_product_scoring", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', 3 trumpets' ELSE p_brand || ' band' END AS scoring, CASE WHEN p_partkey % 2 = 0 THEN 'instrumentation-line' ELSE 'short-description' END AS how FROM part")
+def m9_product_scoring(spark, sf_dir):
+    even = F.col("p_partkey") % 2 == 0
+    long_ = F.when(even, F.concat(F.lit("<p>Good.</p><p>Instrumentation: "), "p_name", F.lit("<br/>3 trumpets Program notes by X</p>"))).otherwise("<p>None</p>")
+    short = F.concat(F.lit("For "), "p_brand", F.lit(" band / 5 minutes"))
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), long_.alias("description"), short.alias("short"))
+    return markup.product_scoring(products, "description", "short").select("id", "scoring", "how")
+
+
+@query("p18_shorthand", "SELECT p_partkey AS id, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size % 5 + 1 WHEN 1 THEN 3 ELSE 4 END AS BIGINT) AS trumpets FROM part")
+def p18_shorthand(spark, sf_dir):
+    p = F.col("p_partkey") % 3
+    text_ = F.when(p == 0, F.concat(F.lit("solo trumpet; 3332 – 4"), F.col("p_size") % 5, F.lit("31 – t+4 – str"))).when(p == 1, "solo trumpet; 2 trumpets, strings").otherwise("4 trumpets – 2222 – 4231")
+    out = markup.with_soloists(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text_.alias("text")), "text")
+    return out.select("id", F.coalesce(F.element_at("counts", F.lit("trumpet")), F.lit(0)).cast("long").alias("trumpets"))
+
+
+@query(
+    "src2_category_links",
+    "SELECT n_regionkey AS page_id, 'subcategory' AS kind, 'Category:' || n_name AS title FROM nation UNION ALL SELECT n_regionkey, 'page', 'Work ' || n_nationkey FROM nation",
+)
+def src2_category_links(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    link = lambda t: F.concat(F.lit('<a href="/wiki/x" title="'), t, F.lit('">x</a>'))
+    subs, own = link(F.concat(F.lit("Category:"), "n_name")), F.concat(link(F.concat(F.lit("Work "), "n_nationkey")), link(F.concat(F.lit("Help:"), "n_name")))
+    html = F.concat(F.lit('<div id="mw-subcategories">'), F.array_join(F.collect_list(subs), ""), F.lit('</div><div id="mw-pages">'), F.array_join(F.collect_list(own), ""), F.lit('</div><div id="catlinks">'), F.first(link(F.lit("End"))), F.lit("</div>"))
+    return markup.category_links(nation.groupBy(F.col("n_regionkey").alias("page_id")).agg(html.alias("html")))
+
+
+@query(
+    "jn7_category_walk",
+    """WITH a AS (SELECT 'r' || r_regionkey AS composer, 'Work ' || o_orderkey AS title, 0 AS depth, n_nationkey AS a, c_custkey AS b, 'Category:N' || n_nationkey AS subcat FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 0)
+    SELECT composer, title, subcat FROM a""",
+)
+def jn7_category_walk(spark, sf_dir):
+    nation, customer, orders = (table(spark, sf_dir, n) for n in ("nation", "customer", "orders"))
+    root = F.concat(F.lit("Category:r"), F.col("n_regionkey"))
+    edges = nation.select(root.alias("parent"), F.concat(F.lit("Category:N"), "n_nationkey").alias("child"), F.lit("subcategory").alias("kind"), F.col("n_nationkey").cast("long").alias("ord"))
+    works = orders.join(customer.where("c_custkey % 2 = 0"), orders["o_custkey"] == customer["c_custkey"])
+    edges = edges.unionByName(works.select(F.concat(F.lit("Category:N"), "c_nationkey").alias("parent"), F.concat(F.lit("Work "), "o_orderkey").alias("child"), F.lit("page").alias("kind"), F.col("o_orderkey").alias("ord")))
+    edges = edges.unionByName(works.select(F.concat(F.lit("Category:N"), "c_nationkey").alias("parent"), F.concat(F.lit("List of "), "o_orderkey").alias("child"), F.lit("page").alias("kind"), F.col("o_orderkey").alias("ord")))
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("composer"), F.concat(F.lit("Category:r"), "r_regionkey").alias("category"))
+    return harvest.walk(roots, edges, most=10_000_000).select("composer", "title", "subcat")
+
+
+@query("jn8_redirects", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN 'text ' || (p_partkey - 1) WHEN 0 THEN 'text ' || p_partkey END AS wikitext FROM part")
+def jn8_redirects(spark, sf_dir):
+    p = F.col("p_partkey")
+    text_ = F.when(p % 3 == 0, F.concat(F.lit("text "), p)).when(p % 3 == 1, F.concat(F.lit("#REDIRECT [["), p - 1, F.lit("|x]]"))).otherwise("#redirect [[Nowhere]]")
+    pages = table(spark, sf_dir, "part").select(p.cast("string").alias("title"), text_.alias("wikitext"))
+    return harvest.follow_redirects(pages).select(F.col("title").cast("long").alias("id"), "wikitext")
+
+
+@query("agg8_funnel", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 2 THEN 'no scoring' ELSE 'kept' END AS outcome FROM part) x GROUP BY outcome")
+def agg8_funnel(spark, sf_dir):
+    found = _wiki(spark, sf_dir).select(F.col("id").alias("title"), markup.article_scoring(F.col("wikitext")).alias("x")).select("title", "x.text")
+    parsed = scoring.parse_scoring(found, "text")
+    return harvest.funnel(parsed.select("title", "text", F.col("scoring.total").alias("total")))
