@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import keys, markup, scoring, text, years
+from ..functions import cleanup, keys, markup, scoring, text, years
 from ..operators import chronology, dedupe, harvest, identity, search
 from ..sources import tables
 from . import derived as d
@@ -342,12 +342,17 @@ def win3_sort_years(spark, sf_dir):
     return chronology.assign_sort_years(d.derive(spark, sf_dir, d.WORKS)).select("ord", "sy")
 
 
-@query("d1_field_year", f"SELECT ord, CAST(CASE WHEN ord % 6 = 4 THEN NULL ELSE yr END AS INT) AS year FROM ({d.YEAR_FIELDS}) f")
+#: A two-digit end belongs to the century of the start; across centuries the start counts.
+_FIELD_YEAR = f"""SELECT ord, CAST(CASE WHEN ord % 6 = 4 THEN NULL WHEN ord % 6 = 2 AND yr // 100 > (yr - 1) // 100 THEN yr - 1
+    WHEN ord % 6 = 5 AND yr // 100 > (yr - 5) // 100 THEN yr - 5 ELSE yr END AS INT) AS year FROM ({d.YEAR_FIELDS}) f"""
+
+
+@query("d1_field_year", _FIELD_YEAR)
 def d1_field_year(spark, sf_dir):
     return d.derive(spark, sf_dir, d.YEAR_FIELDS).select("ord", years.field_year(F.col("text"), 2100).alias("year"))
 
 
-@query("d2_page_year", f"SELECT ord, CAST(CASE WHEN ord % 6 = 4 THEN NULL ELSE yr END AS INT) AS year FROM ({d.YEAR_FIELDS}) f")
+@query("d2_page_year", _FIELD_YEAR)
 def d2_page_year(spark, sf_dir):
     wiki = F.concat(F.lit("{{Work\n|Title=1234\n|Year="), "text", F.lit("\n|Key=C 1999\n}}"))
     return d.derive(spark, sf_dir, d.YEAR_FIELDS).select("ord", years.page_year(wiki, "Year", 2100).alias("year"))
@@ -660,3 +665,149 @@ def agg8_funnel(spark, sf_dir):
     found = _wiki(spark, sf_dir).select(F.col("id").alias("title"), markup.article_scoring(F.col("wikitext")).alias("x")).select("title", "x.text")
     parsed = scoring.parse_scoring(found, "text")
     return harvest.funnel(parsed.select("title", "text", F.col("scoring.total").alias("total")))
+
+
+# ── display text ──────────────────────────────────────────────────────────────
+
+
+@query("c1_tidy", "SELECT p_partkey AS id, p_name || ', 2 trumpets Band version, ' || p_brand AS text FROM part")
+def c1_tidy(spark, sf_dir):
+    raw = F.concat("p_name", F.lit(" , ,2 trumpets\n=== Band version ===\n"), "p_brand", F.lit("\n==Structure==\n9 trumpets"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.tidy(raw).alias("text"))
+
+
+@query(
+    "c5_collapse_strings",
+    "SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ', strings' WHEN 1 THEN ', Strings, 2 harps' WHEN 2 THEN ', 5 violins, violas, cellos, double basses' ELSE ' and a string section' END AS text FROM part",
+)
+def c5_collapse_strings(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    tail = (
+        F.when(k == 0, ", violins I, violins II, violas, cellos and double basses").when(k == 1, ", Strings: 2 harps, 1st Violins, 2nd Violins, Violas, Celli, Basses")
+        .when(k == 2, ", 5 violins, violas, cellos, double basses").otherwise(" and a string section of first and second violins, violas, cellos & contrabasses")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.collapse_strings(F.concat("p_name", tail)).alias("text"))
+
+
+@query("c7_shipped_text", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '=' || p_name || '=' ELSE p_name END || ', strings' AS text FROM part")
+def c7_shipped_text(spark, sf_dir):
+    raw = F.concat(F.lit("="), "p_name", F.lit("=, violins, violas, cellos, basses"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.shipped(raw, F.when(F.col("p_partkey") % 2 == 0, "curated").otherwise("library")).alias("text"))
+
+
+@query("d3_article_year", "SELECT o_orderkey AS ord, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'infobox' ELSE 'category' END AS how FROM orders")
+def d3_article_year(spark, sf_dir):
+    yr = F.year("o_orderdate")
+    boxed = F.concat(F.lit("{{Infobox work\n| name = {{x}} 1700\n| composed = {{start date|"), yr - 4, F.lit("}}–"), yr, F.lit("<ref>1650</ref>\n}}\n| date = 1600\n[[Category:1500 operas]]"))
+    filed = F.concat(F.lit("{{cite\n| date = 1600\n}}[[Category:"), yr + 7, F.lit(" compositions]] [[Category:"), yr, F.lit(" operas|x]]"))
+    text_ = F.when(F.col("o_orderkey") % 2 == 0, boxed).otherwise(filed)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), years.article_year(text_, 2100).alias("x")).select("ord", "x.*")
+
+
+# ── further tallies, unions and orders ────────────────────────────────────────
+
+
+@query("agg2_per_composer_of_a_source", "SELECT o_custkey AS c, count(*) AS works FROM orders WHERE o_orderkey % 4 = 2 GROUP BY o_custkey")
+def agg2_per_composer_of_a_source(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderkey % 4 = 2").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("works"))
+
+
+@query("agg5_by_source", f"SELECT rank, count(*) AS works FROM ({d.RANKED}) r GROUP BY rank")
+def agg5_by_source(spark, sf_dir):
+    return d.derive(spark, sf_dir, d.RANKED).groupBy("rank").agg(F.count(F.lit(1)).alias("works"))
+
+
+@query("agg7_build_statistics", f"SELECT count(*) AS works, count(DISTINCT c) AS composers, count(y) AS dated, count(CASE WHEN y < 1995 OR y > 1999 THEN 1 END) AS rejected, count(CASE WHEN arr THEN 1 END) AS arrangements FROM ({d.WORKS}) w")
+def agg7_build_statistics(spark, sf_dir):
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("ok", years.plausible_year(F.col("y"), F.lit(1990), F.lit(1999)))
+    rejected = F.col("y").isNotNull() & F.col("ok").isNull()
+    return works.agg(F.count(F.lit(1)).alias("works"), F.countDistinct("c").alias("composers"), F.count("y").alias("dated"), F.count_if(rejected).alias("rejected"), F.count_if("arr").alias("arrangements"))
+
+
+@query("agg9_person_statistics", f"SELECT count(*) AS found, count(b) AS with_birth, count(CASE WHEN k = 3 THEN 1 END) AS no_death FROM ({_LIVES}) l")
+def agg9_person_statistics(spark, sf_dir):
+    people = d5_person(spark, sf_dir)
+    return people.agg(F.count(F.lit(1)).alias("found"), F.count("born").alias("with_birth"), F.count_if(F.col("died").isNull()).alias("no_death"))
+
+
+@query("flt3_sane_category", f"SELECT ord, count(CASE WHEN i < 4 THEN 1 END) > 0 AND ord % 3 > 0 AS sane FROM ({d.PARTS}) p GROUP BY ord")
+def flt3_sane_category(spark, sf_dir):
+    texts = d.derive(spark, sf_dir, d.SPARK_TEXTS)
+    return texts.select("ord", harvest.sane_category(F.concat(F.lit("For "), "text"), F.col("ord") % 3).alias("sane"))
+
+
+@query("flt4_holds_works", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS holds FROM part")
+def flt4_holds_works(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    title = F.concat(F.when(k == 0, "Songs by ").when(k == 1, "List of ").otherwise("Category:Recordings of "), "p_name")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), harvest.holds_works(title).alias("holds"))
+
+
+@query("flt5_complete_rows", f"SELECT w.ord FROM ({d.WORKS}) w JOIN ({d.COUNTS}) k ON w.ord = k.ord WHERE total > 0 AND cat IS NOT NULL")
+def flt5_complete_rows(spark, sf_dir):
+    return index(spark, sf_dir).where((F.col("size") > 0) & F.col("cat").isNotNull()).select("ord")
+
+
+@query("flt11_composers_with_works", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def flt11_composers_with_works(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    customers = table(spark, sf_dir, "customer")
+    return customers.join(counts, customers["c_custkey"] == counts["o_custkey"], "left").where(F.coalesce("n", F.lit(0)) > 0).select("c_custkey")
+
+
+@query("jn6_with_composers", f"SELECT ord, coalesce(c_name, 'Unknown') AS composer FROM ({d.WORKS}) w LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) x ON w.c = concat('c', x.c_custkey)")
+def jn6_with_composers(spark, sf_dir):
+    composers = table(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select(F.concat(F.lit("c"), "c_custkey").alias("composer_id"), F.col("c_name").alias("name"), F.col("c_name").alias("sort"))
+    return search.with_composers(d.derive(spark, sf_dir, d.WORKS), composers).select("ord", "composer")
+
+
+@query("set1_union_of_sources", "SELECT source, count(*) AS n, count(extra) AS with_extra FROM (SELECT 'customer' AS source, c_mktsegment AS extra FROM customer UNION ALL SELECT 'supplier', NULL FROM supplier) u GROUP BY source")
+def set1_union_of_sources(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("extra"))
+    b = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("with_extra"))
+
+
+@query("set3_distinct_pages", "SELECT o_custkey AS page FROM orders UNION SELECT c_custkey FROM customer")
+def set3_distinct_pages(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+
+
+@query("set4_alias_union", "SELECT o_custkey AS c, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ';') AS aliases FROM orders GROUP BY o_custkey")
+def set4_alias_union(spark, sf_dir):
+    own = F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ";")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(own.alias("aliases"))
+
+
+@query("srt1_within_composer", f"SELECT ord, CAST(row_number() OVER (PARTITION BY c ORDER BY form, coalesce(y, 9999), n, t, ord) AS INT) AS place FROM ({d.WORKS}) w WHERE ord % 4 IN (0, 3)")
+def srt1_within_composer(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    works = d.derive(spark, sf_dir, d.WORKS).where("ord % 4 in (0, 3)").withColumn("g", F.col("form")).withColumn("sy", F.col("y"))
+    return works.select("ord", F.row_number().over(W.partitionBy("c").orderBy(*search.ordering_within("genre"))).alias("place"))
+
+
+@query("win4_second_page", f"SELECT ord FROM ({d.WORKS}) w ORDER BY coalesce(y, 9999), c, ord LIMIT 150 OFFSET 150")
+def win4_second_page(spark, sf_dir):
+    works = d.derive(spark, sf_dir, d.WORKS)
+    return search.page(works, [F.coalesce("y", F.lit(search.UNDATED)), F.col("c"), F.col("ord")], 1).select("ord")
+
+
+@query("k18_is_arrangement", "SELECT p_partkey AS id, p_partkey % 2 = 0 AS arrangement FROM part")
+def k18_is_arrangement(spark, sf_dir):
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, " (arr. X)").when(F.col("p_partkey") % 4 == 2, ", arranged").otherwise(" arrow"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.is_arrangement(name).alias("arrangement"))
+
+
+@query("snk8_loss_guard", "SELECT count(*) AS old, count(CASE WHEN o_orderkey % 10 > 0 THEN 1 END) AS new, true AS publish FROM orders")
+def snk8_loss_guard(spark, sf_dir):
+    both = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("old"), F.count_if(F.col("o_orderkey") % 10 > 0).alias("new"))
+    return both.withColumn("publish", F.col("new") >= F.col("old") * (1 - tables.LOSS))
+
+
+@query("snk1_publish_index", f"SELECT ord, t, CAST(c AS VARCHAR) AS c FROM ({d.WORKS}) w")
+def snk1_publish_index(spark, sf_dir):
+    path = _folder(spark, "index")
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("src", F.lit("x")).withColumn("url", F.lit("y"))
+    tables.publish_index(works, path)
+    return spark.read.parquet(path).select("ord", "t", "c")

@@ -63,6 +63,12 @@ def build_manifest(works: DataFrame, composers: DataFrame, work_columns: list[st
     return both.select(F.substring(F.sha2(F.concat_ws("|", "works", "h", "composers", "g"), 256), 1, 10).alias("build"), "works", "composers")
 
 
+def publish_index(works: DataFrame, path: str, buckets: int = 16) -> None:
+    """The merged index without provenance, partitioned by a bucket of the composer."""
+    bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int")
+    works.drop("src", "url").withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def export_csv(matches: DataFrame, path: str) -> None:
     """All matches: every cell quoted, quotes doubled, CRLF, a header, yes and no for flags, nothing for null."""
     flat = [F.when(F.col(c), "yes").otherwise("no").alias(c) if t == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c, t in matches.dtypes]
