@@ -811,3 +811,53 @@ def snk1_publish_index(spark, sf_dir):
     works = d.derive(spark, sf_dir, d.WORKS).withColumn("src", F.lit("x")).withColumn("url", F.lit("y"))
     tables.publish_index(works, path)
     return spark.read.parquet(path).select("ord", "t", "c")
+
+
+@query("k7_split_catalogue", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN p_name || ', Xy.' || p_size ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Op.' || p_size || ' No.2' WHEN 1 THEN 'BWV ' || p_size END AS catalogue FROM part")
+def k7_split_catalogue(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    full = F.concat("p_name", F.when(k == 0, F.concat(F.lit(", Op."), "p_size", F.lit(" No.2"))).when(k == 1, F.concat(F.lit(" BWV "), "p_size")).otherwise(F.concat(F.lit(", Xy."), "p_size")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.split_catalogue(full).alias("x")).select("id", "x.*")
+
+
+@query("k14_product_title", "SELECT p_partkey AS id, p_name AS title FROM part")
+def k14_product_title(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(k == 0, " – PDF download").when(k == 1, " (Rental parts)").otherwise(" "))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.product_title(name).alias("title"))
+
+
+@query("k16_genre_from_category", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Symphony' WHEN 1 THEN 'Concerto' WHEN 2 THEN 'Chamber' ELSE 'Orchestral' END AS genre FROM part")
+def k16_genre_from_category(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    category = F.concat(F.when(k == 0, "Category:Symphonies by ").when(k == 1, "Piano concertos by ").otherwise("Serenades by "), "p_name")
+    parent = F.when(k == 2, F.concat(F.lit("Category:Chamber music by "), "p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.genre_from_category(category, parent).alias("genre"))
+
+
+@query("k17_genre_from_products", "SELECT o_custkey AS id, CASE WHEN bool_or(o_orderkey % 5 = 0) THEN 'Concerto' WHEN bool_or(o_orderkey % 5 = 1) THEN 'Ballet' WHEN bool_or(o_orderkey % 5 = 2) THEN 'Chamber' ELSE 'Other' END AS genre FROM orders GROUP BY o_custkey")
+def k17_genre_from_products(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    name = F.when(k == 0, "Concertos (with Orchestra)").when(k == 1, "Ballet").when(k == 2, "Chamber Music").otherwise("New")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(name).alias("names")).select("id", keys.genre_from_products(F.col("names")).alias("genre"))
+
+
+@query(
+    "c3_scoring_display",
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2 flutes, ' || p_size || ' trumpets' WHEN 1 THEN 'brass and strings, ' || p_name WHEN 2 THEN NULL ELSE 'three cornets, oboe' END AS text FROM part",
+)
+def c3_scoring_display(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    raw = (
+        F.when(k == 0, F.concat(F.lit("thumb|360px|A "), "p_name", F.lit(", 1928, The work is scored for 2 flutes, "), "p_size", F.lit(" trumpets\n==Form==\n9 horns")))
+        .when(k == 1, F.concat(F.lit("The ensemble consists of brass and strings, "), "p_name")).when(k == 2, F.concat(F.lit("It was written in "), "p_size", F.lit(" days")))
+        .otherwise("It calls for three cornets, oboe")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.scoring_display(raw).alias("text"))
+
+
+@query("m10_cut_at_prose", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'flute (note: 2), ' || p_size || ' trumpets' WHEN 1 THEN 'flute premiered by ' || p_size || ' trumpets' ELSE p_name END AS text FROM part")
+def m10_cut_at_prose(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("flute (note: 2), "), "p_size", F.lit(" trumpets Program notes by 3 cornets"))).when(k == 1, F.concat(F.lit("flute premiered by "), "p_size", F.lit(" trumpets"))).otherwise(F.concat("p_name", F.lit(" commissioned by X")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.cut_at_prose(raw).alias("text"))

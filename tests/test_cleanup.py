@@ -35,3 +35,17 @@ def test_article_years(spark):
 def test_tidy(spark):
     out = spark.range(1).select(cleanup.tidy(F.lit("a , ,b\n=== Band ===\nc\n==Music==\nd")).alias("x")).first()["x"]
     assert out == "a, b Band, c"
+
+
+def test_lead_in_and_captions():
+    from scorelake.functions.scoring import TRUMPETS, Grammar
+
+    g = Grammar(TRUMPETS)
+    lead = cleanup.without_lead_in
+    assert lead("The work calls for 2 flutes and 2 trumpets", g) == "2 flutes and 2 trumpets"
+    assert lead("It is for large orchestra and when the soprano sings. The instrumentation consists of: brass, strings", g) == "brass, strings"
+    assert lead("It was written in 1910 in Paris", g) is None and lead("2 trumpets", g) == "2 trumpets"
+    assert cleanup.without_captions("thumb|360px|x, 1928, 2 flutes, 1930s horn", g) == "2 flutes, 1930s horn"
+    assert cleanup.without_captions("a|b 2 trumpets, c", g) == "a|b 2 trumpets, c"
+    assert cleanup.before_prose("2 trumpets Commissioned by X", g) == "2 trumpets"
+    assert cleanup.before_prose("flutes commissioned for 2 trumpets", g) == "flutes commissioned for 2 trumpets"
