@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = written(digests(docs), "digests")
-    index.add(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    # Written first: pushed below the aggregate, the anti-join would send every row of a hot digest to one task.
+    index.add(written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups"))
     groups, n = index.table(), rows.count()
     hot = groups.where(F.col("group_size") * HOT_SHARE > F.lit(n)).where("group_size > 1000")
     common = rows.join(F.broadcast(hot), "digest")
