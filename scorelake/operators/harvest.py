@@ -62,3 +62,9 @@ def funnel(articles: DataFrame) -> DataFrame:
     """Articles by what became of them: articles (title, text, total) -> (outcome, n)."""
     outcome = F.when(F.col("text").isNull(), "no scoring").when(F.col("total") == 0, "no family").otherwise("kept")
     return articles.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def requested_titles(pages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """pages (title, ...) with `requested`: the title that was asked for, where aliases (asked, title) say it was normalised, else its own."""
+    known = aliases.select("title", F.col("asked").alias("_asked")).dropDuplicates(["title", "_asked"])
+    return pages.join(known, "title", "left").withColumn("requested", F.coalesce("_asked", "title")).drop("_asked")

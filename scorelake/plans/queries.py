@@ -861,3 +861,70 @@ def m10_cut_at_prose(spark, sf_dir):
     k = F.col("p_partkey") % 3
     raw = F.when(k == 0, F.concat(F.lit("flute (note: 2), "), "p_size", F.lit(" trumpets Program notes by 3 cornets"))).when(k == 1, F.concat(F.lit("flute premiered by "), "p_size", F.lit(" trumpets"))).otherwise(F.concat("p_name", F.lit(" commissioned by X")))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.cut_at_prose(raw).alias("text"))
+
+
+# ── the rest of the inventory ─────────────────────────────────────────────────
+
+
+@query("jn9_requested_titles", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'p ' || p_partkey ELSE 'P_' || p_partkey END AS requested FROM part")
+def jn9_requested_titles(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    title = F.concat(F.lit("P_"), "p_partkey").alias("title")
+    aliases = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("p "), "p_partkey").alias("asked"), title)
+    return harvest.requested_titles(part.select(F.col("p_partkey").alias("id"), title), aliases).select("id", "requested")
+
+
+@query(
+    "jn10_name_lookup",
+    """WITH c AS (SELECT c_custkey AS composer_id, 'maria kund' || c_custkey % 300 AS f, 'kund' || c_custkey % 300 AS l, c_custkey % 7 AS n FROM customer),
+    q AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'kund' || p_size WHEN 1 THEN 'maria kund' || p_size ELSE 'und' || p_size END AS q FROM part WHERE p_partkey % 50 = 0),
+    s AS (SELECT query_id, composer_id, f, CASE WHEN l = q THEN 100 WHEN f = q THEN 95 WHEN starts_with(l, q) THEN 80 WHEN starts_with(f, q) THEN 75 WHEN contains(' ' || f, ' ' || q) THEN 70
+      WHEN contains(l, q) THEN 40 WHEN contains(f, q) THEN 35 END + least(12, 2 * log2(n + 1)) AS x FROM c, q),
+    r AS (SELECT query_id, composer_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 6) DESC, f, composer_id) AS rank FROM s WHERE x IS NOT NULL)
+    SELECT query_id, composer_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""",
+)
+def jn10_name_lookup(spark, sf_dir):
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    composers = table(spark, sf_dir, "customer").select(c.alias("composer_id"), F.concat(F.lit("Maria Kund"), c % 300).alias("name"), F.concat(F.lit("Kund"), c % 300).alias("surname"), (c % 7).alias("n"))
+    text_ = F.concat(F.when(p % 3 == 0, "KUND").when(p % 3 == 1, "Maria Kund").otherwise("und"), "p_size")
+    return identity.name_lookup(composers, table(spark, sf_dir, "part").where(p % 50 == 0).select(p.alias("query_id"), text_.alias("text")))
+
+
+@query(
+    "jn12_alternate_titles",
+    """SELECT p_partkey AS id, p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 0) AND row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS kept FROM part""",
+)
+def jn12_alternate_titles(spark, sf_dir):
+    part, none = table(spark, sf_dir, "part"), F.lit(None).cast("string")
+    own = part.where("p_partkey % 97 = 0").select((-F.col("p_partkey") - 1).alias("id"), F.lit(0).alias("rank"), F.col("p_partkey").alias("ord"), F.lit("x").alias("c"), F.concat("p_name", F.lit(" version "), "p_partkey").alias("t"), none.alias("cat"), F.array("p_name").alias("also"))
+    library = part.select(F.col("p_partkey").alias("id"), F.lit(3).alias("rank"), F.col("p_partkey").alias("ord"), F.lit("x").alias("c"), F.col("p_name").alias("t"), none.alias("cat"))
+    ranked = dedupe.with_keys(own, "curated").drop("also").unionByName(dedupe.with_keys(library, "library"))
+    return dedupe.dedupe_works(ranked, [0, 3]).where("rank = 3").select("id", "kept")
+
+
+@query("srt5_listing_order", "SELECT s_suppkey FROM supplier ORDER BY CASE WHEN s_suppkey % 5 = 0 THEN 'zz' ELSE s_name END, s_suppkey LIMIT 5 OFFSET 5")
+def srt5_listing_order(spark, sf_dir):
+    sort = F.when(F.col("s_suppkey") % 5 != 0, text.fold(F.col("s_name")))
+    return search.page(table(spark, sf_dir, "supplier"), [F.coalesce(sort, F.lit("zz")), F.col("s_suppkey")], 1, 5).select("s_suppkey")
+
+
+@query(
+    "p10_doublings",
+    "SELECT o_orderkey AS ord, 'cornet' AS instrument, 'trumpet' AS parent, CASE o_orderkey % 3 WHEN 0 THEN '1st' WHEN 1 THEN '2nd and 3rd' ELSE '4th' END AS player FROM orders",
+)
+def p10_doublings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, "1st doubling cornet").when(k % 3 == 1, "2nd and third dbl. cornet").otherwise("4 also 2nd cornet")
+    texts = table(spark, sf_dir, "orders").select(k.alias("ord"), F.concat((k % 5 + 4).cast("string"), F.lit(" trumpets ("), said, F.lit("), harp")).alias("text"))
+    return scoring.parse_scoring(texts, "text").select("ord", F.explode("scoring.doublings").alias("x")).select("ord", "x.instrument", "x.parent", "x.player")
+
+
+@query("m11_caps", "SELECT conv_id, turn, sha256(CASE WHEN length(text) > 400 THEN substr(text, 1, 399) || '…' ELSE text END) AS shown FROM conversations")
+def m11_caps(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(markup.capped(F.col("text")), 256).alias("shown"))
+
+
+@query("d7_sequences", f"SELECT ord, lower(form) AS stem, n, CASE WHEN ord % 3 = 0 THEN 'op' END AS system FROM ({d.WORKS}) w")
+def d7_sequences(spark, sf_dir):
+    both = d.derive(spark, sf_dir, d.WORKS).select("ord", chronology.series_of(F.col("t")).alias("s"), chronology.catalogue_of(F.col("cat")).alias("k"))
+    return both.select("ord", "s.stem", F.col("s.n").alias("n"), F.col("k.stem").alias("system"))
