@@ -8,11 +8,13 @@ within that.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_partitions, written
 
 BITS = 64
 SEGMENTS = 4
@@ -32,8 +34,10 @@ def segment(code: Column, s: int, segments: int = SEGMENTS) -> Column:
     return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def at_radius(radius: int):
-    return lambda mask: F.bit_count(mask) == radius
+def masks(width: int, radius: int) -> Column:
+    """All numbers of `width` bits with `radius` of them set, as a constant array."""
+    every = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
+    return F.split(F.lit(",".join(map(str, every))), ",").cast("array<int>")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS) -> DataFrame:
@@ -59,10 +63,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SE
     apart = [F.bit_count(segment(F.col("query"), x, segments).bitwiseXOR(segment(F.col("code"), x, segments))) for x in range(segments)]
     values = F.array(*[segment(F.col("query"), s, segments) for s in range(segments)])
     for radius in range(width + 1):
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), at_radius(radius))
-        probes = open_.select("query", F.posexplode(values).alias("s", "own")).withColumn("mask", F.explode(masks))
+        # Dealt out before they multiply; and joined by shuffle, as the planner would take the probes for as few as the queries.
+        probes = open_.select("query", F.posexplode(values).alias("s", "own")).repartition(shuffle_partitions(open_.sparkSession), "query", "s")
+        probes = probes.withColumn("mask", F.explode(masks(width, radius)))
         probes = probes.select("query", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index, ["s", "value"])
+        found = probes.join(index.hint("shuffle_hash"), ["s", "value"])
         # A code turns up first in its nearest segment, the foremost of several; elsewhere it is left out.
         for x in range(segments):
             found = found.where(F.when(F.col("s") > x, apart[x] > radius).when(F.col("s") < x, apart[x] >= radius).otherwise(F.lit(True)))
