@@ -8,7 +8,7 @@ only near the ends of a stretch can they differ. Each symbol knows how far it lo
 borders depend. A symbol whose dependence fits into a window is the same wherever that window stands.
 
 Spark gathers the documents of each high-level symbol. A window that holds a symbol of one document only can't repeat
-elsewhere; windows left are candidates, and their 50 words are compared by a 128-bit hash across all documents. Exact
+elsewhere; windows left are candidates, and their 50 words are compared by a 96-bit hash across all documents. Exact
 copies of whole texts share their topmost symbol and are settled by it.
 """
 
@@ -106,7 +106,7 @@ def _roots(batches):
 
 
 def window_hashes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each window of a document's words."""
+    """A hash of 96 bits, in two numbers, of each window of a document's words."""
     out = []
     for seed, base in ((0, _ROLL), (1, _ROLL2)):
         word = mix64(name + np.uint64(seed))
@@ -114,11 +114,12 @@ def window_hashes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(word * powers(int(base), len(name)), out=total[1:])
         back = powers(pow(int(base), -1, 1 << 64), len(name))
         out.append(mix64((total[WINDOW:] - total[:-WINDOW]) * back[: len(name) - WINDOW + 1]).view(np.int64))
-    return out[0], out[1]
+    return out[0], out[1] & np.int64(0xFFFFFFFF)
 
 
 def _candidates(batches):
-    """(doc_id, place, h, h2) of every window of which all inner symbols are shared."""
+    """(doc_id, span, h, h2) of every window of which all inner symbols are shared. Equal windows in a row, as in a run of one
+    word, are one row; span is the first one's place times 2**32, plus their number."""
     import pyarrow as pa
 
     for batch in batches:
@@ -130,7 +131,7 @@ def _candidates(batches):
             fit = (high - low <= WINDOW) & (low >= 0)
             name, of, low, high = name[fit].view(np.int64), of[fit], low[fit], high[fit]
             edge = np.searchsorted(of, np.arange(part.num_rows + 1))
-            ids, places, hashes = [], [], []
+            ids, spans, hashes = [], [], []
             for k in range(part.num_rows):
                 n = first[k + 1] - first[k]
                 if whole[k] or n < WINDOW:
@@ -144,33 +145,34 @@ def _candidates(batches):
                 np.add.at(no, np.maximum(end, begin), -1)
                 place = np.flatnonzero(np.cumsum(no)[: n - WINDOW + 1] == 0)
                 if len(place):
-                    h, h2 = window_hashes(words[first[k] : first[k + 1]])
-                    ids.append(np.full(len(place), k))
-                    places.append(place)
-                    hashes.append((h[place], h2[place]))
+                    h, h2 = (x[place] for x in window_hashes(words[first[k] : first[k + 1]]))
+                    new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+                    ids.append(np.full(len(new), k))
+                    spans.append(place[new] << 32 | np.diff(np.r_[new, len(place)]))
+                    hashes.append((h[new], h2[new]))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate([a for a, _ in hashes])), pa.array(np.concatenate([b for _, b in hashes]))],
-                    ["doc_id", "place", "h", "h2"],
+                    [part.column("doc_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(spans)), pa.array(np.concatenate([a for a, _ in hashes])), pa.array(np.concatenate([b for _, b in hashes]))],
+                    ["doc_id", "span", "h", "h2"],
                 )
 
 
 def _cut(batches):
-    """The documents without the words of the windows that begin at `places` (all words if `whole`)."""
+    """The documents without the words of the windows in `spans` (all words if `whole`)."""
     import pyarrow as pa
 
     for batch in batches:
         for part, data, at in text_chunks(batch):
             data, starts, ends, first = split_words(data, at)
-            places, whole = part.column("places"), part.column("whole").to_pylist()
+            spans, whole = part.column("spans"), part.column("whole").to_pylist()
             n_removed, kept = [], []
             for k in range(part.num_rows):
                 n, a = int(first[k + 1] - first[k]), int(first[k])
                 gone = np.full(n, bool(whole[k]))
-                if not whole[k] and places[k].is_valid:
-                    edge, p = np.zeros(n + 1, dtype=np.int64), np.array(places[k].as_py())
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + WINDOW, -1)
+                if not whole[k] and spans[k].is_valid:
+                    edge, span = np.zeros(n + 1, dtype=np.int64), np.array(spans[k].as_py())
+                    np.add.at(edge, span >> 32, 1)
+                    np.add.at(edge, (span >> 32) + (span & 0xFFFFFFFF) - 1 + WINDOW, -1)
                     gone = np.cumsum(edge)[:n] > 0
                 if gone.all():
                     text = b""
@@ -206,9 +208,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     marks = written(shared.join(copies, "doc_id", "full_outer").select("doc_id", F.when(F.col("whole").isNull(), F.col("shared")).alias("shared"), F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
 
     text = rows.repartition("doc_id")
-    windows = text.join(marks, "doc_id", "left").where("doc_id is not null").mapInArrow(_candidates, "doc_id long, place int, h long, h2 long")
-    least = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeats = windows.join(least.select("h", "h2", "least"), ["h", "h2"]).where("doc_id > least")
-    places = repeats.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    gone = places.withColumn("whole", F.lit(False)).unionByName(marks.where("whole").select("doc_id", F.lit(None).cast("array<int>").alias("places"), "whole"))
+    windows = text.join(marks, "doc_id", "left").where("doc_id is not null").mapInArrow(_candidates, "doc_id long, span long, h long, h2 long")
+    least = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("least"))
+    repeats = windows.join(least, ["h", "h2"]).where("doc_id > least")
+    spans = repeats.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    gone = spans.withColumn("whole", F.lit(False)).unionByName(marks.where("whole").select("doc_id", F.lit(None).cast("array<long>").alias("spans"), "whole"))
     return text.join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
