@@ -2,12 +2,13 @@
 
 Codes of 64 bits are cut into segments, and each segment of each distinct code is indexed. A query probes the values
 within radius 0, 1, ... of its own in each of the m segments. Once radius r is done, every code within m * (r + 1) - 1 bits
-has turned up, since one that has not differs by more than r in each segment. A query ends when its k-th distance is
-within that.
+has turned up, since one that has not differs by more than r in each segment; once the first j segments are done to
+radius r and the others to r - 1, every code within m * r + j - 1 bits has. A query ends when its k-th distance is within that.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ BITS = 64
 SEGMENTS = 4
 K = 10
 QUERY_STEP = 100
+#: More probes of a segment than this are made segment by segment.
+WIDE = 600
 
 
 def sign_code(embedding: Column) -> Column:
@@ -57,27 +60,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SE
     index = written(index, "segments")
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).where("query_id is not null and query is not null").distinct()
     asked = written(asked, "queries")
-    open_ = asked.select("query").distinct()
+    open_ = asked.select("query").distinct().withColumn("bound", F.lit(BITS))
     best = None
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
     apart = [F.bit_count(segment(F.col("query"), x, segments).bitwiseXOR(segment(F.col("code"), x, segments))) for x in range(segments)]
     values = F.array(*[segment(F.col("query"), s, segments) for s in range(segments)])
     for radius in range(width + 1):
-        # Dealt out before they multiply; and joined by shuffle, as the planner would take the probes for as few as the queries.
-        probes = open_.select("query", F.posexplode(values).alias("s", "own")).repartition(shuffle_partitions(open_.sparkSession), "query", "s")
-        probes = probes.withColumn("mask", F.explode(masks(width, radius)))
-        probes = probes.select("query", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index.hint("shuffle_hash"), ["s", "value"])
-        # A code turns up first in its nearest segment, the foremost of several; elsewhere it is left out.
-        for x in range(segments):
-            found = found.where(F.when(F.col("s") > x, apart[x] > radius).when(F.col("s") < x, apart[x] >= radius).otherwise(F.lit(True)))
-        found = found.select("query", "code", distance.alias("distance"))
-        best = _nearest_codes(found if best is None else best.unionByName(found), kinds, k)
-        covered = segments * (radius + 1) - 1
-        done = best.join(kinds, "code").where(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k)
-        open_ = written(open_.join(done, "query", "left_anti"), "open")
-        if not open_.count():
-            break
+        # Small radii take all segments at once. Large ones, which probe thousands of values, go on segment by segment and stop between.
+        steps = [list(range(segments))] if math.comb(width, radius) <= WIDE else [[s] for s in range(segments)]
+        for step in steps:
+            # Dealt out before they multiply; and joined by shuffle, as the planner would take the probes for as few as the queries.
+            probes = open_.select("query", "bound", F.posexplode(values).alias("s", "own")).where(F.col("s").isin(step))
+            probes = probes.repartition(shuffle_partitions(open_.sparkSession), "query", "s").withColumn("mask", F.explode(masks(width, radius)))
+            probes = probes.select("query", "bound", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+            # Only codes as near as the k-th so far can change a result.
+            found = probes.join(index.hint("shuffle_hash"), ["s", "value"]).where(distance <= F.col("bound"))
+            # A code turns up first in its nearest segment, the foremost of several; elsewhere it is left out.
+            for x in range(segments):
+                found = found.where(F.when(F.col("s") > x, apart[x] > radius).when(F.col("s") < x, apart[x] >= radius).otherwise(F.lit(True)))
+            found = found.select("query", "code", distance.alias("distance"))
+            best = _nearest_codes(found if best is None else best.unionByName(found), kinds, k)
+            covered = segments * radius + step[-1]
+            state = best.join(kinds, "code").groupBy("query").agg(
+                F.sum(F.size("ids")).alias("n"), F.max("distance").alias("far"), F.sum(F.when(F.col("distance") <= covered, F.size("ids")).otherwise(0)).alias("near")
+            )
+            left = open_.select("query").join(state, "query", "left").where(F.coalesce("near", F.lit(0)) <= k)
+            open_ = written(left.select("query", F.when(F.col("n") > k, F.col("far")).otherwise(BITS).alias("bound")), "open")
+            if not open_.count():
+                return _ranked(asked, best, kinds, k)
     return _ranked(asked, best, kinds, k)
 
 
