@@ -20,7 +20,7 @@ from .labelled import sample
 
 #: Labelled documents to learn from at most.
 SAMPLE = 4096
-TERMS = 2048
+TERMS = 1024
 REPEATS = 4
 DIMENSIONS = 48
 NEIGHBOURS = 32
@@ -36,7 +36,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     begin = np.r_[starts, len(data)][first]
     x = data.astype(np.uint32)
     code = x[:-2] + x[1:-1] * np.uint32(257) + x[2:] * np.uint32(66049) if len(x) > 2 else x[:0]
-    code = (code * np.uint32(2654435761)) >> np.uint32(21)
+    code = (code * np.uint32(2654435761)) >> np.uint32(22)
     doc = np.repeat(np.arange(n), np.diff(begin))[: len(code)]
     out = np.zeros((n, TERMS + REPEATS), dtype=np.float32)
     out[:, :TERMS] = np.bincount(doc * TERMS + code, minlength=n * TERMS).reshape(n, TERMS)
@@ -96,9 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """Learns from at most `most` labelled documents that aren't held out."""
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, label, most).mapInArrow(_featured, "y int, x binary").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["x"])))
+    rows.sort(key=lambda r: (r["y"], r["x"]))
+    y = np.array([r["y"] for r in rows], dtype=np.float32)
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(-1, TERMS + REPEATS)
-    return Voters.fit(x, np.array([r["y"] for r in rows], dtype=np.float32))
+    del rows
+    return Voters.fit(x, y)
 
 
 def _scored(model):
