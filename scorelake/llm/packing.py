@@ -15,8 +15,6 @@ from .common import small_batches, written
 CAPACITY = 2048
 #: Pieces packed together in one task, by shards of a hash; each shard leaves one sequence partly filled.
 SHARD_PIECES = 16384
-#: Fillings looked at for one sequence before the best so far is taken. It bounds effort, not what is packed.
-NODES = 2000
 #: Where both tokenizer libraries give the same ids for the same vocabulary: printable ASCII, tab, line feed and Latin letters.
 PLAIN = r"[\t\n\x20-\x7EÀ-ÖØ-öø-ž]*"
 
@@ -85,11 +83,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
 
 
 def completion(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
-    """The best filling of `room` from the multiset `count` (`sizes`: its sizes in order): least waste, then fewest items.
+    """The best filling of `room` from the multiset `count` (`sizes`: its sizes in order): least waste, then the largest items first.
 
-    The incumbent is best fit (the largest that fits, again and again). Fillings are enumerated with the largest
-    first; one that a single larger size would replace with no more waste is dominated, and a branch is cut when even
-    a perfect end could not beat the incumbent.
+    The incumbent is best fit (the largest that fits, again and again). If it leaves waste, fillings are enumerated by
+    size and number, the largest size and most items first. The bound is exact: for each size, the set of sums that
+    smaller sizes can reach, as the bits of an integer. A branch that can't end in the least waste is cut at once, so
+    the search never turns back and needs no limit.
     """
     best: list[int] = []
     left, waste = {}, room
@@ -104,35 +103,25 @@ def completion(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
         waste -= x
     if not waste or not best:
         return best
-    nodes = 0
-    chosen: list[int] = []
-
-    def grow(space: int, limit: int) -> bool:
-        """Extends `chosen` by sizes up to `limit`; True ends the search."""
-        nonlocal best, waste, nodes
-        nodes += 1
-        i = bisect_right(sizes, min(space, limit))
-        single = next((x for x in reversed(sizes[max(0, i - 4) : i]) if count[x] > chosen.count(x)), None)
-        if single is not None and space - single < waste:
-            best, waste = [*chosen, single], space - single
-            if not waste:
-                return True
-        for k in range(i - 1, -1, -1):
-            x = sizes[k]
-            if nodes > NODES:
-                return True
-            if space - x <= 0 or count[x] <= chosen.count(x):
-                continue
-            if space - x < sizes[0] and space - x >= waste:
-                continue
-            chosen.append(x)
-            ended = grow(space - x, x)
-            chosen.pop()
-            if ended:
-                return True
-        return False
-
-    grow(room, room)
+    fitting = sizes[: bisect_right(sizes, room)]
+    reach, every = [1], (1 << (room + 1)) - 1
+    for x in fitting:
+        sums, rest, some = reach[-1], min(count[x], room // x), 1
+        while rest:
+            some = min(some, rest)
+            sums |= sums << (some * x) & every
+            rest, some = rest - some, 2 * some
+        reach.append(sums)
+    space = reach[-1].bit_length() - 1
+    if room - space >= waste:
+        return best
+    best = []
+    for x, sums in zip(reversed(fitting), reversed(reach[:-1]), strict=True):
+        n = min(count[x], space // x)
+        while not sums >> (space - n * x) & 1:
+            n -= 1
+        best += [x] * n
+        space -= n * x
     return best
 
 

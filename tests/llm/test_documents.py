@@ -11,7 +11,7 @@ import xxhash
 
 from scorelake.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from scorelake.llm.mixing import mix
-from scorelake.llm.packing import complete_bins, encoder, pack
+from scorelake.llm.packing import complete_bins, completion, encoder, pack
 from scorelake.llm.queries import VOCABULARY
 from scorelake.llm.simhash import near_dedup
 from scorelake.llm.substring import substring_dedup
@@ -230,3 +230,21 @@ def test_equal_stretches_have_equal_symbols_inside():
 def test_empty_tables(empty):
     for out in (exact_dedup(empty), near_dedup(empty), mix(empty), pack(empty, VOCABULARY), substring_dedup(empty)):
         assert out.count() == 0
+
+
+def test_bin_completion_holds_thousands_of_short_pieces():
+    for lengths in ([2] * 4000 + [3], [2] * 3000 + [3] * 3 + [2047]):
+        sequence, offset = complete_bins(np.array(lengths), 2048)
+        assert len(set(sequence)) == -(-sum(lengths) // 2048)
+        assert len(set(zip(sequence, offset))) == len(lengths)
+
+
+def test_completion_leaves_the_least_waste():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        count = Counter(rng.integers(1, 60, rng.integers(1, 40)).tolist())
+        room, sums = int(rng.integers(1, 200)), {0}
+        for x in count.elements():
+            sums |= {s + x for s in sums if s + x <= room}
+        got = completion(sorted(count), count, room)
+        assert sum(got) == max(sums) and not Counter(got) - count
