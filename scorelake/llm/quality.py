@@ -20,7 +20,7 @@ from .labelled import sample
 
 #: Labelled documents to learn from at most.
 SAMPLE = 4096
-TERMS = 1024
+TERMS = 2048
 REPEATS = 4
 DIMENSIONS = 48
 NEIGHBOURS = 32
@@ -36,7 +36,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     begin = np.r_[starts, len(data)][first]
     x = data.astype(np.uint32)
     code = x[:-2] + x[1:-1] * np.uint32(257) + x[2:] * np.uint32(66049) if len(x) > 2 else x[:0]
-    code = (code * np.uint32(2654435761)) >> np.uint32(22)
+    code = (code * np.uint32(2654435761)) >> np.uint32(21)
     doc = np.repeat(np.arange(n), np.diff(begin))[: len(code)]
     out = np.zeros((n, TERMS + REPEATS), dtype=np.float32)
     out[:, :TERMS] = np.bincount(doc * TERMS + code, minlength=n * TERMS).reshape(n, TERMS)
@@ -83,24 +83,30 @@ class Voters:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
-def _featured(batches):
+def _fitted(batches):
+    """One pickled model of all rows of a task."""
     import pyarrow as pa
 
+    y, x = [], []
     for batch in batches:
         for part, data, at in text_chunks(batch):
-            rows = [x.tobytes() for x in features(data, at)]
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.binary())], ["y", "x"])
+            y.append(part.column("y").to_numpy(zero_copy_only=False))
+            x.append(features(data, at))
+    model = _model(np.concatenate(y), np.concatenate(x)) if y else _model(np.zeros(0), np.zeros((0, TERMS + REPEATS), dtype=np.float32))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def _model(y: np.ndarray, x: np.ndarray) -> Voters:
+    """The model of the rows in an order of their own, so that it doesn't depend on how they arrive."""
+    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))
+    return Voters.fit(x[order], y[order].astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Voters:
-    """Learns from at most `most` labelled documents that aren't held out."""
+    """Learns from at most `most` labelled documents that aren't held out, in one task; only the model comes to the driver."""
     small_batches(docs.sparkSession)
-    rows = sample(docs, labels, label, most).mapInArrow(_featured, "y int, x binary").collect()
-    rows.sort(key=lambda r: (r["y"], r["x"]))
-    y = np.array([r["y"] for r in rows], dtype=np.float32)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(-1, TERMS + REPEATS)
-    del rows
-    return Voters.fit(x, y)
+    found = sample(docs, labels, label, most).coalesce(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else _model(np.zeros(0), np.zeros((0, TERMS + REPEATS), dtype=np.float32))
 
 
 def _scored(model):

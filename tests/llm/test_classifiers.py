@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from scorelake.llm.quality import quality
+from scorelake.llm.quality import features, fit, quality
 from scorelake.llm.toxicity import FILTERS, Network, balanced_threshold, calibrate, toxicity
 
 
@@ -65,3 +65,18 @@ def test_maxima_stay_inside_documents():
 def test_thresholds():
     assert balanced_threshold(np.array([0.1, 0.2, 0.3, 0.8, 0.9]), np.array([0, 0, 0, 1, 1])) == pytest.approx(0.55)
     assert calibrate(np.array([0.0, 0.2, 0.6, 1.0]), 0.2).tolist() == pytest.approx([0, 0.5, 0.75, 1])
+
+
+def test_trigrams_are_told_apart_by_2048_terms():
+    data = np.frombuffer(b"".join(bytes([a, b, 99, 32]) for a in range(97, 123) for b in range(97, 123)), dtype=np.uint8)
+    x = features(data, np.arange(0, len(data) + 1, 4))
+    assert (x[:, :-4].sum(axis=0) > 0).sum() > 1024
+
+
+def test_only_the_model_comes_to_the_driver(docs, labels, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(out := collect(self)) or out)
+    voters = fit(docs, labels)
+    assert len(voters.vectors) > 1000 and [len(rows) for rows in seen] == [1]
