@@ -39,6 +39,29 @@ def test_line_dedup(spark, odd):
     assert line_dedup(docs).columns == ["doc_id", "text", "digest", "line_dedup"]
 
 
+def test_line_dedup_judges_whole_runs(spark):
+    import random
+
+    r = random.Random(6)
+    base = [f"line {i} of some text here" for i in range(9)]
+    texts = ["a\nb\nc d e f\nq", "z\na\nb\nc d e f", "\n".join(base[:7]), "x\n" + "\n".join(base[:7]) + "\ny", "m n\no\np q\n1", "2\nm n\no\np q", None, "", "s\n" * 9]
+    texts += ["\n".join(r.choice(("a", "b b", "c", "d d d")) for _ in range(r.randint(1, 30))) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(2, texts[2]), (3, texts[3])]
+    split = [[] if t is None else t.split("\n") for t in texts]
+    first, gone, longest = {}, defaultdict(set), Counter()
+    for d, lines in enumerate(split):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if first.setdefault(run, (d, i)) != (d, i) and sum(len(WORD.findall(x)) for x in run) >= 5:
+                    gone[d].update(range(i, j))
+                    longest[d] = max(longest[d], j - i)
+    whole = [(d, None if texts[d] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone[d]), len(lines), len(gone[d]), longest[d]) for d, lines in enumerate(split)]
+    out = Counter((x["doc_id"], x["text"], *x["line_dedup"]) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == Counter(whole + [whole[2], whole[3]])
+    assert whole[1][1:] == ("z", 4, 3, 3) and whole[3][4] == 7 and whole[5][3:] == (3, 3)
+
+
 def test_license_scan(spark, odd):
     def words(t):
         return re.sub(r"[\W_]+", " ", t.lower()).split()
