@@ -15,9 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +33,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that none of `columns` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with more than this share of all rows is hot. At most HOT_SHARE keys can be, which bounds what is broadcast.
+HOT_SHARE = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "merge") -> DataFrame:
+    """rows joined with groups, which has one row for each key and in `size` the number of `rows` with it, `total` being the number of all.
+
+    Hot keys are joined by broadcast, so that no task gets all rows of one; the others by shuffle. `rows` is read twice.
+    """
+    hot = groups.where((F.col(size) * HOT_SHARE > total) & (F.col(size) > 1000))
+    rare = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.hint(how), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rare)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -81,29 +115,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_LENGTH, _HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by prefix sums of a polynomial."""
-    table = mix64(np.arange(1, 257, dtype=np.uint64) + np.uint64((seed * 1000003) & 0xFFFFFFFF))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix64((total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span: of up to 16 bytes two scrambled numbers, of more their XXH64. Seeds give independent hashes."""
+    from xxhash import xxh64_intdigest
+
+    padded = np.zeros(len(data) + 16, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    low = eight[starts] & _MASKS[np.minimum(size, 8)]
+    salt = mix64(np.array([seed + 1], dtype=np.uint64))[0]
+    out = mix64((low ^ salt) + size.astype(np.uint64) * _LENGTH)
+    longer = np.flatnonzero(size > 8)
+    high = eight[starts[longer] + 8] & _MASKS[np.minimum(size[longer] - 8, 8)]
+    out[longer] = mix64(out[longer] * _HIGH + mix64(high + salt))
+    longest = np.flatnonzero(size > 16)
+    if len(longest):
+        raw = data.tobytes()
+        out[longest] = np.array([xxh64_intdigest(raw[a:b], seed) for a, b in zip(starts[longest].tolist(), ends[longest].tolist(), strict=True)], dtype=np.uint64)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits beside others in an executor."""
+    """Bounds the rows of the session's Arrow batches, so that a batch of long texts fits beside others in an executor."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
