@@ -38,8 +38,10 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     code = x[:-2] + x[1:-1] * np.uint32(257) + x[2:] * np.uint32(66049) if len(x) > 2 else x[:0]
     code = (code * np.uint32(2654435761)) >> np.uint32(21)
     doc = np.repeat(np.arange(n), np.diff(begin))[: len(code)]
+    # A trigram that reaches into the next document is nobody's.
+    inside = np.arange(2, len(code) + 2) < begin[doc + 1]
     out = np.zeros((n, TERMS + REPEATS), dtype=np.float32)
-    out[:, :TERMS] = np.bincount(doc * TERMS + code, minlength=n * TERMS).reshape(n, TERMS)
+    out[:, :TERMS] = np.bincount(doc[inside] * TERMS + code[inside], minlength=n * TERMS).reshape(n, TERMS)
     out[:, :TERMS] /= np.maximum(out[:, :TERMS].sum(axis=1, keepdims=True), 1)
     word = word_hashes(data, starts, ends)
     of = np.repeat(np.arange(n), np.diff(first))
@@ -55,7 +57,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Voters:
-    rarity: np.ndarray
     basis: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -65,22 +66,24 @@ class Voters:
         """x: features of the labelled sample, y: their labels."""
         rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
         _, vectors = np.linalg.eigh(((x * rarity).T @ (x * rarity)).astype(np.float64))
-        basis = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-        return cls(rarity, basis, _unit(x * rarity @ basis), y.astype(np.float32))
+        basis = rarity[:, None] * vectors[:, ::-1][:, :DIMENSIONS]
+        return cls(basis, _unit(x @ basis), y.astype(np.float64))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """The mean label of the nearest, weighed by exp(sharpness * (cosine - nearest cosine)) and by how rare a label is in the sample."""
+        """The mean label of the nearest, weighed by exp(sharpness * (cosine - nearest cosine)); all that are as near as the last of the nearest vote.
+
+        Cosines are rounded to nine digits, below which they depend on the other documents of a block.
+        """
         if not len(self.labels):
             return np.full(len(x), 0.5)
-        latent, k = _unit(x * self.rarity @ self.basis), min(NEIGHBOURS, len(self.labels))
-        out = []
-        for i in range(0, len(latent), BLOCK):
-            cosine = latent[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            c = np.take_along_axis(cosine, near, axis=1)
-            weight = np.exp(SHARPNESS * (c - c.max(axis=1, keepdims=True)))
-            out.append((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1))
-        return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+        k, out = min(NEIGHBOURS, len(self.labels)), []
+        for i in range(0, len(x), BLOCK):
+            cosine = np.round(_unit(x[i : i + BLOCK] @ self.basis) @ self.vectors.T, 9)
+            last = np.partition(cosine, -k, axis=1)[:, -k]
+            doc, voter = np.nonzero(cosine >= last[:, None])
+            weight = np.exp(SHARPNESS * (cosine[doc, voter] - cosine.max(axis=1)[doc]))
+            out.append(np.bincount(doc, weight * self.labels[voter]) / np.bincount(doc, weight))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def _fitted(batches):
