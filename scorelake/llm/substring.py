@@ -8,8 +8,10 @@ only near the ends of a stretch can they differ. Each symbol knows how far it lo
 borders depend. A symbol whose dependence fits into a window is the same wherever that window stands.
 
 Spark gathers the documents of each high-level symbol. A window that holds a symbol of one document only can't repeat
-elsewhere; windows left are candidates, and their 50 words are compared by a 96-bit hash across all documents. Exact
-copies of whole texts share their topmost symbol and are settled by it.
+elsewhere; windows left are candidates. They are verified across all documents by 128 bits of their 50 words: two
+hashes, each built from a naming of its own of the words' bytes, by scrambled pairs of halves and not by a polynomial,
+so that no pattern of words or letters makes different windows meet. Exact copies of whole texts are found by a digest
+of their words before that; only the eldest copy's windows are compared, as they are first wherever the others' are.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, small_batches, split_words, text_chunks, word_hashes, written
+from .common import discard, join_groups, mix64, small_batches, split_words, text_chunks, word_hashes, written
 
 WINDOW = 50
 #: r: a round that names runs; p: a round that names pairs. After these a symbol spans eight words, and nearly all depend on less than a window.
 ROUNDS = "rppppppp"
 FAR = 1 << 40
-_RUN, _PAIR, _ROLL, _ROLL2 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_RUN, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_HALVES = (np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 
 
 def recompress(name: np.ndarray, doc: np.ndarray, rounds: str = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,31 +72,51 @@ def recompress(name: np.ndarray, doc: np.ndarray, rounds: str = ROUNDS) -> tuple
     return name, doc, low, high
 
 
-def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(data, starts, ends), np.repeat(np.arange(len(first) - 1), np.diff(first))
+def window_hash(name: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """A hash of each window's words, put together from blocks of 1, 2, 4, ... words."""
+    n, out, at, level, step = len(name) - WINDOW + 1, None, 0, name, 1
+    while True:
+        if WINDOW & step:
+            part = level[at : at + n]
+            out = part if out is None else mix64(out * odd + part)
+            at += step
+        if 2 * step > WINDOW:
+            return out.view(np.int64)
+        level = mix64(level[:-step] * odd + level[step:])
+        step *= 2
 
 
-def _root(name: np.ndarray) -> int:
-    """The topmost symbol of a whole text: a name for its sequence of words, as a signed number."""
-    return int(np.frombuffer(hashlib.blake2b(name.tobytes(), digest_size=8).digest(), dtype=np.int64)[0])
-
-
-def _symbols(batches):
-    """(doc_id, name) of every high-level symbol that can lie inside a window."""
+def _packed(batches):
+    """The texts compressed, so that they take less room when dealt out."""
     import pyarrow as pa
+    import zstandard
 
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for part, data, at in text_chunks(batch):
-            data, starts, ends, first = split_words(data, at)
-            name, doc, low, high = recompress(*_names(data, starts, ends, first))
-            fit = (high - low <= WINDOW) & (low >= 0)
-            pairs = np.unique(np.stack([doc[fit], name[fit].view(np.int64)]), axis=1)
-            ids = part.column("doc_id").take(pa.array(pairs[0]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[1])], ["doc_id", "name"])
+        texts = batch.column("text")
+        packed = pa.array([pack(texts[i].as_buffer()) if texts[i].is_valid else None for i in range(len(texts))], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", packed)
+
 
+def _unpacked(batches, size: int = 1 << 22):
+    """The batches with their texts back, in slices of about `size` bytes."""
+    import pyarrow as pa
+    import zstandard
 
-def _roots(batches):
-    """(doc_id, root, root2, n_words) of every document."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts, out, total, begin = batch.column("text"), [], 0, 0
+        for i in range(len(texts)):
+            out.append(unpack(texts[i].as_buffer()) if texts[i].is_valid else None)
+            total += len(out[-1] or b"")
+            if total >= size or i + 1 == len(texts):
+                part = batch.slice(begin, len(out))
+                yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(out, pa.binary()).cast(pa.large_string()))
+                out, total, begin = [], 0, i + 1
+
+
+def _facts(batches):
+    """Of every document a digest of its words, their number, and its high-level symbols that can lie inside a window, each once."""
     import pyarrow as pa
 
     for batch in batches:
@@ -101,43 +124,37 @@ def _roots(batches):
             data, starts, ends, first = split_words(data, at)
             raw, size = data.tobytes(), np.diff(first)
             digests = [hashlib.blake2b(raw[starts[i] : ends[j - 1]] if j > i else b"", digest_size=16).digest() for i, j in zip(first[:-1], first[1:], strict=True)]
-            both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(size)], ["doc_id", "root", "root2", "n_words"])
-
-
-def window_hashes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of 96 bits, in two numbers, of each window of a document's words."""
-    out = []
-    for seed, base in ((0, _ROLL), (1, _ROLL2)):
-        word = mix64(name + np.uint64(seed))
-        total = np.zeros(len(name) + 1, dtype=np.uint64)
-        np.cumsum(word * powers(int(base), len(name)), out=total[1:])
-        back = powers(pow(int(base), -1, 1 << 64), len(name))
-        out.append(mix64((total[WINDOW:] - total[:-WINDOW]) * back[: len(name) - WINDOW + 1]).view(np.int64))
-    return out[0], out[1] & np.int64(0xFFFFFFFF)
+            root = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            name, doc, low, high = recompress(word_hashes(data, starts, ends), np.repeat(np.arange(len(size)), size))
+            fit = (high - low <= WINDOW) & (low >= 0) & (size[doc] >= WINDOW)
+            pairs = np.unique(np.stack([doc[fit], name[fit].view(np.int64)]), axis=1)
+            names = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(len(size) + 1)), pa.int32()), pa.array(pairs[1]))
+            columns = [part.column("doc_id"), part.column("th"), pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(size.astype(np.int64)), names]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "root", "root2", "n_words", "names"])
 
 
 def _candidates(batches):
-    """(doc_id, span, h, h2) of every window of which all inner symbols are shared. Equal windows in a row, as in a run of one
+    """(doc_id, th, span, h, h2) of every window of which all inner symbols are shared. Equal windows in a row, as in a run of one
     word, are one row; span is the first one's place times 2**32, plus their number."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _unpacked(batches):
         for part, data, at in text_chunks(batch):
             data, starts, ends, first = split_words(data, at)
-            words, doc = _names(data, starts, ends, first)
-            name, of, low, high = recompress(words, doc)
-            shared, whole = part.column("shared").to_pylist(), part.column("whole").to_pylist()
+            words = word_hashes(data, starts, ends)
+            name, of, low, high = recompress(words, np.repeat(np.arange(part.num_rows), np.diff(first)))
+            shared, whole = part.column("shared"), part.column("whole")
             fit = (high - low <= WINDOW) & (low >= 0)
             name, of, low, high = name[fit].view(np.int64), of[fit], low[fit], high[fit]
             edge = np.searchsorted(of, np.arange(part.num_rows + 1))
-            ids, spans, hashes = [], [], []
+            docs, spans, hashes = [], [], []
             for k in range(part.num_rows):
                 n = first[k + 1] - first[k]
-                if whole[k] or n < WINDOW:
+                if whole[k].as_py() or n < WINDOW:
                     continue
                 mine = slice(edge[k], edge[k + 1])
-                alone = ~np.isin(name[mine], np.array(shared[k] or [], dtype=np.int64))
+                known = np.array(shared[k].values) if shared[k].is_valid else np.zeros(0, dtype=np.int64)
+                alone = ~np.isin(name[mine], known)
                 no = np.zeros(n + 2, dtype=np.int64)
                 begin = np.clip(high[mine][alone] - WINDOW - first[k], 0, n)
                 end = np.clip(low[mine][alone] + 1 - first[k], 0, n)
@@ -145,23 +162,24 @@ def _candidates(batches):
                 np.add.at(no, np.maximum(end, begin), -1)
                 place = np.flatnonzero(np.cumsum(no)[: n - WINDOW + 1] == 0)
                 if len(place):
-                    h, h2 = (x[place] for x in window_hashes(words[first[k] : first[k + 1]]))
+                    own, begin = slice(first[k], first[k + 1]), starts[first[k]]
+                    second = word_hashes(data[begin : ends[first[k + 1] - 1]], starts[own] - begin, ends[own] - begin, 1)
+                    h, h2 = window_hash(words[own], _HALVES[0])[place], window_hash(second, _HALVES[1])[place]
                     new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
-                    ids.append(np.full(len(new), k))
+                    docs.append(np.full(len(new), k))
                     spans.append(place[new] << 32 | np.diff(np.r_[new, len(place)]))
                     hashes.append((h[new], h2[new]))
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(spans)), pa.array(np.concatenate([a for a, _ in hashes])), pa.array(np.concatenate([b for _, b in hashes]))],
-                    ["doc_id", "span", "h", "h2"],
-                )
+            if docs:
+                at = pa.array(np.concatenate(docs))
+                columns = [part.column("doc_id").take(at), part.column("th").take(at), pa.array(np.concatenate(spans))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate(x)) for x in zip(*hashes, strict=True))], ["doc_id", "th", "span", "h", "h2"])
 
 
 def _cut(batches):
     """The documents without the words of the windows in `spans` (all words if `whole`)."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _unpacked(batches):
         for part, data, at in text_chunks(batch):
             data, starts, ends, first = split_words(data, at)
             spans, whole = part.column("spans"), part.column("whole").to_pylist()
@@ -170,7 +188,7 @@ def _cut(batches):
                 n, a = int(first[k + 1] - first[k]), int(first[k])
                 gone = np.full(n, bool(whole[k]))
                 if not whole[k] and spans[k].is_valid:
-                    edge, span = np.zeros(n + 1, dtype=np.int64), np.array(spans[k].as_py())
+                    edge, span = np.zeros(n + 1, dtype=np.int64), np.array(spans[k].values)
                     np.add.at(edge, span >> 32, 1)
                     np.add.at(edge, (span >> 32) + (span & 0xFFFFFFFF) - 1 + WINDOW, -1)
                     gone = np.cumsum(edge)[:n] > 0
@@ -192,25 +210,35 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 50 words that covers it also begins in a document with a smaller doc_id. Windows are
     judged on the input. Null and empty texts have no words. Texts under 50 words lose nothing. Repeated rows of one
-    doc_id are one document standing twice, and don't count against each other. A row with a null doc_id is before
-    or behind no other: it loses nothing and takes nothing. An empty table gives no rows.
+    doc_id don't count against each other; with different texts they are documents of their own with one rank, told apart
+    by a hash. A row with a null doc_id is before or behind no other: it loses nothing and takes nothing. An empty table
+    gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    roots = written(rows.mapInArrow(_roots, "doc_id long, root long, root2 long, n_words long"), "roots").where("doc_id is not null")
-    long_ = roots.where(F.col("n_words") >= WINDOW)
-    eldest = long_.groupBy("root", "root2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = long_.join(eldest, ["root", "root2"]).where("doc_id > least").select("doc_id").distinct().withColumn("whole", F.lit(True))
-
-    symbols = rows.where("doc_id is not null").mapInArrow(_symbols, "doc_id long, name long")
-    common = symbols.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
-    shared = symbols.join(common, "name").groupBy("doc_id").agg(F.collect_set("name").alias("shared"))
-    marks = written(shared.join(copies, "doc_id", "full_outer").select("doc_id", F.when(F.col("whole").isNull(), F.col("shared")).alias("shared"), F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
-
-    text = rows.repartition("doc_id")
-    windows = text.join(marks, "doc_id", "left").where("doc_id is not null").mapInArrow(_candidates, "doc_id long, span long, h long, h2 long")
-    least = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("least"))
-    repeats = windows.join(least, ["h", "h2"]).where("doc_id > least")
-    spans = repeats.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    gone = spans.withColumn("whole", F.lit(False)).unionByName(marks.where("whole").select("doc_id", F.lit(None).cast("array<long>").alias("spans"), "whole"))
-    return text.join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.hash(docs["text"]).alias("th"), docs["text"].alias("text"))
+    known = rows.where("doc_id is not null")
+    facts = written(known.mapInArrow(_facts, "doc_id long, th int, root long, root2 long, n_words long, names array<long>"), "facts")
+    long_ = facts.where(F.col("n_words") >= WINDOW).select("doc_id", "th", "root", "root2")
+    eldest = written(long_.groupBy("root", "root2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "eldest")
+    copies = join_groups(long_, eldest, ["root", "root2"], "n", facts.count()).where("doc_id > least").select("doc_id", "th").distinct()
+
+    symbols = facts.select("doc_id", "th", F.explode("names").alias("name"))
+    common = symbols.groupBy("name").agg(F.min(F.struct("doc_id", "th")).alias("a"), F.max(F.struct("doc_id", "th")).alias("b")).where("a < b").select("name")
+    shared = symbols.join(common, "name").groupBy("doc_id", "th").agg(F.collect_set("name").alias("shared"))
+    marks = shared.join(copies.withColumn("whole", F.lit(True)), ["doc_id", "th"], "full_outer")
+    marks = written(marks.select("doc_id", "th", F.when(F.col("whole").isNull(), F.col("shared")).alias("shared"), F.coalesce("whole", F.lit(False)).alias("whole")), "marks")
+    discard(facts, eldest)
+
+    dealt = known.mapInArrow(_packed, "doc_id long, th int, text binary")
+    windows = dealt.join(marks.hint("merge"), ["doc_id", "th"], "left").mapInArrow(_candidates, "doc_id long, th int, span long, h long, h2 long")
+    windows = written(windows, "windows")
+    least = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    least = written(least.where("least < last").drop("last"), "first-windows")
+    repeats = join_groups(windows, least, ["h", "h2"], "n", windows.count()).where("doc_id > least")
+    spans = repeats.groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"))
+    gone = spans.withColumn("whole", F.lit(False)).unionByName(marks.where("whole").select("doc_id", "th", F.lit(None).cast("array<long>").alias("spans"), "whole"))
+    gone = written(gone, "gone")
+    discard(windows, least, marks)
+    alone = rows.where("doc_id is null").mapInArrow(_packed, "doc_id long, th int, text binary").withColumns({"spans": F.lit(None).cast("array<long>"), "whole": F.lit(False)})
+    texts = dealt.join(gone.hint("merge"), ["doc_id", "th"], "left").unionByName(alone)
+    return texts.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
