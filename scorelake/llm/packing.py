@@ -1,9 +1,17 @@
-"""Best-fit packing of token pieces by bin completion with branch and bound."""
+"""Best-fit packing of token pieces by bin completion with branch and bound.
+
+Around the largest piece left, the undominated fillings of its sequence are enumerated, those of the least waste first.
+The incumbent is the best-fit packing. Waste bounds the search: a packing of one sequence less than the incumbent leaves
+so much room in all, and a branch that has wasted more is cut. It ends when the incumbent needs no more sequences
+than the pieces' lengths do.
+"""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +23,8 @@ from .common import small_batches, written
 CAPACITY = 2048
 #: Pieces packed together in one task, by shards of a hash; each shard leaves one sequence partly filled.
 SHARD_PIECES = 16384
+#: Fillings that a shard's search looks at, beside one for each sequence, before it keeps the incumbent. None searches until the packing is proved best.
+NODES = 2000
 #: Where both tokenizer libraries give the same ids for the same vocabulary: printable ASCII, tab, line feed and Latin letters.
 PLAIN = r"[\t\n\x20-\x7EÀ-ÖØ-öø-ž]*"
 
@@ -82,74 +92,184 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return rows.mapInArrow(_pieces(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def completion(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
-    """The best filling of `room` from the multiset `count` (`sizes`: its sizes in order): least waste, then the largest items first.
-
-    The incumbent is best fit (the largest that fits, again and again). If it leaves waste, fillings are enumerated by
-    size and number, the largest size and most items first. The bound is exact: for each size, the set of sums that
-    smaller sizes can reach, as the bits of an integer. A branch that can't end in the least waste is cut at once, so
-    the search never turns back and needs no limit.
-    """
-    best: list[int] = []
-    left, waste = {}, room
-    while waste and (i := bisect_right(sizes, waste)):
-        while i and count[sizes[i - 1]] - left.get(sizes[i - 1], 0) <= 0:
-            i -= 1
-        if not i:
-            break
-        x = sizes[i - 1]
-        left[x] = left.get(x, 0) + 1
-        best.append(x)
-        waste -= x
-    if not waste or not best:
-        return best
-    fitting = sizes[: bisect_right(sizes, room)]
-    reach, every = [1], (1 << (room + 1)) - 1
-    for x in fitting:
-        sums, rest, some = reach[-1], min(count[x], room // x), 1
+def reachable(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
+    """For each number of the smallest sizes, the sums up to `room` that they reach, as the bits of an integer."""
+    out, every = [1], (1 << (room + 1)) - 1
+    for x in sizes:
+        sums, rest, some = out[-1], min(count[x], room // x), 1
         while rest:
             some = min(some, rest)
             sums |= sums << (some * x) & every
             rest, some = rest - some, 2 * some
-        reach.append(sums)
-    space = reach[-1].bit_length() - 1
-    if room - space >= waste:
-        return best
-    best = []
-    for x, sums in zip(reversed(fitting), reversed(reach[:-1]), strict=True):
-        n = min(count[x], space // x)
-        while not sums >> (space - n * x) & 1:
-            n -= 1
-        best += [x] * n
-        space -= n * x
+        out.append(sums)
+    return out
+
+
+def exact_fillings(sizes: list[int], count: dict[int, int], reach: list[int], space: int) -> Iterator[list[int]]:
+    """All multisets of the sizes that sum to `space`, those with the largest pieces first. Every branch taken ends in one."""
+    stack: list[tuple[int, int, list[int]]] = [(len(sizes), space, [])]
+    while stack:
+        i, left, chosen = stack.pop()
+        if not left:
+            yield chosen
+            continue
+        x = sizes[i - 1]
+        most = min(count[x], left // x)
+        stack += [(i - 1, left - n * x, chosen + [x] * n) for n in range(most + 1) if reach[i - 1] >> (left - n * x) & 1]
+
+
+def dominated(filling: list[int], sizes: list[int], count: dict[int, int], waste: int) -> bool:
+    """Whether a piece left over could join the filling, or take the place of one or two of its pieces and fill no less."""
+    used = Counter(filling)
+
+    def spare(low: int, high: int) -> bool:
+        i = bisect_left(sizes, low)
+        while i < len(sizes) and sizes[i] <= high:
+            if count[sizes[i]] > used[sizes[i]]:
+                return True
+            i += 1
+        return False
+
+    kinds = sorted(used)
+    if spare(1, waste) or any(spare(x + 1, x + waste) for x in kinds):
+        return True
+    pairs = ((x, y) for k, x in enumerate(kinds) for y in kinds[k:] if x != y or used[x] > 1)
+    return any(spare(x + y, x + y + waste) for x, y in pairs)
+
+
+def fillings(sizes: list[int], count: dict[int, int], room: int, allowed: int) -> Iterator[tuple[int, list[int] | None]]:
+    """(waste, pieces) of the undominated fillings of `room` that waste at most `allowed`, the least waste first; pieces is None for a dominated one.
+
+    Best fit (the largest that fits, again and again) comes first if it wastes nothing; it is undominated then. The
+    others come from the exact sums that the sizes reach, so that the enumeration has no dead ends.
+    """
+    fit: list[int] = []
+    taken, waste = Counter(), room
+    i = bisect_right(sizes, waste)
+    while i and waste:
+        x = sizes[i - 1]
+        n = min(count[x] - taken[x], waste // x)
+        fit += [x] * n
+        taken[x] += n
+        waste -= n * x
+        i = min(i - 1, bisect_right(sizes, waste))
+    if not waste:
+        yield 0, fit
+    fitting = sizes[: bisect_right(sizes, room)]
+    reach = reachable(fitting, count, room)
+    for lost in range(min(room, allowed) + 1):
+        if reach[-1] >> (room - lost) & 1:
+            for filling in exact_fillings(fitting, count, reach, room - lost):
+                if waste or filling != fit:
+                    yield lost, None if dominated(filling, sizes, count, lost) else filling
+
+
+def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Best fit in order of decreasing length: each piece goes into the fullest sequence that has room for it."""
+    rooms: list[int] = []
+    open_: dict[int, list[list[int]]] = {}
+    out = []
+    for x in sorted(lengths, reverse=True):
+        i = bisect_left(rooms, x)
+        if i == len(rooms):
+            room, own = capacity, []
+            out.append(own)
+        else:
+            room = rooms[i]
+            own = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[i]
+        own.append(x)
+        if room > x:
+            if room - x not in open_:
+                insort(rooms, room - x)
+            open_.setdefault(room - x, []).append(own)
+    return out
+
+
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A number of sequences that no packing can be below: pieces over half a sequence need one each, and those of at least `a` need the room that is left beside them."""
+    count = Counter(lengths)
+    sizes, out = sorted(count), -(-sum(lengths) // capacity)
+    over = [x for x in sizes if 2 * x > capacity]
+    for a in [x for x in sizes if 2 * x <= capacity]:
+        alone = sum(count[x] for x in over if x > capacity - a)
+        beside = [x for x in over if x <= capacity - a]
+        pairs = sum(count[x] for x in beside)
+        free = pairs * capacity - sum(x * count[x] for x in beside)
+        small = sum(x * count[x] for x in sizes if a <= x and 2 * x <= capacity)
+        out = max(out, alone + pairs + max(0, -(-(small - free) // capacity)))
+    return max(out, sum(count[x] for x in over))
+
+
+def bin_completion(lengths: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
+    """The lengths of each sequence, by branch and bound over the fillings around the largest piece left."""
+    best, least = best_fit(lengths, capacity), least_bins(lengths, capacity)
+    nodes = None if nodes is None else nodes + len(best)
+    count = Counter(lengths)
+    sizes, seen = sorted(count), 0
+
+    def take(pieces: list[int]) -> None:
+        for x in pieces:
+            count[x] -= 1
+            if not count[x]:
+                sizes.remove(x)
+
+    def give(pieces: list[int]) -> None:
+        for x in pieces:
+            if not count[x]:
+                insort(sizes, x)
+            count[x] += 1
+
+    def branch(lost: int):
+        """The largest piece left and the fillings around it, within what may be wasted if a sequence is to be saved."""
+        largest = sizes[-1]
+        take([largest])
+        return largest, lost, fillings(sizes, count, capacity - largest, (len(best) - 1) * capacity - sum(lengths) - lost)
+
+    path: list[list[int]] = []
+    stack = [branch(0)] if len(best) > least else []
+    while stack and (nodes is None or seen < nodes):
+        largest, lost, rest = stack[-1]
+        if len(path) == len(stack):  # back from below: undo what was filled in here
+            give(path.pop()[1:])
+        found = next(rest, None)
+        if found is None:
+            give([largest])
+            stack.pop()
+            continue
+        seen += 1
+        waste, pieces = found
+        if pieces is None:
+            continue
+        if lost + waste > (len(best) - 1) * capacity - sum(lengths):
+            give([largest])
+            stack.pop()
+            continue
+        take(pieces)
+        path.append([largest, *pieces])
+        if sizes:
+            stack.append(branch(lost + waste))
+        else:
+            if len(path) < len(best):
+                best = [list(x) for x in path]
+            if len(best) == least:
+                break
     return best
 
 
-def complete_bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each item: around the largest item left, the best completion of its sequence."""
+def complete_bins(lengths: np.ndarray, capacity: int, nodes: int | None = NODES) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each item."""
     slots: dict[int, list[int]] = {}
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        slots.setdefault(int(lengths[i]), []).append(i)
-    count = {x: len(v) for x, v in slots.items()}
-    sizes: list[int] = []
-    for x in count:
-        insort(sizes, x)
-    sequence, offset, number = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64), 0
-
-    def take(x: int, place: int) -> None:
-        i = slots[x].pop()
-        sequence[i], offset[i] = number, place
-        count[x] -= 1
-        if not count[x]:
-            sizes.remove(x)
-
-    while sizes:
-        largest = place = sizes[-1]
-        take(largest, 0)
-        for x in completion(sizes, count, capacity - largest) if sizes else ():
-            take(x, place)
+    for i, x in reversed(list(enumerate(lengths.tolist()))):
+        slots.setdefault(x, []).append(i)
+    sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    for number, pieces in enumerate(bin_completion(lengths.tolist(), capacity, nodes)):
+        place = 0
+        for x in pieces:
+            i = slots[x].pop()
+            sequence[i], offset[i] = number, place
             place += x
-        number += 1
     return sequence, offset
 
 
@@ -172,10 +292,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     others are dealt to shards of about SHARD_PIECES by a hash and packed by bin completion in each; a shard reads
     lengths, never ids. Repeated rows and null ids are packed as documents of their own; an empty table gives no rows.
     """
-    rows = written(pieces(docs, vocabulary, capacity), "pieces")
+    rows = written(pieces(docs, vocabulary, capacity).withColumn("number", F.monotonically_increasing_id()), "pieces")
     short = rows.where(F.col("length") < capacity)
     shards = max(1, -(-short.count() // SHARD_PIECES))
-    dealt = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # By the rows' numbers, so that rows that repeat don't fall into one shard.
+    dealt = short.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards))).drop("number")
     packed = dealt.groupBy("shard").applyInArrow(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    full = rows.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    full = rows.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("number")).withColumn("offset", F.lit(0).cast("long")).drop("number")
     return packed.unionByName(full)
