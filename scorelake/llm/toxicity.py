@@ -1,9 +1,10 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
 Words (runs of letters, lower-cased) have an embedding that is the sum of two hashed ones, of the whole word and of its
-first letters; its first coordinate begins as how surely the bucket's presence parts the labels. Filters of several widths run over a document's words, each keeps its maximum over the whole text, and
-a logistic layer weighs the maxima. The embedding of a word times each filter's taps is a table, so that a document of n
-words costs n look-ups and additions. Training follows the gradient only through the words that hold a maximum.
+first letters. Filters of several widths run over a document's words, each keeps its maximum over the whole text, and
+a logistic layer weighs the maxima. All of it begins at random and is trained together. The embedding of a word times each
+filter's taps is a table, so that a document of n words costs n look-ups and additions. Training follows the gradient only
+through the words that hold a maximum, and runs in one task on the words of the sample; the driver gets the network.
 """
 
 from __future__ import annotations
@@ -24,7 +25,12 @@ BUCKETS = 1 << 16
 WIDTH = 12
 FILTERS = ((1, 8), (2, 6), (3, 6))
 PREFIX = 4
-EPOCHS = 4
+EPOCHS = 12
+RATE = 0.01
+#: Share of words left out of a document at each training step.
+DROPPED = 0.3
+#: How far the labels' weights are evened out: 0 not at all, 1 fully.
+BALANCE = 0.5
 BATCH = 64
 THRESHOLD = 0.5
 
@@ -40,7 +46,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_spans(data)
     whole = (word_hashes(data, starts, ends) >> np.uint64(40)).astype(np.int64) % BUCKETS
     begin = (word_hashes(data, starts, np.minimum(ends, starts + PREFIX), 1) >> np.uint64(40)).astype(np.int64) % BUCKETS
-    return np.stack([whole, begin + BUCKETS], axis=1), np.searchsorted(starts, at)
+    return np.stack([whole, begin + BUCKETS], axis=1).astype(np.int32), np.searchsorted(starts, at)
 
 
 @dataclass
@@ -90,39 +96,30 @@ class Network:
         z = np.concatenate(tops, axis=1) @ self.out + self.shift
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
-    def begin(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """Sets the first coordinate of every bucket to its signed root likelihood ratio for the labels, by documents that hold it, and a filter to read it."""
-        held = [np.unique(d) for d in docs]
-        one, zero = (np.bincount(np.concatenate([h for h, k in zip(held, y, strict=True) if k == label]), minlength=len(self.embedding)).astype(np.float64) for label in (1, 0))
-        share = float(y.mean())
-        n = np.maximum(one + zero, 1e-9)
-        ratio = sum(np.where(c > 0, c * np.log(np.maximum(c, 1e-9) / (n * p)), 0) for c, p in ((one, share), (zero, 1 - share)))
-        sure = np.sign(one - n * share) * np.sqrt(2 * np.maximum(ratio, 0))
-        self.embedding[:, 0] = np.clip(sure / 4, -3, 3)
-        for tap in self.taps:
-            tap *= 0.3
-            tap[:, 0, ::2] += 1.0 / len(tap)
-        self.out = np.where(self.out > 0, 0.5, self.out * 0.3).astype(np.float32)
-        self.shift = -2.0
-
-    def train(self, docs: list[np.ndarray], y: np.ndarray, seed: int = 5, rate: float = 0.01) -> None:
-        """docs: the words of each document. Adam for the dense layers, Adagrad for the embeddings that take part."""
+    def train(self, docs: list[np.ndarray], y: np.ndarray, seed: int = 5, rate: float = RATE, epochs: int = EPOCHS) -> None:
+        """docs: the words of each document. Adam for the dense layers, Adagrad for the embeddings that take part.
+
+        A share of the words is left out at random each time, so that a filter can't lean on a single one; documents of
+        the rarer label weigh as much as the others.
+        """
         rng = np.random.default_rng(seed)
         dense = [*self.taps, *self.bias, self.out]
         m, v, step = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense], 0
         shift_m = shift_v = 0.0
         seen = np.full(len(self.embedding), 1e-3, dtype=np.float32)
-        for _ in range(EPOCHS):
+        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) ** BALANCE
+        for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // BATCH)):
-                words = np.concatenate([docs[i] for i in batch]) if len(batch) else np.zeros((0, 2), dtype=np.int64)
-                first = np.r_[0, np.cumsum([len(docs[i]) for i in batch])]
+                own_words = [docs[i][rng.random(len(docs[i])) >= DROPPED] for i in batch]
+                words = np.concatenate(own_words) if own_words else np.zeros((0, 2), dtype=np.int32)
+                first = np.r_[0, np.cumsum([len(d) for d in own_words])]
                 buckets, inverse = np.unique(words, return_inverse=True)
                 inverse, rows = inverse.reshape(words.shape), self.embedding[buckets]
                 tables = [[rows @ tap for tap in width] for width in self.taps]
                 found = self.maxima(inverse, first, lambda x, k, t, tables=tables: tables[k][t][x[:, 0]] + tables[k][t][x[:, 1]])
                 active = [np.maximum(top + b, 0) for (top, _), b in zip(found, self.bias, strict=True)]
                 hidden = np.concatenate(active, axis=1)
-                error = (1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift, -30, 30))) - y[batch]) / len(batch)
+                error = weight[batch] * (1 / (1 + np.exp(-np.clip(hidden @ self.out + self.shift, -30, 30))) - y[batch]) / len(batch)
                 back = np.outer(error, self.out) * (hidden > 0)
                 grads, bias_grads, at = [], [], 0
                 g_rows = np.zeros_like(rows)
@@ -130,14 +127,14 @@ class Network:
                     own = back[:, at : at + filters]
                     at += filters
                     g = np.zeros_like(tap)
-                    for d, f in zip(*np.nonzero(own), strict=True):
-                        place = first[d] + int(np.argmax(response[first[d] : first[d + 1] - w + 1, f])) if first[d + 1] - first[d] >= w else -1
-                        if place < 0:
-                            continue
-                        for t in range(w):
-                            pair = inverse[place + t]
-                            g[t, :, f] += own[d, f] * (rows[pair[0]] + rows[pair[1]])
-                            g_rows[pair] += own[d, f] * tap[t, :, f]
+                    place, d, f = holders(top, response, first, w)
+                    share = own[d, f].astype(np.float32)[:, None]
+                    for t in range(w):
+                        pair = inverse[place + t]
+                        np.add.at(g[t].T, f, share * (rows[pair[:, 0]] + rows[pair[:, 1]]))
+                        change = share * tap[t][:, f].T
+                        np.add.at(g_rows, pair[:, 0], change)
+                        np.add.at(g_rows, pair[:, 1], change)
                     grads.append(g)
                     bias_grads.append(own.sum(axis=0))
                 step += 1
@@ -154,6 +151,18 @@ class Network:
                 self.embedding[buckets[moved]] -= (5 * rate * g_rows[moved] / np.sqrt(seen[buckets[moved]])[:, None]).astype(np.float32)
 
 
+def holders(top: np.ndarray, response: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each filter has its maximum in each document that is long enough: (word, document, filter), the foremost of equal places."""
+    n = np.diff(first)
+    long_ = np.flatnonzero(n >= width)
+    windows = n[long_] - width + 1
+    doc = np.repeat(long_, windows)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + first[doc]
+    row, f = np.nonzero(response[at] == top[doc]) if len(at) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    _, one = np.unique(doc[row] * top.shape[1] + f, return_index=True)
+    return at[row[one]], doc[row[one]], f[one]
+
+
 def balanced_threshold(score: np.ndarray, y: np.ndarray) -> float:
     """The threshold that parts the two labels with the fewest errors, each label weighed alike; midway between scores."""
     if not (0 < y.sum() < len(y)):
@@ -174,39 +183,44 @@ def calibrate(score: np.ndarray, middle: float) -> np.ndarray:
     return np.where(score < middle, 0.5 * score / middle, 0.5 + 0.5 * (score - middle) / (1 - middle))
 
 
-def learn(rows: list[tuple[str, int, str | None]], seed: int = 3) -> tuple[Network, float]:
-    """(text, label, language) of the sample -> a network and its threshold, found on a fifth that it wasn't trained on; thresholds by language likewise."""
-    docs, y = [], np.array([r[1] for r in rows], dtype=np.float32)
-    for text, _, _ in rows:
-        data = np.frombuffer((text or "").encode() + b" ", dtype=np.uint8)
-        docs.append(tokens(data, np.array([0, len(data)]))[0])
-    part = np.random.default_rng(seed).permutation(len(rows)) % 5 == 0
+def learn(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: int = 3) -> tuple[Network, float]:
+    """The words, labels and languages of the sample -> a network and its threshold, found on a fifth that it wasn't trained on; thresholds by language likewise."""
+    part = np.random.default_rng(seed).permutation(len(docs)) % 5 == 0
     network = Network.new(seed)
-    if not (0 < y.sum() < len(y)):
+    if not (0 < y[~part].sum() < (~part).sum()):
         return network, THRESHOLD
-    network.begin([d for d, p in zip(docs, part, strict=True) if not p], y[~part])
     network.train([d for d, p in zip(docs, part, strict=True) if not p], y[~part])
     tables = network.tables()
     score = np.concatenate([network.scores(d, np.array([0, len(d)]), tables) for d in docs])
     middle = balanced_threshold(score[part], y[part])
-    for lang in {r[2] for r in rows}:
-        own = part & np.array([r[2] == lang for r in rows])
+    for lang in set(langs):
+        own = part & np.array([x == lang for x in langs])
         if 0 < y[own].sum() < own.sum():
             network.thresholds[lang] = float(calibrate(np.array([balanced_threshold(score[own], y[own])]), middle)[0])
     return network, middle
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[Network, float]:
-    """Learns from at most `most` labelled documents that aren't held out. The language of the sample is looked up for the thresholds alone."""
-    lang = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["lang"].alias("lang")) if "lang" in docs.columns else None
-    rows = sample(docs, labels, label, most)
-    if lang is not None:
-        ids = F.broadcast(rows.select("doc_id", "text", "y"))
-        rows = ids.join(lang.dropDuplicates(["_id"]), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "y", "lang")
-    else:
-        rows = rows.withColumn("lang", F.lit(None).cast("string"))
-    rows = rows.collect()
-    return learn([(r["text"], r["y"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+def _learned(batches):
+    """One pickled network of all rows of a task, in an order of their own."""
+    import pyarrow as pa
+
+    rows = []
+    for batch in batches:
+        for part, data, at in text_chunks(batch):
+            words, first = tokens(data, at)
+            facts = zip(part.column("doc_id").to_pylist(), part.column("y").to_pylist(), part.column("lang").to_pylist(), strict=True)
+            rows += [(i, y, lang, words[a:b].copy()) for (i, y, lang), a, b in zip(facts, first[:-1], first[1:], strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1], r[3].tobytes()))
+    found = learn([r[3] for r in rows], np.array([r[1] for r in rows], dtype=np.float32), [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> bytes:
+    """Learns from at most `most` labelled documents that aren't held out; the pickled network and its threshold. Languages serve the thresholds alone."""
+    if "lang" not in docs.columns:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = sample(docs, labels, label, most, keep=("lang",)).coalesce(1).mapInArrow(_learned, "model binary").collect()
+    return bytes(rows[0]["model"]) if rows else pickle.dumps((Network.new(), THRESHOLD))
 
 
 def _scored(model):
@@ -234,8 +248,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    network, middle = fit(docs, labels, label)
-    model = spark.sparkContext.broadcast(pickle.dumps((network, middle)))
+    fitted = fit(docs, labels, label)
+    network, _ = pickle.loads(fitted)
+    model = spark.sparkContext.broadcast(fitted)
     lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), lang.alias("lang"))
     scored = rows.mapInArrow(_scored(model), "doc_id long, text string, lang string, score double")
