@@ -71,7 +71,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents"), batches=2)
 
 
 QUERIES = {
@@ -100,18 +100,17 @@ SQL = {
         SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10""",
     "op7_line_dedup": """
         WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-        p AS (SELECT doc_id, a, unnest(range(len(a))) AS i FROM l),
-        w AS (SELECT doc_id, i, n, array_to_string(a[i + 1 : i + n], chr(10)) AS run
-              FROM p, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS n) WHERE i + n <= len(a)),
-        o AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) > 1 AS later,
-                     len(regexp_extract_all(run, '[^\\x20\\x09-\\x0D]+')) AS words FROM w),
-        g AS (SELECT doc_id, i, n FROM o WHERE later AND words >= 5),
-        x AS (SELECT doc_id, max(n) AS longest_run FROM g GROUP BY doc_id),
-        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM g),
-        k AS (SELECT p.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(a[p.i + 1], chr(10) ORDER BY p.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+        p AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM l),
+        w AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM p),
+        m AS (SELECT x.doc_id, y.doc_id AS earlier, x.i, x.i - y.i AS gap, x.words FROM w x JOIN w y ON x.line = y.line AND (y.doc_id, y.i) < (x.doc_id, x.i)),
+        g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, earlier, gap ORDER BY i) AS run FROM m),
+        r AS (SELECT doc_id, min(i) AS b, max(i) + 1 AS e FROM g GROUP BY doc_id, earlier, gap, run HAVING sum(words) >= 5),
+        x AS (SELECT doc_id, max(e - b) AS longest_run FROM r GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(b, e)) AS i FROM r),
+        k AS (SELECT p.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY p.i) FILTER (WHERE gone.i IS NULL), '') AS kept
               FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
-        SELECT k.doc_id, n_lines, n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(kept) AS kept_sha256
-        FROM k LEFT JOIN x ON k.doc_id = x.doc_id""",
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(kept) AS kept_sha256
+        FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN x ON d.doc_id = x.doc_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)

@@ -11,7 +11,7 @@ import xxhash
 
 from scorelake.llm.exact_dedup import DigestIndex, digests, exact_dedup
 from scorelake.llm.mixing import mix
-from scorelake.llm.packing import complete_bins, completion, encoder, pack
+from scorelake.llm.packing import best_fit, bin_completion, complete_bins, dominated, encoder, fillings, least_bins, pack
 from scorelake.llm.queries import VOCABULARY
 from scorelake.llm.simhash import near_dedup
 from scorelake.llm.substring import substring_dedup
@@ -46,8 +46,12 @@ def test_exact_dedup(docs):
     assert Counter(map(tuple, exact_dedup(docs).collect())) == Counter(expected)
 
 
+KNOWN: set[str] = set()
+
+
 def test_exact_dedup_against_an_index(spark, odd):
     index = DigestIndex(spark, buckets=4)
+    KNOWN.add(index.name)
     exact_dedup(odd.where("doc_id < 12"), index)
     n = index.table().count()
     out = {r["doc_id"]: r for r in exact_dedup(spark.createDataFrame([(900, "ONE"), (901, "fresh")], "doc_id long, text string"), index).collect()}
@@ -57,6 +61,24 @@ def test_exact_dedup_against_an_index(spark, odd):
     assert "SortMergeJoin" in plan
 
 
+def test_an_index_opened_again_keeps_its_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(400)], "doc_id long, text string")
+    index = DigestIndex(spark, path=str(tmp_path / "index"), buckets=4)
+    exact_dedup(docs, index).count()
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path=str(tmp_path / "index"), buckets=7)
+    again = DigestIndex(spark, path=str(tmp_path / "index"))
+    KNOWN.update((index.name, again.name))
+    out = exact_dedup(spark.createDataFrame([(1000 + i, f"TEXT {i}") for i in range(500)], "doc_id long, text string"), again).collect()
+    assert again.buckets == 4 and again.table().count() == 500 and sum(r["kept"] for r in out) == 200
+
+
+def test_batches_add_up_to_one(spark, docs):
+    whole = Counter(map(tuple, exact_dedup(docs).collect()))
+    assert Counter(map(tuple, exact_dedup(docs, batches=2).collect())) == whole == Counter(map(tuple, exact_dedup(docs, batches=5).collect()))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index") and t.name not in KNOWN]
+
+
 def test_near_dedup(docs):
     rows = rows_of(docs)
 
@@ -179,12 +201,28 @@ def test_encoder_agrees_with_the_vocabulary_file():
     assert [encode(x) for x in cases] == [own.encode(x, add_special_tokens=False).ids for x in cases]
 
 
+def test_encoder_agrees_with_the_vocabulary_file_on_every_text(spark):
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(VOCABULARY), encoder(VOCABULARY)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
+        assert encode(r["text"] or "") == own.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark, monkeypatch):
+    from scorelake.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    out = pack(spark.createDataFrame([(None, "same text")] * 1000, "doc_id long, text string"), VOCABULARY).collect()
+    assert len({r["sequence_id"] >> 32 for r in out}) == 10 and len(out) == 1000
+
+
 def test_bin_completion_reaches_the_least_number_of_bins():
     rng = np.random.default_rng(3)
     for hi in (50, 100, 60):
         lengths = rng.integers(1, hi, 500)
         sequence, _ = complete_bins(lengths, 100)
-        assert len(set(sequence)) <= -(-lengths.sum() // 100) * (1.35 if hi == 100 else 1.02) + 1
+        assert len(set(sequence)) <= least_bins(lengths.tolist(), 100) * 1.02
     sequence, _ = complete_bins(np.array([60, 60, 40, 40, 55, 45, 30, 30, 20, 20]), 100)
     assert len(set(sequence)) == 4
 
@@ -207,6 +245,32 @@ def test_substring_dedup(docs):
     assert sum(x[2] for x in expected) > 1000
 
 
+def test_patterned_words_are_told_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    tail = " ".join(f"t{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_rows_of_one_id_with_different_texts_keep_their_own_spans(spark):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(55))
+    docs = spark.createDataFrame([(1, passage), (2, f"a b {passage}"), (2, other), (2, f"a b {passage}"), (3, other)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect()) == [(1, 60, 0), (2, 55, 0), (2, 62, 60), (2, 62, 60), (3, 55, 55)]
+
+
+def test_window_hashes_part_sequences():
+    from scorelake.llm.substring import _HALVES, WINDOW, window_hash
+
+    rng = np.random.default_rng(9)
+    name = rng.integers(0, 3, 3000).astype(np.uint64)
+    hashes = [window_hash(name, odd) for odd in _HALVES]
+    windows = [tuple(name[i : i + WINDOW]) for i in range(len(name) - WINDOW + 1)]
+    for h in hashes:
+        assert len(h) == len(windows) and len(set(h.tolist())) == len(set(windows))
+    assert window_hash(np.tile(name[:100], 2), _HALVES[0])[0] == window_hash(np.tile(name[:100], 2), _HALVES[0])[100]
+
+
 def test_equal_stretches_have_equal_symbols_inside():
     from scorelake.llm.substring import recompress
 
@@ -239,12 +303,46 @@ def test_bin_completion_holds_thousands_of_short_pieces():
         assert len(set(zip(sequence, offset))) == len(lengths)
 
 
-def test_completion_leaves_the_least_waste():
+def test_bin_completion_by_brute_force():
     rng = np.random.default_rng(8)
-    for _ in range(300):
-        count = Counter(rng.integers(1, 60, rng.integers(1, 40)).tolist())
-        room, sums = int(rng.integers(1, 200)), {0}
-        for x in count.elements():
-            sums |= {s + x for s in sums if s + x <= room}
-        got = completion(sorted(count), count, room)
-        assert sum(got) == max(sums) and not Counter(got) - count
+
+    def least(lengths, capacity):
+        best = [len(lengths)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(rooms)
+                return
+            for k in range(len(rooms)):
+                if rooms[k] >= lengths[i]:
+                    place(i + 1, rooms[:k] + [rooms[k] - lengths[i]] + rooms[k + 1 :])
+            place(i + 1, [*rooms, capacity - lengths[i]])
+
+        place(0, [])
+        return best[0]
+
+    cases = [rng.integers(1, hi, n).tolist() for hi in (14, 30) for n in (5, 8, 9) for _ in range(25)]
+    cases += [[23, 21, 15, 13, 12, 11, 10, 9, 6], [20, 14, 13, 12, 11, 10]]
+    better = 0
+    for lengths in cases:
+        found = bin_completion(lengths, 40, None)
+        assert sorted(x for own in found for x in own) == sorted(lengths) and all(sum(own) <= 40 for own in found)
+        assert least_bins(lengths, 40) <= len(found) == least(sorted(lengths, reverse=True), 40)
+        better += len(found) < len(best_fit(lengths, 40))
+    assert better
+
+
+def test_fillings_leave_out_only_what_is_dominated():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        count, room = Counter(rng.integers(1, 12, rng.integers(1, 9)).tolist()), int(rng.integers(3, 25))
+        every = {()}
+        for x in sorted(count.elements()):
+            every |= {(*f, x) for f in every if sum(f) + x <= room}
+        got = [(w, tuple(sorted(f))) for w, f in fillings(sorted(count), count, room, room) if f is not None]
+        assert [w for w, _ in got] == sorted(room - sum(f) for _, f in got) and {f for _, f in got} <= every and len(got) == len(set(got))
+        kept = {f for _, f in got}
+        for f in every - kept:
+            assert dominated(list(f), sorted(count), count, room - sum(f))

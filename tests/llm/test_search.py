@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from scorelake.llm.licenses import TEMPLATES, layout, license_scan
+from scorelake.llm.licenses import TEMPLATES, layout, license_scan, template_table
 from scorelake.llm.line_dedup import line_dedup
 from scorelake.llm.topk import embedding_search, top_k
 
@@ -22,13 +22,13 @@ def test_line_dedup(spark, odd):
     assert not [k for k in Counter((a, b) for a, b, _ in rows if not a) if Counter((a, b) for a, b, _ in rows)[k] > 1]
     split = [(r, [] if r[2] is None else r[2].split("\n")) for r in rows]
     first, gone, longest = {}, defaultdict(set), Counter()
-    for k in range(12):
-        for d, (r, lines) in enumerate(split):
-            for i in range(len(lines) - (1 << k) + 1):
-                run = tuple(lines[i : i + (1 << k)])
+    for d, (r, lines) in enumerate(split):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
                 if first.setdefault(run, (d, i)) != (d, i) and sum(len(WORD.findall(x)) for x in run) >= 5:
-                    gone[d].update(range(i, i + (1 << k)))
-                    longest[d] = 1 << k
+                    gone[d].update(range(i, j))
+                    longest[d] = max(longest[d], j - i)
     out = Counter((r["doc_id"], r["text"], *r["line_dedup"]) for r in line_dedup(docs).collect() if r["doc_id"] is not None)
     expected = Counter()
     for d, (r, lines) in enumerate(split):
@@ -62,29 +62,61 @@ def test_line_dedup_judges_whole_runs(spark):
     assert whole[1][1:] == ("z", 4, 3, 3) and whole[3][4] == 7 and whole[5][3:] == (3, 3)
 
 
-def test_license_scan(spark, odd):
-    def words(t):
-        return re.sub(r"[\W_]+", " ", t.lower()).split()
+def license_words(t):
+    return re.sub(r"[\W_]+", " ", t.lower()).split()
 
-    notice = words(TEMPLATES["MIT notice"])
-    changed = " ".join(w if i != 40 else "CHANGED" for i, w in enumerate(notice))
-    texts = [TEMPLATES["MIT"], "bla " * 300 + TEMPLATES["GPL-3.0"].upper() + " foo" * 70, f"x {changed} y", " ".join(notice[:60]), "released under the mit", TEMPLATES["CC-BY-NC-4.0"] + "\n" + TEMPLATES["MIT"] + " " + TEMPLATES["MIT"]]
-    docs = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd, allowMissingColumns=True)
-    got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan(docs).collect()}
-    expected = {}
-    for r in docs.collect():
-        own = words(r["text"] or "")
+
+def by_hand(rows, templates):
+    """Every window of every text against every template, without bands."""
+    found = {}
+    for k, (i, t) in enumerate(rows):
+        own = license_words(t or "")
         held = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
-        for name, template in TEMPLATES.items():
-            t = words(template)
-            wanted = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
-            inside, step, _ = layout(len(t))
-            for at in range(0, max(len(held) - inside + step, 1), step):
+        for name, family, template in templates:
+            words = license_words(template)
+            wanted = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+            number = next(c for c in range(9) if len(words) <= 8 * 4**c)
+            inside, step, _ = layout(number)
+            for at in range(0, max(len(held) - inside + step, 1), step) if held and wanted else ():
                 share = len(wanted & set(held[at : at + inside])) / len(wanted)
                 if share >= 0.8:
-                    expected[r["doc_id"], name] = max(share, expected.get((r["doc_id"], name), 0))
-    assert got == pytest.approx(expected) and (1002, "MIT notice") in got and (1003, "MIT notice") not in got and len(got) == 5
-    assert license_scan(docs, {}).count() == 0
+                    found.setdefault((k, i, number, at, family), []).append((share, name))
+    out = {}
+    for (_, i, *_), shares in found.items():
+        for share, name in shares:
+            if share == max(shares)[0]:
+                out[i, name] = max(share, out.get((i, name), 0))
+    return out
+
+
+def test_license_scan(spark, odd):
+    texts_of = {name: t for name, _, t in TEMPLATES}
+    notice = license_words(texts_of["MIT notice"])
+    changed = " ".join(w if i != 40 else "CHANGED" for i, w in enumerate(notice))
+    longer = " ".join(w + (" really" if i in (50, 60) else "") for i, w in enumerate(notice))
+    texts = [texts_of["MIT"], "bla " * 300 + texts_of["GPL-3.0"].upper() + " foo" * 70, f"x {changed} y", " ".join(notice[:60]), "released under the mit", texts_of["CC-BY-NC-4.0"] + "\n" + texts_of["MIT"] + " " + texts_of["MIT"]]
+    texts += ["bla " * n + longer for n in range(0, 300, 25)]
+    docs = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd, allowMissingColumns=True)
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan(docs).collect()}
+    assert got == pytest.approx(by_hand([(r["doc_id"], r["text"]) for r in docs.collect()], TEMPLATES))
+    assert (1001, "GPL-3.0") in got and (1001, "GPL-2.0") not in got and (1002, "MIT notice") in got and (1003, "MIT notice") not in got and (1005, "CC-BY-NC-4.0") in got
+    assert all((1006 + k, "MIT notice") in got for k in range(12))
+    assert license_scan(docs, template_table(spark, TEMPLATES).limit(0)).count() == 0
+
+
+def test_every_license_template_is_found_in_itself(spark):
+    rows = [(i, "some words before " * 9 + t + " and some behind" * 9) for i, (_, _, t) in enumerate(TEMPLATES)]
+    got = {(r["doc_id"], r["license"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {(i, name) for i, (name, _, _) in enumerate(TEMPLATES)}
+
+
+def test_license_templates_go_in_parts_where_they_are_many(spark, monkeypatch):
+    from scorelake.llm import licenses
+
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(TEMPLATES)], "doc_id long, text string")
+    whole = sorted(map(tuple, license_scan(docs).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_SHINGLES", 700)
+    assert sorted(map(tuple, license_scan(docs).collect())) == whole
 
 
 def test_top_k(spark):
