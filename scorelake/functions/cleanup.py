@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .commentary import strip_commentary
 from .markup import DISPLAY_CAP, clipped, replaced
 from .scoring import TRUMPETS, Family, Grammar
 
@@ -67,8 +69,9 @@ def collapse_strings(text: Column) -> Column:
 
 
 def shipped(full: Column, source: Column) -> Column:
-    """The text to ship: tidied unless a curated row, whose string section alone is collapsed."""
-    return collapse_strings(F.when(source == "curated", full).otherwise(tidy(full)))
+    """The text to ship: its string section collapsed and, unless it is a curated row, without commentary; null where nothing is left."""
+    plain = collapse_strings(full)
+    return F.when(source == "curated", plain).otherwise(strip_commentary(plain))
 
 
 # Words that begin an item of a scoring, instruments outside the family, and general words for players.
@@ -87,49 +90,48 @@ _VERB = re.compile(r"\b(?:is|are|was|were|has|have|does|do)\b", re.I)
 
 def without_captions(text: str, grammar: Grammar) -> str:
     """Without picture captions among the first 300 characters: items with a bar, and bare years, unless they name the family."""
-    out, at = [], 0
-    for m in re.finditer(r"[^,]*,\s*", text):
-        item = m[0].rstrip().removesuffix(",")
-        caption = "|" in item or re.fullmatch(r"(?:1[5-9]|20)\d\d", item)
-        if not (m.start() < CAPTION_REACH and caption and not grammar.name.search(item)):
-            out.append(m[0])
-        at = m.end()
-    return "".join(out) + text[at:]
+    pieces = re.split(r"(,\s*)", text)
+    items = list(zip(pieces[:-1:2], pieces[1::2], strict=True))
+    begins = accumulate((len(item) + len(comma) for item, comma in items), initial=0)
+    caption = re.compile(r"[^|]*\|.*|(?:1[5-9]|20)\d\d", re.S).fullmatch
+    kept = [item + comma for (item, comma), at in zip(items, begins, strict=False) if at >= CAPTION_REACH or not caption(item) or grammar.name.search(item)]
+    return "".join([*kept, pieces[-1]])
+
+
+def _counted(text: str, at: int) -> int:
+    """Where the number before position `at` begins, if there is one."""
+    before = _COUNT_BEFORE.search(text[max(0, at - COUNT_REACH) : at])
+    return at - len(before[0]) if before else at
+
+
+def _announced(text: str, grammar: Grammar) -> list[int]:
+    """Places behind a marker ("consists of", ":") where players follow, at once or behind one short label."""
+    found = []
+    for m in _MARKER.finditer(text, 0):
+        if m.start() > MARKER_REACH:
+            break
+        at = m.end() + len(re.match(r"(?:,\s*)?", text[m.end() :])[0])
+        label = _GROUP_LABEL.match(text, at)
+        places = [at, label.end()] if label and not _VERB.search(label["label"]) else [at]
+        found += [p for p in places if grammar.name.match(text, p) or _ITEM.match(text, p)][:1]
+    return found
 
 
 def without_lead_in(text: str, grammar: Grammar) -> str | None:
     """From the first instrument on, with its count; None if the text names no players near its beginning.
 
-    A specific instrument counts wherever it stands first. A general word ("brass", "soprano") counts only where no
-    instrument is near; then the list begins behind a marker ("consists of", ":") that players follow, if there is one.
+    Every place where the list may begin is a candidate: a specific instrument, best of all; then a place that a marker
+    announces; then a general word ("brass", "soprano"), which prose uses too. Markers only back up a general word. A
+    candidate at the very start settles it.
     """
-    own, other = grammar.name.search(text), _SPECIFIC.search(text)
-    starts = [m.start() for m in (own, other) if m]
-    anchor = None
-    if starts:
-        first = min(starts)
-        before = _COUNT_BEFORE.search(text[max(0, first - COUNT_REACH) : first])
-        anchor = first - len(before[0]) if before else first
-        anchor = anchor if anchor <= ANCHOR_REACH else None
-    loose = _LOOSE.search(text)
-    general = loose.start() if loose and loose.start() <= ANCHOR_REACH else None
-    if anchor is None and general is None:
+    specific = [m.start() for m in (grammar.name.search(text), _SPECIFIC.search(text)) if m]
+    general = [m.start() for m in [_LOOSE.search(text)] if m and m.start() <= ANCHOR_REACH]
+    candidates = [(1, at) for at in [_counted(text, min(specific, default=0))] if specific and at <= ANCHOR_REACH] + [(3, at) for at in general]
+    if not candidates:
         return None
-    if 0 in (anchor, general):
-        return text
-    if anchor is not None:
-        return text[anchor:]
-    for m in _MARKER.finditer(text):
-        if m.start() > MARKER_REACH:
-            break
-        rest = re.sub(r"^,\s*", "", text[m.end() :])
-        label = _GROUP_LABEL.match(rest)
-        choices = [rest, rest[label.end() :]] if label and not _VERB.search(label["label"]) else [rest]
-        for choice in choices:
-            named = grammar.name.match(choice)
-            if named or _ITEM.match(choice):
-                return choice
-    return text[general:]
+    if general:
+        candidates += [(2, at) for at in _announced(text, grammar)]
+    return text[0 if 0 in (at for kind, at in candidates if kind != 2) else min(candidates)[1] :]
 
 
 def scoring_display(text: Column, family: Family = TRUMPETS) -> Column:

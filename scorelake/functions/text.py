@@ -40,9 +40,10 @@ def sort_form(name: Column) -> Column:
 
 
 def display_name(sorted_name: Column) -> Column:
-    """"Bach, Anna Maria" as "Anna Maria Bach"; what has no comma stays, trimmed."""
+    """"Bach, Anna Maria" as "Anna Maria Bach", "Bach, Johann, Jr" as "Johann, Jr Bach"; what has no comma stays as it is."""
     parts = F.transform(F.split(sorted_name, ","), lambda p: F.trim(p))
-    return F.when(F.size(parts) > 1, F.concat_ws(" ", F.array_join(F.slice(parts, 2, 1), ""), F.element_at(parts, 1))).otherwise(F.trim(sorted_name))
+    behind = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), ", ")
+    return F.when(F.size(parts) > 1, F.trim(F.concat(behind, F.lit(" "), F.element_at(parts, 1)))).otherwise(sorted_name)
 
 
 #: Single names that stand for a composer.
@@ -63,6 +64,8 @@ def without_disambiguator(title: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A string that sorts as the folded text with its numbers compared as numbers."""
+    """A string that sorts as the folded text with its numbers compared as numbers: each has its count of digits before it."""
     parts = F.regexp_extract_all(fold(text), F.lit(r"(\d+|\D+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 12, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    counted = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 6, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), counted(p)).otherwise(p)), "")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import catalogue_key, extra_keys, form_key, work_key
+from ..functions.keys import arrangement_scope, catalogue_key, extra_keys, form_key, work_key
 from ..sources.tables import settled
 
 
 def with_keys(works: DataFrame, source: str) -> DataFrame:
-    """Adds register and query (arrays of keys) to works (c, t, cat), as the source wants it.
+    """Adds register and query (arrays of keys) to works (c, t, cat; also; arr), as the source wants it.
 
-    The score library looks up its extra keys but registers only the plain ones; the others register those too.
+    The score library looks up its extra keys but registers only the plain ones; the others register those too. Rows
+    that `arr` marks as arrangements are keyed apart, so that they only meet each other.
     """
     c, t, cat = F.col("c"), F.col("t"), F.col("cat")
+    if "arr" in works.columns:
+        c = arrangement_scope(c, F.coalesce("arr", F.lit(False)))
     plain = F.array_compact(F.array(work_key(c, t), catalogue_key(c, cat), form_key(c, t)))
     extra = extra_keys(c, t, cat, bare_ok=source != "library")
     registered = plain if source == "library" else F.array_distinct(F.concat(plain, extra["register"]))
@@ -62,16 +65,16 @@ def dedupe_works(ranked: DataFrame, ranks: list[int]) -> DataFrame:
 
 
 def backfill_years(ranked: DataFrame, keys: str = "query") -> DataFrame:
-    """Gives kept rows without a year (y) that of the first dropped row that meets them: (id, y) for those.
+    """Gives kept rows without a year (y null or 0) that of the first dropped row that meets them: (id, y) for those.
 
     A dropped row hands its year to the kept row that owns the first of its keys that anybody owns; of several years
     for one row the earliest dropped row's counts.
     """
     owners = ranked.where("kept").select("id", "y", "rank", "ord", F.explode("register").alias("key"))
     owners = owners.groupBy("key").agg(F.min_by(F.struct("id", "y"), F.struct("rank", "ord")).alias("owner"))
-    dropped = ranked.where("not kept and y is not null").select("id", "rank", "ord", F.col("y").alias("_y"), F.posexplode(keys).alias("place", "key"))
+    dropped = ranked.where("not kept and coalesce(y, 0) <> 0").select("id", "rank", "ord", F.col("y").alias("_y"), F.posexplode(keys).alias("place", "key"))
     found = dropped.join(owners, "key").groupBy("id").agg(F.min_by(F.struct("owner", "rank", "ord", "_y"), "place").alias("m"))
-    found = found.where("m.owner.y is null").select("m.*")
+    found = found.where("coalesce(m.owner.y, 0) = 0").select("m.*")
     return found.groupBy(F.col("owner.id").alias("id")).agg(F.min_by("_y", F.struct("rank", "ord")).alias("y"))
 
 

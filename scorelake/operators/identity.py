@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, slug, sort_form
+from ..sources.tables import settled
 
 
 def resolve_composers(records: DataFrame, variants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,7 @@ def composer_dates(composers: DataFrame, dates: DataFrame) -> DataFrame:
     a listed variant.
     """
     surname = lambda c: fold(F.element_at(F.split(c, ","), 1))
-    forenames = lambda c: F.filter(F.split(fold(F.array_join(F.slice(F.split(c, ","), 2, 9), " ")), " "), lambda w: w != "")
+    forenames = lambda c: F.filter(F.split(fold(F.array_join(F.slice(F.split(c, ","), F.lit(2), F.size(F.split(c, ","))), " ")), " "), lambda w: w != "")
     exact = dates.groupBy("sort").agg(F.min_by(F.struct("born", "died"), "ord").alias("_exact"))
     people = dates.select("ord", "born", "died", surname(F.col("sort")).alias("_surname"), F.array_union(forenames(F.col("sort")), F.coalesce("alt", F.array().cast("array<string>"))).alias("_names"))
     df = composers.join(exact, "sort", "left")
@@ -58,36 +59,79 @@ def composer_dates(composers: DataFrame, dates: DataFrame) -> DataFrame:
     return df.withColumn("born", found["born"]).withColumn("died", found["died"]).withColumn("via_variant", F.col("_exact").isNull() & F.col("_near").isNotNull()).drop("_exact", "_near")
 
 
+#: Distinct query texts that are broadcast at once; more are gone through in parts.
+QUERY_TEXTS = 200_000
+
+
+def _asked(queries: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(query_id, q) of the folded queries, their distinct texts dealt to parts (q, part), and the number of parts."""
+    q = queries.select("query_id", fold(F.col("text")).alias("q")).where(F.length("q") >= least)
+    texts = q.select("q").distinct()
+    parts = -(-texts.count() // QUERY_TEXTS)
+    return q, settled(texts.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(parts, 1))))), parts
+
+
+def _named(composers: DataFrame) -> DataFrame:
+    """composers (composer_id, name, sort, n) with their folded full, sort and last name."""
+    sort = F.coalesce(F.col("sort"), F.lit(""))
+    return composers.select("*", fold(F.col("name")).alias("_full"), fold(sort).alias("_sort"), fold(F.element_at(F.split(sort, ","), 1)).alias("_last"))
+
+
 def name_lookup(composers: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
-    """The `top` composers (composer_id, name, surname, n) for each query (query_id, text), by how well the name fits and how many works there are.
+    """The `top` composers (composer_id, name, sort, aliases, n: works and arrangements) for each query (query_id, text).
 
-    The queries are what people typed, the smaller side; composers meet them by the first two letters of a word of the
-    name, so that nothing is compared with everything, and by the whole word for queries of one letter.
+    A surname or alias that is the query scores 100, the whole name or its sort form 95, a surname that begins with it
+    80, an alias 75, a name or sort form 70; a sort form that contains it 40, a name 35. Up to 12 points are added for
+    many works; ties go by sort form. A composer meets a query where one of the pieces of the name, as long as some
+    query is, equals it, so that only what fits is compared. Equal queries are looked up once, broadcast in parts.
     """
-    q = queries.withColumn("_q", fold(F.col("text"))).where("_q <> ''").withColumn("_head", F.substring("_q", 1, 2))
-    c = composers.withColumn("_full", fold(F.col("name"))).withColumn("_last", fold(F.col("surname")))
-    heads = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_full"), F.lit(1))), lambda i: F.array(F.substring(F.col("_full"), i, F.lit(2)), F.substring(F.col("_full"), i, F.lit(1))))))
-    pairs = c.withColumn("_head", F.explode(heads)).join(q, "_head")
+    q, texts, parts = _asked(queries, 1)
+    c = _named(composers).withColumn("_aliases", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), fold))
+    lengths = sorted(r[0] for r in texts.select(F.length("q")).distinct().collect())
+    lengths = F.array(*map(F.lit, lengths)).cast("array<int>")  # of names people type: a few dozen
+
+    def pieces(name, n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n))
+
+    every = F.transform(lengths, lambda n: F.array_union(F.array_union(pieces(F.col("_full"), n), pieces(F.col("_sort"), n)), F.transform("_aliases", lambda a: F.substring(a, F.lit(1), n))))
+    c = c.withColumn("q", F.explode(F.array_distinct(F.flatten(every))))
+    is_q, begins = (lambda x: x == F.col("q")), (lambda x: F.startswith(x, F.col("q")))
     score = (
-        F.when(F.col("_last") == F.col("_q"), 100).when(F.col("_full") == F.col("_q"), 95).when(F.startswith("_last", F.col("_q")), 80)
-        .when(F.startswith("_full", F.col("_q")), 75).when(F.contains(F.concat(F.lit(" "), F.col("_full")), F.concat(F.lit(" "), F.col("_q"))), 70)
-        .when(F.contains("_last", F.col("_q")), 40).when(F.contains("_full", F.col("_q")), 35)
+        F.when(is_q(F.col("_last")) | F.array_contains("_aliases", F.col("q")), 100).when(is_q(F.col("_full")) | is_q(F.col("_sort")), 95).when(begins(F.col("_last")), 80)
+        .when(F.exists("_aliases", begins), 75).when(begins(F.col("_full")) | begins(F.col("_sort")), 70).when(F.contains("_sort", F.col("q")), 40).when(F.contains("_full", F.col("q")), 35)
     )
     boost = F.least(F.lit(12.0), 2 * F.log2(F.col("n") + 1))
-    pairs = pairs.withColumn("score", F.round(score + boost, 6)).where("score is not null")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "_full", "composer_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "composer_id", "score", "rank")
+    order = W.partitionBy("q").orderBy(F.desc("score"), "_sort", "composer_id")
+    best = None
+    for part in range(parts):
+        met = c.join(F.broadcast(texts.where(F.col("part") == part).select("q")), "q").withColumn("score", F.round(score + boost, 6)).where("score is not null")
+        met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "composer_id", "score", "rank")
+        best = met if best is None else best.unionByName(met)
+    if best is None:
+        return q.select("query_id", F.lit(None).cast("string").alias("composer_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return q.join(best, "q").select("query_id", "composer_id", "score", "rank")
 
 
 def near_names(composers: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """The `top` composers whose folded name is within max(2, length / 3) edits of a query of three letters or more.
+    """The `top` composers (composer_id, name, sort, n) within max(2, length / 3) edits of a query of three letters or more.
 
-    Names meet queries by length: a name is compared only with queries whose length lets it be near enough.
+    The distance is the lesser of those to the surname and to the whole name, of equal distances the composer with more
+    works is first. Equal names and equal queries are compared once, by length: a name meets the queries whose length
+    lets them be near enough, which are broadcast in parts.
     """
-    q = queries.withColumn("_q", fold(F.col("text"))).withColumn("_len", F.length("_q")).where("_len >= 3")
-    q = q.withColumn("_most", F.greatest(F.lit(2), F.floor(F.col("_len") / 3)).cast("int"))
-    q = q.withColumn("_name_len", F.explode(F.sequence(F.col("_len") - F.col("_most"), F.col("_len") + F.col("_most"))))
-    c = composers.withColumn("_full", fold(F.col("name"))).withColumn("_name_len", F.length("_full"))
-    pairs = c.join(q, "_name_len").withColumn("distance", F.levenshtein("_full", "_q")).where("distance <= _most")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", F.desc("n"), "composer_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "composer_id", "distance", "rank")
+    q, texts, parts = _asked(queries, 3)
+    texts = texts.withColumn("_most", F.greatest(F.lit(2), F.floor(F.length("q") / 3)).cast("int"))
+    texts = texts.withColumn("_length", F.explode(F.sequence(F.length("q") - F.col("_most"), F.length("q") + F.col("_most"))))
+    c = _named(composers).select("composer_id", "n", F.explode(F.array_distinct(F.array("_full", "_last"))).alias("form"))
+    forms = settled(c.select("form", F.length("form").alias("_length")).distinct())
+    order = W.partitionBy("q").orderBy("distance", F.desc("n"), "composer_id")
+    best = None
+    for part in range(parts):
+        near = forms.join(F.broadcast(texts.where(F.col("part") == part).drop("part")), "_length")
+        near = near.withColumn("distance", F.levenshtein("form", "q")).where("distance <= _most").select("q", "form", "distance")
+        met = c.join(near, "form").groupBy("q", "composer_id").agg(F.min("distance").alias("distance"), F.max("n").alias("n"))
+        met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("n")
+        best = met if best is None else best.unionByName(met)
+    if best is None:
+        return q.select("query_id", F.lit(None).cast("string").alias("composer_id"), F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    return q.join(best, "q").select("query_id", "composer_id", "distance", "rank")

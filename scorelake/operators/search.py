@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, natural_key
+from ..sources.tables import settled
 
 UNDATED = 9999
 BATCH = 150
@@ -37,25 +38,30 @@ def search_rules(searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rules.where(F.col("key").isin(*keys)).select("search_id", "key", lo.alias("lo"), hi.alias("hi")).distinct()
 
 
+#: Saved searches that are broadcast at once, in one array a part.
+SEARCHES = 5_000
+
+
 def run_saved_searches(works: DataFrame, searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(search_id, ord) for all saved searches in one pass over the works (ord, counts, req).
 
-    A work is a row for each member it needs; rules that ask for players join those on the member, and a work matches
-    if all of a search's rules do. Rules for none take matches away. A search without a rule that asks for players
-    joins every work, as its result does.
+    Works that need the same players are alike to every search, so each such row of numbers is held against the searches
+    once; they are broadcast as arrays. Works then meet the searches that their numbers fulfil. A search without a rule
+    finds every work.
     """
-    rules = search_rules(searches, keys)
-    needs = works.select("ord", F.explode("req").alias("key"), "counts", "req")
-    needs = needs.select("ord", "key", players(F.col("counts"), F.col("req"), F.col("key")).alias("n"))
-    needs = needs.unionByName(works.select("ord", F.lit("*").alias("key"), F.lit(1).alias("n")))
-    asks, none = rules.where("hi > 0"), rules.where("hi = 0")
-    open_ = searches.select("search_id").join(asks, "search_id", "left_anti").select("search_id", F.lit("*").alias("key"), F.lit(1).alias("lo"), F.lit(1).alias("hi"))
-    asks = asks.unionByName(open_)
-    wanted = asks.groupBy("search_id").agg(F.count(F.lit(1)).alias("wanted"))
-    hits = needs.join(asks, "key").where("n between lo and hi").groupBy("search_id", "ord").agg(F.count(F.lit(1)).alias("got"))
-    hits = hits.join(wanted, "search_id").where("got = wanted").select("search_id", "ord")
-    bad = hits.join(none, "search_id").join(needs.where("n > 0"), ["ord", "key"]).select("search_id", "ord").distinct()
-    return hits.join(bad, ["search_id", "ord"], "left_anti")
+    rules = search_rules(searches, keys).groupBy("search_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("rules"))
+    all_ = searches.select("search_id").distinct().join(rules, "search_id", "left")
+    none = F.array().cast("array<struct<key: string, lo: int, hi: int>>")
+    parts = max(-(-all_.count() // SEARCHES), 1)
+    asked = all_.groupBy(F.pmod(F.xxhash64("search_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("search_id", F.coalesce("rules", none).alias("rules"))).alias("searches"))
+    numbers = F.array(*[players(F.col("counts"), F.col("req"), k) for k in keys])
+    needed = settled(works.select("ord", F.coalesce(numbers, F.array(*[F.lit(0)] * len(keys))).alias("numbers")))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (k, i)])
+    holds = lambda r: F.get(F.col("numbers"), F.element_at(place, r["key"])).between(r["lo"], r["hi"])
+    kinds = needed.select("numbers").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = kinds.join(F.broadcast(asked), "part").select("numbers", F.filter("searches", lambda s: F.forall(s["rules"], holds)).alias("found"))
+    found = found.where(F.size("found") > 0).groupBy("numbers").agg(F.flatten(F.collect_list(F.transform("found", lambda s: s["search_id"]))).alias("found"))
+    return needed.join(found, "numbers").select(F.explode("found").alias("search_id"), "ord")
 
 
 def toggles(works: DataFrame, arrangements: bool = False, inferred: bool = True) -> DataFrame:
@@ -89,6 +95,18 @@ def page(matches: DataFrame, by: list[Column], number: int, size: int = BATCH) -
     return matches.orderBy(*by).offset(number * size).limit(size)
 
 
+def placed(rows: DataFrame, by: str, out: str = "place") -> DataFrame:
+    """`rows` with their place, from 1, in the order of column `by`, equal values in any order among themselves.
+
+    Ranges of the values are dealt to tasks; a range's places begin behind the rows of the ranges before it.
+    """
+    dealt = settled(rows.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n"))  # one row a range
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(by)))
+    return own.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_n", "_before", "_own")
+
+
 def instrument_tally(works: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return works.select(F.explode("req").alias("key")).where(F.col("key").isin(*keys)).groupBy("key").agg(F.count(F.lit(1)).alias("works"))
 

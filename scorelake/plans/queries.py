@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import cleanup, keys, markup, scoring, text, years
-from ..operators import chronology, dedupe, harvest, identity, search
+from ..functions import cleanup, commentary, keys, markup, publisher, scoring, text, years
+from ..operators import chronology, dedupe, harvest, identity, search, tallies
 from ..sources import tables
 from . import derived as d
+from . import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,15 +54,16 @@ def k2_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat(F.lit("É "), "p_name")).alias("slug"))
 
 
-@query("k3_sort_form", "SELECT p_partkey, string_split(p_name, ' ')[-1] || ', ' || 'Ann ' || string_split(p_name, ' ')[1] AS sort FROM part WHERE len(string_split(p_name, ' ')) = 2")
+@query("k3_sort_form", "SELECT p_partkey, string_split(p_name, ' ')[-1] || ', Ann' || CASE WHEN len(string_split(p_name, ' ')) > 1 THEN ' ' || array_to_string(string_split(p_name, ' ')[1:-2], ' ') ELSE '' END AS sort FROM part")
 def k3_sort_form(spark, sf_dir):
-    two = table(spark, sf_dir, "part").where(F.size(F.split("p_name", " ")) == 2)
-    return two.select("p_partkey", text.sort_form(F.concat(F.lit("Ann "), "p_name")).alias("sort"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.sort_form(F.concat(F.lit("Ann "), "p_name")).alias("sort"))
 
 
-@query("k4_display_name", "SELECT p_partkey, p_brand || ' ' || p_name AS display FROM part")
+@query("k4_display_name", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand || ' ' || p_name WHEN 1 THEN p_brand || ', Jr ' || p_name ELSE p_name END AS display FROM part")
 def k4_display_name(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.display_name(F.concat("p_name", F.lit(", "), "p_brand")).alias("display"))
+    k = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(k == 0, F.concat(F.lit(", "), "p_brand")).when(k == 1, F.concat(F.lit(", "), "p_brand", F.lit(", Jr"))).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", text.display_name(name).alias("display"))
 
 
 @query(
@@ -129,9 +132,16 @@ def k12_extra_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(both["query"], ";").alias("query"), F.array_join(both["register"], ";").alias("register"))
 
 
-@query("k13_arrangement_scope", f"SELECT ord, CASE WHEN arr THEN 'arr::' || c ELSE c END AS scope FROM ({d.WORKS}) w")
+@query(
+    "k13_arrangement_scope",
+    f"SELECT ord, row_number() OVER (PARTITION BY c, form, ord % 2, arr ORDER BY ord) = 1 AS kept FROM ({d.WORKS}) w",
+)
 def k13_arrangement_scope(spark, sf_dir):
-    return d.derive(spark, sf_dir, d.WORKS).select("ord", keys.arrangement_scope(F.col("c"), F.col("arr")).alias("scope"))
+    """Works of one title: an arrangement drops for an arrangement, an original for an original."""
+    works = d.derive(spark, sf_dir, d.WORKS).select(F.col("ord").alias("id"), "ord", F.lit(3).alias("rank"), "c", "arr", F.concat("form", F.when(F.col("ord") % 2 == 0, " even").otherwise(" odd")).alias("t"), F.lit(None).cast("string").alias("cat"))
+    none = works.where("false").withColumn("rank", F.lit(0))
+    ranked = dedupe.with_keys(works, "library").unionByName(dedupe.with_keys(none, "curated"))
+    return dedupe.dedupe_works(ranked, [0, 3]).select(F.col("id").alias("ord"), "kept")
 
 
 @query(
@@ -142,23 +152,19 @@ def k15_genre_from_title(spark, sf_dir):
     return d.derive(spark, sf_dir, d.WORKS).groupBy(keys.genre_from_title(F.col("t"), F.lit("Orchestral")).alias("genre")).agg(F.count(F.lit(1)).alias("works"))
 
 
-@query("k19_page_id", "SELECT p_partkey, replace(p_name, ' ', '_') AS page_id FROM part")
+@query("k19_page_id", "SELECT p_partkey, replace(p_name, ' ', '_') || '_(É)' AS page_id, 'https://x.org/wiki/' || replace(p_name, ' ', '_') || '_(%C3%89)' AS url FROM part")
 def k19_page_id(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", keys.page_id(F.col("p_name")).alias("page_id"))
+    title = F.concat("p_name", F.lit(" (É)"))
+    return table(spark, sf_dir, "part").select("p_partkey", keys.page_id(title).alias("page_id"), keys.page_url(title, "https://x.org/wiki").alias("url"))
 
 
-@query(
-    "srt3_natural_key",
-    f"SELECT t, CAST(row_number() OVER (ORDER BY form, n, t) AS BIGINT) AS place FROM (SELECT DISTINCT form, n, t FROM ({d.WORKS}) w WHERE ord % 4 IN (0, 3)) x",
-)
-def srt3_natural_key(spark, sf_dir):
-    titles = d.derive(spark, sf_dir, d.WORKS).where("ord % 4 in (0, 3)").select("t").distinct()
-    ordered = titles.withColumn("k", text.natural_key(F.col("t")))
-    counts = ordered.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
+_SUFFIX_ORDER = "CASE ord % 4 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 0 END"
 
-    place = counts.withColumn("place", F.sum("n").over(W.orderBy("k")))  # over distinct titles
-    return ordered.join(place.select("k", "place"), "k").select("t", "place")
+
+@query("srt3_natural_key", f"SELECT t, row_number() OVER (ORDER BY form, n, suffix) AS place FROM (SELECT DISTINCT form, n, {_SUFFIX_ORDER} AS suffix, t FROM ({d.WORKS}) w) x")
+def srt3_natural_key(spark, sf_dir):
+    titles = d.derive(spark, sf_dir, d.WORKS).select("t").distinct()
+    return search.placed(titles.withColumn("k", text.natural_key(F.col("t"))), "k").select("t", "place")
 
 
 # ── scorings ──────────────────────────────────────────────────────────────────
@@ -249,9 +255,10 @@ def flt6_toggles(spark, sf_dir):
     return search.toggles(d.derive(spark, sf_dir, d.WORKS), inferred=False).agg(F.count(F.lit(1)).alias("works"))
 
 
-@query("flt10_plausibility_report", f"SELECT ord, total AS size FROM ({_INDEX}) x WHERE NOT arr AND total > 6 ORDER BY total DESC, ord LIMIT 20")
+@query("flt10_plausibility_report", f"SELECT ord, total AS size FROM ({_INDEX}) x WHERE NOT arr AND total > 6 AND ord % 3 > 0 ORDER BY total DESC, ord LIMIT 20")
 def flt10_plausibility(spark, sf_dir):
-    return index(spark, sf_dir).where(~F.col("arr") & (F.col("size") > 6)).orderBy(F.desc("size"), "ord").limit(20).select("ord", "size")
+    works = index(spark, sf_dir).withColumn("src", F.when(F.col("ord") % 3 == 0, "curated").otherwise("library"))
+    return tallies.plausibility_report(works).select("ord", "size")
 
 
 # ── aggregations, orders ──────────────────────────────────────────────────────
@@ -259,7 +266,7 @@ def flt10_plausibility(spark, sf_dir):
 
 @query("agg1_works_per_composer", f"SELECT c, count(CASE WHEN NOT arr THEN 1 END) AS n, count(CASE WHEN arr THEN 1 END) AS n_arr FROM ({d.WORKS}) w GROUP BY c")
 def agg1_works_per_composer(spark, sf_dir):
-    return d.derive(spark, sf_dir, d.WORKS).groupBy("c").agg(F.count_if(~F.col("arr")).alias("n"), F.count_if("arr").alias("n_arr"))
+    return tallies.works_per_composer(d.derive(spark, sf_dir, d.WORKS))
 
 
 @query(
@@ -272,23 +279,30 @@ def agg3_instrument_tally(spark, sf_dir):
 
 @query("agg4_matches", f"SELECT count(*) AS works, count(DISTINCT c) AS composers FROM ({d.WORKS}) w WHERE NOT arr")
 def agg4_matches(spark, sf_dir):
-    return search.toggles(d.derive(spark, sf_dir, d.WORKS)).agg(F.count(F.lit(1)).alias("works"), F.countDistinct("c").alias("composers"))
+    return tallies.match_counts(search.toggles(d.derive(spark, sf_dir, d.WORKS)))
 
 
 @query("agg6_by_genre", f"SELECT form AS g, count(*) AS works FROM ({d.WORKS}) w GROUP BY form")
 def agg6_by_genre(spark, sf_dir):
-    return d.derive(spark, sf_dir, d.WORKS).groupBy(F.col("form").alias("g")).agg(F.count(F.lit(1)).alias("works"))
+    return tallies.works_by(d.derive(spark, sf_dir, d.WORKS).withColumn("g", F.col("form")), "g")
 
 
-@query("agg11_data_date", "SELECT max(o_orderdate) AS stamp FROM orders")
+@query("agg11_data_date", "SELECT max(greatest(o_orderdate, l.shipped)) AS stamp FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
 def agg11_data_date(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("stamp"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("shipped"))
+    return table(spark, sf_dir, "orders").join(shipped, "o_orderkey").agg(tallies.data_date(F.col("o_orderdate"), F.col("shipped")).alias("stamp"))
 
 
-@query("agg12_greater_count", f"SELECT c, form, max(n1) AS trumpets, arg_min(ord, (-n1, ord)) AS ord FROM ({_INDEX}) x GROUP BY c, form")
+@query(
+    "agg12_greater_count",
+    f"""WITH p AS (SELECT ord % 5000 AS id, ord, n1, c, form FROM ({_INDEX}) x), f AS (SELECT id, min(ord) AS ord FROM p GROUP BY id),
+    o AS (SELECT p.* FROM p JOIN f USING (id, ord)) SELECT max(n1) AS trumpets, arg_min(ord, (-n1, ord)) AS ord FROM o GROUP BY c, form""",
+)
 def agg12_greater_count(spark, sf_dir):
-    n = F.coalesce(F.element_at("counts", F.lit("trumpet")), F.lit(0))
-    return index(spark, sf_dir).groupBy("c", "form").agg(F.max(n).alias("trumpets"), F.max_by("ord", F.struct(n, -F.col("ord"))).alias("ord"))
+    n = F.coalesce(F.element_at("counts", F.lit("trumpet")), F.lit(0)).alias("trumpets")
+    title = F.concat("c", F.lit(" "), "form", F.when(F.col("ord") % 2 == 0, " – PDF download").otherwise("!"))
+    products = index(spark, sf_dir).select((F.col("ord") % 5000).alias("id"), "ord", title.alias("title"), n)
+    return tallies.merge_products(products).select("trumpets", "ord")
 
 
 @query("agg13_section_size", f"SELECT total AS size, count(*) AS works FROM ({d.COUNTS}) c GROUP BY total")
@@ -304,12 +318,13 @@ def srt2_page_by_size(spark, sf_dir):
 
 @query("srt4_top_composers", f"SELECT c, count(*) AS n FROM ({d.WORKS}) w GROUP BY c ORDER BY n DESC, c LIMIT 40")
 def srt4_top_composers(spark, sf_dir):
-    return d.derive(spark, sf_dir, d.WORKS).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(40)
+    return tallies.top_composers(d.derive(spark, sf_dir, d.WORKS), 40)
 
 
-@query("set2_not_yet_read", "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
+@query("set2_not_yet_read", "SELECT o_orderkey AS title FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3")
 def set2_not_yet_read(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey").subtract(table(spark, sf_dir, "lineitem").select("l_orderkey"))
+    read = table(spark, sf_dir, "lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("title"))
+    return harvest.unread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("title")), read)
 
 
 @query(
@@ -448,11 +463,10 @@ def jn3_backfill_years(spark, sf_dir):
     return dedupe.backfill_years(dedupe.dedupe_works(rows, [0, 1, 2]))
 
 
-@query("jn4_attach_years", f"SELECT w.ord, coalesce(w.y, CAST(f.yr AS INT)) AS y FROM ({d.WORKS}) w LEFT JOIN ({d.YEAR_FIELDS}) f ON w.ord = f.ord AND f.ord % 2 = 0")
+@query("jn4_attach_years", f"SELECT w.ord, coalesce(w.y, CAST(f.yr AS INT)) AS y, w.y IS NULL AND f.yr IS NOT NULL AS harvested FROM ({d.WORKS}) w LEFT JOIN ({d.YEAR_FIELDS}) f ON w.ord = f.ord AND f.ord % 2 = 0")
 def jn4_attach_years(spark, sf_dir):
-    found = d.derive(spark, sf_dir, d.YEAR_FIELDS).where("ord % 2 = 0").select(F.col("ord").alias("_o"), "yr")
-    works = d.derive(spark, sf_dir, d.WORKS)
-    return works.join(found, works["ord"] == found["_o"], "left").select("ord", F.coalesce("y", "yr").alias("y"))
+    found = d.derive(spark, sf_dir, d.YEAR_FIELDS).where("ord % 2 = 0").select("ord", F.col("yr").alias("year"))
+    return tallies.attach_years(d.derive(spark, sf_dir, d.WORKS), found, ["ord"]).select("ord", F.col("y").cast("int").alias("y"), "harvested")
 
 
 @query(
@@ -471,18 +485,25 @@ def jn5_composer_dates(spark, sf_dir):
     return identity.composer_dates(composers, dates).select(F.col("composer_id").alias("id"), "born", "via_variant")
 
 
+_NEAR = "CASE c % 3 WHEN 0 THEN 'Brand#' || c % 60 WHEN 1 THEN 'Anna Brand#' || c % 60 ELSE 'Brant ' || c % 90 END"
+
+
 @query(
     "jn11_near_names",
-    """WITH q AS (SELECT p_partkey AS query_id, p_brand || 'x' AS text FROM part WHERE p_partkey < 100000 AND p_partkey % 40 = 0), n AS (SELECT c_custkey AS composer_id, 'Brand#' || c_custkey % 400 AS name FROM customer),
-    f AS (SELECT query_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS q FROM q), g AS (SELECT composer_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS n FROM n),
-    x AS (SELECT query_id, composer_id, levenshtein(n, q) AS distance FROM f, g WHERE levenshtein(n, q) <= greatest(2, len(q) // 3)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, composer_id) AS rank FROM x)
-    SELECT query_id, composer_id, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
+    f"""WITH q AS (SELECT p_partkey AS query_id, lower(p_brand) || 'x' AS text FROM part), n AS (SELECT c_custkey AS id, c_custkey % 7 AS n, {_NEAR.replace('c %', 'c_custkey %')} AS name FROM customer),
+    f AS (SELECT DISTINCT trim(regexp_replace(text, '[^a-z0-9]+', ' ', 'g')) AS q FROM q),
+    g AS (SELECT id, n, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS f, trim(regexp_replace(lower(CASE WHEN id % 3 = 1 THEN substr(name, 6) ELSE name END), '[^a-z0-9]+', ' ', 'g')) AS l FROM n),
+    x AS (SELECT q, id, n, least(levenshtein(f, q), levenshtein(l, q)) AS distance FROM f, g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, n DESC, id) AS rank FROM x WHERE distance <= greatest(2, len(q) // 3))
+    SELECT query_id, id AS composer_id, CAST(distance AS INT) AS distance, CAST(rank AS INT) AS rank FROM q JOIN r ON r.q = trim(regexp_replace(q.text, '[^a-z0-9]+', ' ', 'g')) WHERE rank <= 5""",
 )
 def jn11_near_names(spark, sf_dir):
-    queries = table(spark, sf_dir, "part").where("p_partkey < 100000 and p_partkey % 40 = 0").select(F.col("p_partkey").alias("query_id"), F.concat("p_brand", F.lit("x")).alias("text"))
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("composer_id"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 400).alias("name"), F.lit(0).alias("n"))
-    return identity.near_names(names, queries)
+    queries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat("p_brand", F.lit("x")).alias("text"))
+    c = F.col("c_custkey")
+    number = F.when(c % 3 == 2, c % 90).otherwise(c % 60)
+    name = F.concat(F.when(c % 3 == 0, "Brand#").when(c % 3 == 1, "Anna Brand#").otherwise("Brant "), number)
+    sort = F.concat(F.when(c % 3 == 2, "Brant ").otherwise("Brand#"), number, F.when(c % 3 == 1, ", Anna").otherwise(""))
+    return identity.near_names(table(spark, sf_dir, "customer").select(c.alias("composer_id"), name.alias("name"), sort.alias("sort"), (c % 7).alias("n")), queries)
 
 
 # ── sources and sinks ─────────────────────────────────────────────────────────
@@ -514,12 +535,19 @@ def snk3_build_manifest(spark, sf_dir):
     return make(works).join(make(works.repartition(5)).select("build", F.lit(True).alias("same")), "build").select("same", "works", "composers")
 
 
-@query("snk4_export_csv", f"SELECT ord, t, CASE WHEN arr THEN 'yes' ELSE 'no' END AS arr, coalesce(cat, '') AS cat FROM ({d.WORKS}) w")
+@query(
+    "snk4_export_csv",
+    f"""SELECT CASE WHEN ck % 5 > 0 THEN 'Say "' || ck || '"' ELSE 'Unknown' END AS "Composer", t AS "Work", coalesce(cat, '') AS "Catalogue", coalesce(CAST(y AS VARCHAR), '') AS "Year", form AS "Genre",
+    form || ', x' AS "Trumpet-family scoring", '' AS "Full instrumentation", CASE WHEN arr THEN 'yes' ELSE 'no' END AS "Arrangement" FROM (SELECT *, CAST(substr(c, 2) AS BIGINT) AS ck FROM ({d.WORKS}) w) x""",
+)
 def snk4_export_csv(spark, sf_dir):
     path = _folder(spark, "csv")
-    tables.export_csv(d.derive(spark, sf_dir, d.WORKS).select("ord", "t", "arr", "cat"), path)
-    back = spark.read.csv(path, header=True, escape='"', lineSep="\r\n", schema="ord long, t string, arr string, cat string")
-    return back.withColumn("cat", F.coalesce("cat", F.lit("")))
+    works = d.derive(spark, sf_dir, d.WORKS).withColumns({"g": F.col("form"), "s": F.concat("form", F.lit(", x")), "full": F.lit(None).cast("string")})
+    key = F.col("c_custkey")
+    composers = table(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select(F.concat(F.lit("c"), key).alias("composer_id"), F.concat(F.lit('Say "'), key, F.lit('"')).alias("name"))
+    tables.export_matches(works, composers, path)
+    back = spark.read.csv(path, header=True, escape='"', lineSep="\r\n", encoding="UTF-8")
+    return back.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in tables.EXPORT])
 
 
 @query("snk5_export_list", f"SELECT c || ' — ' || t || CASE WHEN cat IS NULL THEN '' ELSE ', ' || cat END || ' — ' || form AS line FROM ({d.WORKS}) w")
@@ -529,10 +557,12 @@ def snk5_export_list(spark, sf_dir):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-@query("snk6_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+@query("snk6_resume", "SELECT o_orderkey, o_orderkey % 3 > 0 AS late FROM orders")
 def snk6_resume(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return tables.resume(orders, orders.where("o_orderkey % 3 = 0"), "o_orderkey").select("o_orderkey")
+    path = _folder(spark, "harvest")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    tables.append_new(orders.where("o_orderkey % 3 = 0").withColumn("late", F.lit(False)), path, "o_orderkey")
+    return tables.append_new(orders.withColumn("late", F.lit(True)), path, "o_orderkey")
 
 
 @query("snk7_partial_refresh", "SELECT o_orderkey % 3 AS source, count(*) AS n, max(CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END) AS version FROM orders GROUP BY 1")
@@ -601,10 +631,9 @@ def m5_flatten_lines(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), markup.flatten_lines(lines).alias("flat"))
 
 
-@query("m8_first_sentence", "SELECT conv_id, turn, sha256(regexp_replace(text, '\\.\\s+[A-Z](.|\\n)*$', '')) AS first FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\.\\s+[A-Z](.|\\n)*\\.\\s+[A-Z]')")
+@query("m8_first_sentence", "SELECT conv_id, turn, sha256(regexp_replace(text, '\\.[ \\t\\n\\x0B\\f\\r]+[A-Z](.|\\n)*$', '')) AS first FROM conversations")
 def m8_first_sentence(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"(?s)\.\s+[A-Z].*\.\s+[A-Z]"))
-    return rows.select("conv_id", "turn", F.sha2(markup.first_sentence(F.col("text")), 256).alias("first"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(markup.first_sentence(F.col("text")), 256).alias("first"))
 
 
 @query("m9_product_scoring", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', 3 trumpets' ELSE p_brand || ' band' END AS scoring, CASE WHEN p_partkey % 2 = 0 THEN 'instrumentation-line' ELSE 'short-description' END AS how FROM part")
@@ -636,20 +665,43 @@ def src2_category_links(spark, sf_dir):
     return markup.category_links(nation.groupBy(F.col("n_regionkey").alias("page_id")).agg(html.alias("html")))
 
 
-@query(
-    "jn7_category_walk",
-    """WITH a AS (SELECT 'r' || r_regionkey AS composer, 'Work ' || o_orderkey AS title, 0 AS depth, n_nationkey AS a, c_custkey AS b, 'Category:N' || n_nationkey AS subcat FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 0)
-    SELECT composer, title, subcat FROM a""",
-)
-def jn7_category_walk(spark, sf_dir):
+#: Nations lie in regions. Each has a subcategory of its region's own, which is followed, and one that isn't; every fifth work is on the region's page too.
+_WALK = """WITH w AS (SELECT 'r' || n_regionkey AS composer, n_nationkey AS n, c_custkey AS cust, o_orderkey AS ord FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey),
+    f AS (SELECT composer, 'Work ' || ord AS title, NULL AS subcat, NULL AS parent, 0 AS depth, 0 AS a, 0 AS b, ord FROM w WHERE ord % 5 = 0
+      UNION ALL SELECT composer, 'Work ' || ord, 'Category:N' || n, NULL, 1, n, 0, ord FROM w WHERE cust % 3 < 2
+      UNION ALL SELECT composer, 'Work ' || ord, 'Category:M' || n || ' by ' || composer, 'Category:N' || n, 1, n, 1, ord FROM w WHERE cust % 3 > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY composer, title ORDER BY depth, a, b, ord) AS pick FROM f),
+    c AS (SELECT *, row_number() OVER (PARTITION BY composer ORDER BY depth, a, b, ord, title) AS place FROM k WHERE pick = 1)"""
+
+
+def _walk(spark, sf_dir, most: int) -> DataFrame:
     nation, customer, orders = (table(spark, sf_dir, n) for n in ("nation", "customer", "orders"))
-    root = F.concat(F.lit("Category:r"), F.col("n_regionkey"))
-    edges = nation.select(root.alias("parent"), F.concat(F.lit("Category:N"), "n_nationkey").alias("child"), F.lit("subcategory").alias("kind"), F.col("n_nationkey").cast("long").alias("ord"))
-    works = orders.join(customer.where("c_custkey % 2 = 0"), orders["o_custkey"] == customer["c_custkey"])
-    edges = edges.unionByName(works.select(F.concat(F.lit("Category:N"), "c_nationkey").alias("parent"), F.concat(F.lit("Work "), "o_orderkey").alias("child"), F.lit("page").alias("kind"), F.col("o_orderkey").alias("ord")))
-    edges = edges.unionByName(works.select(F.concat(F.lit("Category:N"), "c_nationkey").alias("parent"), F.concat(F.lit("List of "), "o_orderkey").alias("child"), F.lit("page").alias("kind"), F.col("o_orderkey").alias("ord")))
+    root, own = F.concat(F.lit("Category:r"), "n_regionkey"), F.concat(F.lit("Category:N"), "n_nationkey")
+    deeper = F.concat(F.lit("Category:M"), "n_nationkey", F.lit(" by r"), "n_regionkey")
+    edge = lambda df, parent, child, kind, ord_: df.select(parent.alias("parent"), child.alias("child"), F.lit(kind).alias("kind"), ord_.cast("long").alias("ord"))
+    works = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    title, k, at = F.concat(F.lit("Work "), "o_orderkey"), F.col("c_custkey") % 3, F.col("o_orderkey")
+    edges = [
+        edge(nation, root, own, "subcategory", F.col("n_nationkey")), edge(nation, own, deeper, "subcategory", F.lit(1)),
+        edge(nation, own, F.concat(F.lit("Category:X"), "n_nationkey", F.lit(" by others")), "subcategory", F.lit(2)),
+        edge(works.where(at % 5 == 0), root, title, "page", at), edge(works.where(k < 2), own, title, "page", at), edge(works.where(k > 0), deeper, title, "page", at),
+        edge(works, F.concat(F.lit("Category:X"), "n_nationkey", F.lit(" by others")), F.concat(F.lit("Never "), at), "page", at), edge(works, own, F.concat(F.lit("List of "), at), "page", at),
+    ]
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
     roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("composer"), F.concat(F.lit("Category:r"), "r_regionkey").alias("category"))
-    return harvest.walk(roots, edges, most=10_000_000).select("composer", "title", "subcat")
+    return harvest.walk(roots, every, most)
+
+
+@query("jn7_category_walk", f"{_WALK} SELECT composer, title, subcat, parent FROM c")
+def jn7_category_walk(spark, sf_dir):
+    return _walk(spark, sf_dir, 1 << 40)
+
+
+@query("win5_first_category_and_cap", f"{_WALK} SELECT composer, title, subcat FROM c WHERE place <= 1000")
+def win5_first_category(spark, sf_dir):
+    return _walk(spark, sf_dir, harvest.MOST_ARTICLES).select("composer", "title", "subcat")
 
 
 @query("jn8_redirects", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 1 THEN 'text ' || (p_partkey - 1) WHEN 0 THEN 'text ' || p_partkey END AS wikitext FROM part")
@@ -667,6 +719,15 @@ def agg8_funnel(spark, sf_dir):
     return harvest.funnel(parsed.select("title", "text", F.col("scoring.total").alias("total")))
 
 
+@query("agg8_product_funnel", "SELECT outcome, count(*) AS n FROM (SELECT CASE p_partkey % 5 WHEN 0 THEN 'edition' WHEN 1 THEN 'no scoring' WHEN 2 THEN 'no family' ELSE 'kept' END AS outcome FROM part) x GROUP BY outcome")
+def agg8_product_funnel(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    said = F.when(k == 1, "<p>A piece.</p>").when(k == 2, "<p>Instrumentation: 2 oboes</p>").when(k > 2, F.concat(F.lit("<p>Instrumentation: 2 oboes, "), k, F.lit(" trumpets</p>"))).otherwise("")
+    found = markup.product_scoring(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("description"), F.lit("").alias("short")), "description", "short")
+    parsed = scoring.parse_scoring(found.select("description", F.col("scoring").alias("text")), "text")
+    return tallies.product_funnel(parsed.select((F.col("description") != "").alias("described"), F.col("text").alias("scoring"), F.col("scoring.total").alias("total"), scoring.mentions_family(F.col("text")).alias("mentions")))
+
+
 # ── display text ──────────────────────────────────────────────────────────────
 
 
@@ -689,12 +750,42 @@ def c5_collapse_strings(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.collapse_strings(F.concat("p_name", tail)).alias("text"))
 
 
-@query("c7_shipped_text", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '=' || p_name || '=' ELSE p_name END || ', strings' AS text FROM part")
+@query("c7_shipped_text", "SELECT p_partkey AS id, p_size || ' trumpets, strings' || CASE WHEN p_partkey % 2 = 0 THEN '. It is in ' || p_size || ' movements and ' || p_name ELSE '' END AS text FROM part")
 def c7_shipped_text(spark, sf_dir):
-    raw = F.concat(F.lit("="), "p_name", F.lit("=, violins, violas, cellos, basses"))
+    raw = F.concat("p_size", F.lit(" trumpets, violins, violas, cellos, basses. It is in "), "p_size", F.lit(" movements and "), "p_name")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.shipped(raw, F.when(F.col("p_partkey") % 2 == 0, "curated").otherwise("library")).alias("text"))
 
 
+@query(
+    "c4_strip_commentary",
+    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_size || ' flutes, trumpet, timpani and strings' WHEN 1 THEN 'harp, organ, ' || p_size || ' violins, Strings'
+       WHEN 2 THEN 'S.D., B.D., Xylo., ' || p_size || ' cornets, Guiro' WHEN 3 THEN 'harp, strings. For a performance in May the composer added horn and trumpet parts' END AS text FROM part""",
+)
+def c4_strip_commentary(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    raw = (
+        F.when(k == 0, F.concat("p_size", F.lit(" flutes, trumpet, timpani and strings. It is in four movements. A typical performance of "), "p_name", F.lit(" lasts about 25 minutes")))
+        .when(k == 1, F.concat(F.lit("harp, organ, "), "p_size", F.lit(' violins, Strings, This is a slightly larger orchestra than for the 1923 '), "p_name"))
+        .when(k == 2, F.concat(F.lit("S.D., B.D., Xylo., "), "p_size", F.lit(" cornets, Guiro<!-- "), "p_name", F.lit(" -->")))
+        .when(k == 3, "harp, strings. For a performance in May the composer added horn and trumpet parts").otherwise("a bassoon theme played against plucked strings. The musical material comes from a gavotte")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), commentary.strip_commentary(raw).alias("text"))
+
+
+@query(
+    "c6_readable_scoring",
+    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '3 flutes, 2 oboes, 2 clarinets, 2 bassoons, 4 horns, ' || (p_size % 5 + 2) || ' trumpets, 3 trombones, tuba, timpani, ' || (p_size % 5 + 2) || ' percussion, harp, strings'
+       WHEN 1 THEN (p_size % 5 + 2) || ' Flutes, 3 clarinets, ' || p_name WHEN 2 THEN 'brass quintet (also published in other scorings)' ELSE 'solo trumpet, celesta, saxophones, guitar' END AS text FROM part""",
+)
+def c6_readable_scoring(spark, sf_dir):
+    k, n = F.col("p_partkey") % 4, F.col("p_size") % 5 + 2
+    raw = (
+        F.when(k == 0, F.concat(F.lit("*3222 – 4"), n, F.lit("31 – t+"), n, F.lit(" – hp – str"))).when(k == 1, F.concat(F.lit("Flute 1-"), n, F.lit("; Bb clarinet 1-3; "), "p_name"))
+        .when(k == 2, F.concat(F.lit("2 options, 1) brass quintet, 2) full orchestra and "), "p_name")).otherwise("Solo trumpet – cel. – sax (please indicate which one would be preferred), gtr.")
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), publisher.readable_scoring(raw).alias("text"))
+
+
 @query("d3_article_year", "SELECT o_orderkey AS ord, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'infobox' ELSE 'category' END AS how FROM orders")
 def d3_article_year(spark, sf_dir):
     yr = F.year("o_orderdate")
@@ -709,25 +800,64 @@ def d3_article_year(spark, sf_dir):
 
 @query("agg2_per_composer_of_a_source", "SELECT o_custkey AS c, count(*) AS works FROM orders WHERE o_orderkey % 4 = 2 GROUP BY o_custkey")
 def agg2_per_composer_of_a_source(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 4 = 2").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("works"))
+    works = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.element_at(F.array(*map(F.lit, ("curated", "publisher", "library", "encyclopaedia"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("src"))
+    return tallies.works_of_source(works, "library")
 
 
 @query("agg5_by_source", f"SELECT rank, count(*) AS works FROM ({d.RANKED}) r GROUP BY rank")
 def agg5_by_source(spark, sf_dir):
-    return d.derive(spark, sf_dir, d.RANKED).groupBy("rank").agg(F.count(F.lit(1)).alias("works"))
+    return tallies.works_by(d.derive(spark, sf_dir, d.RANKED), "rank")
 
 
-@query("agg7_build_statistics", f"SELECT count(*) AS works, count(DISTINCT c) AS composers, count(y) AS dated, count(CASE WHEN y < 1995 OR y > 1999 THEN 1 END) AS rejected, count(CASE WHEN arr THEN 1 END) AS arrangements FROM ({d.WORKS}) w")
+@query(
+    "agg7_build_statistics",
+    f"""WITH w AS (SELECT *, y IS NOT NULL AND ord % 2 = 0 AS h FROM ({d.WORKS}) w), p AS (SELECT count(*) AS composers, count(CASE WHEN k < 3 THEN 1 END) AS dates_added, count(CASE WHEN k < 3 AND id % 2 = 0 THEN 1 END) AS via_variant,
+    count(CASE WHEN k = 1 AND b >= 1900 THEN 1 END) AS living FROM (SELECT s_suppkey AS id, 1700 + s_suppkey % 290 AS b, s_suppkey % 4 AS k FROM supplier) l)
+    SELECT count(*) AS works, count(CASE WHEN NOT (h AND (y < 1995 OR y > 1999)) THEN y END) AS dated, count(CASE WHEN (y IS NULL OR (h AND (y < 1995 OR y > 1999))) AND ord % 3 = 0 THEN 1 END) AS placed,
+    count(CASE WHEN h AND y BETWEEN 1995 AND 1999 THEN 1 END) AS years_kept, count(CASE WHEN h AND (y < 1995 OR y > 1999) THEN 1 END) AS years_rejected,
+    any_value(composers) AS composers, any_value(dates_added) AS dates_added, any_value(via_variant) AS via_variant, any_value(living) AS living FROM w, p""",
+)
 def agg7_build_statistics(spark, sf_dir):
-    works = d.derive(spark, sf_dir, d.WORKS).withColumn("ok", years.plausible_year(F.col("y"), F.lit(1990), F.lit(1999)))
-    rejected = F.col("y").isNotNull() & F.col("ok").isNull()
-    return works.agg(F.count(F.lit(1)).alias("works"), F.countDistinct("c").alias("composers"), F.count("y").alias("dated"), F.count_if(rejected).alias("rejected"), F.count_if("arr").alias("arrangements"))
+    harvested = F.col("y").isNotNull() & (F.col("ord") % 2 == 0)
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("harvested", harvested).withColumn("ok", years.plausible_year(F.col("y"), F.lit(1990), F.lit(1999)))
+    works = works.withColumn("rejected", F.col("harvested") & F.col("ok").isNull()).withColumn("y", F.when(~F.col("rejected"), F.col("y"))).withColumn("sy", F.when(F.col("ord") % 3 == 0, F.lit(1.0)))
+    lives = d.derive(spark, sf_dir, _LIVES)
+    born, died = F.when(F.col("k") < 2, F.col("b")), F.when(F.col("k").isin(0, 2), F.col("e"))
+    dates, form = years.show_dates(born, died), years.date_form(born, died)
+    return tallies.build_statistics(works, lives.select(dates.isNotNull().alias("dates_added"), (F.col("id") % 2 == 0).alias("via_variant"), (form == "living").alias("living")))
+
 
+#: Pages of people: a quarter is missing, some have no template, the template has one of two names.
+_PAGES = "SELECT s_suppkey AS id, 1700 + s_suppkey % 290 AS b, 1750 + s_suppkey % 290 AS e, s_suppkey % 8 AS k FROM supplier"
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    k = F.col("k")
+    fields = F.concat(
+        F.when(k != 3, F.concat(F.lit("|Born Year=ca. "), "b", F.lit("\n"))).otherwise(""),
+        F.when(k.isin(0, 3, 5), F.concat(F.lit("|Died Year= "), F.when(k == 5, F.col("b") - 20).otherwise(F.col("e")), F.lit("\n"))).otherwise(""),
+        F.lit("|Alternate Names=Ána, B, Zoe "), "id", F.lit("\n}}"),
+    )
+    page = F.when(k == 2, F.concat(F.lit("{{#fte:other\n"), fields)).when(k % 2 == 0, F.concat(F.lit("x {{#fte:person\n"), fields)).otherwise(F.concat(F.lit("{{#imslpcomposer:\n"), fields))
+    return d.derive(spark, sf_dir, _PAGES).select("id", F.when(k < 6, page).alias("wikitext")).select("id", F.col("wikitext").isNull().alias("missing"), F.explode(F.array(years.person_record(F.col("wikitext"), 2100))).alias("r"))
 
-@query("agg9_person_statistics", f"SELECT count(*) AS found, count(b) AS with_birth, count(CASE WHEN k = 3 THEN 1 END) AS no_death FROM ({_LIVES}) l")
+
+@query(
+    "d5_person_record",
+    f"SELECT id, CASE WHEN k <> 3 THEN b END AS born, CASE WHEN k IN (0, 3) THEN e END AS died, k = 5 AS suspect, 'ana zoe' || CASE WHEN id > 9 THEN ' ' || id ELSE '' END AS alt FROM ({_PAGES}) p WHERE k < 6 AND k <> 2",
+)
+def d5_person_record(spark, sf_dir):
+    found = _people(spark, sf_dir).where("r is not null")
+    return found.select("id", F.col("r.born").cast("long").alias("born"), F.col("r.died").cast("long").alias("died"), "r.suspect", F.array_join("r.alt", " ").alias("alt"))
+
+
+@query(
+    "agg9_person_statistics",
+    f"""SELECT count(*) AS looked_up, count(CASE WHEN k < 6 AND k <> 2 THEN 1 END) AS found, count(CASE WHEN k = 2 THEN 1 END) AS no_record, count(CASE WHEN k >= 6 THEN 1 END) AS page_missing,
+    count(CASE WHEN k IN (0, 1, 4, 5) THEN 1 END) AS with_birth, count(CASE WHEN k IN (1, 4, 5) THEN 1 END) AS no_death FROM ({_PAGES}) p""",
+)
 def agg9_person_statistics(spark, sf_dir):
-    people = d5_person(spark, sf_dir)
-    return people.agg(F.count(F.lit(1)).alias("found"), F.count("born").alias("with_birth"), F.count_if(F.col("died").isNull()).alias("no_death"))
+    return tallies.person_statistics(_people(spark, sf_dir).select("missing", "r.born", "r.died"))
 
 
 @query("flt3_sane_category", f"SELECT ord, count(CASE WHEN i < 4 THEN 1 END) > 0 AND ord % 3 > 0 AS sane FROM ({d.PARTS}) p GROUP BY ord")
@@ -745,14 +875,13 @@ def flt4_holds_works(spark, sf_dir):
 
 @query("flt5_complete_rows", f"SELECT w.ord FROM ({d.WORKS}) w JOIN ({d.COUNTS}) k ON w.ord = k.ord WHERE total > 0 AND cat IS NOT NULL")
 def flt5_complete_rows(spark, sf_dir):
-    return index(spark, sf_dir).where((F.col("size") > 0) & F.col("cat").isNotNull()).select("ord")
+    return tallies.complete_rows(index(spark, sf_dir), F.col("size"), "cat", "c").select("ord")
 
 
-@query("flt11_composers_with_works", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("flt11_composers_with_works", "SELECT c_custkey AS composer_id, n, n_arr FROM customer JOIN (SELECT o_custkey, count(CASE WHEN o_orderkey % 7 > 0 THEN 1 END) AS n, count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) AS n_arr FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
 def flt11_composers_with_works(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    customers = table(spark, sf_dir, "customer")
-    return customers.join(counts, customers["c_custkey"] == counts["o_custkey"], "left").where(F.coalesce("n", F.lit(0)) > 0).select("c_custkey")
+    counts = tallies.works_per_composer(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 7 == 0).alias("arr")))
+    return tallies.composers_with_works(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("composer_id")), counts)
 
 
 @query("jn6_with_composers", f"SELECT ord, coalesce(c_name, 'Unknown') AS composer FROM ({d.WORKS}) w LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) x ON w.c = concat('c', x.c_custkey)")
@@ -761,30 +890,41 @@ def jn6_with_composers(spark, sf_dir):
     return search.with_composers(d.derive(spark, sf_dir, d.WORKS), composers).select("ord", "composer")
 
 
-@query("set1_union_of_sources", "SELECT source, count(*) AS n, count(extra) AS with_extra FROM (SELECT 'customer' AS source, c_mktsegment AS extra FROM customer UNION ALL SELECT 'supplier', NULL FROM supplier) u GROUP BY source")
+@query(
+    "set1_union_of_sources",
+    """SELECT src, rank, count(*) AS n, count(extra) AS with_extra FROM (SELECT 'curated' AS src, 0 AS rank, c_mktsegment AS extra FROM customer UNION ALL SELECT 'publisher', 1, NULL FROM supplier
+    UNION ALL SELECT 'encyclopaedia', 2, NULL FROM part UNION ALL SELECT 'library', 3, o_orderpriority FROM orders) u GROUP BY src, rank""",
+)
 def set1_union_of_sources(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("extra"))
-    b = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("with_extra"))
+    named = {"curated": ("customer", "c_custkey", "c_mktsegment"), "publisher": ("supplier", "s_suppkey", None), "encyclopaedia": ("part", "p_partkey", None), "library": ("orders", "o_orderkey", "o_orderpriority")}
+    sources = {}
+    for src, (name, key, extra) in named.items():
+        sources[src] = table(spark, sf_dir, name).select(F.col(key).alias("ord"), *([F.col(extra).alias("extra")] if extra else []))
+    return tallies.union_sources(sources).groupBy("src", "rank").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("with_extra"))
 
 
-@query("set3_distinct_pages", "SELECT o_custkey AS page FROM orders UNION SELECT c_custkey FROM customer")
+@query("set3_distinct_pages", "SELECT o_custkey AS title FROM orders UNION SELECT c_custkey FROM customer UNION SELECT s_suppkey FROM supplier")
 def set3_distinct_pages(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page")).union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    return tallies.distinct_pages(*[table(spark, sf_dir, n).select(F.col(k).alias("title")) for n, k in (("orders", "o_custkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"))])
 
 
-@query("set4_alias_union", "SELECT o_custkey AS c, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ';') AS aliases FROM orders GROUP BY o_custkey")
+@query("set4_alias_union", "SELECT o_custkey AS c, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderpriority, o_orderstatus] END)))), ';') AS aliases FROM orders GROUP BY o_custkey")
 def set4_alias_union(spark, sf_dir):
-    own = F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ";")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(own.alias("aliases"))
+    names = F.when(F.col("o_orderkey") % 4 > 0, F.array("o_orderpriority", "o_orderstatus"))
+    merged = tallies.merged_names(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), names.alias("aliases")), "c", "aliases")
+    return merged.select("c", F.array_join("aliases", ";").alias("aliases"))
 
 
-@query("srt1_within_composer", f"SELECT ord, CAST(row_number() OVER (PARTITION BY c ORDER BY form, coalesce(y, 9999), n, t, ord) AS INT) AS place FROM ({d.WORKS}) w WHERE ord % 4 IN (0, 3)")
-def srt1_within_composer(spark, sf_dir):
-    from pyspark.sql import Window as W
+_WITHIN = {"genre": "form, coalesce(y, 9999), form, n, suffix", "title": "form, n, suffix", "date": "coalesce(y, 9999), form, n, suffix", "size": "total DESC, form, n, suffix"}
+
 
-    works = d.derive(spark, sf_dir, d.WORKS).where("ord % 4 in (0, 3)").withColumn("g", F.col("form")).withColumn("sy", F.col("y"))
-    return works.select("ord", F.row_number().over(W.partitionBy("c").orderBy(*search.ordering_within("genre"))).alias("place"))
+@query("srt1_within_composer", " UNION ALL ".join(f"SELECT '{by}' AS by, ord, CAST(row_number() OVER (PARTITION BY c ORDER BY {keys_}, ord) AS INT) AS place FROM (SELECT *, {_SUFFIX_ORDER} AS suffix FROM (SELECT w.*, total FROM ({d.WORKS}) w JOIN ({d.COUNTS}) k ON w.ord = k.ord) v) x" for by, keys_ in _WITHIN.items()))
+def srt1_within_composer(spark, sf_dir):
+    works, out = index(spark, sf_dir).withColumn("g", F.col("form")).withColumn("sy", F.col("y")), None
+    for by in _WITHIN:
+        own = works.select(F.lit(by).alias("by"), "ord", F.row_number().over(W.partitionBy("c").orderBy(*search.ordering_within(by))).alias("place"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query("win4_second_page", f"SELECT ord FROM ({d.WORKS}) w ORDER BY coalesce(y, 9999), c, ord LIMIT 150 OFFSET 150")
@@ -799,18 +939,31 @@ def k18_is_arrangement(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.is_arrangement(name).alias("arrangement"))
 
 
-@query("snk8_loss_guard", "SELECT count(*) AS old, count(CASE WHEN o_orderkey % 10 > 0 THEN 1 END) AS new, true AS publish FROM orders")
+@query("snk8_loss_guard", "SELECT kept, CASE WHEN kept = 0 THEN true ELSE new >= old * 0.8 END AS publish FROM (SELECT count(*) AS old FROM orders) a, (SELECT m AS kept, count(o_orderkey) AS new FROM (VALUES (0), (10), (3)) v(m) LEFT JOIN orders ON m = 0 OR o_orderkey % m > 0 GROUP BY m) b")
 def snk8_loss_guard(spark, sf_dir):
-    both = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("old"), F.count_if(F.col("o_orderkey") % 10 > 0).alias("new"))
-    return both.withColumn("publish", F.col("new") >= F.col("old") * (1 - tables.LOSS))
+    orders = table(spark, sf_dir, "orders")
+    old, most, few = orders.agg(F.count(F.lit(1)), F.count_if(F.col("o_orderkey") % 10 > 0), F.count_if(F.col("o_orderkey") % 3 > 0)).first()
+    return spark.createDataFrame([(kept, tables.guard_loss(old, new)) for kept, new in ((0, old), (10, most), (3, few))], "kept int, publish boolean")
 
 
-@query("snk1_publish_index", f"SELECT ord, t, CAST(c AS VARCHAR) AS c FROM ({d.WORKS}) w")
+@query(
+    "snk1_publish_index",
+    f"""SELECT 'work' AS kind, ord AS id, t AS label, NULL AS place FROM ({d.WORKS}) w UNION ALL SELECT 'composer', c_custkey, c_name, row_number() OVER (ORDER BY c_name DESC, c_custkey) FROM customer
+    UNION ALL SELECT 'stats', (SELECT count(*) FROM orders), NULL, count(*) FROM customer""",
+)
 def snk1_publish_index(spark, sf_dir):
     path = _folder(spark, "index")
     works = d.derive(spark, sf_dir, d.WORKS).withColumn("src", F.lit("x")).withColumn("url", F.lit("y"))
-    tables.publish_index(works, path)
-    return spark.read.parquet(path).select("ord", "t", "c")
+    backwards = F.lpad((10**9 - F.regexp_extract("c_name", r"(\d+)", 1).cast("long")).cast("string"), 12, "0")
+    composers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("composer_id"), F.col("c_name").alias("name"), backwards.alias("sort"))
+    tables.publish_index(works, composers, path)
+    read = spark.read.parquet
+    none = F.lit(None).cast("string")
+    shown = read(f"{path}/works").drop("bucket")
+    assert "src" not in shown.columns and "url" not in shown.columns
+    out = shown.select(F.lit("work").alias("kind"), F.col("ord").alias("id"), F.col("t").alias("label"), F.lit(None).cast("long").alias("place"))
+    listed = search.placed(read(f"{path}/composers"), "sort").select(F.lit("composer").alias("kind"), F.col("composer_id").alias("id"), F.col("name").alias("label"), F.col("place").cast("long").alias("place"))
+    return out.unionByName(listed).unionByName(read(f"{path}/stats").select(F.lit("stats").alias("kind"), F.col("works").alias("id"), none.alias("label"), F.col("composers").alias("place")))
 
 
 @query("k7_split_catalogue", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN p_name || ', Xy.' || p_size ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Op.' || p_size || ' No.2' WHEN 1 THEN 'BWV ' || p_size END AS catalogue FROM part")
@@ -876,30 +1029,40 @@ def jn9_requested_titles(spark, sf_dir):
 
 @query(
     "jn10_name_lookup",
-    """WITH c AS (SELECT c_custkey AS composer_id, 'maria kund' || c_custkey % 300 AS f, 'kund' || c_custkey % 300 AS l, c_custkey % 7 AS n FROM customer),
-    q AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'kund' || p_size WHEN 1 THEN 'maria kund' || p_size ELSE 'und' || p_size END AS q FROM part WHERE p_partkey % 50 = 0),
-    s AS (SELECT query_id, composer_id, f, CASE WHEN l = q THEN 100 WHEN f = q THEN 95 WHEN starts_with(l, q) THEN 80 WHEN starts_with(f, q) THEN 75 WHEN contains(' ' || f, ' ' || q) THEN 70
-      WHEN contains(l, q) THEN 40 WHEN contains(f, q) THEN 35 END + least(12, 2 * log2(n + 1)) AS x FROM c, q),
-    r AS (SELECT query_id, composer_id, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 6) DESC, f, composer_id) AS rank FROM s WHERE x IS NOT NULL)
-    SELECT query_id, composer_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""",
+    f"""WITH c AS (SELECT c_custkey AS id, 'maria kund' || c_custkey % 300 AS f, 'kund' || c_custkey % 300 || ' maria' AS s, 'kund' || c_custkey % 300 AS l, CASE WHEN c_custkey % 11 = 0 THEN 'zett ' || c_custkey % 90 END AS a, c_custkey % 7 AS n FROM customer),
+    p AS (SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN 'kund' || p_size WHEN 1 THEN 'maria kund' || p_size WHEN 2 THEN 'und' || p_size WHEN 3 THEN 'zett ' || p_size WHEN 4 THEN 'zet' WHEN 5 THEN 'kund' || p_size || ' maria' ELSE 'ia kund' || p_size END AS q FROM part),
+    q AS (SELECT DISTINCT q FROM p),
+    x AS (SELECT q, id, s, CASE WHEN l = q OR coalesce(a = q, false) THEN 100 WHEN f = q OR s = q THEN 95 WHEN starts_with(l, q) THEN 80 WHEN coalesce(starts_with(a, q), false) THEN 75 WHEN starts_with(f, q) OR starts_with(s, q) THEN 70
+      WHEN contains(s, q) THEN 40 WHEN contains(f, q) THEN 35 END + least(12, 2 * log2(n + 1)) AS x FROM c, q),
+    r AS (SELECT q, id, round(x, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(x, 6) DESC, s, id) AS rank FROM x WHERE x IS NOT NULL)
+    SELECT query_id, id AS composer_id, score, CAST(rank AS INT) AS rank FROM p JOIN r USING (q) WHERE rank <= 8""",
 )
 def jn10_name_lookup(spark, sf_dir):
-    c, p = F.col("c_custkey"), F.col("p_partkey")
-    composers = table(spark, sf_dir, "customer").select(c.alias("composer_id"), F.concat(F.lit("Maria Kund"), c % 300).alias("name"), F.concat(F.lit("Kund"), c % 300).alias("surname"), (c % 7).alias("n"))
-    text_ = F.concat(F.when(p % 3 == 0, "KUND").when(p % 3 == 1, "Maria Kund").otherwise("und"), "p_size")
-    return identity.name_lookup(composers, table(spark, sf_dir, "part").where(p % 50 == 0).select(p.alias("query_id"), text_.alias("text")))
+    c, k = F.col("c_custkey"), F.col("p_partkey") % 7
+    kund = F.concat(F.lit("Kund"), c % 300)
+    composers = table(spark, sf_dir, "customer").select(
+        c.alias("composer_id"), F.concat(F.lit("Maria "), kund).alias("name"), F.concat(kund, F.lit(", Maria")).alias("sort"),
+        F.when(c % 11 == 0, F.array(F.concat(F.lit("Zett-"), c % 90))).alias("aliases"), (c % 7).alias("n"),
+    )
+    size = F.col("p_size").cast("string")
+    said = (
+        F.when(k == 0, F.concat(F.lit("KUND"), size)).when(k == 1, F.concat(F.lit("Maria Kund"), size)).when(k == 2, F.concat(F.lit("und"), size)).when(k == 3, F.concat(F.lit("zett "), size))
+        .when(k == 4, "Zet").when(k == 5, F.concat(F.lit("Kund"), size, F.lit(", Maria"))).otherwise(F.concat(F.lit("ia kund"), size))
+    )
+    return identity.name_lookup(composers, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), said.alias("text")))
 
 
 @query(
     "jn12_alternate_titles",
-    """SELECT p_partkey AS id, p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 0) AND row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 AS kept FROM part""",
+    """SELECT -p_partkey - 1 AS id, true AS kept FROM part WHERE p_partkey % 97 = 0 UNION ALL
+    SELECT p_partkey, p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 0) AND row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1 FROM part""",
 )
 def jn12_alternate_titles(spark, sf_dir):
     part, none = table(spark, sf_dir, "part"), F.lit(None).cast("string")
     own = part.where("p_partkey % 97 = 0").select((-F.col("p_partkey") - 1).alias("id"), F.lit(0).alias("rank"), F.col("p_partkey").alias("ord"), F.lit("x").alias("c"), F.concat("p_name", F.lit(" version "), "p_partkey").alias("t"), none.alias("cat"), F.array("p_name").alias("also"))
     library = part.select(F.col("p_partkey").alias("id"), F.lit(3).alias("rank"), F.col("p_partkey").alias("ord"), F.lit("x").alias("c"), F.col("p_name").alias("t"), none.alias("cat"))
     ranked = dedupe.with_keys(own, "curated").drop("also").unionByName(dedupe.with_keys(library, "library"))
-    return dedupe.dedupe_works(ranked, [0, 3]).where("rank = 3").select("id", "kept")
+    return dedupe.dedupe_works(ranked, [0, 3]).select("id", "kept")
 
 
 @query("srt5_listing_order", "SELECT s_suppkey FROM supplier ORDER BY CASE WHEN s_suppkey % 5 = 0 THEN 'zz' ELSE s_name END, s_suppkey LIMIT 5 OFFSET 5")
@@ -919,6 +1082,31 @@ def p10_doublings(spark, sf_dir):
     return scoring.parse_scoring(texts, "text").select("ord", F.explode("scoring.doublings").alias("x")).select("ord", "x.instrument", "x.parent", "x.player")
 
 
+@query(
+    "p8_alternatives",
+    "SELECT o_orderkey AS ord, CAST(o_orderkey % 6 + 2 AS INT) AS trumpets, CAST(CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 4 + 2 ELSE 0 END AS INT) AS cornets FROM orders",
+)
+def p8_alternatives(spark, sf_dir):
+    k = F.col("o_orderkey")
+    link = F.when(k % 3 == 0, " trumpets or cornets").when(k % 3 == 1, " trumpets oder cornets").otherwise(F.concat(F.lit(" trumpets, "), k % 4 + 2, F.lit(" cornets or flugelhorns")))
+    texts = table(spark, sf_dir, "orders").select(k.alias("ord"), F.concat(F.lit("oboe, "), k % 6 + 2, link, F.lit(", harp")).alias("text"))
+    return scoring.parse_scoring(texts, "text").select("ord", scoring.count_of(F.col("scoring"), "trumpet").alias("trumpets"), scoring.count_of(F.col("scoring"), "cornet").alias("cornets"))
+
+
+@query(
+    "p11_clauses_of_asides",
+    """SELECT o_orderkey AS ord, CAST(o_orderkey % 5 + 3 AS INT) AS trumpets, CASE WHEN o_orderkey % 2 = 0 THEN 'piccoloTrumpet:1st;flugelhorn:2nd' ELSE 'cornet:3rd' END AS doublings,
+    CAST(CASE WHEN o_orderkey % 2 = 1 THEN 2 ELSE 0 END AS INT) AS flugelhorns FROM orders""",
+)
+def p11_clauses_of_asides(spark, sf_dir):
+    k = F.col("o_orderkey")
+    aside = F.when(k % 2 == 0, "1st doubling piccolo trumpet, 2nd doubling flugelhorn").otherwise("3rd doubling cornet; 2 flugelhorns offstage")
+    texts = table(spark, sf_dir, "orders").select(k.alias("ord"), F.concat(k % 5 + 3, F.lit(" trumpets ("), aside, F.lit(") and timpani")).alias("text"))
+    x = scoring.parse_scoring(texts, "text")
+    named = F.array_join(F.transform("scoring.doublings", lambda v: F.concat(v["instrument"], F.lit(":"), v["player"])), ";")
+    return x.select("ord", scoring.count_of(F.col("scoring"), "trumpet").alias("trumpets"), named.alias("doublings"), scoring.count_of(F.col("scoring"), "flugelhorn").alias("flugelhorns"))
+
+
 @query("m11_caps", "SELECT conv_id, turn, sha256(CASE WHEN length(text) > 400 THEN substr(text, 1, 399) || '…' ELSE text END) AS shown FROM conversations")
 def m11_caps(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(markup.capped(F.col("text")), 256).alias("shown"))
@@ -928,3 +1116,86 @@ def m11_caps(spark, sf_dir):
 def d7_sequences(spark, sf_dir):
     both = d.derive(spark, sf_dir, d.WORKS).select("ord", chronology.series_of(F.col("t")).alias("s"), chronology.catalogue_of(F.col("cat")).alias("k"))
     return both.select("ord", "s.stem", F.col("s.n").alias("n"), F.col("k.stem").alias("system"))
+
+
+# ── whole jobs ────────────────────────────────────────────────────────────────
+
+#: Three sources of works by fifty composers; years of the library's works are harvested, lives of every second composer are known.
+_BUILD = f"""WITH r AS (SELECT id AS ord, CASE WHEN rank = 2 THEN 2 ELSE rank END AS rank, CAST(substr(c, 2) AS BIGINT) AS k, key, y FROM ({_KEYED}) x),
+    f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank, ord) AS n, max(CASE WHEN rank = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AS held FROM r),
+    x AS (SELECT *, rank = 0 OR (NOT held AND n = 1) AS kept FROM f),
+    o AS (SELECT key, min((rank, ord)) AS first FROM x WHERE kept GROUP BY key),
+    b AS (SELECT key, arg_min(y, (rank, ord)) AS y FROM x WHERE NOT kept AND rank = 2 AND y IS NOT NULL GROUP BY key),
+    w AS (SELECT x.ord, x.rank, x.k, coalesce(x.y, CASE WHEN (x.rank, x.ord) = o.first THEN b.y END) AS y, (x.y IS NOT NULL AND x.rank = 2) OR (x.y IS NULL AND (x.rank, x.ord) = o.first AND b.y IS NOT NULL) AS h
+      FROM x JOIN o USING (key) LEFT JOIN b USING (key) WHERE x.kept),
+    l AS (SELECT *, CASE WHEN k % 2 = 0 THEN 1984 + k % 10 END AS born, CASE WHEN k % 6 = 0 THEN 1996 END AS died FROM w),
+    z AS (SELECT *, h AND (coalesce(y < born + 5, false) OR coalesce(y > died, false)) AS rejected FROM l)"""
+
+
+def _index(spark, sf_dir) -> jobs.Index:
+    rows = tables.settled(d.derive(spark, sf_dir, d.RANKED).withColumn("k", F.substring("c", F.lit(2), F.length("c")).cast("long")))
+    ord_, k = F.col("ord"), F.col("k")
+    trumpets = F.concat((ord_ % 5 + 2).cast("string"), F.lit(" trumpets, strings"))
+    own = rows.select("ord", "rank", F.concat(F.lit("Ana Kund"), k).alias("composer"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("composer_sort"), F.concat(F.lit("k"), k).alias("composer_id"), F.col("t").alias("title"), "y", trumpets.alias("text"), ord_.cast("string").alias("page"))
+    given = own.withColumn("year", F.col("y"))
+    sources = {"curated": given.where("rank = 0"), "publisher": given.where("rank = 1"), "library": own.where("rank = 2")}
+    found_years = own.where("rank = 2 and y is not null").select(F.lit("library").alias("src"), "page", F.col("y").alias("year"))
+    lives = rows.select("k").distinct().where("k % 2 = 0")
+    found_dates = lives.select(k.alias("ord"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("sort"), (k % 10 + 1984).cast("int").alias("born"), F.when(k % 6 == 0, F.lit(1996)).alias("died"), F.lit(None).cast("array<string>").alias("alt"))
+    return jobs.build_index(sources, found_years, found_dates)
+
+
+@query(
+    "w1_build_index",
+    f"""{_BUILD} SELECT CASE rank WHEN 0 THEN 'curated' WHEN 1 THEN 'publisher' ELSE 'library' END AS src, ord, CASE WHEN rejected THEN NULL ELSE y END AS y,
+    ['two', 'three', 'four', 'five', 'six'][ord % 5 + 1] || ' trumpets' AS s, (ord % 5 + 2) || ' trumpets, strings' AS full_text,
+    CASE WHEN born IS NULL THEN NULL WHEN died IS NULL THEN 'b. ' || born ELSE born || '–' || died END AS dates, count(*) OVER (PARTITION BY k) AS n FROM z""",
+)
+def w1_build_index(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    named = index.composers.select(F.col("composer_id").alias("c"), "dates", "n")
+    return index.works.join(named, "c").select("src", (F.col("ord") % (1 << 40)).alias("ord"), "y", "s", F.col("full").alias("full_text"), "dates", "n")
+
+
+@query(
+    "w1_build_statistics",
+    f"""{_BUILD} SELECT count(*) AS works, count(CASE WHEN NOT rejected THEN y END) AS dated, CAST(0 AS BIGINT) AS placed, count(CASE WHEN h AND NOT rejected THEN 1 END) AS years_kept, count(CASE WHEN rejected THEN 1 END) AS years_rejected,
+    count(DISTINCT k) AS composers, count(DISTINCT CASE WHEN born IS NOT NULL THEN k END) AS dates_added, CAST(0 AS BIGINT) AS via_variant, count(DISTINCT CASE WHEN born IS NOT NULL AND died IS NULL THEN k END) AS living FROM z""",
+)
+def w1_build_statistics(spark, sf_dir):
+    return _index(spark, sf_dir).statistics
+
+
+@query(
+    "w2_read_articles",
+    """SELECT 'r' || n_regionkey AS composer, 'Work ' || p_partkey AS title, CASE p_partkey % 3 WHEN 2 THEN 'no scoring' ELSE 'kept' END AS outcome, CASE p_partkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'prose' END AS how,
+    CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 4 + 2 ELSE 0 END AS trumpets, CASE p_partkey % 2 WHEN 0 THEN 'Symphony' ELSE 'Orchestral' END AS genre FROM part JOIN nation ON n_nationkey = p_partkey % 25""",
+)
+def w2_read_articles(spark, sf_dir):
+    nation, p = table(spark, sf_dir, "nation"), F.col("p_partkey")
+    works = table(spark, sf_dir, "part").join(nation, p % 25 == F.col("n_nationkey")).select(p, F.concat(F.lit("Work "), p).alias("title"), F.concat(F.lit("r"), "n_regionkey").alias("composer"))
+    root, sub = F.concat(F.lit("Category:"), "composer"), F.concat(F.lit("Category:Symphonies by "), "composer")
+    roots = works.select("composer", root.alias("category")).distinct()
+    edges = roots.select(root.alias("parent"), sub.alias("child"), F.lit("subcategory").alias("kind"), F.lit(0).cast("long").alias("ord"))
+    edges = edges.unionByName(works.select(F.when(p % 2 == 0, sub).otherwise(root).alias("parent"), F.col("title").alias("child"), F.lit("page").alias("kind"), p.alias("ord")))
+    texts = _wiki(spark, sf_dir)
+    moved = texts.where("id % 5 = 0").select(F.concat(F.lit("Moved "), "id").alias("title"), "wikitext")
+    own = texts.select(F.concat(F.lit("Work "), "id").alias("title"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("#REDIRECT [[Moved "), "id", F.lit("]]"))).otherwise(F.col("wikitext")).alias("wikitext"))
+    out = jobs.read_articles(roots, edges, own.unionByName(moved), most=1 << 40)
+    return out.select("composer", "title", "outcome", "how", F.coalesce(scoring.count_of(F.col("scoring"), "trumpet"), F.lit(0)).cast("long").alias("trumpets"), "genre")
+
+
+@query("w3_answer", f"{_BUILD} SELECT count(*) AS works, count(DISTINCT k) AS composers FROM z WHERE ord % 5 + 2 >= 3")
+def w3_answer(spark, sf_dir):
+    _, counts, _ = jobs.answer(_index(spark, sf_dir), [("trumpet", "ge", 3)])
+    return counts
+
+
+@query(
+    "w3_first_batch",
+    f"""{_BUILD} SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY coalesce(CASE WHEN rejected THEN NULL ELSE y END, 9999), 'kund' || lpad(CAST(k AS VARCHAR), 12, '0'), t, rank, ord) AS place FROM z JOIN (SELECT id AS tid, t FROM ({d.RANKED}) q) q ON tid = ord WHERE ord % 5 + 2 >= 3) v WHERE place <= 150""",
+)
+def w3_first_batch(spark, sf_dir):
+    batch, _, _ = jobs.answer(_index(spark, sf_dir), [("trumpet", "ge", 3)], by="date")
+    placed = batch.withColumn("place", F.row_number().over(W.orderBy(*search.ordering("date"))).cast("long"))  # a batch of 150
+    return placed.select((F.col("ord") % (1 << 40)).alias("ord"), "place")

@@ -13,9 +13,11 @@ LOSS = 0.2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,12 +49,16 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def write_if_changed(df: DataFrame, path: str, columns: list[str]) -> bool:
     """Writes `df` unless the table at `path` has the same values in `columns`; whether it wrote. Beside it lies a manifest."""
-    spark, now = df.sparkSession, fingerprint(df, columns)
-    kept = load_source(spark, f"{path}.manifest", now.schema)
-    if kept.count() and kept.exceptAll(now).isEmpty():
+    spark = df.sparkSession
+    now = fingerprint(df, columns)
+    row = now.first()
+    kept = load_source(spark, f"{path}.manifest", now.schema).first()
+    if kept == row:
         return False
+    # Without a manifest a table counts as changed, so a run that stops between the writes is made good by the next.
+    spark.createDataFrame([], now.schema).write.mode("overwrite").parquet(f"{path}.manifest")
     df.write.mode("overwrite").parquet(path)
-    now.coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest")
+    spark.createDataFrame([row], now.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest")
     return True
 
 
@@ -63,10 +69,31 @@ def build_manifest(works: DataFrame, composers: DataFrame, work_columns: list[st
     return both.select(F.substring(F.sha2(F.concat_ws("|", "works", "h", "composers", "g"), 256), 1, 10).alias("build"), "works", "composers")
 
 
-def publish_index(works: DataFrame, path: str, buckets: int = 16) -> None:
-    """The merged index without provenance, partitioned by a bucket of the composer."""
+def publish_index(works: DataFrame, composers: DataFrame, path: str, buckets: int = 16) -> None:
+    """The merged index below `path`: works without provenance by a bucket of the composer, composers in order of sort name, and a row of numbers."""
     bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int")
-    works.drop("src", "url").withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    works.drop("src", "url").withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/works")
+    composers.orderBy(F.coalesce("sort", F.lit("zz")), "composer_id").write.mode("overwrite").parquet(f"{path}/composers")
+    numbers = works.agg(F.count(F.lit(1)).alias("works")).join(composers.agg(F.count(F.lit(1)).alias("composers")), F.lit(True))  # one row each
+    numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+#: The columns of an export and what they show.
+EXPORT = {
+    "Composer": "composer", "Work": "t", "Catalogue": "cat", "Year": "y", "Genre": "g", "Trumpet-family scoring": "s", "Full instrumentation": "full", "Arrangement": "arr",
+}
+
+
+def export_matches(matches: DataFrame, composers: DataFrame, path: str) -> None:
+    """All matches with their composers' names under the eight headings: every cell quoted, CRLF, each file with a byte order mark and a header."""
+    named = matches.join(composers.select(F.col("composer_id").alias("c"), F.col("name").alias("composer")), "c", "left").withColumn("composer", F.coalesce("composer", F.lit("Unknown")))
+    shown = dict(named.dtypes)
+    cells = [F.when(F.col(c), "yes").otherwise("no") if shown[c] == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EXPORT.values()]
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
+    header = "\ufeff" + ",".join(f'"{name}"' for name in EXPORT) + "\r\n"
+    # The low 33 bits of this id count the rows of a task, and a task writes a file.
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    named.select(F.concat(F.when(first, header).otherwise(""), line).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def export_csv(matches: DataFrame, path: str) -> None:
@@ -90,6 +117,14 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def append_new(harvested: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends what of `harvested` the table at `path` doesn't hold yet, and returns the table; one row a key."""
+    spark = harvested.sparkSession
+    done = load_source(spark, path, harvested.schema)
+    resume(harvested, done, key).dropDuplicates([key]).write.mode("append").parquet(path)
+    return load_source(spark, path, harvested.schema)
+
+
 def refresh_partition(df: DataFrame, path: str, source: str = "source") -> None:
     """Replaces the sources that `df` holds and leaves the others in the table."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)

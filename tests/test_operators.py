@@ -85,13 +85,88 @@ def test_composers(spark):
     assert out["bea-ana"]["dates"] == "1900–" and linked.count() == 4
 
 
-def test_name_lookup(spark):
-    people = spark.createDataFrame([("a", "Johann Sebastian Bach", "Bach", 100), ("b", "Bacharach Burt", "Burt", 3), ("c", "Anna Zobach", "Zobach", 1), ("d", "Joseph Haydn", "Haydn", 50)], "composer_id string, name string, surname string, n int")
-    q = spark.createDataFrame([(1, "bach"), (2, "Hadyn"), (3, "joseph haydn"), (4, "")], "query_id int, text string")
-    found = {(r["query_id"], r["rank"]): r["composer_id"] for r in identity.name_lookup(people, q).collect()}
-    assert [found.get((1, k)) for k in (1, 2, 3, 4)] == ["a", "b", "c", None] and found[3, 1] == "d"
-    near = {(r["query_id"], r["composer_id"]) for r in identity.near_names(people.withColumn("name", F.col("surname")), q).collect()}
-    assert (2, "d") in near
+PEOPLE = [
+    ("a", "Johann Sebastian Bach", "Bach, Johann Sebastian", ["JSB", "Old Bach"], 100), ("b", "Burt Bacharach", "Bacharach, Burt", None, 3), ("c", "Anna Zobach", "Zobach, Anna", [], 1),
+    ("d", "Joseph Haydn", "Haydn, Joseph", ["Papa"], 50), ("e", "Ludwig van Beethoven", "Beethoven, Ludwig van", None, 9), ("f", "Papageno", None, None, 0),
+]
+
+
+def ladder(q, name, sort, aliases):
+    """Points of a name for a query, all folded."""
+    last, aliases = sort.split(",")[0] if sort else "", aliases or []
+    plain = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split())
+    full, sort, last, aliases = plain(name), plain(sort or ""), plain(last), [plain(x) for x in aliases]
+    tests = [(100, last == q or q in aliases), (95, q in (full, sort)), (80, last.startswith(q)), (75, any(x.startswith(q) for x in aliases)), (70, full.startswith(q) or sort.startswith(q)), (40, q in sort), (35, q in full)]
+    return next((n for n, holds in tests if holds), None), sort
+
+
+def test_name_lookup(spark, monkeypatch):
+    import math
+
+    people = spark.createDataFrame(PEOPLE, "composer_id string, name string, sort string, aliases array<string>, n int")
+    texts = ["bach", "joseph haydn", "haydn joseph", "", "b", "ach", "sebastian b", "jsb", "ol", "papa", "n bach", "van", "zz", "ludwig van beethoven and more", "h, j", "Bach"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    expected = {}
+    for i, t in enumerate(texts):
+        q = " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+        found = [(-round(points + min(12, 2 * math.log2(n + 1)), 6), sort, c) for c, name, s, aliases, n in PEOPLE for points, sort in [ladder(q, name, s, aliases)] if q and points]
+        expected |= {(i, k + 1): c for k, (_, _, c) in enumerate(sorted(found)[:8])}
+    for most in (200_000, 3):
+        monkeypatch.setattr(identity, "QUERY_TEXTS", most)
+        assert {(r["query_id"], r["rank"]): r["composer_id"] for r in identity.name_lookup(people, asked).collect()} == expected
+    assert identity.name_lookup(people, asked.limit(0)).count() == 0
+
+
+def test_near_names(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, x, b, i)
+        return row[-1]
+
+    def _next(row, x, b, i):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    people = spark.createDataFrame(PEOPLE, "composer_id string, name string, sort string, aliases array<string>, n int")
+    texts = ["beethovn", "Hadyn", "bach", "ba", "zobak anna", "joseph hyden", "papageni"]
+    got = {(r["query_id"], r["composer_id"]): r["distance"] for r in identity.near_names(people, spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), 99).collect()}
+    expected = {}
+    for i, q in enumerate(map(str.lower, texts)):
+        for c, name, sort, _, _ in PEOPLE:
+            near = min(distance(q, name.lower()), distance(q, (sort or "").split(",")[0].lower()))
+            if len(q) >= 3 and near <= max(2, len(q) // 3):
+                expected[i, c] = near
+    assert got == expected and got[0, "e"] == 1 and (1, "d") in got
+
+
+def test_places(spark):
+    from scorelake.functions.text import natural_key
+
+    titles = ["Suite 2", "suite 10", "Suite 2b", "Étude 7", "Suite 123456789012345", "Suite 99999999999999", "suite 002 x", ""]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").repartition(3).withColumn("k", natural_key(F.col("t")))
+    assert [r["t"] for r in search.placed(df, "k").orderBy("place").collect()] == ["", "Étude 7", "Suite 2", "suite 002 x", "Suite 2b", "suite 10", "Suite 99999999999999", "Suite 123456789012345"]
+
+
+def test_arrangements_only_meet_each_other(spark):
+    rows = [(1, 2, 1, "c", "Boléro", "M. 81", False), (2, 3, 2, "c", "Boléro", "M. 81", True), (3, 3, 3, "c", "Boléro", "M. 81", True), (4, 3, 4, "c", "Boléro", None, False)]
+    df = spark.createDataFrame(rows, "id int, rank int, ord int, c string, t string, cat string, arr boolean")
+    ranked = dedupe.with_keys(df.where("rank = 2"), "encyclopaedia").unionByName(dedupe.with_keys(df.where("rank = 3"), "library"))
+    assert {r["id"] for r in dedupe.dedupe_works(ranked, [2, 3]).where("kept").collect()} == {1, 2}
+
+
+def test_year_nought_is_no_year(spark):
+    rows = [(1, 0, 1, 0, True, ["k"]), (2, 3, 2, 0, False, ["k"]), (3, 3, 3, 1900, False, ["k"])]
+    df = spark.createDataFrame(rows, "id int, rank int, ord int, y int, kept boolean, register array<string>").withColumn("query", F.col("register"))
+    assert [tuple(r) for r in dedupe.backfill_years(df).collect()] == [(1, 1900)]
+
+
+def test_display_names(spark):
+    for sort, name in (("Bach, Johann, Jr", "Johann, Jr Bach"), ("Bach, Anna", "Anna Bach"), ("Bach", "Bach"), (None, None)):
+        assert one(spark, text.display_name(F.lit(sort).cast("string"))) == name
+    assert one(spark, keys.page_url(F.lit("A B (É)"), "https://x.org/wiki/")) == "https://x.org/wiki/A_B_(%C3%89)"
 
 
 def test_saved_searches(spark):
@@ -108,5 +183,10 @@ def test_publishing(spark, tmp_path):
     tables.export_csv(df.coalesce(1), f"{tmp_path}/csv")
     raw = next(p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv").read_bytes().decode()
     assert raw == '"ord","t","cat","arr"\r\n"1","say ""hi""","","yes"\r\n"2","a,b","x","no"\r\n'
+    works = spark.createDataFrame([("c", 'say "hi"', None, 1900, "Suite", "two trumpets", "2 trumpets,\tharp", True), ("d", "t", "Op. 1", None, "Mass", "s", None, False)], "c string, t string, cat string, y int, g string, s string, full string, arr boolean")
+    tables.export_matches(works.coalesce(1), spark.createDataFrame([("c", "Ana B")], "composer_id string, name string"), f"{tmp_path}/matches")
+    raw = next(p for p in (tmp_path / "matches").iterdir() if p.suffix == ".txt").read_bytes()
+    assert raw.startswith(b'\xef\xbb\xbf"Composer","Work"') and b'"Ana B","say ""hi""","","1900","Suite","two trumpets","2 trumpets,\tharp","yes"\r\n' in raw and b'"Unknown","t"' in raw
+    assert tables.append_new(df, f"{tmp_path}/done", "ord").count() == 2 and tables.append_new(df.unionByName(df.withColumn("ord", F.lit(9))), f"{tmp_path}/done", "ord").count() == 3
     assert tables.load_source(spark, f"{tmp_path}/none", "a int").count() == 0
     assert tables.guard_loss(100, 80) and not tables.guard_loss(100, 79)
