@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import word_count, written
 
 BLOCK_WORDS = 64
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 MOST_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 
@@ -59,11 +59,12 @@ def sainte_lague(df: DataFrame, within: list[str], key: str, weight: str, seats:
     return open_.groupBy(*names).agg(got.alias(out))
 
 
-def mix(docs: DataFrame, size: Column | None = None, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, size: Column | None = None, seed: int = 7, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, row: Column | None = None) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken, and `row`, which may number the rows.
 
     Blocks of `block_words` words go to the sources by Sainte-Laguë on their targets, and each source's blocks to
-    its shards (documents dealt by a seeded hash, about `shard_words` words each) by Sainte-Laguë on their sizes.
+    pools of its shards and then to the shards (documents dealt by a seeded hash, about `shard_words` words each), both
+    by Sainte-Laguë on their sizes.
     A shard's blocks are read in the order of the seeded hash of its documents, round and round, so that every
     document is taken once before any is taken twice, and none more than three times. The seed alone decides; reruns
     agree. Null and empty texts have size 0 and are taken 0 times, null sources are a source, repeated rows are
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 7, block_words:
     """
     size = word_count(docs["text"]) if size is None else size
     draw = F.xxhash64(F.lit(seed), docs["doc_id"], F.xxhash64(docs["text"]))
-    sized = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), size.alias("size"), draw.alias("draw"))
+    sized = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), size.alias("size"), draw.alias("draw"), (F.lit(None) if row is None else row).cast("long").alias("row"))
     sized = written(sized, "mix-sizes")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     plan = plan.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
@@ -84,15 +85,20 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 7, block_words:
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("shard", F.pmod("draw", F.col("shards")))
     rows = rows.withColumn("place", F.xxhash64("draw", F.lit(seed)))
-    shards = rows.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    quotas = sainte_lague(shards, ["source"], "shard", "shard_size", "blocks", "quota")
+    shards = rows.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("shards").alias("shards"))
+    # Blocks go to pools of shards and then to the shards of each, so that no window is over more than some thousand rows.
+    shards = shards.withColumn("pool", F.pmod("shard", F.ceil(F.sqrt("shards")).cast("long")))
+    pools = shards.groupBy("source", "pool").agg(F.sum("shard_size").alias("pool_size"), F.first("blocks").alias("blocks"))
+    pools = sainte_lague(pools, ["source"], "pool", "pool_size", "blocks", "pool_quota").select(F.col("source").alias("_s"), F.col("pool").alias("_p"), "pool_quota")
+    shards = shards.join(pools, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pool") == F.col("_p"))).select("source", "pool", "shard", "shard_size", "pool_quota")
+    quotas = sainte_lague(shards, ["source", "pool"], "shard", "shard_size", "pool_quota", "quota")
     quotas = quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "quota")
     full = rows.where("size > 0").join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
-    order = W.partitionBy("source", "shard").orderBy("place", "doc_id", "size")
+    order = W.partitionBy("source", "shard").orderBy("place", "doc_id", "size", "row")
     full = full.withColumn("end", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     words = F.least(F.col("quota") * block_words, F.col("shard_size") * MOST_REPEATS)
     full = full.withColumn("rounds", F.floor(words / F.col("shard_size"))).withColumn("rest", words % F.col("shard_size"))
     part = F.greatest(F.least("end", "rest") - (F.col("end") - F.col("size")), F.lit(0))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "row"]
     full = full.select(*columns, (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
     return full.unionByName(rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
