@@ -95,19 +95,19 @@ def longest_matches(levels: list[DataFrame]) -> DataFrame | None:
     return runs
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of `docs` with `text` less its repeated lines, and a column `line_dedup`: struct of n_lines, n_removed, longest_run.
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, out: str = "line_dedup") -> DataFrame:
+    """The rows of `docs` with `text` less its repeated lines, and a column `out`: struct of n_lines, n_removed, longest_run.
 
     A line goes if it lies in a run of lines, of at least `min_words` words in all, that also begins at an earlier
     place (smaller doc_id, then smaller line number; the same document counts). longest_run is the most lines of such a
     run found in the document, 0 if none. Runs are judged on the input.
     Null texts stay null with 0 lines; an empty text is one empty line. Repeated equal rows are one document and don't
     count against each other; rows of one doc_id with other texts are in the order of a hash. Null ids come last. An
-    empty table gives no rows. Other columns pass through; a column named line_dedup is replaced.
+    empty table gives no rows. Other columns pass through; a column named `out` is replaced.
     """
     runs = longest_matches(suffix_intervals(docs))
     d, th = place(docs)
-    other = [c for c in docs.columns if c != "line_dedup"]
+    other = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(F.struct(*[docs[c] for c in other]).alias("row"), d.alias("d"), th.alias("th"))
     spans = "array<struct<i: int, end: int>>"
     if runs is None:
@@ -128,4 +128,4 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n_removed = F.coalesce(removed, F.lit(0)).cast("long")
     longest = F.coalesce(F.array_max(F.transform("gone", lambda x: x["end"] - x["i"])), F.lit(0)).cast("long")
     about = F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed"), longest.alias("longest_run"))
-    return rows.select(*[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in other], about.alias("line_dedup"))
+    return rows.select(*[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in other], about.alias(out))

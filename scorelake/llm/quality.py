@@ -112,27 +112,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return pickle.loads(found[0]["model"]) if found else _model(np.zeros(0), np.zeros((0, TERMS + REPEATS), dtype=np.float32))
 
 
-def _scored(model):
+def _scored(model, out: str):
     def score(batches):
         import pyarrow as pa
 
         voters = pickle.loads(model.value)
         for batch in batches:
             for part, data, at in text_chunks(batch):
-                out = voters.scores(features(data, at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*part.schema.names, "score"])
+                found = voters.scores(features(data, at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, out])
 
     return score
 
 
-def score(docs: DataFrame, voters: Voters, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` and `score`. What is broadcast is bounded by the size of the sample."""
+def score(docs: DataFrame, voters: Voters, keep: list[str], out: str = "score") -> DataFrame:
+    """The columns `keep` of `docs` and the score as column `out`, a name that `docs` doesn't have. What is broadcast is bounded by the size of the sample."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(pickle.dumps(voters))
     rows = docs.select(*[docs[c].alias(c) for c in dict.fromkeys([*keep, "text"])])
-    scored = rows.mapInArrow(_scored(model), StructType([*rows.schema, StructField("score", DoubleType())]))
-    return scored.select(*keep, "score")
+    scored = rows.mapInArrow(_scored(model, out), StructType([*rows.schema, StructField(out, DoubleType())]))
+    return scored.select(*[scored[c] for c in keep], out)
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

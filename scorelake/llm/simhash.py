@@ -14,7 +14,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, split_words, text_chunks, written
@@ -54,13 +54,14 @@ def _fingerprints(batches):
             data, starts, ends, first = split_words(lower[data], at)
             buffer = data.tobytes()
             found = b"".join(fingerprint_bytes(buffer, starts[i:j], ends[i:j]) for i, j in zip(first[:-1], first[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.frombuffer(found, dtype=">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.frombuffer(found, dtype=">i8").astype(np.int64))], ["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of whole texts; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp) of whole texts; null and empty texts have fingerprint 0. `row` may number the rows."""
     small_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    row = F.lit(None) if row is None else row
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row.cast("long").alias("row"), docs["text"].alias("text")).mapInArrow(_fingerprints, "doc_id long, row long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -183,7 +184,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     zero and link like any other. Rows with a null doc_id take part, but name no component unless nothing else is in
     it (then component_id is null). Repeated rows come back as often as they went in, an empty table gives no rows.
     """
-    rows = written(fingerprints(docs), "fingerprints")
+    out = near_groups(docs)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp, root, component_id) for every row of `docs`, root being a fingerprint that names its group."""
+    rows = written(fingerprints(docs, row), "fingerprints")
     kinds = rows.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     replicas = kinds.select("fp").mapInArrow(_replicas, "anchor int, fp long")
     links = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links, "u long, v long")
@@ -191,6 +198,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     kinds = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "smallest")
     kinds = written(kinds, "kinds")
     named = kinds.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    kinds = kinds.join(named, "root").select("fp", "component_id")
-    out = rows.join(kinds, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(kinds.join(named, "root").select("fp", "root", "component_id"), "fp")
