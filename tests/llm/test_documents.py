@@ -79,16 +79,16 @@ def test_batches_add_up_to_one(spark, docs):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index") and t.name not in KNOWN]
 
 
-def test_near_dedup(docs):
-    rows = rows_of(docs)
+def plain_fingerprint(t):
+    words = WORD.findall((t or "").translate(LOWER))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
-    def fingerprint(t):
-        words = WORD.findall((t or "").translate(LOWER))
-        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
-        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
-    fps = [fingerprint(t) for _, t in rows]
+def test_near_dedup(docs):
+    rows = rows_of(docs)
+    fps = [plain_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
