@@ -21,7 +21,7 @@ CONTAINMENT = 0.8
 #: Bound on the chance that the bands miss a window that contains a template.
 MISS = 1e-4
 #: Longest templates, in words, of the smallest class and of each further one by this factor.
-SMALLEST, FACTOR = 8, 4
+SMALLEST, FACTOR = 32, 8
 #: Shingles of templates that are broadcast at once; more are gone through in parts.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -159,7 +159,7 @@ def layout(number: int) -> tuple[int, int, int]:
     (1 - exp(-w / B)) / (w / B). The bands are the fewest with which none of the `held` is with a chance of MISS at most.
     """
     most = SMALLEST * FACTOR**number
-    step = most
+    step = 2 * most
     window = math.ceil(most / CONTAINMENT) + step - 1 - SHINGLE + 1
     fewest = SHINGLE if number == 0 else most // FACTOR + 1
     held = math.ceil(CONTAINMENT * (fewest - SHINGLE + 1))

@@ -3,40 +3,51 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from scorelake.llm.licenses import TEMPLATES, layout, license_scan, template_table
+from scorelake.llm.licenses import FACTOR, SMALLEST, TEMPLATES, layout, license_scan, template_table
 from scorelake.llm.line_dedup import line_dedup
-from scorelake.llm.topk import embedding_search, top_k
+from scorelake.llm.topk import cuts, embedding_search, top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def repeated_lines(rows):
+    """(doc_id, text) -> for each the numbers of its lines in runs of five words or more that begin earlier, and the longest such run. Equal rows are one."""
+    order = sorted({(i is None, i or 0, t) for i, t in rows}, key=lambda r: (r[0], r[1], r[2] or ""))
+    first, gone, longest = {}, defaultdict(set), Counter()
+    for null, i, t in order:
+        name = (None if null else i, t)
+        lines = [] if t is None else t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if first.setdefault(run, (name, a)) != (name, a) and sum(len(WORD.findall(x)) for x in run) >= 5:
+                    gone[name].update(range(a, b))
+                    longest[name] = max(longest[name], b - a)
+    return gone, longest
+
+
+def held_against(rows, out):
+    gone, longest = repeated_lines(rows)
+    expected = Counter()
+    for name in rows:
+        lines = [] if name[1] is None else name[1].split("\n")
+        kept = None if name[1] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone[name])
+        if name[0] is not None:
+            expected[name[0], kept, len(lines), len(gone[name]), longest[name]] += 1
+    assert Counter((r["doc_id"], r["text"], *r["line_dedup"]) for r in out if r["doc_id"] is not None) == expected and len(out) == len(rows)
+    return gone, longest
+
+
 def test_line_dedup(spark, odd):
     base = [f"line {i} of some text here" for i in range(9)]
     texts = ["\n".join(base), "\n".join(base), "\n".join(base[:4] + ["x"] + base[3:]), "a\nb\nc d e f\nq", "z\na\nb\nc d e f", "\n\n\n\n", "", None, "one two three four five\none two three four five"]
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
     docs = odd.select("doc_id", "text", "digest").unionByName(more, allowMissingColumns=True)
-    rows = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in docs.collect()}, key=lambda r: (r[0], r[1], r[2] or ""))
-    counts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
-    assert not [k for k in Counter((a, b) for a, b, _ in rows if not a) if Counter((a, b) for a, b, _ in rows)[k] > 1]
-    split = [(r, [] if r[2] is None else r[2].split("\n")) for r in rows]
-    first, gone, longest = {}, defaultdict(set), Counter()
-    for d, (r, lines) in enumerate(split):
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                run = tuple(lines[i:j])
-                if first.setdefault(run, (d, i)) != (d, i) and sum(len(WORD.findall(x)) for x in run) >= 5:
-                    gone[d].update(range(i, j))
-                    longest[d] = max(longest[d], j - i)
-    out = Counter((r["doc_id"], r["text"], *r["line_dedup"]) for r in line_dedup(docs).collect() if r["doc_id"] is not None)
-    expected = Counter()
-    for d, (r, lines) in enumerate(split):
-        if not r[0]:
-            kept = None if r[2] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone[d])
-            expected[(r[1], kept, len(lines), len(gone[d]), longest[d])] += counts[(r[1], r[2])]
-    assert out == expected and max(longest.values()) >= 8
-    assert line_dedup(docs).columns == ["doc_id", "text", "digest", "line_dedup"]
+    _, longest = held_against([(r["doc_id"], r["text"]) for r in docs.collect()], line_dedup(docs).collect())
+    assert max(longest.values()) == 9 and line_dedup(docs).columns == ["doc_id", "text", "digest", "line_dedup"]
 
 
 def test_line_dedup_judges_whole_runs(spark):
@@ -47,19 +58,8 @@ def test_line_dedup_judges_whole_runs(spark):
     texts = ["a\nb\nc d e f\nq", "z\na\nb\nc d e f", "\n".join(base[:7]), "x\n" + "\n".join(base[:7]) + "\ny", "m n\no\np q\n1", "2\nm n\no\np q", None, "", "s\n" * 9]
     texts += ["\n".join(r.choice(("a", "b b", "c", "d d d")) for _ in range(r.randint(1, 30))) for _ in range(40)]
     rows = list(enumerate(texts)) + [(2, texts[2]), (3, texts[3])]
-    split = [[] if t is None else t.split("\n") for t in texts]
-    first, gone, longest = {}, defaultdict(set), Counter()
-    for d, lines in enumerate(split):
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                run = tuple(lines[i:j])
-                if first.setdefault(run, (d, i)) != (d, i) and sum(len(WORD.findall(x)) for x in run) >= 5:
-                    gone[d].update(range(i, j))
-                    longest[d] = max(longest[d], j - i)
-    whole = [(d, None if texts[d] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone[d]), len(lines), len(gone[d]), longest[d]) for d, lines in enumerate(split)]
-    out = Counter((x["doc_id"], x["text"], *x["line_dedup"]) for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert out == Counter(whole + [whole[2], whole[3]])
-    assert whole[1][1:] == ("z", 4, 3, 3) and whole[3][4] == 7 and whole[5][3:] == (3, 3)
+    gone, longest = held_against(rows, line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert gone[1, texts[1]] == {1, 2, 3} and longest[3, texts[3]] == 7 and len(gone[5, texts[5]]) == 3
 
 
 def license_words(t):
@@ -75,7 +75,7 @@ def by_hand(rows, templates):
         for name, family, template in templates:
             words = license_words(template)
             wanted = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-            number = next(c for c in range(9) if len(words) <= 8 * 4**c)
+            number = next(c for c in range(9) if len(words) <= SMALLEST * FACTOR**c)
             inside, step, _ = layout(number)
             for at in range(0, max(len(held) - inside + step, 1), step) if held and wanted else ():
                 share = len(wanted & set(held[at : at + inside])) / len(wanted)
@@ -139,6 +139,28 @@ def test_top_k(spark):
     assert got == expected
 
 
+def test_codes_of_long_and_short_embeddings(spark):
+    from pyspark.sql import functions as F
+
+    from scorelake.llm.topk import sign_code
+
+    rng = np.random.default_rng(3)
+    rows = [rng.normal(size=n).tolist() for n in (64, 64, 3, 130, 200, 0)] + [[1.0, None, -1.0, None], None]
+    got = [r["c"] for r in spark.createDataFrame([(i, e) for i, e in enumerate(rows)], "i int, e array<double>").select("i", sign_code(F.col("e")).alias("c")).orderBy("i").collect()]
+
+    def code(e):
+        sums = [sum(x or 0 for x in e[b::64]) for b in range(64)]
+        return sum(1 << b for b in range(64) if sums[b] > 0)
+
+    assert [None if c is None else c % (1 << 64) for c in got] == [None if e is None else code(e) for e in rows]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5000, 10**6, 10**12])
+def test_cuts_cover_a_code(n):
+    layout = cuts(n)
+    assert sum(w for _, w in layout) == 64 and all(a + w == b for (a, w), (b, _) in zip(layout, layout[1:])) and 2 <= len(layout) <= 16
+
+
 def test_empty_tables(spark, empty):
     assert line_dedup(empty).count() == 0 and license_scan(empty).count() == 0
     assert embedding_search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
