@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .commentary import strip_commentary
 from .markup import DISPLAY_CAP, clipped, replaced
-from .scoring import TRUMPETS, Family, Grammar
+from .scoring import TRUMPETS, Family, Grammar, grammar_of
 
 
 def tidy(text: Column) -> Column:
@@ -139,7 +139,7 @@ def scoring_display(text: Column, family: Family = TRUMPETS) -> Column:
 
     @F.pandas_udf("string")
     def shown(texts):
-        grammar = Grammar(family)
+        grammar = grammar_of(family)
         return texts.map(lambda t: without_lead_in(without_captions(t, grammar), grammar), na_action="ignore")
 
     return F.substring(shown(tidy(text)), 1, DISPLAY_CAP)
@@ -167,7 +167,7 @@ def before_prose(text: str, grammar: Grammar) -> str:
 def cut_at_prose(text: Column, family: Family = TRUMPETS) -> Column:
     @F.pandas_udf("string")
     def cut(texts):
-        grammar = Grammar(family)
+        grammar = grammar_of(family)
         return texts.map(lambda t: before_prose(t, grammar), na_action="ignore")
 
     return clipped(cut(text))

@@ -72,11 +72,7 @@ TABLES = ("orders", "lineitem", "customer", "supplier", "part", "nation", "regio
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Runs one of the statements above over the tables of `sf_dir`."""
-    for name in TABLES:
-        sql_name = f"{name}_in"
-        if f" {name}" in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(sql_name)
-
-
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 \2_in", sql))
+    """Runs one of the statements above over the tables of `sf_dir`; no name is left behind in the session."""
+    pattern = rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b"
+    frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in {m[2] for m in re.finditer(pattern, sql)}}
+    return spark.sql(re.sub(pattern, r"\1 {\2}", sql), **frames)

@@ -424,16 +424,25 @@ _FOLDED = _DUCK_FOLD.format("name")
 _SORT = "string_split_regex(trim(name), '\\s+')"
 
 
+#: Of the names with "Bea", those with certain numbers are known to be other spellings.
+_VARIANT = "name LIKE 'Maria Bea Kund%' AND TRY_CAST(substr(name, 15) AS INT) % 10 = 3"
+
+
 @query(
     "jn1_resolve_composers",
-    f"""WITH p AS (SELECT *, {_FOLDED} AS key, list_last({_SORT}) || ', ' || array_to_string({_SORT}[1:len({_SORT}) - 1], ' ') AS sort FROM ({d.PEOPLE}) x),
+    f"""WITH v AS (SELECT *, {_VARIANT} AS other FROM ({d.PEOPLE}) x),
+    r AS (SELECT rank, ord, CASE WHEN other THEN replace(name, 'Bea', 'Ana') ELSE name END AS name, CASE WHEN other THEN NULL ELSE id END AS id, dates, CASE WHEN other THEN name END AS alias FROM v),
+    p AS (SELECT *, {_FOLDED} AS key, list_last({_SORT}) || ', ' || array_to_string({_SORT}[1:len({_SORT}) - 1], ' ') AS sort FROM r),
     k AS (SELECT key, arg_min(coalesce(id, replace({_DUCK_FOLD.format('sort')}, ' ', '-')), (rank, ord)) AS composer_id FROM p GROUP BY key)
-    SELECT composer_id, arg_min(name, (rank, ord)) AS name, arg_min(sort, (rank, ord)) AS sort, arg_min(dates, (rank, ord)) FILTER (WHERE dates IS NOT NULL) AS dates FROM p JOIN k USING (key) GROUP BY composer_id""",
+    SELECT composer_id, arg_min(name, (rank, ord)) AS name, arg_min(sort, (rank, ord)) AS sort, arg_min(dates, (rank, ord)) FILTER (WHERE dates IS NOT NULL) AS dates, coalesce(string_agg(DISTINCT alias, ';'), '') AS aliases
+    FROM p JOIN k USING (key) GROUP BY composer_id""",
 )
 def jn1_resolve_composers(spark, sf_dir):
-    records = d.derive(spark, sf_dir, d.PEOPLE).withColumn("sort", F.lit(None).cast("string")).withColumn("aliases", F.lit(None).cast("array<string>"))
-    _, composers = identity.resolve_composers(records)
-    return composers.select("composer_id", "name", "sort", "dates")
+    people = d.derive(spark, sf_dir, d.PEOPLE)
+    records = people.withColumn("sort", F.lit(None).cast("string")).withColumn("aliases", F.lit(None).cast("array<string>"))
+    variants = people.where("name LIKE 'Maria Bea Kund%' AND TRY_CAST(substr(name, 15) AS INT) % 10 = 3").select(F.col("name").alias("variant"), F.replace("name", F.lit("Bea"), F.lit("Ana")).alias("canonical")).distinct()
+    _, composers = identity.resolve_composers(records, variants)
+    return composers.select("composer_id", "name", "sort", "dates", F.array_join("aliases", ";").alias("aliases"))
 
 
 _KEYED = f"SELECT *, c || '::' || replace(regexp_replace({_DUCK_FOLD.format('t')}, '\\b(no|op|the|a|in|major|minor|for)\\b', '', 'g'), ' ', '') AS key FROM ({d.RANKED}) r"
@@ -607,10 +616,14 @@ def m6_article_scoring(spark, sf_dir):
     return scoring.parse_scoring(found, "text").select("id", "how", scoring.count_of(F.col("scoring"), "trumpet").cast("long").alias("trumpets"))
 
 
-@query("m2_clean_wikitext", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'flutes' ELSE '' END AS shown, 0 AS braces FROM part")
+@query(
+    "m2_clean_wikitext",
+    """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN replace('A.|==Instrumentation==|||* 2 flutes|* ' || (p_partkey % 4 + 2) || ' trumpets |* timpani|||===Strings===|violins|==History==|7 trumpets', '|', chr(10))
+       WHEN 1 THEN replace('Intro.|It is scored for 2 flutes, oboe, bassoon, ' || (p_partkey % 4 + 2) || ' trumpets and strings. The trumpets are silent later.|==Notes==|9 trumpets', '|', chr(10))
+       ELSE 'Written for Diaghilev, with trumpets.' END AS t FROM part""",
+)
 def m2_clean_wikitext(spark, sf_dir):
-    plain = _wiki(spark, sf_dir).select("id", markup.wikitext_text(F.col("wikitext")).alias("t"))
-    return plain.select("id", F.when(F.col("id") % 3 == 0, F.regexp_extract("t", "2 (flutes)", 1)).otherwise("").alias("shown"), F.when(F.col("t").rlike(r"\{\{|\[\["), 1).otherwise(0).alias("braces"))
+    return _wiki(spark, sf_dir).select("id", markup.wikitext_text(F.col("wikitext")).alias("t"))
 
 
 @query("m3_clean_detail", "SELECT p_partkey AS id, p_size || ' flutes, ' || p_name || ' horns' AS detail FROM part")
@@ -1193,7 +1206,7 @@ def w3_answer(spark, sf_dir):
 
 @query(
     "w3_first_batch",
-    f"""{_BUILD} SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY coalesce(CASE WHEN rejected THEN NULL ELSE y END, 9999), 'kund' || lpad(CAST(k AS VARCHAR), 12, '0'), t, rank, ord) AS place FROM z JOIN (SELECT id AS tid, t FROM ({d.RANKED}) q) q ON tid = ord WHERE ord % 5 + 2 >= 3) v WHERE place <= 150""",
+    f"""{_BUILD} SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY coalesce(CASE WHEN rejected THEN NULL ELSE y END, 9999), 'kund' || k || ' ana', {_DUCK_FOLD.format('t')}, rank, ord) AS place FROM z JOIN (SELECT id AS tid, t FROM ({d.RANKED}) q) q ON tid = ord WHERE ord % 5 + 2 >= 3) v WHERE place <= 150""",
 )
 def w3_first_batch(spark, sf_dir):
     batch, _, _ = jobs.answer(_index(spark, sf_dir), [("trumpet", "ge", 3)], by="date")

@@ -16,7 +16,7 @@ def spark():
     home = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "3").config("spark.default.parallelism", "3").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{home}/warehouse").config("spark.checkpoint.dir", f"{home}/shared")
         .getOrCreate()
