@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cleanup, keys, markup, scoring, text, years
+from ..functions import cleanup, keys, markup, publisher, scoring, text, years
 from ..functions.scoring import TRUMPETS, Family
 from ..operators import chronology, dedupe, harvest, identity, search, tallies
 from ..sources import tables
@@ -70,7 +70,7 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     for name in sources:
         own = dedupe.with_keys(works.where(F.col("src") == name), name)
         keyed = own if keyed is None else keyed.unionByName(own)
-    ranked = tables.settled(dedupe.dedupe_works(keyed.select("id", "rank", "ord", "src", "y", "register", "query"), [r for r, n in enumerate(n for n in SOURCES if n in sources)]))
+    ranked = tables.settled(dedupe.dedupe_works(keyed.select("id", "rank", "ord", "src", "y", "register", "query"), list(range(len(sources)))))
     handed = ranked.withColumn("y", F.when(F.col("kept") | (F.col("src") == "library"), F.col("y")))
     filled = dedupe.backfill_years(handed).select(F.col("id").alias("_id"), F.col("y").alias("_y"))
     kept = works.join(ranked.where("kept").select("id"), "id", "left_semi").join(filled, F.col("id") == F.col("_id"), "left")
@@ -89,7 +89,7 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     dated = dated.withColumn("rejected", F.col("harvested") & checked.isNull()).withColumn("y", checked).drop("born", "died")
     dated = chronology.assign_sort_years(dated)
 
-    s, tidied = F.col("scoring"), F.when(F.col("src") == "encyclopaedia", cleanup.scoring_display(F.col("text"), family)).when(F.col("src") == "publisher", F.col("text")).otherwise(F.col("text"))
+    s, tidied = F.col("scoring"), F.when(F.col("src") == "encyclopaedia", cleanup.scoring_display(F.col("text"), family)).when(F.col("src") == "publisher", publisher.readable_scoring(F.col("text"))).otherwise(F.col("text"))
     genre = F.coalesce(F.col("g"), F.when(F.col("arr"), F.lit("Arrangement")).when(F.col("src") == "encyclopaedia", keys.genre_from_title(F.col("t"), F.lit("Orchestral"))), F.lit("Other"))
     done = dated.select(
         "id", "ord", "c", "t", "cat", "y", "sy", genre.alias("g"), scoring.format_scoring(s, family).alias("s"), s["counts"].alias("counts"), scoring.required(s, family).alias("req"),
