@@ -58,7 +58,7 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     rows = rows.withColumn("arr", F.coalesce("arr", F.lit(False))).withColumn("ord", F.col("rank").cast("long") * (1 << 40) + F.col("ord"))
     rows = rows.withColumn("title", F.when(F.col("src") == "encyclopaedia", text.without_disambiguator(F.col("title"))).otherwise(F.col("title")))
     parsed = tallies.complete_rows(scoring.parse_scoring(rows, "text", family), F.col("scoring.total"), "composer", "text")
-    parsed = parsed.where((F.col("src") != "library") | F.col("composer_id").isNotNull())
+    parsed = tables.settled(parsed.where((F.col("src") != "library") | F.col("composer_id").isNotNull()))
 
     renamed = parsed.withColumnsRenamed({"composer": "name", "composer_id": "id", "composer_sort": "sort"})
     linked, composers = identity.resolve_composers(renamed, variants)
