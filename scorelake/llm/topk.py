@@ -1,6 +1,6 @@
 """Exact top-k search among binary codes by incremental multi-index hashing. DataFrame operations only.
 
-Codes of 64 bits are cut into about 64 / log2(n) segments, and each segment of each distinct code is indexed. A query probes the values
+Codes of 64 bits are cut into segments, and each segment of each distinct code is indexed. A query probes the values
 within radius 0, 1, ... of its own in each of the m segments. Once radius r is done, every code within m * (r + 1) - 1 bits
 has turned up, since one that has not differs by more than r in each segment; once the first j segments are done to
 radius r and the others to r - 1, every code within m * r + j - 1 bits has. A query ends when its k-th distance is within that.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import discard, shuffle_partitions, written
 
 BITS = 64
+#: About 64 / log2(number of codes) is best; a fixed number keeps the work of a query alike at every size.
+SEGMENTS = 4
 K = 10
 QUERY_STEP = 100
 #: More probes of a segment than this are made segment by segment.
@@ -37,10 +39,9 @@ def sign_code(embedding: Column) -> Column:
     return F.when(embedding.isNotNull(), F.aggregate(bits, F.expr("0L"), lambda a, x: a.bitwiseOR(x)))
 
 
-def cuts(n: int) -> list[tuple[int, int]]:
-    """Where each segment of a code begins and how wide it is: so many segments that n codes fill about as many values of one."""
-    m = max(2, min(16, round(BITS / max(math.log2(max(n, 2)), 1))))
-    widths = [BITS // m + (s < BITS % m) for s in range(m)]
+def cuts(segments: int) -> list[tuple[int, int]]:
+    """Where each segment of a code begins and how wide it is; the first are wider by one where they can't all be alike."""
+    widths = [BITS // segments + (s < BITS % segments) for s in range(segments)]
     return [(sum(widths[:s]), w) for s, w in enumerate(widths)]
 
 
@@ -71,7 +72,7 @@ class SegmentIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): for each row of `queries` (id, code) the k rows of `vectors` (id, code)
     with the smallest Hamming distance, the smaller id first among equals, the query's own id left out.
 
@@ -83,8 +84,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # At most k + 1 ids of each code; each task drops the others before anything is sent.
     first = vectors.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
     kinds = written(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    layout = cuts(kinds.count())
-    segments, index = len(layout), SegmentIndex(kinds, layout)
+    layout = cuts(segments)
+    index = SegmentIndex(kinds, layout)
     asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).where("query_id is not null and query is not null").distinct()
     asked = written(asked, "queries")
     open_ = written(asked.select("query").distinct().withColumn("bound", F.lit(BITS)), "open")

@@ -130,13 +130,14 @@ def test_top_k(spark):
     rows = [(i, signed(c)) for i, c in codes.items()] + [(5, signed(codes[5])), (None, 3), (900, None)]
     vectors = spark.createDataFrame(rows, "id long, code long")
     queries = vectors.where("id % 37 = 0 or id in (301, 900)")
-    got = {(x["query_id"], x["rank"]): (x["neighbour_id"], x["distance"]) for x in top_k(vectors, queries, 5).collect()}
+    found = [{(x["query_id"], x["rank"]): (x["neighbour_id"], x["distance"]) for x in top_k(vectors, queries, 5, segments).collect()} for segments in (4, 5)]
+    got = found[0]
     expected = {}
     for q in codes:
         if q % 37 == 0 or q == 301:
             near = sorted(((codes[q] ^ c).bit_count(), i) for i, c in codes.items() if i != q)[:5]
             expected |= {(q, k + 1): (i, d) for k, (d, i) in enumerate(near)}
-    assert got == expected
+    assert got == expected == found[1]
 
 
 def test_codes_of_long_and_short_embeddings(spark):
@@ -155,10 +156,10 @@ def test_codes_of_long_and_short_embeddings(spark):
     assert [None if c is None else c % (1 << 64) for c in got] == [None if e is None else code(e) for e in rows]
 
 
-@pytest.mark.parametrize("n", [1, 2, 5000, 10**6, 10**12])
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 7, 16])
 def test_cuts_cover_a_code(n):
     layout = cuts(n)
-    assert sum(w for _, w in layout) == 64 and all(a + w == b for (a, w), (b, _) in zip(layout, layout[1:])) and 2 <= len(layout) <= 16
+    assert sum(w for _, w in layout) == 64 and all(a + w == b for (a, w), (b, _) in zip(layout, layout[1:])) and len(layout) == n
 
 
 def test_empty_tables(spark, empty):
