@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import cleanup, keys, markup, publisher, scoring, text, years
 from ..functions.scoring import TRUMPETS, Family
 from ..operators import chronology, dedupe, harvest, identity, search, tallies
-from ..sources import tables
+from ..sources import publishing, tables
 
 #: The sources, best first.
 SOURCES = ("curated", "publisher", "encyclopaedia", "library")
 #: What a source's table has; what it lacks is null.
 RECORD = (
     "ord long, composer string, composer_id string, composer_sort string, dates string, aliases array<string>, title string, cat string, year int, "
-    "genre string, text string, also array<string>, arr boolean, page string, url string"
+    "genre string, text string, also array<string>, arr boolean, page string, url string, stamp timestamp"
 )
 
 
@@ -27,13 +27,9 @@ class Index:
     composers: DataFrame
     statistics: DataFrame
 
-    def publish(self, path: str) -> bool:
-        """Writes the tables below `path` unless they hold the same works and composers already; whether it wrote."""
-        now = tables.build_manifest(self.works, self.composers, ["id", "c", "t", "cat", "y", "s", "full"], ["composer_id", "name", "sort", "dates"])
-        if not tables.write_if_changed(now, f"{path}/version", ["build"]):
-            return False
-        tables.publish_index(self.works, self.composers, path)
-        return True
+    def publish(self, path: str, force: bool = False, verify=None) -> publishing.Outcome:
+        """Makes these tables the current version at `path`, as `publishing.publish` says: equal ones are left, losses refused unless forced."""
+        return tables.publish_index(self.works, self.composers, self.statistics, path, verify=verify, force=force)
 
 
 def _typed(rows: DataFrame) -> DataFrame:
@@ -49,7 +45,8 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     found_years (src, page, year) are years harvested for pages, found_dates (ord, sort, born, died, alt) lives of composers,
     variants (variant, canonical) other spellings of names. Rows without players of the family, or that name no composer,
     are left out; of equal works that of the best source stays and takes over a year that the library had for a copy.
-    Harvested years outside a composer's life go. Works without a year are placed between their neighbours.
+    Harvested years outside a composer's life go. Works without a year are placed between their neighbours. The
+    statistics name the latest stamp of a harvested row as the date of the data.
     """
     unknown = set(sources) - set(SOURCES)
     if unknown:
@@ -97,7 +94,9 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     )
     done = tables.settled(done)
     people = tallies.composers_with_works(lives, tallies.works_per_composer(done))
-    return Index(done.drop("harvested", "rejected"), people, tallies.build_statistics(done, people))
+    stamped = rows.agg(tallies.data_date(F.col("stamp")).alias("data_date"))
+    statistics = tallies.build_statistics(done, people).join(stamped, F.lit(True))  # one row each
+    return Index(done.drop("harvested", "rejected"), people, tables.settled(statistics))
 
 
 def read_articles(roots: DataFrame, edges: DataFrame, pages: DataFrame, family: Family = TRUMPETS, most: int = harvest.MOST_ARTICLES) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanup, commentary, keys, markup, publisher, scoring, text, years
 from ..operators import chronology, dedupe, harvest, identity, search, tallies
-from ..sources import tables
+from ..sources import publishing, tables
 from . import derived as d
 from . import jobs
 
@@ -540,7 +540,7 @@ def snk2_write_if_changed(spark, sf_dir):
 @query("snk3_build_manifest", f"SELECT true AS same, count(*) AS works, count(DISTINCT c) AS composers FROM ({d.WORKS}) w")
 def snk3_build_manifest(spark, sf_dir):
     works = d.derive(spark, sf_dir, d.WORKS)
-    make = lambda w: tables.build_manifest(w, w.select("c").distinct(), ["ord", "t"], ["c"])
+    make = lambda w: tables.build_manifest(w, w.select("c").distinct())
     return make(works).join(make(works.repartition(5)).select("build", F.lit(True).alias("same")), "build").select("same", "works", "composers")
 
 
@@ -956,7 +956,7 @@ def k18_is_arrangement(spark, sf_dir):
 def snk8_loss_guard(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     old, most, few = orders.agg(F.count(F.lit(1)), F.count_if(F.col("o_orderkey") % 10 > 0), F.count_if(F.col("o_orderkey") % 3 > 0)).first()
-    return spark.createDataFrame([(kept, tables.guard_loss(old, new)) for kept, new in ((0, old), (10, most), (3, few))], "kept int, publish boolean")
+    return spark.createDataFrame([(kept, publishing.guard_loss(old, new)) for kept, new in ((0, old), (10, most), (3, few))], "kept int, publish boolean")
 
 
 @query(
@@ -969,14 +969,46 @@ def snk1_publish_index(spark, sf_dir):
     works = d.derive(spark, sf_dir, d.WORKS).withColumn("src", F.lit("x")).withColumn("url", F.lit("y"))
     backwards = F.lpad((10**9 - F.regexp_extract("c_name", r"(\d+)", 1).cast("long")).cast("string"), 12, "0")
     composers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("composer_id"), F.col("c_name").alias("name"), backwards.alias("sort"))
-    tables.publish_index(works, composers, path)
-    read = spark.read.parquet
+    numbers = works.agg(F.count(F.lit(1)).alias("works")).join(composers.agg(F.count(F.lit(1)).alias("composers")), F.lit(True))  # one row each
+    tables.publish_index(works, composers, numbers, path)
+    read = lambda name: publishing.load(spark, path, name)
     none = F.lit(None).cast("string")
-    shown = read(f"{path}/works").drop("bucket")
+    shown = read("works")
     assert "src" not in shown.columns and "url" not in shown.columns
     out = shown.select(F.lit("work").alias("kind"), F.col("ord").alias("id"), F.col("t").alias("label"), F.lit(None).cast("long").alias("place"))
-    listed = search.placed(read(f"{path}/composers"), "sort").select(F.lit("composer").alias("kind"), F.col("composer_id").alias("id"), F.col("name").alias("label"), F.col("place").cast("long").alias("place"))
-    return out.unionByName(listed).unionByName(read(f"{path}/stats").select(F.lit("stats").alias("kind"), F.col("works").alias("id"), none.alias("label"), F.col("composers").alias("place")))
+    listed = search.placed(read("composers"), "sort").select(F.lit("composer").alias("kind"), F.col("composer_id").alias("id"), F.col("name").alias("label"), F.col("place").cast("long").alias("place"))
+    return out.unionByName(listed).unionByName(read("statistics").select(F.lit("stats").alias("kind"), F.col("works").alias("id"), none.alias("label"), F.col("composers").alias("place")))
+
+
+#: Versions of the works: all; the same again; one composer's years moved; a failure before the switch; a loss of a third; the same loss, forced.
+_VERSIONS = "(VALUES (1, 'published', 'all', 0, 1), (2, 'unchanged', 'none', 0, 1), (3, 'published', 'one', 1, 1), (4, 'failed', 'none', 1, 1), (5, 'refused', 'none', 1, 1), (6, 'published', 'all', 1, 3))"
+
+
+@query(
+    "snk1_versions",
+    f"""WITH w AS ({d.WORKS}) SELECT step, outcome, written, count(*) AS works, CAST(sum(y + CASE WHEN moved = 1 AND c = 'c1' THEN 1 ELSE 0 END) AS BIGINT) AS years
+    FROM {_VERSIONS} v(step, outcome, written, moved, lost), w WHERE lost = 1 OR ord % lost > 0 GROUP BY step, outcome, written""",
+)
+def snk1_versions(spark, sf_dir):
+    works, path = tables.settled(d.derive(spark, sf_dir, d.WORKS)), _folder(spark, "versions")
+    moved = works.withColumn("y", F.when(F.col("c") == "c1", F.col("y") + 1).otherwise(F.col("y")))
+    fewer = moved.where("ord % 3 > 0")
+
+    def stop(_):
+        raise InterruptedError
+
+    out = None
+    for step, (rows, verify, force) in enumerate(((works, None, False), (works.repartition(3), None, False), (moved, None, False), (moved.withColumn("t", F.lit("?")), stop, False), (fewer, None, False), (fewer, None, True)), 1):
+        try:
+            found = publishing.publish({"works": publishing.Table(rows, "c")}, path, verify, force)
+            outcome, wrote, buckets = found.outcome, found.written, found.buckets
+        except InterruptedError:
+            outcome, wrote, buckets = "failed", 0, 1
+        written = {0: "none", 1: "one", buckets: "all"}.get(wrote, "some")
+        seen = publishing.load(spark, path, "works").agg(F.count(F.lit(1)).alias("works"), F.sum("y").alias("years"))
+        row = seen.select(F.lit(step).alias("step"), F.lit(outcome).alias("outcome"), F.lit(written).alias("written"), "works", "years")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("k7_split_catalogue", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN p_name || ', Xy.' || p_size ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN 'Op.' || p_size || ' No.2' WHEN 1 THEN 'BWV ' || p_size END AS catalogue FROM part")
@@ -1149,7 +1181,7 @@ def _index(spark, sf_dir) -> jobs.Index:
     rows = tables.settled(d.derive(spark, sf_dir, d.RANKED).withColumn("k", F.substring("c", F.lit(2), F.length("c")).cast("long")))
     ord_, k = F.col("ord"), F.col("k")
     trumpets = F.concat((ord_ % 5 + 2).cast("string"), F.lit(" trumpets, strings"))
-    own = rows.select("ord", "rank", F.concat(F.lit("Ana Kund"), k).alias("composer"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("composer_sort"), F.concat(F.lit("k"), k).alias("composer_id"), F.col("t").alias("title"), "y", trumpets.alias("text"), ord_.cast("string").alias("page"))
+    own = rows.select("ord", "rank", F.concat(F.lit("Ana Kund"), k).alias("composer"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("composer_sort"), F.concat(F.lit("k"), k).alias("composer_id"), F.col("t").alias("title"), "y", trumpets.alias("text"), ord_.cast("string").alias("page"), F.timestamp_seconds(ord_).alias("stamp"))
     given = own.withColumn("year", F.col("y"))
     sources = {"curated": given.where("rank = 0"), "publisher": given.where("rank = 1"), "library": own.where("rank = 2")}
     found_years = own.where("rank = 2 and y is not null").select(F.lit("library").alias("src"), "page", F.col("y").alias("year"))
@@ -1173,10 +1205,10 @@ def w1_build_index(spark, sf_dir):
 @query(
     "w1_build_statistics",
     f"""{_BUILD} SELECT count(*) AS works, count(CASE WHEN NOT rejected THEN y END) AS dated, CAST(0 AS BIGINT) AS placed, count(CASE WHEN h AND NOT rejected THEN 1 END) AS years_kept, count(CASE WHEN rejected THEN 1 END) AS years_rejected,
-    count(DISTINCT k) AS composers, count(DISTINCT CASE WHEN born IS NOT NULL THEN k END) AS dates_added, CAST(0 AS BIGINT) AS via_variant, count(DISTINCT CASE WHEN born IS NOT NULL AND died IS NULL THEN k END) AS living FROM z""",
+    count(DISTINCT k) AS composers, count(DISTINCT CASE WHEN born IS NOT NULL THEN k END) AS dates_added, CAST(0 AS BIGINT) AS via_variant, count(DISTINCT CASE WHEN born IS NOT NULL AND died IS NULL THEN k END) AS living, (SELECT max(ord) FROM f) AS data_date FROM z""",
 )
 def w1_build_statistics(spark, sf_dir):
-    return _index(spark, sf_dir).statistics
+    return _index(spark, sf_dir).statistics.withColumn("data_date", F.unix_timestamp("data_date"))
 
 
 @query(

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LOSS = 0.2
-
+from . import publishing
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
@@ -27,7 +26,16 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: a short lineage for loops."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `settled` wrote and nothing reads any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,40 +50,39 @@ def load_source(spark: SparkSession, path: str, schema: StructType | str, form:
     return spark.read.schema(schema).format(form).load(path)
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: rows, and the sum of their hashes, which no order or partitioning changes."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash"))
+def write_if_changed(df: DataFrame, path: str, columns: list[str], loss: float | None = None) -> bool:
+    """Publishes `columns` of `df` as the table `rows` at `path` unless it holds the same values already; whether it wrote.
 
+    The rows are written once, before they are compared, so that both see the same. With `loss`, a table that would lose
+    more than that share of its rows is refused.
+    """
+    rows = settled(df.select(*columns))
+    try:
+        return publishing.publish({"rows": publishing.Table(rows, columns[0], loss=loss)}, path).outcome == "published"
+    finally:
+        discard(rows)
 
-def write_if_changed(df: DataFrame, path: str, columns: list[str]) -> bool:
-    """Writes `df` unless the table at `path` has the same values in `columns`; whether it wrote. Beside it lies a manifest."""
-    spark = df.sparkSession
-    now = fingerprint(df, columns)
-    row = now.first()
-    kept = load_source(spark, f"{path}.manifest", now.schema).first()
-    if kept == row:
-        return False
-    # Without a manifest a table counts as changed, so a run that stops between the writes is made good by the next.
-    spark.createDataFrame([], now.schema).write.mode("overwrite").parquet(f"{path}.manifest")
-    df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([row], now.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}.manifest")
-    return True
 
+def build_manifest(works: DataFrame, composers: DataFrame) -> DataFrame:
+    """build (ten hex digits of what all columns of the tables hold), works, composers: the same data has the same build."""
+    whole = F.lit(0)
+    both = publishing.fingerprints(works, whole).withColumn("table", F.lit("works")).unionByName(publishing.fingerprints(composers, whole).withColumn("table", F.lit("composers")))
+    numbers = both.agg(F.coalesce(F.max(F.when(F.col("table") == "works", F.col("n"))), F.lit(0)).alias("works"), F.coalesce(F.max(F.when(F.col("table") == "composers", F.col("n"))), F.lit(0)).alias("composers"))
+    return publishing.build_of(both).join(numbers, F.lit(True))  # one row each
 
-def build_manifest(works: DataFrame, composers: DataFrame, work_columns: list[str], composer_columns: list[str]) -> DataFrame:
-    """build (ten hex digits of what the tables hold), works, composers: the same data has the same build."""
-    a, b = fingerprint(works, work_columns), fingerprint(composers, composer_columns)
-    both = a.select(F.col("n").alias("works"), F.col("hash").alias("h")).crossJoin(b.select(F.col("n").alias("composers"), F.col("hash").alias("g")))  # one row each
-    return both.select(F.substring(F.sha2(F.concat_ws("|", "works", "h", "composers", "g"), 256), 1, 10).alias("build"), "works", "composers")
 
+def publish_index(works: DataFrame, composers: DataFrame, statistics: DataFrame, path: str, buckets: int = publishing.BUCKETS, verify=None, force: bool = False) -> publishing.Outcome:
+    """The merged index as a version at `path`: works without provenance by a bucket of the composer, composers in order of sort name, the statistics.
 
-def publish_index(works: DataFrame, composers: DataFrame, path: str, buckets: int = 16) -> None:
-    """The merged index below `path`: works without provenance by a bucket of the composer, composers in order of sort name, and a row of numbers."""
-    bucket = F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int")
-    works.drop("src", "url").withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/works")
-    composers.orderBy(F.coalesce("sort", F.lit("zz")), "composer_id").write.mode("overwrite").parquet(f"{path}/composers")
-    numbers = works.agg(F.count(F.lit(1)).alias("works")).join(composers.agg(F.count(F.lit(1)).alias("composers")), F.lit(True))  # one row each
-    numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    A version that loses more than a fifth of the works or composers is refused.
+    """
+    return publishing.publish(
+        {
+            "works": publishing.Table(works.drop("src", "url"), "c", ("id",) if "id" in works.columns else (), buckets=buckets),
+            "composers": publishing.Table(composers, "composer_id", (F.coalesce("sort", F.lit("zz")), "composer_id"), buckets=buckets),
+            "statistics": publishing.Table(statistics, None, loss=None),
+        }, path, verify, force,
+    )
 
 
 #: The columns of an export and what they show.
@@ -90,10 +97,12 @@ def export_matches(matches: DataFrame, composers: DataFrame, path: str) -> None:
     shown = dict(named.dtypes)
     cells = [F.when(F.col(c), "yes").otherwise("no") if shown[c] == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EXPORT.values()]
     line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
-    header = "\ufeff" + ",".join(f'"{name}"' for name in EXPORT) + "\r\n"
+    header = "\ufeff" + ",".join(f'"{name}"' for name in EXPORT)
     # The low 33 bits of this id count the rows of a task, and a task writes a file.
     first = F.monotonically_increasing_id() % (1 << 33) == 0
-    named.select(F.concat(F.when(first, header).otherwise(""), line).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    named.select(F.concat(F.when(first, header + "\r\n").otherwise(""), line).alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    if matches.sparkSession.read.text(path).isEmpty():
+        matches.sparkSession.range(1).select(F.lit(header).alias("value")).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def export_csv(matches: DataFrame, path: str) -> None:
@@ -128,8 +137,3 @@ def append_new(harvested: DataFrame, path: str, key: str) -> DataFrame:
 def refresh_partition(df: DataFrame, path: str, source: str = "source") -> None:
     """Replaces the sources that `df` holds and leaves the others in the table."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
-
-
-def guard_loss(old: int, new: int) -> bool:
-    """Whether a refresh may be published: it loses no more than a fifth."""
-    return new >= old * (1 - LOSS)

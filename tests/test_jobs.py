@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from scorelake.plans import jobs
+from scorelake.sources import publishing
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +39,35 @@ def test_build(index):
 
 
 def test_publish_and_answer(spark, index, tmp_path):
-    assert index.publish(str(tmp_path / "index")) and not index.publish(str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index" / "composers")).count() == 3
+    path = str(tmp_path / "index")
+    assert index.publish(path).outcome == "published" and index.publish(path).outcome == "unchanged"
+    assert publishing.load(spark, path, "composers").count() == 3 and publishing.load(spark, path, "statistics").first()["works"] == 5
     batch, counts, tally = jobs.answer(index, [("trumpet", "ge", 2)], by="composer")
     assert [r["t"] for r in batch.collect()] == ["Fanfare", "Boléro", "Petrushka (1911)"]
     assert counts.first()["works"] == 3 and {r["key"]: r["works"] for r in tally.collect()}["cornet"] == 1
 
 
+def test_a_change_in_any_column_is_published(spark, index, tmp_path):
+    path = str(tmp_path / "index")
+    index.publish(path)
+    one = index.works["id"] == "library:3"
+    changes = {"counts": F.create_map(F.lit("trumpet"), F.lit(9)), "req": F.array(F.lit("cornet")), "g": F.lit("Other one"), "sy": F.lit(1.5), "arr": F.lit(True), "est": F.lit(True), "size": F.lit(9)}
+    for name, value in changes.items():
+        works = index.works.withColumn(name, F.when(one, value.cast(index.works.schema[name].dataType)).otherwise(F.col(name)))
+        found = jobs.Index(works, index.composers, index.statistics).publish(path)
+        assert (found.outcome, found.written) == ("published", 1), name
+        assert index.publish(path).outcome == "published"
+    for name in ("aliases", "n", "n_arr", "born", "died", "dates", "sort"):
+        kind = index.composers.schema[name].dataType
+        other = F.array(F.lit("else")) if name == "aliases" else F.lit("7").cast(kind)
+        people = index.composers.withColumn(name, F.when(F.col("name") == "Maurice Ravel", other).otherwise(F.col(name)))
+        assert jobs.Index(index.works, people, index.statistics).publish(path).written == 1, name
+        index.publish(path)
+    lost = jobs.Index(index.works.where(~one), index.composers.limit(2), index.statistics)
+    assert lost.publish(path).outcome == "refused" and publishing.load(spark, path, "works").count() == 5
+    assert lost.publish(path, force=True).outcome == "published" and publishing.load(spark, path, "works").count() == 4
+
+
 def test_unknown_sources_are_refused(spark):
     with pytest.raises(ValueError):
         jobs.build_index({"elsewhere": spark.range(1)}, spark.range(0), spark.range(0))

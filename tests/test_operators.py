@@ -189,4 +189,6 @@ def test_publishing(spark, tmp_path):
     assert raw.startswith(b'\xef\xbb\xbf"Composer","Work"') and b'"Ana B","say ""hi""","","1900","Suite","two trumpets","2 trumpets,\tharp","yes"\r\n' in raw and b'"Unknown","t"' in raw
     assert tables.append_new(df, f"{tmp_path}/done", "ord").count() == 2 and tables.append_new(df.unionByName(df.withColumn("ord", F.lit(9))), f"{tmp_path}/done", "ord").count() == 3
     assert tables.load_source(spark, f"{tmp_path}/none", "a int").count() == 0
-    assert tables.guard_loss(100, 80) and not tables.guard_loss(100, 79)
+    tables.export_matches(works.where("c = 'none'"), spark.createDataFrame([("c", "Ana B")], "composer_id string, name string"), f"{tmp_path}/nothing")
+    (raw,) = [p.read_bytes() for p in (tmp_path / "nothing").iterdir() if p.suffix == ".txt"]
+    assert raw.startswith(b'\xef\xbb\xbf"Composer","Work"') and raw.endswith(b'"Arrangement"\r\n') and raw.count(b"\r\n") == 1
