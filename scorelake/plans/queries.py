@@ -515,6 +515,23 @@ def jn11_near_names(spark, sf_dir):
     return identity.near_names(table(spark, sf_dir, "customer").select(c.alias("composer_id"), name.alias("name"), sort.alias("sort"), (c % 7).alias("n")), queries)
 
 
+def _shaped(spark, sf_dir, shapes: list[tuple]) -> DataFrame:
+    """(id, n, raw): each part's number in one of the shapes of text, whose {n} is the part's size."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    raw = F.element_at(F.array(*[F.lit(x[0]) for x in shapes]), (k % len(shapes) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_size").alias("n"), F.replace(raw, F.lit("{n}"), n).alias("raw"))
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+def _shaped_sql(shapes: list[tuple], *names: str) -> str:
+    """What the shapes should become: each name's text of the part's shape, its {n} filled in."""
+    pick = lambda i: f"replace(([{', '.join(_literal(x[i]) for x in shapes)}])[p_partkey % {len(shapes)} + 1], '{{n}}', CAST(p_size AS VARCHAR))"
+    return f"SELECT p_partkey AS id, {', '.join(f'{pick(i + 1)} AS {name}' for i, name in enumerate(names))} FROM part"
+
+
 # ── sources and sinks ─────────────────────────────────────────────────────────
 
 
@@ -769,34 +786,49 @@ def c7_shipped_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), cleanup.shipped(raw, F.when(F.col("p_partkey") % 2 == 0, "curated").otherwise("library")).alias("text"))
 
 
-@query(
-    "c4_strip_commentary",
-    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_size || ' flutes, trumpet, timpani and strings' WHEN 1 THEN 'harp, organ, ' || p_size || ' violins, Strings'
-       WHEN 2 THEN 'S.D., B.D., Xylo., ' || p_size || ' cornets, Guiro' WHEN 3 THEN 'harp, strings. For a performance in May the composer added horn and trumpet parts' END AS text FROM part""",
-)
+#: Texts, and what is left without remarks.
+_REMARKS = [
+    ("{n} flutes, trumpet, timpani and strings. It is in four movements. A typical performance lasts about {n} minutes", "{n} flutes, trumpet, timpani and strings"),
+    ("harp, organ, {n} violins, Strings, This is a slightly larger orchestra than for the earlier dances", "harp, organ, {n} violins, Strings"),
+    ("S.D., B.D., Xylo., {n} cornets, Guiro<!-- {n} -->", "S.D., B.D., Xylo., {n} cornets, Guiro"),
+    ("harp, strings. For a performance in May the composer added horn and trumpet parts", "harp, strings. For a performance in May the composer added horn and trumpet parts"),
+    ("a bassoon theme played against plucked strings. The musical material comes from a gavotte", None),
+    ("{n} oboes, 2 horns, trumpet. Duration: {n} minutes", "{n} oboes, 2 horns, trumpet"),
+    ("The orchestra was unusually large for its time. The piece is scored for the following forces: {n} horns, 3 trumpets, tuba", "{n} horns, 3 trumpets, tuba"),
+    ("{n} trumpets, organ, This is one of the few works that critics praised", "{n} trumpets, organ"),
+    ("piano, {n} violas. Two trumpet parts were added for the revised version", "piano, {n} violas. Two trumpet parts were added for the revised version"),
+    ("trumpet, piano. It was dedicated to a friend. An arrangement for cornet, {n} violins", "trumpet, piano. An arrangement for cornet, {n} violins"),
+    ("a lively fanfare opens the work. The melody returns in the strings after {n} bars", None),
+    ("{n} cornets, drums; Click here to listen", "{n} cornets, drums"),
+    ("Brass: 4 horns, {n} trumpets, Woodwind: 2 flutes", "Brass: 4 horns, {n} trumpets, Woodwind: 2 flutes"),
+]
+
+
+@query("c4_strip_commentary", _shaped_sql(_REMARKS, "text"))
 def c4_strip_commentary(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    raw = (
-        F.when(k == 0, F.concat("p_size", F.lit(" flutes, trumpet, timpani and strings. It is in four movements. A typical performance of "), "p_name", F.lit(" lasts about 25 minutes")))
-        .when(k == 1, F.concat(F.lit("harp, organ, "), "p_size", F.lit(' violins, Strings, This is a slightly larger orchestra than for the 1923 '), "p_name"))
-        .when(k == 2, F.concat(F.lit("S.D., B.D., Xylo., "), "p_size", F.lit(" cornets, Guiro<!-- "), "p_name", F.lit(" -->")))
-        .when(k == 3, "harp, strings. For a performance in May the composer added horn and trumpet parts").otherwise("a bassoon theme played against plucked strings. The musical material comes from a gavotte")
-    )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), commentary.strip_commentary(raw).alias("text"))
-
-
-@query(
-    "c6_readable_scoring",
-    """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '3 flutes, 2 oboes, 2 clarinets, 2 bassoons, 4 horns, ' || (p_size % 5 + 2) || ' trumpets, 3 trombones, tuba, timpani, ' || (p_size % 5 + 2) || ' percussion, harp, strings'
-       WHEN 1 THEN (p_size % 5 + 2) || ' Flutes, 3 clarinets, ' || p_name WHEN 2 THEN 'brass quintet (also published in other scorings)' ELSE 'solo trumpet, celesta, saxophones, guitar' END AS text FROM part""",
-)
+    return _shaped(spark, sf_dir, _REMARKS).select("id", commentary.strip_commentary(F.col("raw")).alias("text"))
+
+
+#: A publisher's scorings, and how they read.
+_PUBLISHED = [
+    ("*3222 – 4231 – t+{n} – hp – str", "3 flutes, 2 oboes, 2 clarinets, 2 bassoons, 4 horns, 2 trumpets, 3 trombones, tuba, timpani, {n} percussion, harp, strings"),
+    ("Flute 1-3; Bb clarinet 1-3; {n} violas", "3 Flutes, 3 clarinets, {n} violas"),
+    ("2 options, 1) brass quintet, 2) full orchestra and {n} horns", "brass quintet (also published in other scorings)"),
+    ("Solo trumpet – cel. – sax (please indicate which one would be preferred), gtr. – {n} horns", "solo trumpet, celesta, saxophones, guitar, {n} horns"),
+    ("3*333 (3rd dbl. picc) - 4000, {n} bells, pno", "3 flutes, 3 oboes, 3 clarinets, 3 bassoons, 4 horns, {n} bells, piano"),
+    ("11010 – 0100 – {n}p", "flute, oboe, bassoon, trumpet, {n} percussion"),
+    ("C trumpet, E flat clarinet, F horn, tpts 1-2, {n} violins", "trumpet, clarinet, horn, 2 trumpets, {n} violins"),
+    ("cornet 1-20, Bass 2-1, {n} drums", "cornet 1-20, Bass 2-1, {n} drums"),
+    ("{n} flutes, harp. Also available for choir", "{n} flutes, harp (also published in other scorings)"),
+    ("brass, organ; {n} player version, flute", "brass, organ (also published in other scorings)"),
+    ("Full orchestra, {n} oboes, reduced string ensemble instrumentation, viola", "full orchestra, {n} oboes (also published in other scorings)"),
+    ("perc (t, sus. cymb.), opt. harp, {n} bells", "percussion (timpani, suspended cymbal), optional harp, {n} bells"),
+]
+
+
+@query("c6_readable_scoring", _shaped_sql(_PUBLISHED, "text"))
 def c6_readable_scoring(spark, sf_dir):
-    k, n = F.col("p_partkey") % 4, F.col("p_size") % 5 + 2
-    raw = (
-        F.when(k == 0, F.concat(F.lit("*3222 – 4"), n, F.lit("31 – t+"), n, F.lit(" – hp – str"))).when(k == 1, F.concat(F.lit("Flute 1-"), n, F.lit("; Bb clarinet 1-3; "), "p_name"))
-        .when(k == 2, F.concat(F.lit("2 options, 1) brass quintet, 2) full orchestra and "), "p_name")).otherwise("Solo trumpet – cel. – sax (please indicate which one would be preferred), gtr.")
-    )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), publisher.readable_scoring(raw).alias("text"))
+    return _shaped(spark, sf_dir, _PUBLISHED).select("id", publisher.readable_scoring(F.col("raw")).alias("text"))
 
 
 @query("d3_article_year", "SELECT o_orderkey AS ord, CAST(year(o_orderdate) AS INT) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'infobox' ELSE 'category' END AS how FROM orders")
@@ -1116,6 +1148,76 @@ def srt5_listing_order(spark, sf_dir):
     return search.page(table(spark, sf_dir, "supplier"), [F.coalesce(sort, F.lit("zz")), F.col("s_suppkey")], 1, 5).select("s_suppkey")
 
 
+#: Texts with asides, and their counts, and who doubles what.
+_ASIDES = [
+    ("6 trumpets (1st doubling cornet), {n} harps", "trumpet 6", "cornet/trumpet/1st"),
+    ("6 trumpets (2nd and third dbl. cornet)", "trumpet 6", "cornet/trumpet/2nd and 3rd"),
+    ("6 trumpets (4 also 2nd cornet)", "trumpet 6", "cornet/trumpet/4th"),
+    ("4 trumpets (or cornets), {n} oboes", "trumpet 4", ""),
+    ("3 trumpets (1st doubling piccolo trumpet, 2nd doubling flugelhorn)", "trumpet 3", "piccoloTrumpet/trumpet/1st;flugelhorn/trumpet/2nd"),
+    ("3 trumpets (3rd doubling cornet; 2 flugelhorns offstage)", "trumpet 3, flugelhorn 2", "cornet/trumpet/3rd"),
+    ("oboe (doubling cornet)", "cornet 0", "cornet//"),
+    ("3 trumpets (1st, 2nd and 3rd = flugelhorn)", "trumpet 3", "flugelhorn/trumpet/1st, 2nd and 3rd"),
+    ("5 trumpets (including 2 cornets)", "trumpet 5", "cornet/trumpet/"),
+    ("2 cornets (2nd doubling trumpet in C, also trumpet in D)", "cornet 2", "trumpet/cornet/2nd"),
+    ("3 trumpets (11th doubling cornet, muted)", "trumpet 3", "cornet/trumpet/11th"),
+    ("2 cornets [1st alternating with piccolo trumpet], 3 trumpets", "trumpet 3, cornet 2", "piccoloTrumpet/cornet/1st"),
+]
+#: Texts that name a member more than once: the first number that is given counts, and numbers are never added up.
+_TWICE = [
+    ("{n} trumpets, oboe, {n} trumpets", "trumpet {n}", ""),
+    ("{n} trumpets, trumpet", "trumpet {n}", ""),
+    ("trumpets, harp, {n} trumpets", "trumpet {n}", ""),
+    ("trumpets, harp, trumpets offstage", "trumpet 2", ""),
+    ("2 cornets, {n} trumpets, 4 cornets", "trumpet {n}, cornet 2", ""),
+    ("trumpet, trumpets", "trumpet 1", ""),
+    ("{n} trumpets and {n} trumpets and cornet", "trumpet {n}, cornet 1", ""),
+    ("trumpet 1-3, trumpet 4", "trumpet 3", ""),
+    ("cornet, flute (doubling cornet)", "cornet 1", "cornet//"),
+    ("{n} flugelhorns, horn, flugelhorn (optional)", "flugelhorn {n}", ""),
+]
+
+
+def _read(spark, sf_dir, shapes) -> DataFrame:
+    x = scoring.parse_scoring(_shaped(spark, sf_dir, shapes), "raw")
+    counts = F.array(*[F.when(F.map_contains_key("scoring.counts", F.lit(k)), F.concat(F.lit(f"{k} "), F.element_at("scoring.counts", F.lit(k)))) for k in KEYS])
+    doubled = F.transform("scoring.doublings", lambda v: F.concat_ws("/", v["instrument"], F.coalesce(v["parent"], F.lit("")), F.coalesce(v["player"], F.lit(""))))
+    return x.select("id", F.array_join(F.array_compact(counts), ", ").alias("counts"), F.array_join(doubled, ";").alias("doublings"))
+
+
+@query("p9_named_twice", _shaped_sql(_TWICE, "counts", "doublings"))
+def p9_named_twice(spark, sf_dir):
+    return _read(spark, sf_dir, _TWICE)
+
+
+@query("p10_asides", _shaped_sql(_ASIDES, "counts", "doublings"))
+def p10_asides(spark, sf_dir):
+    return _read(spark, sf_dir, _ASIDES)
+
+
+#: Wikitext, and its words.
+_WIKITEXTS = [
+    ("{{nowrap|{n} [[trumpet]]s}} and ''harp''", "{n} trumpets and harp"),
+    ("a<!-- {n} -->b <ref name=x/>c <ref>{{cite|{n}}}</ref>d", "ab c d"),
+    ("{{ubl|{n} flutes|[[Oboe|oboes]]|style=x|20em}}", "{n} flutes oboes"),
+    ("{{div col|colwidth=20em}}\n* {n} [[Horn (music)|horns]]\n{{div col end}}", "* {n} horns"),
+    ("{| class=wikitable\n|-\n! Brass || {n} trumpets\n| style=\"a\" | tuba\n|}", "Brass {n} trumpets tuba"),
+    ("{{cite|{{x|{n}}}}} harp&nbsp;{n}<br>bell", "harp {n} bell"),
+    ("{{hanging indent|text={n} [[cornet]]s}}", "{n} cornets"),
+    ("[https://example.org/s the score] of {n} [[bar]]s", "the score of {n} bars"),
+    ("{{open {n} [[bar]]s", "{{open {n} bars"),
+    ("{{lang|de|{n} Hörner}} {{unknown|y}} <small>x</small>", "de {n} Hörner x"),
+    ("{{flatlist|\n* {n} [[flute]]s\n* [[B-flat|B]] cornet\n}}", "* {n} flutes * B cornet"),
+    ("{{small|{{nowrap|{n} bells}} }} end", "{n} bells end"),
+]
+
+
+@query("m2_wikitext_shapes", _shaped_sql(_WIKITEXTS, "text"))
+def m2_wikitext_shapes(spark, sf_dir):
+    shown = markup.wikitext_text(F.col("raw"))
+    return _shaped(spark, sf_dir, _WIKITEXTS).select("id", F.trim(F.regexp_replace(shown, r"\s+", " ")).alias("text"))
+
+
 @query(
     "p10_doublings",
     "SELECT o_orderkey AS ord, 'cornet' AS instrument, 'trumpet' AS parent, CASE o_orderkey % 3 WHEN 0 THEN '1st' WHEN 1 THEN '2nd and 3rd' ELSE '4th' END AS player FROM orders",
