@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,23 +52,26 @@ def composer_dates(composers: DataFrame, dates: DataFrame) -> DataFrame:
     people = dates.select("ord", "born", "died", surname(F.col("sort")).alias("_surname"), F.array_union(forenames(F.col("sort")), F.coalesce("alt", F.array().cast("array<string>"))).alias("_names"))
     df = composers.join(exact, "sort", "left")
     open_ = df.where("_exact is null").select("composer_id", surname(F.col("sort")).alias("_surname"), forenames(F.col("sort")).alias("_own"))
-    near = open_.join(people, "_surname").where(F.arrays_overlap("_own", "_names"))
-    near = near.groupBy("composer_id").agg(F.min_by(F.struct("born", "died"), "ord").alias("_near"))
+    # Of each surname and forename word the first record, so that a composer meets one record a word, not all namesakes.
+    first = people.select("_surname", F.explode(F.array_distinct("_names")).alias("_word"), "ord", F.struct("born", "died").alias("life")).groupBy("_surname", "_word").agg(F.min_by(F.struct("ord", "life"), "ord").alias("_first"))
+    asked = open_.select("composer_id", "_surname", F.explode(F.array_distinct("_own")).alias("_word"))
+    near = asked.join(first, ["_surname", "_word"]).groupBy("composer_id").agg(F.min_by("_first.life", "_first.ord").alias("_near"))
     df = df.join(near, "composer_id", "left")
     found = F.coalesce("_exact", "_near")
     return df.withColumn("born", found["born"]).withColumn("died", found["died"]).withColumn("via_variant", F.col("_exact").isNull() & F.col("_near").isNotNull()).drop("_exact", "_near")
 
 
-#: Distinct query texts that are broadcast at once; more are gone through in parts.
+#: Distinct query texts (with their pieces) that are broadcast at most; more are joined by shuffle.
 QUERY_TEXTS = 200_000
+#: Lengths of the prefixes by which suffixes of names are found; a longer query is found by the longest of these and compared.
+PREFIXES = (*range(1, 17), 20, 24, 32, 48, 64)
 
 
-def _asked(queries: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
-    """(query_id, q) of the folded queries, their distinct texts dealt to parts (q, part), and the number of parts."""
+def _asked(queries: DataFrame, least: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(query_id, q) of the folded queries, their distinct texts (q), and whether these are few enough to be broadcast."""
     q = queries.select("query_id", fold(F.col("text")).alias("q")).where(F.length("q") >= least)
-    texts = q.select("q").distinct()
-    parts = -(-texts.count() // QUERY_TEXTS)
-    return q, settled(texts.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(parts, 1))))), parts
+    texts = settled(q.select("q").distinct())
+    return q, texts, texts.limit(QUERY_TEXTS + 1).count() <= QUERY_TEXTS
 
 
 def _named(composers: DataFrame) -> DataFrame:
@@ -77,24 +80,31 @@ def _named(composers: DataFrame) -> DataFrame:
     return composers.select("*", fold(F.col("name")).alias("_full"), fold(sort).alias("_sort"), fold(F.element_at(F.split(sort, ","), 1)).alias("_last"))
 
 
+def _prefixes(text: Column) -> Column:
+    """The prefixes of a text that have one of the lengths of PREFIXES."""
+    lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= F.length(text))
+    return F.transform(lengths, lambda n: F.substring(text, F.lit(1), n))
+
+
 def name_lookup(composers: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
     """The `top` composers (composer_id, name, sort, aliases, n: works and arrangements) for each query (query_id, text).
 
     A surname or alias that is the query scores 100, the whole name or its sort form 95, a surname that begins with it
     80, an alias 75, a name or sort form 70; a sort form that contains it 40, a name 35. Up to 12 points are added for
-    many works; ties go by sort form. A composer meets a query where one of the pieces of the name, as long as some
-    query is, equals it, so that only what fits is compared. Equal queries are looked up once, broadcast in parts.
+    many works; ties go by sort form. A name contains a query where one of its suffixes begins with it. So each distinct
+    suffix, and each alias, is found by those of its prefixes that have certain lengths, and a query by its own longest
+    such prefix: one pass over the names, however many queries there are and however long.
     """
-    q, texts, parts = _asked(queries, 1)
+    q, texts, few = _asked(queries, 1)
     c = _named(composers).withColumn("_aliases", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), fold))
-    lengths = sorted(r[0] for r in texts.select(F.length("q")).distinct().collect())
-    lengths = F.array(*map(F.lit, lengths)).cast("array<int>")  # of names people type: a few dozen
+    key = F.element_at(_prefixes(F.col("q")), -1)
+    asked = texts.withColumn("_key", key)
 
-    def pieces(name, n):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, n))
+    def suffixes(name):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(name, i, F.length(name)))
 
-    every = F.transform(lengths, lambda n: F.array_union(F.array_union(pieces(F.col("_full"), n), pieces(F.col("_sort"), n)), F.transform("_aliases", lambda a: F.substring(a, F.lit(1), n))))
-    c = c.withColumn("q", F.explode(F.array_distinct(F.flatten(every))))
+    starts = F.array_distinct(F.flatten(F.array(suffixes(F.col("_full")), suffixes(F.col("_sort")), F.col("_aliases"))))
+    keyed = c.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.transform(starts, _prefixes)))))
     is_q, begins = (lambda x: x == F.col("q")), (lambda x: F.startswith(x, F.col("q")))
     score = (
         F.when(is_q(F.col("_last")) | F.array_contains("_aliases", F.col("q")), 100).when(is_q(F.col("_full")) | is_q(F.col("_sort")), 95).when(begins(F.col("_last")), 80)
@@ -102,36 +112,57 @@ def name_lookup(composers: DataFrame, queries: DataFrame, top: int = 8) -> DataF
     )
     boost = F.least(F.lit(12.0), 2 * F.log2(F.col("n") + 1))
     order = W.partitionBy("q").orderBy(F.desc("score"), "_sort", "composer_id")
-    best = None
-    for part in range(parts):
-        met = c.join(F.broadcast(texts.where(F.col("part") == part).select("q")), "q").withColumn("score", F.round(score + boost, 6)).where("score is not null")
-        met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "composer_id", "score", "rank")
-        best = met if best is None else best.unionByName(met)
-    if best is None:
-        return q.select("query_id", F.lit(None).cast("string").alias("composer_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    met = keyed.join(F.broadcast(asked) if few else asked, "_key").withColumn("score", F.round(score + boost, 6)).where("score is not null")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("q", "composer_id", "score", "rank")
     return q.join(best, "q").select("query_id", "composer_id", "score", "rank")
 
 
+def edits(length: Column) -> Column:
+    """How many edits a query of that length allows."""
+    return F.greatest(F.lit(2), F.floor(length / 3)).cast("int")
+
+
+def _piece(length: Column, most: Column, i: Column) -> tuple[Column, Column]:
+    """Where piece i of the most + 1 pieces of a query of that length begins (from 0), and its length; the last pieces are the longer ones."""
+    size, longer = F.floor(length / (most + 1)).cast("int"), (length % (most + 1)).cast("int")
+    short = most + 1 - longer
+    return i * size + F.greatest(i - short, F.lit(0)), size + F.when(i >= short, 1).otherwise(0)
+
+
+def near_candidates(forms: DataFrame, texts: DataFrame, few: bool = True) -> DataFrame:
+    """(form, q, most) for the pairs that a shared piece makes possible; a pair may come several times.
+
+    A query that allows k edits is cut into k + 1 pieces. In a form within k edits one of the pieces stands unchanged, and
+    not far from its own place: piece i is shifted by at most i edits before it and k - i behind it, which also have to
+    make up the difference of the lengths. So a form is asked for its pieces at those places alone, for every length of a
+    query that could be near it.
+    """
+    n, k, i = F.col("_length"), F.col("most"), F.col("_i")
+    asked = texts.select("q", F.length("q").alias("_length")).withColumn("most", edits(n)).withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
+    begin, size = _piece(n, k, i)
+    asked = asked.select("q", "_length", "most", "_i", F.substring("q", begin + 1, size).alias("_text"))
+    own = F.length("form")
+    held = forms.select("form", F.explode(F.sequence(F.greatest(F.lit(3), F.floor(own * 0.75).cast("int") - 2), (F.floor(own * 1.5) + 2).cast("int"))).alias("_length"))
+    held = held.withColumn("most", edits(n)).where(F.abs(own - n) <= k).withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
+    gap = own - n
+    shift = F.sequence(F.greatest(-i, gap - (k - i)), F.least(i, gap + (k - i)))
+    held = held.withColumn("_at", begin).withColumn("_size", size).withColumn("_shift", F.explode(F.when(F.greatest(-i, gap - (k - i)) <= F.least(i, gap + (k - i)), shift)))
+    held = held.where((F.col("_at") + F.col("_shift") >= 0) & (F.col("_at") + F.col("_shift") + F.col("_size") <= own))
+    held = held.select("form", "_length", "_i", F.substring("form", F.col("_at") + F.col("_shift") + 1, F.col("_size")).alias("_text")).distinct()
+    return held.join(F.broadcast(asked) if few else asked, ["_length", "_i", "_text"]).select("form", "q", "most")
+
+
 def near_names(composers: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """The `top` composers (composer_id, name, sort, n) within max(2, length / 3) edits of a query of three letters or more.
 
     The distance is the lesser of those to the surname and to the whole name, of equal distances the composer with more
-    works is first. Equal names and equal queries are compared once, by length: a name meets the queries whose length
-    lets them be near enough, which are broadcast in parts.
+    works is first. Equal names and equal queries are compared once, and only where they share a piece.
     """
-    q, texts, parts = _asked(queries, 3)
-    texts = texts.withColumn("_most", F.greatest(F.lit(2), F.floor(F.length("q") / 3)).cast("int"))
-    texts = texts.withColumn("_length", F.explode(F.sequence(F.length("q") - F.col("_most"), F.length("q") + F.col("_most"))))
+    q, texts, few = _asked(queries, 3)
     c = _named(composers).select("composer_id", "n", F.explode(F.array_distinct(F.array("_full", "_last"))).alias("form"))
-    forms = settled(c.select("form", F.length("form").alias("_length")).distinct())
     order = W.partitionBy("q").orderBy("distance", F.desc("n"), "composer_id")
-    best = None
-    for part in range(parts):
-        near = forms.join(F.broadcast(texts.where(F.col("part") == part).drop("part")), "_length")
-        near = near.withColumn("distance", F.levenshtein("form", "q")).where("distance <= _most").select("q", "form", "distance")
-        met = c.join(near, "form").groupBy("q", "composer_id").agg(F.min("distance").alias("distance"), F.max("n").alias("n"))
-        met = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("n")
-        best = met if best is None else best.unionByName(met)
-    if best is None:
-        return q.select("query_id", F.lit(None).cast("string").alias("composer_id"), F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    near = near_candidates(c.select("form").distinct(), texts, few).withColumn("distance", F.levenshtein("form", "q"))
+    near = near.where("distance <= most").select("q", "form", "distance").distinct()
+    met = c.join(near, "form").groupBy("q", "composer_id").agg(F.min("distance").alias("distance"), F.max("n").alias("n"))
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).drop("n")
     return q.join(best, "q").select("query_id", "composer_id", "distance", "rank")
