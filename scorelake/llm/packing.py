@@ -25,41 +25,61 @@ CAPACITY = 2048
 SHARD_PIECES = 16384
 #: Fillings that a shard's search looks at, beside one for each sequence, before it keeps the incumbent. None searches until the packing is proved best.
 NODES = 2000
-#: Where both tokenizer libraries give the same ids for the same vocabulary: printable ASCII, tab, line feed and Latin letters.
-PLAIN = r"[\t\n\x20-\x7EÀ-ÖØ-öø-ž]*"
+#: Texts that are cut into words here: of printable ASCII, tab, line feed and Latin letters, which all libraries class alike.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
+PLAIN = rf"[\t\n\x20-\x7E{LETTERS}]*"
+#: Words that a worker remembers, and how long one may be.
+WORDS, LONG_WORD = 500_000, 40
+
+
+class Words(dict):
+    """The ids of words, as unsigned 32-bit integers: each goes through the tokenizer once while it is remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 @lru_cache(2)
 def encoder(vocabulary: str):
-    """text -> ids of the tokenizer file `vocabulary`, without added special tokens.
+    """text -> ids (little-endian unsigned 32-bit) of the tokenizer file `vocabulary`, without added special tokens.
 
-    Texts of plain characters go through the same merges in a faster library, which gives the same ids; any other
-    text, and any that spells a special token, goes through the file's own tokenizer.
+    The tokenizer merges inside words alone, and corpora repeat their words: so texts of plain characters are cut at the
+    tokenizer's own boundaries, and each word goes through the tokenizer once while it is remembered. Any other text, and
+    any that spells a special token, goes through it whole.
     """
     import json
     import os
     import re
 
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     own = Tokenizer.from_file(vocabulary)
     with open(vocabulary, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = [x["content"] for x in spec.get("added_tokens", [])]
-    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in letters]
-    byte = {chr(c): c for c in letters} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain = re.compile(PLAIN).fullmatch
-
-    def encode(text: str) -> list[int]:
-        if plain(text) and not any(s in text for s in special):
-            return fast.encode_ordinary(text)
-        return own.encode(text, add_special_tokens=False).ids
+        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+    # The public pattern with the classes that plain texts have of letters and digits.
+    pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
+    plain, cut = re.compile(PLAIN).fullmatch, re.compile(pattern).findall
+
+    def whole(text: str) -> bytes:
+        return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    known = Words(whole)
+
+    def encode(text: str) -> bytes:
+        if not plain(text) or any(s in text for s in special):
+            return whole(text)
+        return b"".join(map(known.__getitem__, cut(text)))
 
     return encode
 
@@ -72,10 +92,9 @@ def _pieces(vocabulary: str, capacity: int):
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), 0], dtype="<u4")
-                n = len(ids)
+                raw = memoryview(encode(text.as_py() or "") + bytes(4))
+                n = len(raw) // 4
                 first = (n - 1) % capacity + 1
-                raw = memoryview(ids.tobytes())
                 for k, (a, b) in enumerate([(0, first), *((s, s + capacity) for s in range(first, n, capacity))]):
                     for column, x in zip(out, (doc_id, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])), strict=True):
                         column.append(x)
@@ -202,8 +221,8 @@ def least_bins(lengths: list[int], capacity: int) -> int:
     return max(out, sum(count[x] for x in over))
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int | None = NODES) -> list[list[int]]:
-    """The lengths of each sequence, by branch and bound over the fillings around the largest piece left."""
+def bin_completion(lengths: list[int], capacity: int, nodes: int | None = NODES) -> tuple[list[list[int]], bool]:
+    """The lengths of each sequence, by branch and bound over the fillings around the largest piece left; and whether no packing needs fewer."""
     best, least = best_fit(lengths, capacity), least_bins(lengths, capacity)
     nodes = None if nodes is None else nodes + len(best)
     count = Counter(lengths)
@@ -255,48 +274,53 @@ def bin_completion(lengths: list[int], capacity: int, nodes: int | None = NODES)
                 best = [list(x) for x in path]
             if len(best) == least:
                 break
-    return best
+    # The search is at its end, or a sequence less is less than the pieces need.
+    return best, not stack or len(best) == least
 
 
-def complete_bins(lengths: np.ndarray, capacity: int, nodes: int | None = NODES) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each item."""
+def complete_bins(lengths: np.ndarray, capacity: int, nodes: int | None = NODES) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sequence number and offset of each item, and whether no packing needs fewer sequences."""
     slots: dict[int, list[int]] = {}
     for i, x in reversed(list(enumerate(lengths.tolist()))):
         slots.setdefault(x, []).append(i)
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
-    for number, pieces in enumerate(bin_completion(lengths.tolist(), capacity, nodes)):
+    found, proved = bin_completion(lengths.tolist(), capacity, nodes)
+    for number, pieces in enumerate(found):
         place = 0
         for x in pieces:
             i = slots[x].pop()
             sequence[i], offset[i] = number, place
             place += x
-    return sequence, offset
+    return sequence, offset, proved
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, nodes: int | None):
     def pack(table):
         import pyarrow as pa
 
         table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])
-        sequence, offset = complete_bins(table.column("length").to_numpy(), capacity)
+        sequence, offset, proved = complete_bins(table.column("length").to_numpy(), capacity, nodes)
         number = table.column("shard").to_numpy() * (1 << 32) + sequence
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        packed = table.drop_columns(["shard"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+        return packed.append_column("proved", pa.array(np.full(len(packed), proved)))
 
     return pack
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, nodes: int | None = NODES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, proved.
 
     A null text is an empty one, whose only id is the closing 0. Pieces of full length are sequences of their own. The
-    others are dealt to shards of about SHARD_PIECES by a hash and packed by bin completion in each; a shard reads
-    lengths, never ids. Repeated rows and null ids are packed as documents of their own; an empty table gives no rows.
+    others are dealt to shards of about `shard_pieces` by a hash and packed by bin completion in each; a shard reads
+    lengths, never ids. `nodes` bounds a shard's search, None searches to its end; `proved` says whether the piece's shard
+    can't do with fewer sequences. Repeated rows and null ids are packed as documents of their own; an empty table gives
+    no rows.
     """
     rows = written(pieces(docs, vocabulary, capacity).withColumn("number", F.monotonically_increasing_id()), "pieces")
     short = rows.where(F.col("length") < capacity)
-    shards = max(1, -(-short.count() // SHARD_PIECES))
+    shards = max(1, -(-short.count() // shard_pieces))
     # By the rows' numbers, so that rows that repeat don't fall into one shard.
     dealt = short.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards))).drop("number")
-    packed = dealt.groupBy("shard").applyInArrow(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("shard").applyInArrow(_pack(capacity, nodes), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, proved boolean")
     full = rows.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("number")).withColumn("offset", F.lit(0).cast("long")).drop("number")
-    return packed.unionByName(full)
+    return packed.unionByName(full.withColumn("proved", F.lit(True)))

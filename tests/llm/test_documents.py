@@ -198,7 +198,19 @@ def test_encoder_agrees_with_the_vocabulary_file():
     own, encode = Tokenizer.from_file(VOCABULARY), encoder(VOCABULARY)
     cases = ["", " ", "a  b\n\n c\t", "It's we'll 'S", "<|endoftext|> x", "ñandú  Žižek", "日本 ok", "a b", "\x1c x", "x\r\ny", "12 345a", "ſ"]
     cases += [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}" for c in range(1, 0x250)]
-    assert [encode(x) for x in cases] == [own.encode(x, add_special_tokens=False).ids for x in cases]
+    cases += ["x" * 1_000_000, "ab " * 300_000]
+    for x in [*cases, *reversed(cases)]:
+        assert np.frombuffer(encode(x), dtype="<u4").tolist() == own.encode(x, add_special_tokens=False).ids
+
+
+def test_words_are_forgotten(monkeypatch):
+    from scorelake.llm import packing
+
+    monkeypatch.setattr(packing, "WORDS", 3)
+    asked = []
+    words = packing.Words(lambda w: asked.append(w) or w.encode())
+    assert [words[w] for w in "abcabcdd"] == [w.encode() for w in "abcabcdd"] and asked == list("abcd") and len(words) == 1
+    assert words["x" * 41] == b"x" * 41 and len(words) == 1
 
 
 def test_encoder_agrees_with_the_vocabulary_file_on_every_text(spark):
@@ -206,24 +218,35 @@ def test_encoder_agrees_with_the_vocabulary_file_on_every_text(spark):
 
     own, encode = Tokenizer.from_file(VOCABULARY), encoder(VOCABULARY)
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toLocalIterator():
-        assert encode(r["text"] or "") == own.encode(r["text"] or "", add_special_tokens=False).ids
-
+        assert np.frombuffer(encode(r["text"] or ""), dtype="<u4").tolist() == own.encode(r["text"] or "", add_special_tokens=False).ids
 
-def test_repeated_rows_are_dealt_to_all_shards(spark, monkeypatch):
-    from scorelake.llm import packing
 
-    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
-    out = pack(spark.createDataFrame([(None, "same text")] * 1000, "doc_id long, text string"), VOCABULARY).collect()
+def test_repeated_rows_are_dealt_to_all_shards(spark):
+    out = pack(spark.createDataFrame([(None, "same text")] * 1000, "doc_id long, text string"), VOCABULARY, shard_pieces=100).collect()
     assert len({r["sequence_id"] >> 32 for r in out}) == 10 and len(out) == 1000
 
 
+def test_a_search_to_its_end_needs_fewer_sequences_than_best_fit(spark):
+    """Texts of so many tokens, whose best fit isn't the least: nodes=None finds and proves it; without a search best fit stays, unproved."""
+    rng = np.random.default_rng(8)
+    while True:
+        lengths = rng.integers(3, 30, 9).tolist()
+        if len(best_fit(lengths, 40)) > least_bins(lengths, 40) and len(bin_completion(lengths, 40, None)[0]) < len(best_fit(lengths, 40)):
+            break
+    docs = spark.createDataFrame([(i, "a" + " a" * (n - 2)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    found = {nodes: pack(docs, VOCABULARY, 40, nodes=nodes).collect() for nodes in (None, -100)}
+    assert sorted(r["length"] for r in found[None]) == sorted(lengths)
+    assert len({r["sequence_id"] for r in found[None]}) == len(bin_completion(lengths, 40, None)[0]) < len({r["sequence_id"] for r in found[-100]}) == len(best_fit(lengths, 40))
+    assert all(r["proved"] for r in found[None]) and not any(r["proved"] for r in found[-100])
+
+
 def test_bin_completion_reaches_the_least_number_of_bins():
     rng = np.random.default_rng(3)
     for hi in (50, 100, 60):
         lengths = rng.integers(1, hi, 500)
-        sequence, _ = complete_bins(lengths, 100)
+        sequence, _, _ = complete_bins(lengths, 100)
         assert len(set(sequence)) <= least_bins(lengths.tolist(), 100) * 1.02
-    sequence, _ = complete_bins(np.array([60, 60, 40, 40, 55, 45, 30, 30, 20, 20]), 100)
+    sequence, _, _ = complete_bins(np.array([60, 60, 40, 40, 55, 45, 30, 30, 20, 20]), 100)
     assert len(set(sequence)) == 4
 
 
@@ -298,7 +321,7 @@ def test_empty_tables(empty):
 
 def test_bin_completion_holds_thousands_of_short_pieces():
     for lengths in ([2] * 4000 + [3], [2] * 3000 + [3] * 3 + [2047]):
-        sequence, offset = complete_bins(np.array(lengths), 2048)
+        sequence, offset, _ = complete_bins(np.array(lengths), 2048)
         assert len(set(sequence)) == -(-sum(lengths) // 2048)
         assert len(set(zip(sequence, offset))) == len(lengths)
 
@@ -327,7 +350,8 @@ def test_bin_completion_by_brute_force():
     cases += [[23, 21, 15, 13, 12, 11, 10, 9, 6], [20, 14, 13, 12, 11, 10]]
     better = 0
     for lengths in cases:
-        found = bin_completion(lengths, 40, None)
+        found, proved = bin_completion(lengths, 40, None)
+        assert proved
         assert sorted(x for own in found for x in own) == sorted(lengths) and all(sum(own) <= 40 for own in found)
         assert least_bins(lengths, 40) <= len(found) == least(sorted(lengths, reverse=True), 40)
         better += len(found) < len(best_fit(lengths, 40))
