@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import arrangement_scope, catalogue_key, extra_keys, form_key, work_key
-from ..sources.tables import settled
+from ..sources.tables import discard, settled
+from .joins import join_split
 
 
 def with_keys(works: DataFrame, source: str) -> DataFrame:
@@ -32,25 +35,93 @@ def _meets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("id", F.explode("query").alias("key")).join(keys, "key", "left_semi").select("id").distinct()
 
 
+#: Rounds over all rows that are still open, before what is left is parted into components.
+ROUNDS = 3
+#: Components of at most so many rows are decided in one task each.
+COMPONENT = 50_000
+
+
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that no earlier open row can drop, and the rows that are open after them."""
+    least = open_.select("ord", F.explode("register").alias("key")).groupBy("key").agg(F.min("ord").alias("least"))
+    asked = open_.select("id", "ord", F.explode("query").alias("key"))
+    waiting = asked.join(least, "key").where("least < ord").select("id").distinct()
+    kept = settled(open_.join(waiting, "id", "left_anti"))
+    held = kept.select("ord", F.explode("register").alias("key")).groupBy("key").agg(F.min("ord").alias("least"))
+    gone = asked.join(held, "key").where("least < ord").select("id").distinct()
+    return kept, settled(open_.join(kept, "id", "left_anti").join(gone, "id", "left_anti"))
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """(id, root): rows (id, keys) that share a key, directly or over others, have one root, the least id that reaches them.
+
+    In each round a row takes the least root of those it shares a key with, roots take the least that one of their rows
+    saw, and then every row takes the root of its root, so that chains shorten to half or less a round.
+    """
+    keys = settled(rows.select("id", F.explode("keys").alias("key")).distinct())
+    roots = settled(rows.select("id", F.col("id").alias("root")))
+    while True:
+        by_key = keys.join(roots, "id").groupBy("key").agg(F.min("root").alias("least"))
+        seen = keys.join(by_key, "key").groupBy("id").agg(F.min("least").alias("seen"))
+        now = settled(roots.join(seen, "id", "left").select("id", "root", F.least("root", F.coalesce("seen", "root")).alias("seen")))
+        hooks = settled(now.groupBy("root").agg(F.min("seen").alias("hook"), F.count(F.lit(1)).alias("_n")))
+        hooked = join_split(now, hooks, ["root"], "_n").select("id", F.least("seen", "hook").alias("root"))
+        hooked = settled(hooked)
+        parents = settled(hooked.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).join(hooked.select(F.col("id").alias("root"), F.col("root").alias("up")), "root"))
+        new = settled(join_split(hooked, parents, ["root"], "_n").select("id", F.col("up").alias("root")))
+        changed = not new.join(roots, ["id", "root"], "left_anti").isEmpty()
+        discard(roots, now, hooks, hooked, parents)
+        roots = new
+        if not changed:
+            discard(keys)
+            return roots
+
+
+def _greedy(_, table):
+    """The ids of a component that stay, row by row in order; rows of one ord don't drop each other."""
+    import pyarrow as pa
+
+    rows = sorted(table.select(["ord", "id", "register", "query"]).to_pylist(), key=lambda r: r["ord"])
+    held: set[str] = set()
+    kept, at = [], 0
+    while at < len(rows):
+        end = next((k for k in range(at, len(rows)) if rows[k]["ord"] != rows[at]["ord"]), len(rows))
+        stay = [r for r in rows[at:end] if held.isdisjoint(r["query"] or ())]
+        for r in stay:
+            held.update(r["register"] or ())
+        kept += [r["id"] for r in stay]
+        at = end
+    return pa.table({"id": pa.array(kept, table.schema.field("id").type)})
+
+
 def first_wins(rows: DataFrame) -> DataFrame:
     """The rows (id, ord, register, query) that survive in order: one is dropped if an earlier survivor registers a key that it looks up.
 
-    A dropped row registers nothing, so this is not a matter of components. In each round, a row that no undecided
-    earlier row can drop is a survivor, and those that survivors drop are gone. Only the smallest ord of a key is
-    kept, never pairs, so a key that many share costs one row. The rounds are as many as the longest chain of drops.
+    A dropped row registers nothing, so this is not a matter of components alone. In a round, a row that no open earlier
+    row can drop is a survivor, and those that survivors drop are gone. Only the smallest ord of a key is kept, never
+    pairs, so a key that many share costs one row. What a few rounds leave open, long chains of drops, is parted into
+    components over shared keys: each of bounded size is decided in order by one task, and only larger ones go on in rounds.
     """
-    open_, out = settled(rows.select("id", "ord", "register", "query")), None
-    while True:
-        least = open_.select("ord", F.explode("register").alias("key")).groupBy("key").agg(F.min("ord").alias("least"))
-        asked = open_.select("id", "ord", F.explode("query").alias("key"))
-        waiting = asked.join(least, "key").where("least < ord").select("id").distinct()
-        kept = settled(open_.join(waiting, "id", "left_anti"))
-        out = kept.select("id") if out is None else out.unionByName(kept.select("id"))
-        held = kept.select("ord", F.explode("register").alias("key")).groupBy("key").agg(F.min("ord").alias("least"))
-        gone = asked.join(held, "key").where("least < ord").select("id").distinct()
-        open_ = settled(open_.join(kept, "id", "left_anti").join(gone, "id", "left_anti"))
-        if open_.isEmpty():
-            return rows.join(out, "id", "left_semi")
+    open_, parts, rounds = settled(rows.select("id", "ord", "register", "query")), [], 0
+    while not open_.isEmpty():
+        if rounds == ROUNDS:
+            roots = components(open_.select("id", F.concat(F.coalesce("register", F.array().cast("array<string>")), F.coalesce("query", F.array().cast("array<string>"))).alias("keys")))
+            small = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= COMPONENT)
+            own = settled(open_.join(roots.join(small.select("root"), "root"), "id"))
+            kind = open_.schema["id"].dataType.simpleString()
+            parts.append(settled(own.groupBy("root").applyInArrow(_greedy, f"id {kind}")))
+            left = settled(open_.join(own.select("id"), "id", "left_anti"))
+            discard(open_, own, roots)
+        else:
+            kept, left = _round(open_)
+            parts.append(kept)
+            discard(open_)
+        open_, rounds = left, rounds + 1
+    if not parts:
+        return rows.limit(0)
+    out = settled(reduce(lambda a, b: a.unionByName(b), [p.select("id") for p in parts]))
+    discard(open_, *parts)
+    return rows.join(out, "id", "left_semi")
 
 
 def dedupe_works(ranked: DataFrame, ranks: list[int]) -> DataFrame:

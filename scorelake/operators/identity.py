@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, slug, sort_form
 from ..sources.tables import settled
+from .joins import join_split
 
 
 def resolve_composers(records: DataFrame, variants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -15,7 +16,7 @@ def resolve_composers(records: DataFrame, variants: DataFrame | None = None) ->
 
     A known variant (variants: variant, canonical) is replaced by the canonical name and becomes an alias. Equal folded
     names are one composer; the first record in (rank, ord) fixes the id: the one given, else the slug of its sort form.
-    Aggregation before the join keeps names that many records share, or that fold to nothing, from piling up.
+    Records of names that very many share are joined where they lie, so that none of them piles up in a task.
     """
     df = records.withColumn("_key", fold(F.col("name")))
     if variants is not None:
@@ -29,8 +30,9 @@ def resolve_composers(records: DataFrame, variants: DataFrame | None = None) ->
         )
     place = F.struct("rank", "ord")
     df = df.withColumn("_sort", F.coalesce("sort", sort_form(F.col("name"))))
-    ids = df.groupBy("_key").agg(F.min_by(F.coalesce("id", slug(F.col("_sort"))), place).alias("composer_id"))
-    linked = df.join(ids, "_key")
+    df = settled(df)
+    ids = settled(df.groupBy("_key").agg(F.min_by(F.coalesce("id", slug(F.col("_sort"))), place).alias("composer_id"), F.count(F.lit(1)).alias("_n")))
+    linked = join_split(df, ids, ["_key"], "_n")
     composers = linked.groupBy("composer_id").agg(
         F.min_by("name", place).alias("name"),
         F.min_by("_sort", place).alias("sort"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, natural_key
 from ..sources.tables import settled
+from .joins import join_split
 
 UNDATED = 9999
 BATCH = 150
@@ -61,7 +62,9 @@ def run_saved_searches(works: DataFrame, searches: DataFrame, keys: tuple[str, .
     kinds = needed.select("numbers").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     found = kinds.join(F.broadcast(asked), "part").select("numbers", F.filter("searches", lambda s: F.forall(s["rules"], holds)).alias("found"))
     found = found.where(F.size("found") > 0).groupBy("numbers").agg(F.flatten(F.collect_list(F.transform("found", lambda s: s["search_id"]))).alias("found"))
-    return needed.join(found, "numbers").select(F.explode("found").alias("search_id"), "ord")
+    # Most works share a few vectors of numbers: their rows stay where they lie.
+    found = settled(needed.groupBy("numbers").agg(F.count(F.lit(1)).alias("_n")).join(found, "numbers"))
+    return join_split(needed, found, ["numbers"], "_n").select(F.explode("found").alias("search_id"), "ord")
 
 
 def toggles(works: DataFrame, arrangements: bool = False, inferred: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cleanup, commentary, keys, markup, publisher, scoring, text, years
-from ..operators import chronology, dedupe, harvest, identity, search, tallies
+from ..operators import chronology, dedupe, harvest, identity, parsing, search, tallies
 from ..sources import publishing, tables
 from . import derived as d
 from . import jobs
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, text, scoring) of every order."""
-    return scoring.parse_scoring(d.derive(spark, sf_dir, d.SPARK_TEXTS), "text")
+    return scoring.parse_scoring(tables.settled(d.derive(spark, sf_dir, d.SPARK_TEXTS)), "text")
 
 
 # ── scalar functions ──────────────────────────────────────────────────────────
@@ -176,6 +176,29 @@ def p_parse_scoring(spark, sf_dir):
     return scored(spark, sf_dir).select("ord", *[scoring.count_of(s, k).alias(f"n{i}") for i, k in enumerate(KEYS)], s["total"].alias("total"), F.size(s["uncertain"]).alias("guessed"))
 
 
+#: The family without cornets.
+_NO_CORNETS = scoring.Family({k: v for k, v in FAMILY.members.items() if k != "cornet"}, tuple(x for x in FAMILY.names if x[0] != "cornet"), FAMILY.out_of_scope, FAMILY.words)
+#: Each order's text, whether it names the family, and whether it names a cornet.
+_NAMING = f"SELECT ord, string_agg(segment, ', ' ORDER BY i) AS text, bool_or(i < 4 OR i = 5) AS named, bool_or(i = 2) AS cornet FROM ({d.SEGMENTS}) GROUP BY ord"
+
+
+@query(
+    "p_parsed_texts",
+    f"""WITH t AS ({_NAMING}), k AS (SELECT text, min(CASE WHEN ord % 3 = 0 THEN 0 ELSE 1 END) AS batch, bool_or(cornet) AS cornet FROM t WHERE named GROUP BY text)
+    SELECT 'first batch' AS what, count(CASE WHEN batch = 0 THEN 1 END) AS texts FROM k UNION ALL SELECT 'second batch', count(CASE WHEN batch = 1 THEN 1 END) FROM k
+    UNION ALL SELECT 'again', 0 UNION ALL SELECT 'changed without cornets', count(CASE WHEN cornet THEN 1 END) FROM k UNION ALL SELECT 'players', sum(total) FROM ({d.COUNTS}) c""",
+)
+def p_parsed_texts(spark, sf_dir):
+    texts, path = tables.settled(d.derive(spark, sf_dir, d.SPARK_TEXTS)), _folder(spark, "parsed")
+    kept, other = parsing.ParsedTexts(spark, path), parsing.ParsedTexts(spark, path, _NO_CORNETS)
+    rows = [("first batch", kept.add(texts.where("ord % 3 = 0"), "text")), ("second batch", kept.add(texts, "text")), ("again", parsing.ParsedTexts(spark, path).add(texts, "text"))]
+    other.add(texts, "text")
+    rows += [("changed without cornets", parsing.changes(kept, other).count()), ("players", kept.parse(texts, "text").agg(F.sum("scoring.total")).first()[0])]
+    for t in (kept, other):
+        t.forget()
+    return spark.createDataFrame(rows, "what string, texts long")
+
+
 _WORD = "CASE WHEN {n} = 1 THEN '{one}' WHEN {n} > 0 THEN ['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve'][{n} + 1] || ' {one}s' END"
 _FORMAT = "concat_ws(', ', " + ", ".join(_WORD.format(n=f"n{i}", one=one) for i, (one, _) in enumerate(FAMILY.members.values())) + ")"
 
