@@ -8,6 +8,7 @@ than the pieces' lengths do.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -52,13 +53,14 @@ class Words(dict):
 def encoder(vocabulary: str):
     """text -> ids (little-endian unsigned 32-bit) of the tokenizer file `vocabulary`, without added special tokens.
 
-    The tokenizer merges inside words alone, and corpora repeat their words: so texts of plain characters are cut at the
-    tokenizer's own boundaries, and each word goes through the tokenizer once while it is remembered. Any other text, and
-    any that spells a special token, goes through it whole.
+    A byte-level tokenizer merges inside words alone, and corpora repeat their words: so texts of plain characters are cut
+    at its own boundaries, and each word goes through its merges once while it is remembered. Any other text, any that
+    spells a special token, and all texts where the file says that it works otherwise, go through it whole.
     """
     import json
     import os
     import re
+    from array import array
 
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -66,18 +68,30 @@ def encoder(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     own = Tokenizer.from_file(vocabulary)
     with open(vocabulary, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f).get("added_tokens", [])]
+        spec = json.load(f)
+    special = [x["content"] for x in spec.get("added_tokens", [])]
+    by_words = spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and spec.get("normalizer") is None and spec.get("post_processor") is None
+    by_words &= all((spec.get("pre_tokenizer") or {}).get(k) == v for k, v in (("type", "ByteLevel"), ("add_prefix_space", False), ("use_regex", True)))
     # The public pattern with the classes that plain texts have of letters and digits.
     pattern = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
     plain, cut = re.compile(PLAIN).fullmatch, re.compile(pattern).findall
 
+    # A byte-level model reads bytes as characters: those that show as themselves, the others from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    characters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    merges = own.model.tokenize
+
     def whole(text: str) -> bytes:
         return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    known = Words(whole)
+    def merged(word: str) -> bytes:
+        ids = array("I", [t.id for t in merges(word.encode().decode("latin-1").translate(characters))])
+        return ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
+    known = Words(merged)
 
     def encode(text: str) -> bytes:
-        if not plain(text) or any(s in text for s in special):
+        if not by_words or not plain(text) or any(s in text for s in special):
             return whole(text)
         return b"".join(map(known.__getitem__, cut(text)))
 
