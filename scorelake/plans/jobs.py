@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cleanup, keys, markup, publisher, scoring, text, years
+from ..functions import cleanup, commentary, keys, markup, publisher, scoring, text, years
 from ..functions.scoring import TRUMPETS, Family
 from ..operators import chronology, dedupe, harvest, identity, search, tallies
 from ..sources import publishing, tables
@@ -17,7 +17,7 @@ SOURCES = ("curated", "publisher", "encyclopaedia", "library")
 #: What a source's table has; what it lacks is null.
 RECORD = (
     "ord long, composer string, composer_id string, composer_sort string, dates string, aliases array<string>, title string, cat string, year int, "
-    "genre string, text string, also array<string>, arr boolean, page string, url string, stamp timestamp"
+    "genre string, text string, full string, note string, also array<string>, arr boolean, page string, url string, stamp timestamp"
 )
 
 
@@ -42,8 +42,9 @@ def _typed(rows: DataFrame) -> DataFrame:
 def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dates: DataFrame, variants: DataFrame | None = None, family: Family = TRUMPETS) -> Index:
     """One index of the sources (name -> table of RECORD, best first).
 
-    found_years (src, page, year) are years harvested for pages, found_dates (ord, sort, born, died, alt) lives of composers,
-    variants (variant, canonical) other spellings of names. Rows without players of the family, or that name no composer,
+    A curated row is counted by its text and shows `full`; the others show their text, tidied. found_years (src, page,
+    year) are years harvested for pages, found_dates (ord, sort, born, died, alt) lives of composers, variants (variant,
+    canonical) other spellings of names. Rows without players of the family, or that name no composer,
     are left out; of equal works that of the best source stays and takes over a year that the library had for a copy.
     Harvested years outside a composer's life go. Works without a year are placed between their neighbours. The
     statistics name the latest stamp of a harvested row as the date of the data.
@@ -54,7 +55,10 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     rows = tallies.union_sources({name: _typed(sources[name]) for name in SOURCES if name in sources})
     rows = rows.withColumn("arr", F.coalesce("arr", F.lit(False))).withColumn("ord", F.col("rank").cast("long") * (1 << 40) + F.col("ord"))
     rows = rows.withColumn("title", F.when(F.col("src") == "encyclopaedia", text.without_disambiguator(F.col("title"))).otherwise(F.col("title")))
-    parsed = tallies.complete_rows(scoring.parse_scoring(rows, "text", family), F.col("scoring.total"), "composer", "text")
+    # Soloists and groups of digits are a publisher's.
+    rows, published = tables.settled(rows), F.col("src") == "publisher"
+    read = scoring.parse_scoring(rows.where(~published), "text", family).unionByName(markup.soloist_scoring(rows.where(published), "text", family))
+    parsed = tallies.complete_rows(read, F.col("scoring.total"), "composer", "text")
     parsed = tables.settled(parsed.where((F.col("src") != "library") | F.col("composer_id").isNotNull()))
 
     renamed = parsed.withColumnsRenamed({"composer": "name", "composer_id": "id", "composer_sort": "sort"})
@@ -86,11 +90,20 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     dated = dated.withColumn("rejected", F.col("harvested") & checked.isNull()).withColumn("y", checked).drop("born", "died")
     dated = chronology.assign_sort_years(dated)
 
-    s, tidied = F.col("scoring"), F.when(F.col("src") == "encyclopaedia", cleanup.scoring_display(F.col("text"), family)).when(F.col("src") == "publisher", publisher.readable_scoring(F.col("text"))).otherwise(F.col("text"))
+    # What is shown is tidied by source, so that each helper reads its own source's rows alone; a curated row may show another text than the one it is counted by.
+    dated, shown, s = tables.settled(dated), None, F.col("scoring")
+    for name in sources:
+        own = {"curated": F.col("full"), "encyclopaedia": cleanup.scoring_display(F.col("text"), family), "publisher": publisher.readable_scoring(F.col("text"))}.get(name, F.col("text"))
+        kind = dated.where(F.col("src") == name).withColumn("_shown", own)
+        if name != "curated":
+            kind = kind.withColumn("_shown", commentary.strip_commentary(cleanup.collapse_strings(F.col("_shown")), family))
+        else:
+            kind = kind.withColumn("_shown", cleanup.collapse_strings(F.col("_shown")))
+        shown = kind if shown is None else shown.unionByName(kind)
     genre = F.coalesce(F.col("g"), F.when(F.col("arr"), F.lit("Arrangement")).when(F.col("src") == "encyclopaedia", keys.genre_from_title(F.col("t"), F.lit("Orchestral"))), F.lit("Other"))
-    done = dated.select(
+    done = shown.select(
         "id", "ord", "c", "t", "cat", "y", "sy", genre.alias("g"), scoring.format_scoring(s, family).alias("s"), s["counts"].alias("counts"), scoring.required(s, family).alias("req"),
-        scoring.section_size(s).alias("size"), cleanup.shipped(tidied, F.col("src")).alias("full"), "arr", (F.size(s["uncertain"]) > 0).alias("est"), "src", "url", "harvested", "rejected",
+        scoring.section_size(s).alias("size"), F.col("_shown").alias("full"), "note", "arr", (F.size(s["uncertain"]) > 0).alias("est"), "src", "url", "harvested", "rejected",
     )
     done = tables.settled(done)
     people = tallies.composers_with_works(lives, tallies.works_per_composer(done))

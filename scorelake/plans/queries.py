@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from ..functions import cleanup, commentary, keys, markup, publisher, scoring, t
 from ..operators import chronology, dedupe, harvest, identity, parsing, search, tallies
 from ..sources import publishing, tables
 from . import derived as d
-from . import jobs
+from . import harvests, jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -899,7 +899,7 @@ def agg7_build_statistics(spark, sf_dir):
 _PAGES = "SELECT s_suppkey AS id, 1700 + s_suppkey % 290 AS b, 1750 + s_suppkey % 290 AS e, s_suppkey % 8 AS k FROM supplier"
 
 
-def _people(spark, sf_dir) -> DataFrame:
+def _person_pages(spark, sf_dir) -> DataFrame:
     k = F.col("k")
     fields = F.concat(
         F.when(k != 3, F.concat(F.lit("|Born Year=ca. "), "b", F.lit("\n"))).otherwise(""),
@@ -907,7 +907,11 @@ def _people(spark, sf_dir) -> DataFrame:
         F.lit("|Alternate Names=Ána, B, Zoe "), "id", F.lit("\n}}"),
     )
     page = F.when(k == 2, F.concat(F.lit("{{#fte:other\n"), fields)).when(k % 2 == 0, F.concat(F.lit("x {{#fte:person\n"), fields)).otherwise(F.concat(F.lit("{{#imslpcomposer:\n"), fields))
-    return d.derive(spark, sf_dir, _PAGES).select("id", F.when(k < 6, page).alias("wikitext")).select("id", F.col("wikitext").isNull().alias("missing"), F.explode(F.array(years.person_record(F.col("wikitext"), 2100))).alias("r"))
+    return d.derive(spark, sf_dir, _PAGES).select("id", F.when(k < 6, page).alias("wikitext"))
+
+
+def _people(spark, sf_dir) -> DataFrame:
+    return _person_pages(spark, sf_dir).select("id", F.col("wikitext").isNull().alias("missing"), F.explode(F.array(years.person_record(F.col("wikitext"), 2100))).alias("r"))
 
 
 @query(
@@ -1307,8 +1311,12 @@ def _index(spark, sf_dir) -> jobs.Index:
     ord_, k = F.col("ord"), F.col("k")
     trumpets = F.concat((ord_ % 5 + 2).cast("string"), F.lit(" trumpets, strings"))
     own = rows.select("ord", "rank", F.concat(F.lit("Ana Kund"), k).alias("composer"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("composer_sort"), F.concat(F.lit("k"), k).alias("composer_id"), F.col("t").alias("title"), "y", trumpets.alias("text"), ord_.cast("string").alias("page"), F.timestamp_seconds(ord_).alias("stamp"))
-    given = own.withColumn("year", F.col("y"))
-    sources = {"curated": given.where("rank = 0"), "publisher": given.where("rank = 1"), "library": own.where("rank = 2")}
+    given, n = own.withColumn("year", F.col("y")), (ord_ % 5 + 2).cast("string")
+    # A curated row is counted by one text and shows another; a publisher names soloists, or writes digits.
+    curated = given.where("rank = 0").withColumns({"full": F.col("text"), "text": F.concat(n, F.lit(" trumpets")), "note": F.concat(F.lit("See "), ord_)})
+    soloist, digits = F.concat(F.lit("solo trumpet; "), ord_ % 5 + 1, F.lit(" trumpets, strings")), F.concat(F.lit("*3222 – 4"), n, F.lit("31 – hp – str"))
+    published = given.where("rank = 1").withColumn("text", F.when(ord_ % 8 == 1, soloist).otherwise(digits))
+    sources = {"curated": curated, "publisher": published, "library": own.where("rank = 2")}
     found_years = own.where("rank = 2 and y is not null").select(F.lit("library").alias("src"), "page", F.col("y").alias("year"))
     lives = rows.select("k").distinct().where("k % 2 = 0")
     found_dates = lives.select(k.alias("ord"), F.concat(F.lit("Kund"), k, F.lit(", Ana")).alias("sort"), (k % 10 + 1984).cast("int").alias("born"), F.when(k % 6 == 0, F.lit(1996)).alias("died"), F.lit(None).cast("array<string>").alias("alt"))
@@ -1318,13 +1326,15 @@ def _index(spark, sf_dir) -> jobs.Index:
 @query(
     "w1_build_index",
     f"""{_BUILD} SELECT CASE rank WHEN 0 THEN 'curated' WHEN 1 THEN 'publisher' ELSE 'library' END AS src, ord, CASE WHEN rejected THEN NULL ELSE y END AS y,
-    ['two', 'three', 'four', 'five', 'six'][ord % 5 + 1] || ' trumpets' AS s, (ord % 5 + 2) || ' trumpets, strings' AS full_text,
+    ['two', 'three', 'four', 'five', 'six'][ord % 5 + 1] || ' trumpets' AS s, CASE WHEN rank = 1 AND ord % 8 = 1 THEN 'solo trumpet, ' || (ord % 5 + 1) || ' trumpets, strings'
+      WHEN rank = 1 THEN '3 flutes, 2 oboes, 2 clarinets, 2 bassoons, 4 horns, ' || (ord % 5 + 2) || ' trumpets, 3 trombones, tuba, harp, strings' ELSE (ord % 5 + 2) || ' trumpets, strings' END AS full_text,
+    CASE WHEN rank = 0 THEN 'See ' || ord END AS note,
     CASE WHEN born IS NULL THEN NULL WHEN died IS NULL THEN 'b. ' || born ELSE born || '–' || died END AS dates, count(*) OVER (PARTITION BY k) AS n FROM z""",
 )
 def w1_build_index(spark, sf_dir):
     index = _index(spark, sf_dir)
     named = index.composers.select(F.col("composer_id").alias("c"), "dates", "n")
-    return index.works.join(named, "c").select("src", (F.col("ord") % (1 << 40)).alias("ord"), "y", "s", F.col("full").alias("full_text"), "dates", "n")
+    return index.works.join(named, "c").select("src", (F.col("ord") % (1 << 40)).alias("ord"), "y", "s", F.col("full").alias("full_text"), "note", "dates", "n")
 
 
 @query(
@@ -1369,3 +1379,98 @@ def w3_first_batch(spark, sf_dir):
     batch, _, _ = jobs.answer(_index(spark, sf_dir), [("trumpet", "ge", 3)], by="date")
     placed = batch.withColumn("place", F.row_number().over(W.orderBy(*search.ordering("date"))).cast("long"))  # a batch of 150
     return placed.select((F.col("ord") % (1 << 40)).alias("ord"), "place")
+
+
+#: Products of parts: a soloist beside a section, digits, a short description with a second edition, an edition without any, none, none of the family.
+_PRODUCTS = """SELECT p_partkey AS id, p_partkey AS ord, p_partkey % 6 AS k, p_size % 5 + 2 AS n, 1990 + p_size % 20 AS y FROM part"""
+
+
+def _products(spark, sf_dir) -> DataFrame:
+    rows, k = d.derive(spark, sf_dir, _PRODUCTS), F.col("k")
+    say = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    n = F.col("n").cast("string")
+    told = (
+        F.when(k == 0, say("<p>Composed in ", F.col("y"), "</p> Instrumentation: solo trumpet; ", n, " trumpets, strings. Program notes by X"))
+        .when(k == 1, say("Instrumentation: *3222 – 4", n, "31 – t+4 – hp – str<br/>Commissioned by X")).when(k == 2, "").when(k == 3, " ").when(k == 4, "<b>Nothing</b>")
+        .otherwise("Instrumentation: 2 oboes, harp")
+    )
+    short = F.when(k == 2, "For trumpet and piano / 5 minutes").otherwise("")
+    kinds = F.when(k == 0, F.array(F.lit("Solos"), F.lit("Concertos (with Orchestra)"))).when(k == 1, F.array(F.lit("Orchestra"))).otherwise(F.array(F.lit("New")))
+    own = rows.select("ord", "id", say("Piece ", F.col("id")).alias("title"), told.alias("description"), short.alias("short"), kinds.alias("categories"))
+    # Another edition of the pieces for trumpet and piano, for more players; and the first products once more under their ids.
+    more = own.where(F.col("id") % 6 == 2).withColumns({"id": -F.col("id"), "title": say(F.col("title"), " (Rental parts)"), "short": F.lit("For 4 cornets and piano / 6 minutes")})
+    again = own.withColumns({"ord": F.col("ord") + (1 << 40), "description": F.lit("Instrumentation: 9 trumpets")})
+    return own.unionByName(more).unionByName(again)
+
+
+@query(
+    "w4_read_products",
+    f"""SELECT CASE WHEN k = 2 THEN -id ELSE id END AS id, 'Piece ' || id AS title, CASE k WHEN 0 THEN 'trumpet:' || (n + 1) WHEN 1 THEN 'trumpet:' || n ELSE 'cornet:4' END AS counts,
+    CASE WHEN k = 0 THEN y END AS year, CASE k WHEN 0 THEN 'Concerto' WHEN 1 THEN 'Orchestral' ELSE 'Other' END AS genre FROM ({_PRODUCTS}) p WHERE k < 3""",
+)
+def w4_read_products(spark, sf_dir):
+    works, _ = harvests.read_products(_products(spark, sf_dir), 2030)
+    counts = F.array_join(F.transform(F.filter(F.map_entries("scoring.counts"), lambda e: e["value"] > 0), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return works.select("id", "title", counts.alias("counts"), F.col("year").cast("long").alias("year"), "genre")
+
+
+@query(
+    "w4_product_funnel",
+    f"SELECT CASE WHEN k = 3 THEN 'edition' WHEN k = 4 THEN 'no scoring' WHEN k = 5 THEN 'no family' ELSE 'kept' END AS outcome, sum(CASE WHEN k = 2 THEN 2 ELSE 1 END) AS n FROM ({_PRODUCTS}) p GROUP BY 1",
+)
+def w4_product_funnel(spark, sf_dir):
+    return harvests.read_products(_products(spark, sf_dir), 2030)[1]
+
+
+@query(
+    "w5_read_library",
+    """WITH p AS (SELECT p_partkey AS id, p_partkey % 5 AS k, p_size % 5 + 2 AS n FROM part)
+    SELECT 'Piece ' || id || ', Op.' || n || ' (Kund' || (id % 40) || ', Ana)' AS page, 'Piece ' || id AS title, 'Op.' || n AS cat, 'Ana Kund' || (id % 40) AS composer, 'kund' || (id % 40) || '-ana' AS composer_id,
+      CASE k WHEN 0 THEN n || ' trumpets, organ' WHEN 1 THEN 'cornet, harp' WHEN 2 THEN n || ' trumpets, harp' ELSE n || ' cornets' END AS text, CASE k WHEN 0 THEN 'category' WHEN 1 THEN 'detail' WHEN 2 THEN 'field' ELSE 'category' END AS how,
+      k = 3 AS arr, CASE k WHEN 0 THEN n || ' trumpets' WHEN 1 THEN n || ' trumpets, harp;trumpet' ELSE '' END AS others FROM p WHERE k < 4""",
+)
+def w5_read_library(spark, sf_dir):
+    k, n = F.col("k"), F.col("n").cast("string")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 5).alias("k"), (F.col("p_size") % 5 + 2).alias("n"))
+    page = F.concat(F.lit("Piece "), "id", F.lit(", Op."), n, F.lit(" (Kund"), F.col("id") % 40, F.lit(", Ana)"))
+    part = tables.settled(part.withColumn("page", page))
+    category = F.when(k == 0, F.concat(F.lit("For "), n, F.lit(" trumpets, organ"))).when(k == 1, "For trumpet (arr)").when(k == 3, F.concat(F.lit("For "), n, F.lit(" cornets (arr)"))).when(k == 4, "For 2 oboes")
+    members = part.where("k <> 2").select(category.alias("category"), "page").unionByName(part.where("k = 2").select(F.lit("For trumpets -- junk").alias("category"), "page"))
+    detail = F.when(k == 0, F.concat(n, F.lit(" [[x|trumpets]]"))).when(k == 1, "cornet,<br>harp").when(k == 2, "{{x}}")
+    short = F.when(k == 1, F.concat(n, F.lit(" trumpets, harp"))).when(k == 2, F.concat(F.lit("'" * 3), n, F.lit(" trumpets"), F.lit("'" * 3), F.lit(", harp"))).when(k == 4, "strings")
+    out = harvests.read_library(members, part.select("page", short.alias("instrumentation"), detail.alias("detail")))
+    others = F.array_join(F.transform("alternates", lambda x: x["text"]), ";")
+    return out.select("page", "title", "cat", "composer", "composer_id", "text", "how", "arr", others.alias("others"))
+
+
+#: Works whose pages say a year, in a source of their own.
+_YEARED = "SELECT o_orderkey AS id, o_orderkey % 4 AS k, year(o_orderdate) AS y FROM orders"
+
+
+@query(
+    "w6_read_years",
+    f"""SELECT 'library' AS src, 'L' || id AS page, CAST(y AS INT) AS year, 'field' AS how FROM ({_YEARED}) o WHERE k < 2 UNION ALL
+    SELECT 'encyclopaedia', 'E' || id, CAST(CASE k WHEN 2 THEN y - 7 ELSE y END AS INT), CASE k WHEN 2 THEN 'category' ELSE 'infobox' END FROM ({_YEARED}) o WHERE k > 0""",
+)
+def w6_read_years(spark, sf_dir):
+    rows, path, k = tables.settled(d.derive(spark, sf_dir, _YEARED)), _folder(spark, "years"), F.col("k")
+    own, page = F.concat(F.lit("L"), "id"), F.concat(F.lit("E"), "id")
+    library = rows.select(own.alias("page"), F.when(k < 2, F.concat(F.lit("{{\n|Year/Date of Composition="), F.col("y") - 2, F.lit("–"), "y", F.lit("\n}}"))).otherwise("{{}}").alias("wikitext"))
+    stated = F.when(k == 1, F.concat(F.lit("#REDIRECT [[M"), "id", F.lit("]]"))).when(k == 2, F.concat(F.lit("[[Category:"), F.col("y") - 7, F.lit(" compositions]]"))).when(k == 3, F.concat(F.lit("{{Infobox x\n| year = "), "y", F.lit("\n}}")))
+    moved = rows.where("k = 1").select(F.concat(F.lit("M"), "id").alias("title"), F.concat(F.lit("{{Infobox x\n| year = "), "y", F.lit("\n}}")).alias("wikitext"))
+    articles = rows.where("k > 0").select(page.alias("title"), stated.alias("wikitext")).unionByName(moved)
+    asked = rows.select(F.lit("library").alias("src"), own.alias("page")).unionByName(rows.select(F.lit("encyclopaedia").alias("src"), page.alias("page")))
+    harvests.read_years(asked, library, articles.limit(0), path, 2030)
+    return harvests.read_years(asked.where("src = 'encyclopaedia'"), library, articles, path, 2030)
+
+
+@query(
+    "w7_read_persons",
+    f"""SELECT id AS ord, CASE WHEN k <> 3 THEN b END AS born, CASE WHEN k IN (0, 3) THEN e END AS died, found, with_birth FROM ({_PAGES}) p,
+    (SELECT count(CASE WHEN k < 6 AND k <> 2 THEN 1 END) AS found, count(CASE WHEN k IN (0, 1, 4, 5) THEN 1 END) AS with_birth FROM ({_PAGES}) q) s WHERE k < 6 AND k <> 2""",
+)
+def w7_read_persons(spark, sf_dir):
+    pages = _person_pages(spark, sf_dir)
+    sort = F.concat(F.lit("Kund"), "id", F.lit(", Ana"))
+    dates, statistics = harvests.read_persons(pages.select(F.col("id").alias("ord"), sort.alias("sort")), pages.where("wikitext is not null").select(F.concat(F.lit("Category:"), sort).alias("title"), "wikitext"), 2100)
+    return dates.join(statistics.select("found", "with_birth"), F.lit(True)).select("ord", F.col("born").cast("long").alias("born"), F.col("died").cast("long").alias("died"), "found", "with_birth")  # one row of statistics
