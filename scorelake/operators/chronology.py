@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..sources.tables import settled
 
 SERIES = r"(?i)^(.*?)\bNo\.?\s*(\d+)\b"
 #: Only catalogues numbered in order of composition.
@@ -38,17 +39,32 @@ def estimate(y: Column, n: Column, prev: Column, following: Column) -> Column:
 
 
 def _placed(works: DataFrame, sequence: Column, out: str) -> DataFrame:
-    """Adds the estimate from the sequences (composer, stem). A row outside any is a partition of its own, not one of a hot group."""
+    """Adds the estimate from the sequences (composer, stem). Rows outside any stay where they are.
+
+    The members of all sequences are dealt to ranges of (composer, stem, number), so that a sequence of any length takes as
+    many tasks as it fills. A member looks for its dated neighbours in its own range; where the sequence goes on in other
+    ranges, the nearest dated members of those are carried over. Only sequences at the ends of ranges need that, so the
+    table of what is carried is bounded by the number of ranges.
+    """
     df = works.withColumn("_s", F.when(~F.col("arr"), sequence))
-    stem = F.coalesce(F.col("_s.stem"), F.concat(F.lit("\u0001"), F.col("ord")))
-    order = W.partitionBy("c", stem).orderBy("_s.n")
-    dated = F.when(F.coalesce(F.col("y"), F.lit(0)) != 0, F.struct(F.col("_s.n").alias("n"), F.col("y").alias("y")))
+    inside = df.where("_s is not null").withColumns({"_c": F.coalesce(F.col("c").cast("string"), F.lit("")), "_stem": F.col("_s.stem"), "_num": F.col("_s.n")})
+    dealt = settled(inside.repartitionByRange("_c", "_stem", "_num").withColumn("_range", F.spark_partition_id()))
+    dated = F.when(F.coalesce(F.col("y"), F.lit(0)) != 0, F.struct(F.col("_num").alias("n"), F.col("y").alias("y")))
     # A null order is passed over, so that undated members are no neighbours. Of equal numbers the last is before, the first behind.
-    place = F.when(dated.isNotNull(), F.struct(F.col("_s.n"), F.col("ord")))
+    place = F.when(dated.isNotNull(), F.struct("_num", "ord"))
+    order = W.partitionBy("_range", "_c", "_stem").orderBy("_num")
     prev = F.max_by(dated, place).over(order.rangeBetween(W.unboundedPreceding, 0))
     following = F.min_by(dated, place).over(order.rangeBetween(1, W.unboundedFollowing))
-    df = df.withColumn("_prev", prev).withColumn("_next", following)
-    return df.withColumn(out, F.when(F.col("_s").isNotNull(), estimate(F.col("y"), F.col("_s.n"), F.col("_prev"), F.col("_next")))).drop("_s", "_prev", "_next")
+
+    blocks = dealt.groupBy("_c", "_stem", "_range").agg(F.max_by(dated, place).alias("_last"), F.min_by(dated, place).alias("_first"))
+    along = W.partitionBy("_c", "_stem").orderBy("_range")
+    carried = blocks.withColumn("_parts", F.count(F.lit(1)).over(W.partitionBy("_c", "_stem"))).where("_parts > 1")
+    carried = carried.select(
+        "_c", "_stem", "_range", F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_behind"),
+    )
+    own = dealt.withColumn("_prev", prev).withColumn("_next", following).join(F.broadcast(carried), ["_c", "_stem", "_range"], "left")
+    own = own.withColumn(out, estimate(F.col("y"), F.col("_num"), F.coalesce("_prev", "_before"), F.coalesce("_next", "_behind")))
+    return own.select(*works.columns, out).unionByName(df.where("_s is null").select(*works.columns, F.lit(None).cast("double").alias(out)))
 
 
 def assign_sort_years(works: DataFrame) -> DataFrame:

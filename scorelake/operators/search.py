@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, natural_key
-from ..sources.tables import settled
+from ..sources.tables import discard, settled, shared_dir
 from .joins import join_split
 
 UNDATED = 9999
@@ -98,18 +99,74 @@ def page(matches: DataFrame, by: list[Column], number: int, size: int = BATCH) -
     return matches.orderBy(*by).offset(number * size).limit(size)
 
 
-def placed(rows: DataFrame, by: str, out: str = "place") -> DataFrame:
-    """`rows` with their place, from 1, in the order of column `by`, equal values in any order among themselves.
+def _ranged(rows: DataFrame, by: list[Column], ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows, written, dealt to ranges of the order (`_range`), and for each range how many rows it has and how many lie before it (_range, _n, _before)."""
+    dealt = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
+    dealt = settled(dealt.withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    return dealt, sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n"))  # one row a range
+
+
+def placed(rows: DataFrame, *by: str | Column, out: str = "place") -> DataFrame:
+    """`rows` with their place, from 1, in the order of `by`, equal values in any order among themselves.
 
     Ranges of the values are dealt to tasks; a range's places begin behind the rows of the ranges before it.
     """
-    dealt = settled(rows.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n"))  # one row a range
-    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(by)))
+    order = [F.col(c) if isinstance(c, str) else c for c in by]
+    dealt, before = _ranged(rows, order)
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
     return own.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_n", "_before", "_own")
 
 
+class OrderIndex:
+    """Rows in an order, kept in ranges of about `rows_each` rows, so that any batch reads and sorts the one or two ranges that hold it."""
+
+    def __init__(self, matches: DataFrame, by: list[Column], rows_each: int = 100_000):
+        self.by = by
+        dealt, before = _ranged(matches, by, max(1, -(-matches.count() // rows_each)))
+        self.path = f"{shared_dir(matches.sparkSession)}/order-{uuid.uuid4().hex}"
+        dealt.write.partitionBy("_range").parquet(self.path)
+        self.ranges, self.columns = settled(before), matches.columns
+        self.rows = matches.sparkSession.read.schema(dealt.schema).parquet(self.path)
+        discard(dealt)
+
+    def batch(self, number: int, size: int = BATCH) -> DataFrame:
+        """Batch `number` (from 0), with its rows' places (`place`, from 1)."""
+        first, last = number * size, (number + 1) * size
+        held = self.ranges.where((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first))
+        wanted = [r["_range"] for r in held.select("_range").collect()]  # a batch lies in few ranges
+        own = self.rows.where(F.col("_range").isin(wanted)).withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(*self.by)))
+        found = own.join(F.broadcast(held), "_range").withColumn("place", (F.col("_before") + F.col("_own")).cast("long"))
+        return found.where((F.col("place") > first) & (F.col("place") <= last)).select(*self.columns, "place")
+
+
+def facets(matches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """All numbers of a result set at once: (facet, value, works).
+
+    "all" and its works; "composers" and how many there are; each "member" with the works that need it, each "genre" and
+    "size" with its works. One pass over the matches: each becomes a few small rows, which are added up before they move.
+    """
+    cell = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.cast("string").alias("value"))
+    members = F.transform(F.filter(F.array_distinct("req"), lambda k: k.isin(*keys)), lambda k: cell("member", k))
+    cells = F.concat(F.array(cell("all", F.lit("")), cell("composers", F.col("c")), cell("genre", F.col("g")), cell("size", F.col("size"))), F.coalesce(members, F.array().cast("array<struct<facet:string,value:string>>")))
+    added = matches.select(F.explode(cells).alias("x")).groupBy("x.facet", "x.value").agg(F.count(F.lit(1)).alias("works"))
+    composer = F.col("facet") == "composers"
+    return added.groupBy("facet", F.when(~composer, F.col("value")).alias("value")).agg(F.sum(F.when(composer, F.col("value").isNotNull().cast("long")).otherwise(F.col("works"))).alias("works"))
+
+
+def chunks(works: DataFrame, heading: str, by: list[Column], item: Column, size: int = BATCH) -> DataFrame:
+    """(heading, chunk, works, items): the works under each heading in order, `item` of each, in numbered arrays of at most `size`.
+
+    Places are found by ranges of the whole order, so that a heading of any size is many rows and many tasks.
+    """
+    rows = settled(placed(works, F.col(heading), *by, out="_place"))
+    first = rows.groupBy(heading).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = join_split(rows.withColumn("_h", F.xxhash64(heading, F.col(heading).isNull())), settled(first.withColumn("_h", F.xxhash64(heading, F.col(heading).isNull())).drop(heading)), ["_h"], "_n")
+    own = own.withColumn("chunk", F.floor((F.col("_place") - F.col("_first")) / size))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_place", item.alias("item")))), lambda x: x["item"])
+    return own.groupBy(heading, "chunk").agg(F.count(F.lit(1)).alias("works"), listed.alias("items"))
+
+
 def instrument_tally(works: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return works.select(F.explode("req").alias("key")).where(F.col("key").isin(*keys)).groupBy("key").agg(F.count(F.lit(1)).alias("works"))
 

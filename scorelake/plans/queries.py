@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -1005,6 +1006,53 @@ def win4_second_page(spark, sf_dir):
     return search.page(works, [F.coalesce("y", F.lit(search.UNDATED)), F.col("c"), F.col("ord")], 1).select("ord")
 
 
+@query(
+    "win4_deep_batches",
+    f"""SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY coalesce(y, 9999), c, ord) AS place, count(*) OVER () AS n FROM ({d.WORKS}) w) x
+    WHERE (place - 1) // 150 IN (0, n // 300, n // 150)""",
+)
+def win4_deep_batches(spark, sf_dir):
+    """The first, the middle and the last batch."""
+    works = tables.settled(d.derive(spark, sf_dir, d.WORKS))
+    ordered = search.OrderIndex(works, [F.coalesce("y", F.lit(search.UNDATED)), F.col("c"), F.col("ord")], 1000)
+    n = works.count()
+    out = [ordered.batch(k).select("ord", "place") for k in sorted({0, n // 300, n // 150})]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("srt2_by_composer", f"SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY c, form, n, suffix, ord) AS place FROM (SELECT *, {_SUFFIX_ORDER} AS suffix FROM ({d.WORKS}) w) v) x WHERE place BETWEEN 151 AND 300")
+def srt2_by_composer(spark, sf_dir):
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("composer_sort", F.col("c"))
+    return search.OrderIndex(works, search.ordering("composer"), 1000).batch(1).select("ord", "place")
+
+
+@query("srt2_by_title", f"SELECT ord, place FROM (SELECT ord, row_number() OVER (ORDER BY form, n, suffix, c, ord) AS place FROM (SELECT *, {_SUFFIX_ORDER} AS suffix FROM ({d.WORKS}) w) v) x WHERE place BETWEEN 301 AND 450")
+def srt2_by_title(spark, sf_dir):
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("composer_sort", F.col("c"))
+    return search.OrderIndex(works, search.ordering("title"), 1000).batch(2).select("ord", "place")
+
+
+@query(
+    "agg6_works_under_genres",
+    f"""SELECT g, chunk, count(*) AS works, sha256(string_agg(CAST(ord AS VARCHAR), ',' ORDER BY place)) AS listed FROM (SELECT g, ord, place, (place - 1) // 150 AS chunk FROM
+    (SELECT CASE WHEN ord % 4 > 0 THEN form END AS g, ord, row_number() OVER (PARTITION BY CASE WHEN ord % 4 > 0 THEN form END ORDER BY coalesce(y, 9999), ord) AS place FROM ({d.WORKS}) w) x) y GROUP BY g, chunk""",
+)
+def agg6_works_under_genres(spark, sf_dir):
+    works = d.derive(spark, sf_dir, d.WORKS).withColumn("g", F.when(F.col("ord") % 4 > 0, F.col("form")))
+    found = search.chunks(works, "g", [F.coalesce("y", F.lit(search.UNDATED)), F.col("ord")], F.col("ord").cast("string"))
+    return found.select("g", F.col("chunk").cast("long").alias("chunk"), "works", F.sha2(F.array_join("items", ","), 256).alias("listed"))
+
+
+@query(
+    "agg_facets",
+    f"""WITH x AS ({_INDEX}) SELECT 'all' AS facet, '' AS value, count(*) AS works FROM x UNION ALL SELECT 'composers', NULL, count(DISTINCT c) FROM x
+    UNION ALL SELECT 'genre', form, count(*) FROM x GROUP BY form UNION ALL SELECT 'size', CAST(total AS VARCHAR), count(*) FROM x GROUP BY total
+    UNION ALL SELECT * FROM (SELECT 'member', k, count(CASE WHEN n > 0 THEN 1 END) AS m FROM (SELECT unnest(['piccoloTrumpet', 'trumpet', 'cornet', 'flugelhorn']) AS k, unnest([n0, n1, n2, n3]) AS n FROM x) u GROUP BY k) v WHERE m > 0""",
+)
+def agg_facets(spark, sf_dir):
+    return search.facets(index(spark, sf_dir).withColumn("g", F.col("form")), KEYS)
+
+
 @query("k18_is_arrangement", "SELECT p_partkey AS id, p_partkey % 2 = 0 AS arrangement FROM part")
 def k18_is_arrangement(spark, sf_dir):
     name = F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, " (arr. X)").when(F.col("p_partkey") % 4 == 2, ", arranged").otherwise(" arrow"))

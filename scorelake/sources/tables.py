@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -126,12 +127,33 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_new(harvested: DataFrame, path: str, key: str) -> DataFrame:
+def _kept(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> str:
+    """The name, in this session, of the table at `path`, which is bucketed and sorted by `key`."""
+    where = f"{path.rstrip('/')}/{buckets}-buckets"
+    name = f"kept_{hashlib.sha256(where.encode()).hexdigest()[:16]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return name
+
+
+def unseen(harvested: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """What of `harvested` the bucketed table doesn't hold, one row a key: of several that with the least text of all its columns.
+
+    The table's rows stay where they are.
+    """
+    return harvested.join(kept.select(key), key, "left_anti").groupBy(key).agg(F.min_by(F.struct(*harvested.columns), publishing.row_text(harvested)).alias("_row")).select("_row.*")
+
+
+def append_new(harvested: DataFrame, path: str, key: str, buckets: int = 16) -> DataFrame:
     """Appends what of `harvested` the table at `path` doesn't hold yet, and returns the table; one row a key."""
     spark = harvested.sparkSession
-    done = load_source(spark, path, harvested.schema)
-    resume(harvested, done, key).dropDuplicates([key]).write.mode("append").parquet(path)
-    return load_source(spark, path, harvested.schema)
+    name = _kept(spark, path, harvested.schema, key, buckets)
+    try:
+        unseen(harvested, spark.table(name), key).select(*harvested.columns).write.insertInto(name)
+        spark.catalog.refreshTable(name)
+        return spark.table(name).select("*")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone: the files stay
 
 
 def refresh_partition(df: DataFrame, path: str, source: str = "source") -> None:

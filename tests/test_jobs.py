@@ -59,13 +59,13 @@ def test_a_change_in_any_column_is_published(spark, index, tmp_path):
         works = index.works.withColumn(name, F.when(one, value.cast(index.works.schema[name].dataType)).otherwise(F.col(name)))
         found = jobs.Index(works, index.composers, index.statistics).publish(path)
         assert (found.outcome, found.written) == ("published", 1), name
-        assert index.publish(path).outcome == "published"
+    index.publish(path)
     for name in ("aliases", "n", "n_arr", "born", "died", "dates", "sort"):
         kind = index.composers.schema[name].dataType
         other = F.array(F.lit("else")) if name == "aliases" else F.lit("7").cast(kind)
         people = index.composers.withColumn(name, F.when(F.col("name") == "Maurice Ravel", other).otherwise(F.col(name)))
         assert jobs.Index(index.works, people, index.statistics).publish(path).written == 1, name
-        index.publish(path)
+    index.publish(path)
     lost = jobs.Index(index.works.where(~one), index.composers.limit(2), index.statistics)
     assert lost.publish(path).outcome == "refused" and publishing.load(spark, path, "works").count() == 7
     assert lost.publish(path, force=True).outcome == "published" and publishing.load(spark, path, "works").count() == 6
