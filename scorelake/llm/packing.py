@@ -54,7 +54,7 @@ def encoder(vocabulary: str):
     """text -> ids (little-endian unsigned 32-bit) of the tokenizer file `vocabulary`, without added special tokens.
 
     A byte-level tokenizer merges inside words alone, and corpora repeat their words: so texts of plain characters are cut
-    at its own boundaries, and each word goes through its merges once while it is remembered. Any other text, any that
+    at its own boundaries, and each word goes through its merges once while it is remembered, for the length of a task at most. Any other text, any that
     spells a special token, and all texts where the file says that it works otherwise, go through it whole.
     """
     import json
@@ -95,6 +95,7 @@ def encoder(vocabulary: str):
             return whole(text)
         return b"".join(map(known.__getitem__, cut(text)))
 
+    encode.words = known
     return encode
 
 
@@ -114,6 +115,7 @@ def _pieces(vocabulary: str, capacity: int):
                         column.append(x)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.words.clear()  # a worker that waits for its next task holds no words
 
     return cut
 
