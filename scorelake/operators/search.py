@@ -40,32 +40,49 @@ def search_rules(searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rules.where(F.col("key").isin(*keys)).select("search_id", "key", lo.alias("lo"), hi.alias("hi")).distinct()
 
 
-#: Saved searches that are broadcast at once, in one array a part.
+#: Different sets of rules that are broadcast at once, in one array a part.
 SEARCHES = 5_000
 
 
-def run_saved_searches(works: DataFrame, searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(search_id, ord) for all saved searches in one pass over the works (ord, counts, req).
+def _kinds(works: DataFrame, searches: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(search_id, set): the searches by their set of rules; (ord, numbers) of the works; and (numbers, found, _n): for each row of
+    numbers the sets that it fulfils, and how many works have it.
 
-    Works that need the same players are alike to every search, so each such row of numbers is held against the searches
-    once; they are broadcast as arrays. Works then meet the searches that their numbers fulfil. A search without a rule
-    finds every work.
+    Searches of the same rules are one, and so are works that need the same players. What the members, tests and numbers of
+    rules allow bounds both, so that the trying doesn't grow with the searches, nor with the works.
     """
-    rules = search_rules(searches, keys).groupBy("search_id").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("rules"))
-    all_ = searches.select("search_id").distinct().join(rules, "search_id", "left")
+    rule = F.struct("key", "lo", "hi")
+    rules = search_rules(searches, keys).groupBy("search_id").agg(F.array_sort(F.collect_set(rule)).alias("rules"))
     none = F.array().cast("array<struct<key: string, lo: int, hi: int>>")
-    parts = max(-(-all_.count() // SEARCHES), 1)
-    asked = all_.groupBy(F.pmod(F.xxhash64("search_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("search_id", F.coalesce("rules", none).alias("rules"))).alias("searches"))
+    asked = searches.select("search_id").distinct().join(rules, "search_id", "left").withColumn("rules", F.coalesce("rules", none)).withColumn("set", F.to_json("rules"))
+    asked = settled(asked)
+    sets = settled(asked.groupBy("set").agg(F.first("rules").alias("rules")))
+    parts = max(-(-sets.count() // SEARCHES), 1)
+    tried = sets.groupBy(F.pmod(F.xxhash64("set"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("set", "rules")).alias("sets"))
     numbers = F.array(*[players(F.col("counts"), F.col("req"), k) for k in keys])
     needed = settled(works.select("ord", F.coalesce(numbers, F.array(*[F.lit(0)] * len(keys))).alias("numbers")))
     place = F.create_map(*[F.lit(x) for i, k in enumerate(keys) for x in (k, i)])
     holds = lambda r: F.get(F.col("numbers"), F.element_at(place, r["key"])).between(r["lo"], r["hi"])
-    kinds = needed.select("numbers").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = kinds.join(F.broadcast(asked), "part").select("numbers", F.filter("searches", lambda s: F.forall(s["rules"], holds)).alias("found"))
-    found = found.where(F.size("found") > 0).groupBy("numbers").agg(F.flatten(F.collect_list(F.transform("found", lambda s: s["search_id"]))).alias("found"))
-    # Most works share a few vectors of numbers: their rows stay where they lie.
-    found = settled(needed.groupBy("numbers").agg(F.count(F.lit(1)).alias("_n")).join(found, "numbers"))
-    return join_split(needed, found, ["numbers"], "_n").select(F.explode("found").alias("search_id"), "ord")
+    alike = needed.groupBy("numbers").agg(F.count(F.lit(1)).alias("_n"))
+    each = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = each.join(F.broadcast(tried), "part").select("numbers", "_n", F.filter("sets", lambda s: F.forall(s["rules"], holds)).alias("found")).where(F.size("found") > 0)
+    found = found.groupBy("numbers", "_n").agg(F.flatten(F.collect_list(F.transform("found", lambda s: s["set"]))).alias("found"))
+    return asked.select("search_id", "set"), needed, settled(found)
+
+
+def run_saved_searches(works: DataFrame, searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(search_id, ord) for all saved searches in one pass over the works (ord, counts, req). A search without a rule finds every work."""
+    asked, needed, found = _kinds(works, searches, keys)
+    # Most works share a few rows of numbers: they stay where they lie.
+    hits = join_split(needed, found, ["numbers"], "_n").select("ord", F.explode("found").alias("set"))
+    return hits.join(asked, "set").select("search_id", "ord")
+
+
+def count_saved_searches(works: DataFrame, searches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(search_id, works): how many works each saved search finds, none included; no work is listed for it."""
+    asked, _, found = _kinds(works, searches, keys)
+    sums = found.select("_n", F.explode("found").alias("set")).groupBy("set").agg(F.sum("_n").alias("works"))
+    return asked.join(sums, "set", "left").select("search_id", F.coalesce("works", F.lit(0)).cast("long").alias("works"))
 
 
 def toggles(works: DataFrame, arrangements: bool = False, inferred: bool = True) -> DataFrame:

@@ -334,6 +334,27 @@ def agg13_section_size(spark, sf_dir):
     return scored(spark, sf_dir).groupBy(scoring.section_size(F.col("scoring")).alias("size")).agg(F.count(F.lit(1)).alias("works"))
 
 
+#: A search of every customer: up to four rules, by the digits of the customer's number.
+_CUSTOMER_RULES = " UNION ALL ".join(
+    f"SELECT c_custkey AS id, '{k}' AS key, (c_custkey // {10**i}) % 8 AS r, {i} AS i FROM customer" for i, k in enumerate(("trumpet", "cornet", "flugelhorn", "piccoloTrumpet"))
+)
+
+
+@query(
+    "flt8_count_searches",
+    f"""WITH r AS (SELECT id, key, CASE r WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 2 END AS lo, CASE WHEN r IN (1, 2, 3, 4) THEN r - 1 ELSE 1000000 END AS hi FROM ({_CUSTOMER_RULES}) c WHERE r < 6),
+    x AS ({_INDEX}), k AS (SELECT n0, n1, n2, n3, count(*) AS n FROM x GROUP BY n0, n1, n2, n3),
+    s AS (SELECT c_custkey AS id FROM customer), m AS (SELECT r.id, n0, n1, n2, n3, max(n) AS n FROM r, k WHERE CASE key WHEN 'piccoloTrumpet' THEN n0 WHEN 'trumpet' THEN n1 WHEN 'cornet' THEN n2 ELSE n3 END BETWEEN lo AND hi
+      GROUP BY r.id, n0, n1, n2, n3 HAVING count(*) = (SELECT count(*) FROM r q WHERE q.id = r.id))
+    SELECT s.id AS search_id, CAST(CASE WHEN s.id IN (SELECT id FROM r) THEN coalesce((SELECT sum(n) FROM m WHERE m.id = s.id), 0) ELSE (SELECT count(*) FROM x) END AS BIGINT) AS works FROM s""",
+)
+def flt8_count_searches(spark, sf_dir):
+    tests = F.array(*map(F.lit, ("", ":eq0", ":eq1", ":eq2", ":eq3", ":ge2")))
+    said = [F.when((d_ := F.floor(F.col("c_custkey") / 10**i).cast("long") % 8) < 6, F.concat(F.lit(k), F.get(tests, d_.cast("int")))) for i, k in enumerate(("trumpet", "cornet", "flugelhorn", "piccoloTrumpet"))]
+    searches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("search_id"), F.concat_ws(",", *said).alias("tokens"))
+    return search.count_saved_searches(index(spark, sf_dir), searches, KEYS)
+
+
 @query("srt2_page_by_size", f"SELECT ord, total AS size FROM ({_INDEX}) x ORDER BY total DESC, c, ord LIMIT 150 OFFSET 150")
 def srt2_page_by_size(spark, sf_dir):
     works = index(spark, sf_dir).withColumn("composer_sort", F.col("c"))
