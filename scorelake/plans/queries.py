@@ -789,7 +789,7 @@ def jn8_redirects(spark, sf_dir):
 
 @query("agg8_funnel", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 2 THEN 'no scoring' ELSE 'kept' END AS outcome FROM part) x GROUP BY outcome")
 def agg8_funnel(spark, sf_dir):
-    found = _wiki(spark, sf_dir).select(F.col("id").alias("title"), markup.article_scoring(F.col("wikitext")).alias("x")).select("title", "x.text")
+    found = markup.read_passages(_wiki(spark, sf_dir)).select(F.col("id").alias("title"), "text")
     parsed = scoring.parse_scoring(found, "text")
     return harvest.funnel(parsed.select("title", "text", F.col("scoring.total").alias("total")))
 

@@ -32,6 +32,19 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of small texts that one task reads with a Python helper, a few seconds of work.
+ROWS_A_TASK = 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in tasks of about ROWS_A_TASK, at least one for each core: a small file is one task, however dear its rows are to read.
+
+    `df` is read twice, once to count it.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(tasks)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `settled` wrote and nothing reads any more."""
     for df in tables:
