@@ -674,7 +674,7 @@ def _wiki(spark, sf_dir) -> DataFrame:
 
 @query("m6_article_scoring", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'prose' END AS how, CASE WHEN p_partkey % 3 < 2 THEN p_partkey % 4 + 2 ELSE 0 END AS trumpets FROM part")
 def m6_article_scoring(spark, sf_dir):
-    found = _wiki(spark, sf_dir).select("id", markup.article_scoring(F.col("wikitext")).alias("x")).select("id", "x.how", markup.first_sentence(F.col("x.text")).alias("text"))
+    found = markup.read_passages(_wiki(spark, sf_dir)).select("id", "how", markup.first_sentence(F.col("text")).alias("text"))
     return scoring.parse_scoring(found, "text").select("id", "how", scoring.count_of(F.col("scoring"), "trumpet").cast("long").alias("trumpets"))
 
 
