@@ -119,10 +119,11 @@ def read_articles(roots: DataFrame, edges: DataFrame, pages: DataFrame, family:
     Redirects are followed one page on. outcome says whether a scoring was found and names the family.
     """
     listed = harvest.walk(roots, edges, most)
-    read = harvest.follow_redirects(pages).join(listed.select("title").distinct(), "title", "left_semi")
-    found = read.select("title", F.explode(F.array(markup.article_scoring(F.col("wikitext"), family))).alias("x"))
-    words = F.when(F.col("x.how").isin("prose", "prose-unbounded"), markup.first_sentence(F.col("x.text"))).otherwise(F.col("x.text"))
-    parsed = scoring.parse_scoring(found.select("title", "x.how", words.alias("text")), "text", family)
+    listed = tables.settled(listed)
+    read = tables.settled(harvest.follow_redirects(pages).join(listed.select("title").distinct(), "title", "left_semi"))
+    found = markup.read_passages(read, "wikitext", family)
+    words = F.when(F.col("how").isin("prose", "prose-unbounded"), markup.first_sentence(F.col("text"))).otherwise(F.col("text"))
+    parsed = scoring.parse_scoring(found.select("title", "how", words.alias("text")), "text", family)
     genre = keys.genre_from_category(F.col("subcat"), F.col("parent"))
     outcome = F.when(F.col("text").isNull(), "no scoring").when(F.col("scoring.total") == 0, "no family").otherwise("kept")
     return listed.join(parsed, "title", "left").select("composer", "title", "subcat", genre.alias("genre"), "text", "how", "scoring", outcome.alias("outcome"))

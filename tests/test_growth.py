@@ -41,6 +41,12 @@ def test_article_scorings_read_an_article_once(spark, articles_read):
     assert articles_read.value == articles
 
 
+def test_the_walk_reads_an_article_once(spark, articles_read):
+    articles = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert queries.w2_read_articles(spark, SF).where("how = 'section'").count() == articles
+    assert articles_read.value == articles
+
+
 def test_one_file_becomes_many_tasks(spark):
     rows = spark.range(50_000).coalesce(1)
     assert tables.spread(rows).rdd.getNumPartitions() == max(3, -(-50_000 // tables.ROWS_A_TASK))
