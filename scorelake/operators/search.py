@@ -135,26 +135,33 @@ def placed(rows: DataFrame, *by: str | Column, out: str = "place") -> DataFrame:
     return own.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_own")).drop("_range", "_n", "_before", "_own")
 
 
+#: Ranges of an index at most, whatever it holds: the keys that bound them are sampled by the driver, and each is a task.
+MOST_RANGES = 256
+
+
 class OrderIndex:
-    """Rows in an order, kept in ranges of about `rows_each` rows, so that any batch reads and sorts the one or two ranges that hold it."""
+    """Rows in an order, kept with their places in ranges of about `rows_each` rows, or of more where those would be over MOST_RANGES.
+
+    A batch reads the one or two ranges that hold it, and of those what its places need: the rows of a range lie in order.
+    """
 
     def __init__(self, matches: DataFrame, by: list[Column], rows_each: int = 100_000):
-        self.by = by
-        dealt, before = _ranged(matches, by, max(1, -(-matches.count() // rows_each)))
+        own = settled(matches)
+        dealt, before = _ranged(own, by, min(max(1, -(-own.count() // rows_each)), MOST_RANGES))
         self.path = f"{shared_dir(matches.sparkSession)}/order-{uuid.uuid4().hex}"
-        dealt.write.partitionBy("_range").parquet(self.path)
         self.ranges, self.columns = settled(before), matches.columns
-        self.rows = matches.sparkSession.read.schema(dealt.schema).parquet(self.path)
-        discard(dealt)
+        place = (F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*by))).cast("long")
+        kept = dealt.join(F.broadcast(self.ranges.select("_range", "_before")), "_range").withColumn("place", place).select(*self.columns, "place", "_range")
+        kept.write.partitionBy("_range").parquet(self.path)
+        self.rows = matches.sparkSession.read.schema(kept.schema).parquet(self.path)
+        discard(own, dealt)
 
     def batch(self, number: int, size: int = BATCH) -> DataFrame:
         """Batch `number` (from 0), with its rows' places (`place`, from 1)."""
         first, last = number * size, (number + 1) * size
         held = self.ranges.where((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first))
         wanted = [r["_range"] for r in held.select("_range").collect()]  # a batch lies in few ranges
-        own = self.rows.where(F.col("_range").isin(wanted)).withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(*self.by)))
-        found = own.join(F.broadcast(held), "_range").withColumn("place", (F.col("_before") + F.col("_own")).cast("long"))
-        return found.where((F.col("place") > first) & (F.col("place") <= last)).select(*self.columns, "place")
+        return self.rows.where(F.col("_range").isin(wanted) & (F.col("place") > first) & (F.col("place") <= last)).select(*self.columns, "place")
 
 
 def facets(matches: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -50,3 +50,16 @@ def test_the_walk_reads_an_article_once(spark, articles_read):
 def test_one_file_becomes_many_tasks(spark):
     rows = spark.range(50_000).coalesce(1)
     assert tables.spread(rows).rdd.getNumPartitions() == max(3, -(-50_000 // tables.ROWS_A_TASK))
+
+
+def test_an_index_has_few_ranges_however_much_it_holds(spark, monkeypatch):
+    from scorelake.operators import search
+
+    monkeypatch.setattr(search, "MOST_RANGES", 4)
+    rows = spark.range(3000).select("id", (F.col("id") * 7919 % 613).alias("k"))
+    index = search.OrderIndex(rows, [F.col("k"), F.col("id")], 100)
+    assert index.ranges.count() <= 4
+    expected = sorted((r["k"], r["id"]) for r in rows.collect())
+    for number in (0, 7, 19):
+        got = sorted((r["place"], r["k"], r["id"]) for r in index.batch(number).collect())
+        assert got == [(number * 150 + i + 1, *x) for i, x in enumerate(expected[number * 150 : number * 150 + 150])]
