@@ -24,7 +24,9 @@ def _accents() -> tuple[str, str]:
 
 def fold(text: Column) -> Column:
     """Without accents, in lower case, every run of other characters than letters a-z and digits one blank; null is empty."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), *_accents()))
+    text = F.coalesce(text, F.lit(""))
+    # Looking each character up is dear: only where one isn't ASCII.
+    plain = F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_accents())).otherwise(text))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -127,6 +127,7 @@ def first_wins(rows: DataFrame) -> DataFrame:
 def dedupe_works(ranked: DataFrame, ranks: list[int]) -> DataFrame:
     """ranked (id, rank, ord, register, query) -> with `kept`. Rows of the first rank always stay; a row of another is
     dropped if a kept row of a smaller rank, or an earlier kept row of its own, registers a key that it looks up."""
+    ranked = settled(ranked)  # the keys of a row are made once, not in each step that reads them
     kept = settled(ranked.where(F.col("rank") == ranks[0]))
     for rank in ranks[1:]:
         own = ranked.where(F.col("rank") == rank)

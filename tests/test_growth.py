@@ -63,3 +63,18 @@ def test_an_index_has_few_ranges_however_much_it_holds(spark, monkeypatch):
     for number in (0, 7, 19):
         got = sorted((r["place"], r["k"], r["id"]) for r in index.batch(number).collect())
         assert got == [(number * 150 + i + 1, *x) for i, x in enumerate(expected[number * 150 : number * 150 + 150])]
+
+
+def test_keys_of_works_are_made_once(spark):
+    from scorelake.operators import dedupe
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def key(i):
+        made.add(1)
+        return [str(i % 7)]
+
+    ranked = spark.range(60).select("id", F.lit(0).alias("rank"), F.col("id").alias("ord"), key("id").alias("register"), F.array(F.lit("x")).alias("query"))
+    assert len(dedupe.dedupe_works(ranked, [0]).collect()) == 60
+    assert made.value == 60
