@@ -99,6 +99,9 @@ def name_lookup(composers: DataFrame, queries: DataFrame, top: int = 8) -> DataF
     """
     q, texts, few = _asked(queries, 1)
     c = _named(composers).withColumn("_aliases", F.transform(F.coalesce("aliases", F.array().cast("array<string>")), fold))
+    # Composers of the same names and as many works score alike for any query, so only the first `top` of them can be among its best.
+    alike = W.partitionBy("_full", "_sort", "_last", "_aliases", "n").orderBy("composer_id")
+    c = settled(c.withColumn("_alike", F.row_number().over(alike)).where(F.col("_alike") <= top).drop("_alike"))
     key = F.element_at(_prefixes(F.col("q")), -1)
     asked = texts.withColumn("_key", key)
 

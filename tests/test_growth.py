@@ -78,3 +78,14 @@ def test_keys_of_works_are_made_once(spark):
     ranked = spark.range(60).select("id", F.lit(0).alias("rank"), F.col("id").alias("ord"), key("id").alias("register"), F.array(F.lit("x")).alias("query"))
     assert len(dedupe.dedupe_works(ranked, [0]).collect()) == 60
     assert made.value == 60
+
+
+def test_namesakes_are_compared_few_at_a_time(spark, monkeypatch):
+    from scorelake.operators import identity
+
+    rows = spark.range(900).select(F.col("id").alias("composer_id"), F.lit("Ana Bach").alias("name"), F.lit("Bach, Ana").alias("sort"), F.lit(None).cast("array<string>").alias("aliases"), (F.col("id") % 3).alias("n"))
+    seen, settle = [], identity.settled
+    monkeypatch.setattr(identity, "settled", lambda df: seen.append(settle(df)) or seen[-1])
+    got = identity.name_lookup(rows, spark.createDataFrame([(1, "bach")], "query_id int, text string"), 4).collect()
+    assert sorted((r["rank"], r["composer_id"]) for r in got) == [(1, 2), (2, 5), (3, 8), (4, 11)]
+    assert [t.count() for t in seen if "composer_id" in t.columns] == [12]
