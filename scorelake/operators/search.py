@@ -104,13 +104,20 @@ def ordering(by: str) -> list[Column]:
     return [*keys[by], F.col("ord")]
 
 
-def ordering_within(by: str) -> list[Column]:
-    """Sort keys within one composer: genre, title, date or size."""
-    title, date = natural_key(F.col("t")), F.coalesce("sy", F.lit(UNDATED))
+def ordering_within(by: str, title: Column | None = None) -> list[Column]:
+    """Sort keys within one composer: genre, title, date or size. `title` is the title's natural key where that is known."""
+    title, date = natural_key(F.col("t")) if title is None else title, F.coalesce("sy", F.lit(UNDATED))
     keys = {"genre": [F.col("g"), date, title], "title": [title], "date": [date, title], "size": [F.desc("size"), title]}
     return [*keys[by], F.col("ord")]
 
 
+def places_within(works: DataFrame, orders: tuple[str, ...]) -> DataFrame:
+    """(by, ord, place): the place of each work among its composer's in each of the orders. The works move once for all of them."""
+    keyed = settled(works.withColumn("_title", natural_key(F.col("t"))))
+    own = [F.struct(F.lit(by).alias("by"), F.row_number().over(W.partitionBy("c").orderBy(*ordering_within(by, F.col("_title")))).alias("place")) for by in orders]
+    return keyed.select("ord", F.array(*own).alias("_x")).select("ord", F.explode("_x").alias("_x")).select("_x.by", "ord", "_x.place")
+
+
 def page(matches: DataFrame, by: list[Column], number: int, size: int = BATCH) -> DataFrame:
     """Batch `number` (from 0) of the ordered matches: a top-k of what comes before it and itself, then its offset."""
     return matches.orderBy(*by).offset(number * size).limit(size)

@@ -514,7 +514,7 @@ def jn3_backfill_years(spark, sf_dir):
     rows = d.derive(spark, sf_dir, d.RANKED)
     key = F.array(keys.work_key(F.col("c"), F.col("t")))
     rows = rows.withColumn("register", key).withColumn("query", key)
-    return dedupe.backfill_years(dedupe.dedupe_works(rows, [0, 1, 2]))
+    return dedupe.backfill_years(tables.settled(dedupe.dedupe_works(rows, [0, 1, 2])))
 
 
 @query("jn4_attach_years", f"SELECT w.ord, coalesce(w.y, CAST(f.yr AS INT)) AS y, w.y IS NULL AND f.yr IS NOT NULL AS harvested FROM ({d.WORKS}) w LEFT JOIN ({d.YEAR_FIELDS}) f ON w.ord = f.ord AND f.ord % 2 = 0")
@@ -1014,11 +1014,8 @@ _WITHIN = {"genre": "form, coalesce(y, 9999), form, n, suffix", "title": "form,
 
 @query("srt1_within_composer", " UNION ALL ".join(f"SELECT '{by}' AS by, ord, CAST(row_number() OVER (PARTITION BY c ORDER BY {keys_}, ord) AS INT) AS place FROM (SELECT *, {_SUFFIX_ORDER} AS suffix FROM (SELECT w.*, total FROM ({d.WORKS}) w JOIN ({d.COUNTS}) k ON w.ord = k.ord) v) x" for by, keys_ in _WITHIN.items()))
 def srt1_within_composer(spark, sf_dir):
-    works, out = index(spark, sf_dir).withColumn("g", F.col("form")).withColumn("sy", F.col("y")), None
-    for by in _WITHIN:
-        own = works.select(F.lit(by).alias("by"), "ord", F.row_number().over(W.partitionBy("c").orderBy(*search.ordering_within(by))).alias("place"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    works = index(spark, sf_dir).withColumn("g", F.col("form")).withColumn("sy", F.col("y"))
+    return search.places_within(works, tuple(_WITHIN))
 
 
 @query("win4_second_page", f"SELECT ord FROM ({d.WORKS}) w ORDER BY coalesce(y, 9999), c, ord LIMIT 150 OFFSET 150")

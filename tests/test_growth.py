@@ -89,3 +89,13 @@ def test_namesakes_are_compared_few_at_a_time(spark, monkeypatch):
     got = identity.name_lookup(rows, spark.createDataFrame([(1, "bach")], "query_id int, text string"), 4).collect()
     assert sorted((r["rank"], r["composer_id"]) for r in got) == [(1, 2), (2, 5), (3, 8), (4, 11)]
     assert [t.count() for t in seen if "composer_id" in t.columns] == [12]
+
+
+def test_places_in_all_orders_from_one_shuffle(spark):
+    from scorelake.operators import search
+
+    works = spark.createDataFrame([(1, "a", "Suite No. 10", "g", 1900, 2), (2, "a", "Suite No. 9", "h", None, 3), (3, "b", "Mass", "g", 1800, 1)], "ord int, c string, t string, g string, sy int, size int")
+    found = search.places_within(works, ("genre", "title", "date", "size"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    places = {(r["by"], r["ord"]): r["place"] for r in found.collect()}
+    assert {k: v for k, v in places.items() if k[1] < 3} == {("genre", 1): 1, ("genre", 2): 2, ("title", 1): 2, ("title", 2): 1, ("date", 1): 1, ("date", 2): 2, ("size", 1): 2, ("size", 2): 1}
