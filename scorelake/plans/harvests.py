@@ -81,8 +81,9 @@ def read_years(asked: DataFrame, library: DataFrame, articles: DataFrame, path:
     """
     pages = asked.select("src", "page").distinct()
     own = library.select("page", years.page_year(F.col("wikitext"), field, max_year).alias("year"), F.lit("field").alias("how"))
-    told = tables.settled(harvest.follow_redirects(articles)).withColumn("_y", F.explode(F.array(years.article_year(F.col("wikitext"), max_year))))
-    told = told.select(F.col("title").alias("page"), "_y.year", "_y.how")
+    # Years are read by tasks of equal size and written before the join, which may move them or send them to all tasks.
+    moved = tables.spread(tables.settled(harvest.follow_redirects(articles)))
+    told = tables.settled(moved.withColumn("_y", F.explode(F.array(years.article_year(F.col("wikitext"), max_year)))).select(F.col("title").alias("page"), "_y.year", "_y.how").where("year is not null"))
     found = pages.where("src = 'library'").join(own, "page").unionByName(pages.where("src = 'encyclopaedia'").join(told, "page"))
     found = found.where("year is not null").groupBy("src", "page").agg(F.min(F.struct("year", "how")).alias("_y")).select("page", "_y.year", "_y.how", "src")
     tables.refresh_partition(found, path, "src")

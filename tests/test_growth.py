@@ -99,3 +99,15 @@ def test_places_in_all_orders_from_one_shuffle(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     places = {(r["by"], r["ord"]): r["place"] for r in found.collect()}
     assert {k: v for k, v in places.items() if k[1] < 3} == {("genre", 1): 1, ("genre", 2): 2, ("title", 1): 2, ("title", 2): 1, ("date", 1): 1, ("date", 2): 2, ("size", 1): 2, ("size", 2): 1}
+
+
+def test_years_are_read_by_many_tasks(spark, monkeypatch, tmp_path):
+    from scorelake.plans import harvests
+
+    asked = spark.createDataFrame([("encyclopaedia", "A"), ("encyclopaedia", "B")], "src string, page string")
+    articles = spark.createDataFrame([("A", "[[Category:1900 compositions]]"), ("B", "#REDIRECT [[A]]"), ("C", "")], "title string, wikitext string")
+    dealt, spread = [], tables.spread
+    monkeypatch.setattr(tables, "spread", lambda df: dealt.append(spread(df)) or dealt[-1])
+    got = harvests.read_years(asked, spark.createDataFrame([], "page string, wikitext string"), articles, str(tmp_path / "years"), 2030).collect()
+    assert sorted((r["page"], r["year"], r["how"]) for r in got) == [("A", 1900, "category"), ("B", 1900, "category")]
+    assert [df.rdd.getNumPartitions() for df in dealt] == [3]
