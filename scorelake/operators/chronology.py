@@ -38,16 +38,16 @@ def estimate(y: Column, n: Column, prev: Column, following: Column) -> Column:
     )
 
 
-def _placed(works: DataFrame, sequence: Column, out: str) -> DataFrame:
-    """Adds the estimate from the sequences (composer, stem). Rows outside any stay where they are.
+def _placed(df: DataFrame, sequence: str, out: str) -> DataFrame:
+    """Adds the estimate from the sequences (composer, stem) that the column `sequence` names. Rows outside any stay where they are.
 
     The members of all sequences are dealt to ranges of (composer, stem, number), so that a sequence of any length takes as
     many tasks as it fills. A member looks for its dated neighbours in its own range; where the sequence goes on in other
     ranges, the nearest dated members of those are carried over. Only sequences at the ends of ranges need that, so the
     table of what is carried is bounded by the number of ranges.
     """
-    df = works.withColumn("_s", F.when(~F.col("arr"), sequence))
-    inside = df.where("_s is not null").withColumns({"_c": F.coalesce(F.col("c").cast("string"), F.lit("")), "_stem": F.col("_s.stem"), "_num": F.col("_s.n")})
+    held = F.col(sequence)
+    inside = df.where(held.isNotNull()).withColumns({"_c": F.coalesce(F.col("c").cast("string"), F.lit("")), "_stem": held["stem"], "_num": held["n"]})
     dealt = settled(inside.repartitionByRange("_c", "_stem", "_num").withColumn("_range", F.spark_partition_id()))
     dated = F.when(F.coalesce(F.col("y"), F.lit(0)) != 0, F.struct(F.col("_num").alias("n"), F.col("y").alias("y")))
     # A null order is passed over, so that undated members are no neighbours. Of equal numbers the last is before, the first behind.
@@ -64,12 +64,15 @@ def _placed(works: DataFrame, sequence: Column, out: str) -> DataFrame:
     )
     own = dealt.withColumn("_prev", prev).withColumn("_next", following).join(F.broadcast(carried), ["_c", "_stem", "_range"], "left")
     own = own.withColumn(out, estimate(F.col("y"), F.col("_num"), F.coalesce("_prev", "_before"), F.coalesce("_next", "_behind")))
-    return own.select(*works.columns, out).unionByName(df.where("_s is null").select(*works.columns, F.lit(None).cast("double").alias(out)))
+    return own.select(*df.columns, out).unionByName(df.where(held.isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def assign_sort_years(works: DataFrame) -> DataFrame:
     """Adds sy to works (ord, c, t, cat, y, arr): the year, else the estimate from the title's series, else from a
     chronological catalogue, else null; three decimals. Arrangements take part in no sequence."""
-    df = _placed(_placed(works, series_of(F.col("t")), "_a"), catalogue_of(F.col("cat")), "_b")
+    # Titles and catalogue numbers are read once and written: each step below goes over the works several times.
+    in_order = ~F.col("arr")
+    df = settled(works.withColumn("_series", F.when(in_order, series_of(F.col("t")))).withColumn("_catalogue", F.when(in_order, catalogue_of(F.col("cat")))))
+    df = _placed(_placed(df, "_series", "_a"), "_catalogue", "_b")
     sy = F.coalesce(F.nullif(F.col("y"), F.lit(0)).cast("double"), "_a", "_b")
-    return df.withColumn("sy", F.floor(sy * 1000 + 0.5) / 1000).drop("_a", "_b")
+    return df.withColumn("sy", F.floor(sy * 1000 + 0.5) / 1000).drop("_a", "_b", "_series", "_catalogue")

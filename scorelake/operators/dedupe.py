@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import arrangement_scope, catalogue_key, extra_keys, form_key, work_key
 from ..sources.tables import discard, settled
-from .joins import join_split
+from .joins import WHOLE, join_split
 
 
 def with_keys(works: DataFrame, source: str) -> DataFrame:
@@ -150,3 +150,42 @@ def backfill_years(ranked: DataFrame, keys: str = "query") -> DataFrame:
     return found.groupBy(F.col("owner.id").alias("id")).agg(F.min_by("_y", F.struct("rank", "ord")).alias("y"))
 
 
+#: What the keys of a work are made of.
+NAMED = ("src", "rank", "c", "t", "cat", "also", "arr")
+CLASS = ["_c1", "_c2"]
+
+
+def _classed(works: DataFrame) -> DataFrame:
+    """Adds 128 bits of what the keys are made of; the number of other titles is among it, so that lists don't run into what follows."""
+    said = [x for c in NAMED for x in ((F.size(c), F.col(c)) if c == "also" else (F.col(c).isNull(), F.col(c)))]
+    return works.withColumn("_c1", F.xxhash64(*said)).withColumn("_c2", F.xxhash64(F.lit(1), *said))
+
+
+def merge_works(works: DataFrame, sources: list[str], giver: str = "library") -> DataFrame:
+    """The works (ord, NAMED, y, harvested; c not null) that stay, with the years handed to them: as `with_keys`, `dedupe_works` and `backfill_years` say.
+
+    rank is the place of src in `sources`, and ord grows with it. Only dropped works of the source `giver` hand years on,
+    which count as harvested. Works of one source that are named alike have the same keys, and each meets the others by its
+    title. So they are a class: outside the first source its first work stays or none, and what decides is done once for a
+    class, however many works it has. `works` is read three times or more: give it settled.
+    """
+    works = _classed(works)
+    classes = settled(works.groupBy(*CLASS, *NAMED).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("_n")))
+    keyed = reduce(lambda a, b: a.unionByName(b), [with_keys(classes.where(F.col("src") == name), name) for name in sources])
+    keyed = settled(keyed.select(F.concat_ws(":", *CLASS).alias("id"), *CLASS, "rank", F.col("first").alias("ord"), "register", "query", "_n"))
+    kept = settled(dedupe_works(keyed.drop(*CLASS, "_n"), list(range(len(sources)))).where("kept").select(F.col("id"), F.lit(True).alias("_kept")))
+    decided = settled(keyed.join(kept, "id", "left").select("id", *CLASS, F.col("ord").alias("first"), F.col("_kept").isNotNull().alias("_kept"), "_n"))
+    stays, is_first = (F.col("rank") == 0) | (F.col("_kept") & (F.col("ord") == F.col("first"))), F.col("ord") == F.col("first")
+
+    # A kept class asks with its first work's year, and the earliest dropped work with a year hands that on.
+    gives = ~stays & (F.col("src") == giver) & (F.coalesce("y", F.lit(0)) != 0)
+    marked = join_split(works.select(*CLASS, "rank", "src", "ord", "y"), decided, CLASS, "_n", whole=WHOLE)
+    told = settled(marked.groupBy("id").agg(F.max(F.when(is_first, F.col("y"))).alias("own"), F.min_by("y", F.when(gives, F.col("ord"))).alias("given"), F.min(F.when(gives, F.col("ord"))).alias("giver")))
+    known = settled(keyed.select("id", "rank", "ord", "register", "query").join(told, "id").join(kept, "id", "left"))
+    owners = known.where("_kept").select("id", "rank", "ord", F.col("own").alias("y"), F.lit(True).alias("kept"), "register", "query")
+    givers = known.where("giver is not null").select(F.concat("id", F.lit(":given")).alias("id"), "rank", F.col("giver").alias("ord"), F.col("given").alias("y"), F.lit(False).alias("kept"), "register", "query")
+    filled = backfill_years(owners.unionByName(givers)).withColumnRenamed("y", "_y")
+    decided = settled(decided.join(filled, "id", "left").select(*CLASS, "first", "_kept", "_y", "_n"))
+    own = join_split(works, decided, CLASS, "_n", whole=WHOLE).where(stays)
+    handed = F.when(is_first, F.col("_y"))
+    return own.withColumn("harvested", F.col("harvested") | handed.isNotNull()).withColumn("y", F.coalesce(handed, "y")).drop(*CLASS, "first", "_kept", "_y")

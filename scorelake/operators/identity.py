@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, slug, sort_form
 from ..sources.tables import settled
-from .joins import join_split
+from .joins import WHOLE, join_split
+
+
+def _renamed(records: DataFrame, none: Column) -> DataFrame:
+    """Records under their canonical name, where there is one: their own becomes an alias, their id and sort name go."""
+    found = F.col("canonical").isNotNull()
+    return (
+        records.withColumn("aliases", F.when(found, F.array_append(F.coalesce("aliases", none), F.col("name"))).otherwise(F.col("aliases")))
+        .withColumn("id", F.when(~found, F.col("id"))).withColumn("sort", F.when(~found, F.col("sort"))).withColumn("name", F.coalesce("canonical", "name"))
+    )
 
 
 def resolve_composers(records: DataFrame, variants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -16,30 +25,31 @@ def resolve_composers(records: DataFrame, variants: DataFrame | None = None) ->
 
     A known variant (variants: variant, canonical) is replaced by the canonical name and becomes an alias. Equal folded
     names are one composer; the first record in (rank, ord) fixes the id: the one given, else the slug of its sort form.
-    Records of names that very many share are joined where they lie, so that none of them piles up in a task.
+    Records are added up by what they say of the composer first, so that names are folded, and known by a variant, once each
+    and not once a record; then each record takes the id of its name, where it lies if very many share that. `records` is
+    read two or three times: give it settled if it is dear.
     """
-    df = records.withColumn("_key", fold(F.col("name")))
+    none = F.array().cast("array<string>")
+    said = ["name", "id", "sort", "dates", "aliases", "rank"]
+    df = settled(records.groupBy(*said).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("_n")))
+    df = df.withColumn("_given", F.coalesce("name", F.lit(""))).withColumn("_key", fold(F.col("name"))).withColumn("canonical", F.lit(None).cast("string"))
     if variants is not None:
         known = variants.select(fold(F.col("variant")).alias("_key"), "canonical").dropDuplicates(["_key"])
-        df = df.join(known, "_key", "left")
-        found = F.col("canonical").isNotNull()
-        df = (
-            df.withColumn("aliases", F.when(found, F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).otherwise(F.col("aliases")))
-            .withColumn("id", F.when(~found, F.col("id"))).withColumn("sort", F.when(~found, F.col("sort")))
-            .withColumn("name", F.coalesce("canonical", "name")).withColumn("_key", fold(F.col("name"))).drop("canonical")
-        )
+        df = _renamed(df.drop("canonical").join(known, "_key", "left"), none).withColumn("_key", fold(F.col("name")))
     place = F.struct("rank", "ord")
     df = df.withColumn("_sort", F.coalesce("sort", sort_form(F.col("name"))))
     df = settled(df)
-    ids = settled(df.groupBy("_key").agg(F.min_by(F.coalesce("id", slug(F.col("_sort"))), place).alias("composer_id"), F.count(F.lit(1)).alias("_n")))
-    linked = join_split(df, ids, ["_key"], "_n")
+    ids = settled(df.groupBy("_key").agg(F.min_by(F.coalesce("id", slug(F.col("_sort"))), place).alias("composer_id"), F.sum("_n").alias("_n")))
+    linked = join_split(df.withColumnRenamed("_n", "_records"), ids, ["_key"], "_n", whole=WHOLE)
+    names = settled(linked.groupBy("_given").agg(F.first("composer_id").alias("composer_id"), F.first("canonical").alias("canonical"), F.sum("_records").alias("_n")))
     composers = linked.groupBy("composer_id").agg(
         F.min_by("name", place).alias("name"),
         F.min_by("_sort", place).alias("sort"),
         F.min_by("dates", F.when(F.col("dates").isNotNull(), place)).alias("dates"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"),
     )
-    return linked.drop("_key", "_sort"), composers
+    own = join_split(records.withColumn("_given", F.coalesce("name", F.lit(""))), names, ["_given"], "_n", whole=WHOLE)
+    return (own if variants is None else _renamed(own, none)).select(*records.columns, "composer_id"), composers
 
 
 def composer_dates(composers: DataFrame, dates: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ def complete_rows(records: DataFrame, size: Column, *needed: str) -> DataFrame:
 def attach_years(works: DataFrame, years: DataFrame, on: list[str]) -> DataFrame:
     """works with `y` from years (`on`, year) where they have none, and `harvested`: whether it came from there."""
     found = years.groupBy(*on).agg(F.min("year").alias("_year"))
-    df = works.join(found, on, "left")
     missing = F.coalesce("y", F.lit(0)) == 0
-    return df.withColumn("harvested", missing & F.col("_year").isNotNull()).withColumn("y", F.when(missing, F.col("_year")).otherwise(F.col("y"))).drop("_year")
+    # Only works without a year that name a page move; `works` is read twice.
+    asks = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on), missing)
+    asked = works.where(asks).join(found, on, "left").withColumn("harvested", F.col("_year").isNotNull()).withColumn("y", F.col("_year")).drop("_year")
+    return asked.unionByName(works.where(~asks).withColumn("harvested", F.lit(False)).withColumn("y", F.when(~missing, F.col("y"))))
 
 
 def distinct_pages(*pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleanup, commentary, keys, markup, publisher, scoring, text, years
 from ..functions.scoring import TRUMPETS, Family
 from ..operators import chronology, dedupe, harvest, identity, search, tallies
+from ..operators.joins import WHOLE, join_split
 from ..sources import publishing, tables
 
 #: The sources, best first.
@@ -39,6 +40,38 @@ def _typed(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(name) if name in have else F.lit(None)).cast(kind).alias(name) for name, kind in kinds])
 
 
+#: 128 bits of a row's source and texts.
+TEXT = ("_t1", "_t2")
+
+
+def _digest(*columns: str) -> list:
+    said = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*said), F.xxhash64(F.lit(1), *said)]
+
+
+def _told(texts: DataFrame, sources: list[str], family: Family) -> DataFrame:
+    """What is read in each of the texts (TEXT, src, text, full, _rows) that count players, and what is shown for it.
+
+    Soloists and groups of digits are a publisher's. What is shown is tidied by source, so that each helper reads its own
+    source's texts alone; a curated row may show another text than the one it is counted by.
+    """
+    texts, published = tables.settled(texts), F.col("src") == "publisher"
+    read = scoring.parse_scoring(texts.where(~published), "text", family).unionByName(markup.soloist_scoring(texts.where(published), "text", family))
+    read, shown, s = tables.settled(read.where("scoring.total > 0")), None, F.col("scoring")
+    for name in sources:
+        own = {"curated": F.col("full"), "encyclopaedia": cleanup.scoring_display(F.col("text"), family), "publisher": publisher.readable_scoring(F.col("text"))}.get(name, F.col("text"))
+        kind = tables.spread(read.where(F.col("src") == name)).withColumn("_shown", own)
+        if name != "curated":
+            kind = kind.withColumn("_shown", commentary.strip_commentary(cleanup.collapse_strings(F.col("_shown")), family))
+        else:
+            kind = kind.withColumn("_shown", cleanup.collapse_strings(F.col("_shown")))
+        shown = kind if shown is None else shown.unionByName(kind)
+    return shown.select(
+        *TEXT, "src", scoring.format_scoring(s, family).alias("s"), s["counts"].alias("counts"), scoring.required(s, family).alias("req"), scoring.section_size(s).alias("size"),
+        F.col("_shown").alias("full"), (F.size(s["uncertain"]) > 0).alias("est"), "_rows",
+    )
+
+
 def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dates: DataFrame, variants: DataFrame | None = None, family: Family = TRUMPETS) -> Index:
     """One index of the sources (name -> table of RECORD, best first).
 
@@ -55,27 +88,18 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     rows = tallies.union_sources({name: _typed(sources[name]) for name in SOURCES if name in sources})
     rows = rows.withColumn("arr", F.coalesce("arr", F.lit(False))).withColumn("ord", F.col("rank").cast("long") * (1 << 40) + F.col("ord"))
     rows = rows.withColumn("title", F.when(F.col("src") == "encyclopaedia", text.without_disambiguator(F.col("title"))).otherwise(F.col("title")))
-    # Soloists and groups of digits are a publisher's.
-    rows, published = tables.settled(rows), F.col("src") == "publisher"
-    read = scoring.parse_scoring(rows.where(~published), "text", family).unionByName(markup.soloist_scoring(rows.where(published), "text", family))
-    parsed = tallies.complete_rows(read, F.col("scoring.total"), "composer", "text")
-    parsed = tables.settled(parsed.where((F.col("src") != "library") | F.col("composer_id").isNotNull()))
+    rows = tables.settled(rows.withColumns(dict(zip(TEXT, _digest("src", "text", "full"), strict=True))))
+    whole = tallies.complete_rows(rows, F.lit(1), "composer", "text").where((F.col("src") != "library") | F.col("composer_id").isNotNull())
+    told = tables.settled(_told(whole.groupBy(*TEXT, "src", "text", "full").agg(F.count(F.lit(1)).alias("_rows")), list(sources), family))
+    # Rows carry 128 bits of their text until they are done, so that no step moves or writes what was read in it.
+    counted = join_split(whole.drop("text", "full", "stamp"), told.select(*TEXT, "_rows"), list(TEXT), "_rows", whole=WHOLE)
 
-    renamed = parsed.withColumnsRenamed({"composer": "name", "composer_id": "id", "composer_sort": "sort"})
+    renamed = counted.withColumnsRenamed({"composer": "name", "composer_id": "id", "composer_sort": "sort"})
     linked, composers = identity.resolve_composers(renamed, variants)
     linked = linked.drop("id", "name", "sort", "aliases", "dates").withColumnsRenamed({"composer_id": "c", "title": "t", "year": "y", "genre": "g"})
-    works = tallies.attach_years(linked, found_years, ["src", "page"])
+    works = tallies.attach_years(linked, found_years, ["src", "page"]).drop("page")
     works = tables.settled(works.withColumn("id", F.concat_ws(":", "src", F.col("ord") % (1 << 40))))
-
-    keyed = None
-    for name in sources:
-        own = dedupe.with_keys(works.where(F.col("src") == name), name)
-        keyed = own if keyed is None else keyed.unionByName(own)
-    ranked = tables.settled(dedupe.dedupe_works(keyed.select("id", "rank", "ord", "src", "y", "register", "query"), list(range(len(sources)))))
-    handed = ranked.withColumn("y", F.when(F.col("kept") | (F.col("src") == "library"), F.col("y")))
-    filled = dedupe.backfill_years(handed).select(F.col("id").alias("_id"), F.col("y").alias("_y"))
-    kept = works.join(ranked.where("kept").select("id"), "id", "left_semi").join(filled, F.col("id") == F.col("_id"), "left")
-    kept = kept.withColumn("harvested", F.col("harvested") | F.col("_y").isNotNull()).withColumn("y", F.coalesce("_y", "y")).drop("_id", "_y")
+    kept = dedupe.merge_works(works, [name for name in SOURCES if name in sources])
 
     own = years.lifespan(F.col("dates"))
     lives = identity.composer_dates(composers, found_dates).withColumn("_own", own)
@@ -90,21 +114,9 @@ def build_index(sources: dict[str, DataFrame], found_years: DataFrame, found_dat
     dated = dated.withColumn("rejected", F.col("harvested") & checked.isNull()).withColumn("y", checked).drop("born", "died")
     dated = chronology.assign_sort_years(dated)
 
-    # What is shown is tidied by source, so that each helper reads its own source's rows alone; a curated row may show another text than the one it is counted by.
-    dated, shown, s = tables.settled(dated), None, F.col("scoring")
-    for name in sources:
-        own = {"curated": F.col("full"), "encyclopaedia": cleanup.scoring_display(F.col("text"), family), "publisher": publisher.readable_scoring(F.col("text"))}.get(name, F.col("text"))
-        kind = dated.where(F.col("src") == name).withColumn("_shown", own)
-        if name != "curated":
-            kind = kind.withColumn("_shown", commentary.strip_commentary(cleanup.collapse_strings(F.col("_shown")), family))
-        else:
-            kind = kind.withColumn("_shown", cleanup.collapse_strings(F.col("_shown")))
-        shown = kind if shown is None else shown.unionByName(kind)
     genre = F.coalesce(F.col("g"), F.when(F.col("arr"), F.lit("Arrangement")).when(F.col("src") == "encyclopaedia", keys.genre_from_title(F.col("t"), F.lit("Orchestral"))), F.lit("Other"))
-    done = shown.select(
-        "id", "ord", "c", "t", "cat", "y", "sy", genre.alias("g"), scoring.format_scoring(s, family).alias("s"), s["counts"].alias("counts"), scoring.required(s, family).alias("req"),
-        scoring.section_size(s).alias("size"), F.col("_shown").alias("full"), "note", "arr", (F.size(s["uncertain"]) > 0).alias("est"), "src", "url", "harvested", "rejected",
-    )
+    done = join_split(dated, told.drop("src"), list(TEXT), "_rows", whole=WHOLE)
+    done = done.select("id", "ord", "c", "t", "cat", "y", "sy", genre.alias("g"), "s", "counts", "req", "size", "full", "note", "arr", "est", "src", "url", "harvested", "rejected")
     done = tables.settled(done)
     people = tallies.composers_with_works(lives, tallies.works_per_composer(done))
     stamped = rows.agg(tallies.data_date(F.col("stamp")).alias("data_date"))

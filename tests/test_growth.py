@@ -111,3 +111,51 @@ def test_years_are_read_by_many_tasks(spark, monkeypatch, tmp_path):
     got = harvests.read_years(asked, spark.createDataFrame([], "page string, wikitext string"), articles, str(tmp_path / "years"), 2030).collect()
     assert sorted((r["page"], r["year"], r["how"]) for r in got) == [("A", 1900, "category"), ("B", 1900, "category")]
     assert [df.rdd.getNumPartitions() for df in dealt] == [3]
+
+
+def test_works_named_alike_are_keyed_and_decided_once(spark, monkeypatch):
+    import random
+
+    from scorelake.operators import dedupe
+
+    r, sources = random.Random(5), ["curated", "publisher", "library"]
+    titles = ["Suite", "Suite No. 2", "Mass, Op.3", None, "Boléro (ballet)"]
+    rows = [
+        (f"w{i}", rank * (1 << 40) + i, rank, sources[rank], r.choice("ab"), r.choice(titles), r.choice([None, None, "Op. 3"]), ["Suite No. 2"] if rank == 0 and i % 4 == 0 else None, i % 5 == 0, r.choice([None, 0, 1800 + i]), False)
+        for i in range(240) for rank in [i % 3 if i < 90 else 1 + i % 2]
+    ]
+    works = tables.settled(spark.createDataFrame(rows, "id string, ord long, rank int, src string, c string, t string, cat string, also array<string>, arr boolean, y int, harvested boolean"))
+    plain = dedupe.with_keys(works.where("rank = 0"), "curated").unionByName(dedupe.with_keys(works.where("rank = 1"), "publisher")).unionByName(dedupe.with_keys(works.where("rank = 2"), "library"))
+    ranked = tables.settled(dedupe.dedupe_works(plain, [0, 1, 2]))
+    kept = {x["id"]: (x["y"], False) for x in ranked.where("kept").collect()}
+    handed = dedupe.backfill_years(ranked.withColumn("y", F.when(F.col("kept") | (F.col("src") == "library"), F.col("y")))).collect()
+    assert handed and len(kept) < 150
+    kept |= {x["id"]: (x["y"], True) for x in handed}
+    keyed, with_keys = [], dedupe.with_keys
+    monkeypatch.setattr(dedupe, "with_keys", lambda df, name: keyed.append(df.count()) or with_keys(df, name))
+    got = {x["id"]: (x["y"], x["harvested"]) for x in dedupe.merge_works(works, sources).collect()}
+    assert got == kept
+    assert sum(keyed) == len({(x[3], x[4], x[5], x[6], str(x[7]), x[8]) for x in rows}) < 150
+
+
+def test_only_works_without_a_year_move_for_one(spark):
+    from scorelake.operators import tallies
+
+    works = tables.settled(spark.createDataFrame([(1, "a", 1900), (2, "b", None), (3, None, 0), (4, "c", 0)], "ord int, page string, y int"))
+    years = spark.createDataFrame([("a", 1800), ("b", 1850), ("b", 1840)], "page string, year int")
+    found = tallies.attach_years(works, years, ["page"])
+    assert sorted((r["ord"], r["y"], r["harvested"]) for r in found.collect()) == [(1, 1900, False), (2, 1840, True), (3, None, False), (4, None, False)]
+    left = [p for p in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in p and "ord" not in p and "isnotnull(page" in p]
+    assert any("= 0" in p for p in left)
+
+
+def test_names_are_folded_once_each(spark, monkeypatch):
+    from scorelake.operators import identity
+
+    seen, settle = [], identity.settled
+    monkeypatch.setattr(identity, "settled", lambda df: seen.append(settle(df)) or seen[-1])
+    rows = spark.range(400).selectExpr("0 AS rank", "id AS ord", "CASE WHEN id % 2 = 0 THEN 'Ána Bach' WHEN id < 300 THEN 'Ana Bach' END AS name", "CAST(NULL AS STRING) AS id", "CAST(NULL AS STRING) AS sort", "CAST(NULL AS STRING) AS dates", "CAST(NULL AS ARRAY<STRING>) AS aliases")
+    linked, composers = identity.resolve_composers(rows)
+    assert {(r["composer_id"], r["n"]) for r in linked.groupBy("composer_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {("bach-ana", 350), ("", 50)}
+    assert [r["name"] for r in composers.where("composer_id = 'bach-ana'").collect()] == ["Ána Bach"]
+    assert max(t.count() for t in seen) == 3
